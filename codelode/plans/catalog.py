@@ -1,0 +1,4 @@
+"""Queries of the search engine by name, and DuckDB SQL that recomputes them."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
