@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codelode.llm import langid, licenses, pii, quality, secrets
+from codelode.llm import decontam, langid, licenses, packing, pii, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,10 @@ def op4_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op5_packing_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_secret_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return secrets.scan(docs, secrets.fit(docs))
@@ -38,5 +43,10 @@ def op8_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(seen))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pii_pseudonyms, op3_license_templates, op4_quality_ratio, op7_secret_models, op8_language_families)}
+def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that leaks into it."""
+    return decontam.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pii_pseudonyms, op3_license_templates, op4_quality_ratio, op5_packing_nnls, op7_secret_models, op8_language_families, op10_benchmark_leaks)}
 ORACLE_SQL: dict[str, str] = {}
