@@ -7,13 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codelode.llm import decontam, langid, licenses, packing, pii, quality, secrets
+from codelode.llm import decontam, langid, licenses, line_dedup, packing, pii, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines, the recurring ones among them, and the digest of what is kept."""
+    return line_dedup.scan(_table(spark, sf_dir, "documents"))
+
+
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with pseudonyms, and the values of each kind that it held."""
     return pii.scan(_table(spark, sf_dir, "documents"))
@@ -48,5 +53,5 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pii_pseudonyms, op3_license_templates, op4_quality_ratio, op5_packing_nnls, op7_secret_models, op8_language_families, op10_benchmark_leaks)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_templates, op2_pii_pseudonyms, op3_license_templates, op4_quality_ratio, op5_packing_nnls, op7_secret_models, op8_language_families, op10_benchmark_leaks)}
+ORACLE_SQL: dict[str, str] = {"op1_line_templates": line_dedup.SQL.format(docs="documents")}
