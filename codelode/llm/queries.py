@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codelode.llm import decontam, langid, licenses, line_dedup, packing, pii, quality, secrets
+from codelode.llm import decontam, jaccard, langid, licenses, line_dedup, packing, pii, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op5_packing_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"))
+
+
 def op7_secret_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return secrets.scan(docs, secrets.fit(docs))
@@ -53,5 +57,5 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_templates, op2_pii_pseudonyms, op3_license_templates, op4_quality_ratio, op5_packing_nnls, op7_secret_models, op8_language_families, op10_benchmark_leaks)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_templates, op2_pii_pseudonyms, op3_license_templates, op4_quality_ratio, op5_packing_nnls, op6_shingle_join, op7_secret_models, op8_language_families, op10_benchmark_leaks)}
 ORACLE_SQL: dict[str, str] = {"op1_line_templates": line_dedup.SQL.format(docs="documents")}
