@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codelode.llm import decontam, jaccard, langid, licenses, line_dedup, packing, pii, quality, secrets
+from codelode.llm import decontam, jaccard, langid, licenses, line_dedup, packing, pii, quality, secrets, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,10 +52,14 @@ def op8_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(seen))
 
 
+def op9_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(_table(spark, sf_dir, "documents"))
+
+
 def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document and benchmark item that leaks into it."""
     return decontam.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_templates, op2_pii_pseudonyms, op3_license_templates, op4_quality_ratio, op5_packing_nnls, op6_shingle_join, op7_secret_models, op8_language_families, op10_benchmark_leaks)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_templates, op2_pii_pseudonyms, op3_license_templates, op4_quality_ratio, op5_packing_nnls, op6_shingle_join, op7_secret_models, op8_language_families, op9_repeated_substrings, op10_benchmark_leaks)}
 ORACLE_SQL: dict[str, str] = {"op1_line_templates": line_dedup.SQL.format(docs="documents")}
