@@ -89,7 +89,7 @@ def need(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return -(-PERCENT * (n + m) // (100 + PERCENT))
 
 
-_FIRST = "kind int, doc_id long, n long, sig long, cells binary, slice int, counts binary"
+_FIRST = "kind int, doc_id long, text_hash long, n long, sig long, cells binary, slice int, counts binary"
 _SLICES = 64
 
 
@@ -99,7 +99,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     to_cell = np.uint64(64 - (SKETCH.bit_length() - 1))
     for batch in batches:
         sizes, sigs, cells = [], [], []
-        for _, sets in shingle_sets(batch.column(1)):
+        for _, sets in shingle_sets(batch.column(2)):
             for x in sets:
                 sizes.append(len(x))
                 sigs.append(signature(x))
@@ -107,10 +107,10 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts += np.bincount((np.concatenate(sets) >> to_cell).astype(np.int64), minlength=SKETCH)
         n = batch.num_rows
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.array(cells, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.array(cells, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
     if counts.any():
         parts = [p.astype("<i8").tobytes() for p in counts.reshape(_SLICES, -1)]
-        none = [pa.nulls(_SLICES, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+        none = [pa.nulls(_SLICES, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(_SLICES, np.int32)), *none, pa.array(range(_SLICES), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
 
@@ -147,7 +147,7 @@ def _entries(batches: Iterator[pa.RecordBatch], ranks, blocks: int) -> Iterator[
     ranks, seen = ranks.value, set()
     for batch in batches:
         keys, sigs, sizes = [], [], []
-        for _, sets in shingle_sets(batch.column(1)):
+        for _, sets in shingle_sets(batch.column(2)):
             for x in sets:
                 s = signature(x)
                 if s and s not in seen:
@@ -296,51 +296,82 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sigs, out = [], []
-        for _, sets in shingle_sets(batch.column(1)):
-            for x in sets:
-                sigs.append(signature(x))
-                out.append(x.astype("<u8").tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "sig", "shingles"])
+        for _, sets in shingle_sets(batch.column(2)):
+            yield pa.RecordBatch.from_arrays([pa.array([signature(x) for x in sets], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], names=["sig", "shingles"])
 
 
-def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents of these ids: the ids are sent to all tasks if they are few, else both sides are shuffled."""
-    few = ids.count() <= SENT_IDS
-    return docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc_id", "left_semi")
+def _by_size(ids: DataFrame) -> DataFrame:
+    """The ids, to be sent to all tasks if they are few; else a join shuffles both sides."""
+    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """One row for each document: doc_id, n_shingles and component_id, the least doc_id that links reach."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    spark = docs.sparkSession
+def _components(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, n, sig, component, first) of each row; first: whether it stands for its component.
+
+    docs: doc_id, text_hash and text.
+    """
     first = settle(docs.mapInArrow(_first_pass, _FIRST))
-    rows = first.filter("kind = 0").select("doc_id", "n", "sig")
-    ranks = spark.sparkContext.broadcast(_ranks(first))
+    rows = first.filter("kind = 0").select("doc_id", "text_hash", "n", "sig")
+    ranks = docs.sparkSession.sparkContext.broadcast(_ranks(first))
     blocks = max(1, -(-rows.count() // BLOCK_DOCS))
 
     entries = docs.mapInArrow(lambda it: _entries(it, ranks, blocks), "block int, part binary")
     product = settle(entries.repartition(blocks, "block").mapInArrow(_product, "a long, b long, tied boolean").groupBy("a", "b").agg(F.max("tied").alias("tied")))
-    classes = first.filter("kind = 0 and sig <> 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("cells").alias("cells"))
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("lead")
+    classes = first.filter("kind = 0 and sig <> 0").groupBy("sig").agg(lead, F.max("n").alias("n"), F.max("cells").alias("cells"))
     listed = product.filter("not tied").select("a", "b")
-    touched = listed.select(F.col("a").alias("sig")).unionByName(listed.select(F.col("b").alias("sig"))).distinct()
+    touched = product.select(F.col("a").alias("sig")).unionByName(product.select(F.col("b").alias("sig"))).distinct()
     some = settle(classes.join(touched, "sig"))
     x, y = (some.select(F.col("sig").alias(k), F.col("n").alias(f"n_{k}"), F.col("cells").alias(f"cells_{k}")) for k in "ab")
     bounded = listed.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(_bounded, "a long, b long")
     groups = components(bounded.unionByName(product.filter("tied").select("a", "b")))
 
-    members = groups.select(F.col("node").alias("sig"), "root").join(classes.select("sig", "doc_id", "n"), "sig")
+    members = groups.select(F.col("node").alias("sig"), "root").join(some.select("sig", "lead.text_hash", "n"), "sig")
     weights = members.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / TILE), F.ceil(F.count("*") / ROWS)).cast("int").alias("parts"))
     members = settle(members.join(weights, "root"))
-    sets = _chosen(docs, members.select("doc_id").distinct()).mapInArrow(_sets_of, "doc_id long, sig long, shingles binary").select("sig", "shingles").join(members.select("sig", "root", "parts"), "sig").dropDuplicates(["sig"])
+    sets = docs.join(_by_size(members.select("text_hash").distinct()), "text_hash", "left_semi").select("doc_id", "text_hash", "text").mapInArrow(_sets_of, "sig long, shingles binary")
+    sets = sets.join(members.select("sig", "root", "parts"), "sig").dropDuplicates(["sig"])
     own = F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")
     pairs = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tiled = pairs.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sig", "shingles")
     tasks = max(1, -(-members.count() // ROWS))
     linked = components(tiled.repartition(tasks, "root", "i", "j").mapInArrow(_tiles, "a long, b long"))
 
-    named = linked.select(F.col("node").alias("sig"), "root").join(classes.select("sig", "doc_id"), "sig")
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component"))
-    by_class = classes.select("sig", F.col("doc_id").alias("least")).join(named.select("sig", "root").join(least, "root").select("sig", "component"), "sig", "left").select("sig", F.coalesce("component", "least").alias("component"))
-    out = rows.filter("sig <> 0").join(by_class, "sig").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
-    return out.unionByName(rows.filter("sig = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    named = linked.select(F.col("node").alias("sig"), "root").join(some.select("sig", "lead"), "sig")
+    leads = named.groupBy("root").agg(F.min("lead").alias("of_all"))
+    by_class = classes.select("sig", "lead").join(named.select("sig", "root").join(leads, "root").select("sig", "of_all"), "sig", "left").select("sig", F.coalesce("of_all", "lead").alias("lead"))
+    out = rows.filter("sig <> 0").join(by_class, "sig").select("doc_id", "text_hash", "n", "sig", F.col("lead.doc_id").alias("component"), (F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("text_hash") == F.col("lead.text_hash"))).alias("first"))
+    return out.unionByName(rows.filter("sig = 0").select("doc_id", "text_hash", "n", "sig", F.col("doc_id").alias("component"), F.lit(True).alias("first")))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash"), F.col("text").cast("string"))
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """One row for each document: doc_id, n_shingles and component_id, the least doc_id that links reach."""
+    return _components(_keyed(docs)).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each component, with all its columns: the one with the least doc_id (null last), then text hash.
+
+    Of rows with the same id and text any one stays.  Documents with the empty set all stay.
+    """
+    rows = settle(_components(_keyed(docs)).select("doc_id", "text_hash", "sig", "first"))
+    name = "gone"
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name = f"_{name}"
+
+    def on(keys: DataFrame):
+        return docs["doc_id"].eqNullSafe(keys[f"{name}_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == keys[f"{name}_hash"])
+
+    def named(some: DataFrame) -> DataFrame:
+        return _by_size(some.select(F.col("doc_id").alias(f"{name}_id"), F.col("text_hash").alias(f"{name}_hash")).distinct())
+
+    gone = named(rows.filter("not first"))
+    again = rows.filter("first and sig <> 0").groupBy("doc_id", "text_hash").count().filter("count > 1")
+    if again.isEmpty():
+        return docs.join(gone, on(gone), "left_anti")
+    twice, lost = named(again), named(rows.filter("not first").select("doc_id", "text_hash").unionByName(again.select("doc_id", "text_hash")))
+    return docs.join(lost, on(lost), "left_anti").unionByName(docs.join(twice, on(twice), "left_semi").dropDuplicates(["doc_id", "text"]))
