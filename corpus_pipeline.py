@@ -1,20 +1,65 @@
-"""A corpus pipeline: each stage reads what its predecessor kept."""
+"""A corpus pipeline: each stage works on what its predecessor kept.
+
+Stages take (spark, docs, sf_dir); all but the last return the columns of documents.
+
+1. quality: documents that fail the base rules or the n-gram ratio go.
+2. lines: recurring lines go, but for their first; documents left without a word go too.
+3. near_duplicates: of each component of linked documents the one with the least doc_id
+   stays (of rows with that id, those in the component).
+4. decontamination: documents into which a benchmark item leaks go.
+5. packing: the rest becomes pieces of token sequences.
+"""
 
 from __future__ import annotations
 
-from codelode.llm import quality
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from codelode.llm import decontam, jaccard, line_dedup, packing, quality
 
 
-def _quality(spark, docs, sf_dir):
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-STAGES = [("quality", _quality)]
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.clean(docs, drop_emptied=True)
+    return cleaned.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", keep_quality),
+    ("lines", drop_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("packing", pack),
+]
+
+#: SQL has no word for the multinomials, the tokenizer or the packing; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's result is written to the shared folder, so none is computed twice."""
+    from codelode.llm._store import written
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, name)
     return docs
