@@ -35,52 +35,73 @@ DEPTH, MIN_DOCS, MIN_TOKENS = 3, 3, 3
 #: The least share of constant tokens in a template.
 SIMILARITY = 0.7
 
+#: Documents up to which a list of lines to look at is sent to all tasks (about 100 bytes each); beyond it the texts are shuffled.
+SENT_DOCS = 200_000
+
 _TOKEN = r"[^\x20\x09-\x0D]+"
 _VARIABLE = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 
 
-def _tokens(line: Column) -> Column:
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, _VARIABLE, "<*>")).otherwise(line)
-    return F.regexp_extract_all(masked, F.lit(_TOKEN), F.lit(0))
+def _masked(line: Column) -> Column:
+    """A line's tokens, masked, with one space between two; regular expressions only see lines that call for them."""
+    odd = line.startswith(" ") | line.endswith(" ") | line.contains("  ")
+    for c in "\t\v\f\r":
+        odd = odd | line.contains(c)
+    plain = F.when(odd, F.trim(F.regexp_replace(line, "[\\x20\\x09-\\x0D]+", " "))).otherwise(line)
+    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, _VARIABLE, "<*>")).otherwise(plain)
+
+
+def _n_tokens(masked: Column) -> Column:
+    return F.when(masked == "", 0).otherwise(F.octet_length(masked) - F.octet_length(F.replace(masked, F.lit(" "), F.lit(""))) + 1)
 
 
 def _key(doc: Column, text: Column) -> list[Column]:
     return [doc.alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash")]
 
 
-def _same(a: DataFrame, b: DataFrame) -> Column:
-    return a["doc"].eqNullSafe(b["doc"]) & (a["text_hash"] == b["text_hash"])
+def _place(masked: Column, depth: int, min_tokens: int) -> Column:
+    """The leaf and the whole sequence of a line, as hashes; null for a line that is too short."""
+    n = _n_tokens(masked)
+    return F.when(n >= min_tokens, F.struct(F.xxhash64(n, F.substring_index(masked, " ", depth)).alias("leaf"), F.xxhash64(masked).alias("own")))
+
+
+def _recurring(lines: DataFrame, keys: list[str], min_docs: int) -> DataFrame:
+    """Rows (doc, text_hash, line, *keys) without the first of each key, for keys in min_docs documents."""
+    firsts = lines.groupBy(*keys, "doc", "text_hash").agg(F.min("line").alias("line")).groupBy(*keys).agg(F.count("*").alias("docs"), F.min(F.struct("doc", "text_hash", "line")).alias("first"))
+    return lines.join(firsts.filter(F.col("docs") >= min_docs).drop("docs"), keys)
+
+
+_LATER = "not (doc <=> first.doc and text_hash = first.text_hash and line = first.line)"
 
 
 def recurring_lines(docs: DataFrame, *, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc, text_hash, lines): the numbers, from 0, of the lines that each document loses; documents without any are left out."""
     keyed = docs.select(*_key(F.col("doc_id"), F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
-    parsed = keyed.select("doc", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw")).select("doc", "text_hash", "line", _tokens(F.col("raw")).alias("tokens"))
-    placed = parsed.filter(F.size("tokens") >= min_tokens).select("doc", "text_hash", "line", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"), F.xxhash64("tokens").alias("own"))
-    placed = settle(placed)
-    # Rows of the same leaf and sequence in one document count once.
-    by_doc = placed.groupBy("leaf", "own", "doc", "text_hash").agg(F.min("line").alias("line"))
-    exact = by_doc.groupBy("leaf", "own").agg(F.count("*").alias("docs"), F.min(F.struct("doc", "text_hash", "line")).alias("first")).filter(F.col("docs") >= min_docs).drop("docs")
-    exact = settle(exact)
-    dropped = placed.join(exact, ["leaf", "own"]).filter(~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("line") == F.col("first.line")))).select("doc", "text_hash", "line")
-
-    leaves = placed.select("leaf", "doc", "text_hash").distinct().groupBy("leaf").count().filter(F.col("count") >= min_docs).select("leaf")
-    left = placed.join(leaves, "leaf", "left_semi").join(exact, ["leaf", "own"], "left_anti")
-    wanted = left.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("line", "leaf")).alias("wanted"))
-    texts = keyed.join(wanted, keyed["doc"].eqNullSafe(wanted["doc"]) & (keyed["text_hash"] == wanted["text_hash"])).select(keyed["doc"], keyed["text_hash"], F.split("text", "\n", -1).alias("lines"), "wanted")
-    words = texts.select("doc", "text_hash", "lines", F.explode("wanted").alias("w")).select("doc", "text_hash", F.col("w.line").alias("line"), F.col("w.leaf").alias("leaf"), F.posexplode(_tokens(F.get("lines", F.col("w.line")))).alias("place", "token")).distinct()
-    words = settle(words)
-    constant = words.select("leaf", "place", "token", "doc", "text_hash").distinct().groupBy("leaf", "place", "token").count().filter((F.col("count") >= min_docs) & (F.col("token") != "<*>")).select("leaf", "place", "token", F.lit(True).alias("fixed"))
+    placed = settle(keyed.select("doc", "text_hash", F.transform(F.split("text", "\n", -1), lambda raw: _place(_masked(raw), depth, min_tokens)).alias("places")))
+    # A template in min_docs documents stands in a leaf that as many reach; few lines do.
+    leaves = placed.select(F.explode(F.array_distinct("places.leaf")).alias("leaf")).filter("leaf is not null").groupBy("leaf").count().filter(F.col("count") >= min_docs).select("leaf")
+    lines = placed.select("doc", "text_hash", F.posexplode("places").alias("line", "place")).select("doc", "text_hash", "line", F.col("place.leaf").alias("leaf"), F.col("place.own").alias("own")).filter("leaf is not null")
+    lines = settle(lines.join(leaves, "leaf", "left_semi"))
+    exact = settle(_recurring(lines, ["leaf", "own"], min_docs))
+    dropped = exact.filter(_LATER).select("doc", "text_hash", "line")
+
+    left = lines.join(exact.select("leaf", "own").distinct(), ["leaf", "own"], "left_anti")
+    wanted = settle(left.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("line", "leaf")).alias("wanted")))
+    sent = F.broadcast(wanted) if wanted.count() <= SENT_DOCS else wanted
+    texts = keyed.join(sent, keyed["doc"].eqNullSafe(wanted["doc"]) & (keyed["text_hash"] == wanted["text_hash"])).select(keyed["doc"], keyed["text_hash"], F.split("text", "\n", -1).alias("lines"), "wanted")
+    texts = texts.select("doc", "text_hash", F.transform("wanted", lambda w: F.struct(w["line"].alias("line"), w["leaf"].alias("leaf"), F.split(_masked(F.get("lines", w["line"])), " ").alias("tokens"))).alias("wanted"))
+    words = settle(texts.select("doc", "text_hash", F.explode("wanted").alias("w")).select("doc", "text_hash", "w.line", "w.leaf", F.posexplode("w.tokens").alias("place", "token")))
+    constant = words.filter("token <> '<*>'").select("leaf", "place", "token", "doc", "text_hash").distinct().groupBy("leaf", "place", "token").count().filter(F.col("count") >= min_docs).select("leaf", "place", "token", F.lit(True).alias("fixed"))
     general = (
         words.join(constant, ["leaf", "place", "token"], "left")
+        .groupBy("leaf", "doc", "text_hash", "line", "place")
+        .agg(F.max("fixed").alias("fixed"), F.max("token").alias("token"))
         .groupBy("leaf", "doc", "text_hash", "line")
         .agg(F.count("fixed").alias("n_fixed"), F.count("*").alias("n"), F.xxhash64(F.array_sort(F.collect_list(F.struct("place", F.when(F.col("fixed"), F.col("token")).otherwise("<*>").alias("token"))))).alias("template"))
         .filter(F.col("n_fixed") >= similarity * F.col("n"))
         .select("leaf", "template", "doc", "text_hash", "line")
     )
-    general = settle(general)
-    again = general.groupBy("leaf", "template", "doc", "text_hash").agg(F.min("line").alias("line")).groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.min(F.struct("doc", "text_hash", "line")).alias("first")).filter(F.col("docs") >= min_docs)
-    more = general.join(again, ["leaf", "template"]).filter(~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("line") == F.col("first.line")))).select("doc", "text_hash", "line")
+    more = _recurring(settle(general), ["leaf", "template"], min_docs).filter(_LATER).select("doc", "text_hash", "line")
     return dropped.unionByName(more).groupBy("doc", "text_hash").agg(F.collect_set("line").alias("lines"))
 
 
