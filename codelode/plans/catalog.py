@@ -1,4 +1,485 @@
-"""Queries of the search engine by name, and DuckDB SQL that recomputes them."""
+"""Queries of the search engine by name, and DuckDB SQL that recomputes each from the same tables.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Oracles of the parsers (sections and code) are lists of the rows that the fixture texts call for;
+all others compute their result anew.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from codelode import schema
+from codelode.functions import text as X
+from codelode.functions.embed import HashEmbedder, dot
+from codelode.operators import code, reconcile, search, sections
+from codelode.plans import fixtures
+from codelode.plans.corpus_view import SYM, extracted, symbols, table
+from codelode.sources import scan
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+_QUESTION = "the entire theory of herein that and anden thing"
+_EMBEDDER = HashEmbedder()
+
+
+def _query(sql: str | None) -> Callable:
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql.strip()
+        return f
+
+    return register
+
+
+def _values(rows: list[tuple], columns: str) -> str:
+    """A SELECT of literal rows."""
+
+    def literal(v) -> str:
+        return "NULL" if v is None else str(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'"
+
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) AS t({columns})"
+
+
+# Symbols, keys and hashes ----------------------------------------------------
+
+
+@_query(f"WITH {SYM} SELECT * FROM sym")
+def sym_view(spark, sf_dir):
+    return symbols(spark, sf_dir)
+
+
+@_query(f"WITH {SYM} SELECT DISTINCT id, file_path, symbol_name, kind FROM s1")
+def doc_id_sha1(spark, sf_dir):
+    return extracted(table(spark, sf_dir, "documents")).select("id", "file_path", "symbol_name", "kind").distinct()
+
+
+@_query("SELECT doc_id, sha1(text) AS sha1 FROM documents")
+def file_hash(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha1(F.col("text").cast("binary")).alias("sha1"))
+
+
+@_query(f"WITH {SYM} SELECT id, file_path, start_line FROM sym")
+def dedup_last_wins(spark, sf_dir):
+    return reconcile.last_wins(extracted(table(spark, sf_dir, "documents"))).select("id", "file_path", "start_line")
+
+
+@_query(f"WITH {SYM} SELECT id, file_path, start_line FROM s1 QUALIFY row_number() OVER (PARTITION BY id ORDER BY start_line) = 1")
+def dedup_first_wins(spark, sf_dir):
+    return reconcile.last_wins(extracted(table(spark, sf_dir, "documents")), descending=False).select("id", "file_path", "start_line")
+
+
+# Scans and filters -----------------------------------------------------------
+
+_FILES_SQL = "files AS (SELECT doc_id, source || '/doc_' || doc_id || CASE doc_id % 7 WHEN 0 THEN '.py' WHEN 1 THEN '.RS' WHEN 2 THEN '.go' WHEN 3 THEN '.tsx' WHEN 4 THEN '.sh' WHEN 5 THEN '.md' ELSE '' END AS rel, text FROM documents)"
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ext = F.element_at(F.array(*map(F.lit, (".py", ".RS", ".go", ".tsx", ".sh", ".md", ""))), (F.col("doc_id") % 7 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("/doc_"), F.col("doc_id").cast("string"), ext).alias("rel"), "text")
+
+
+_INSTALLED = frozenset({"python", "rust", "bash"})
+_COVERED_SQL = f"""
+{_FILES_SQL},
+lang AS (SELECT * FROM (VALUES ('.py', 'python', NULL), ('.rs', 'rust', 'rust'), ('.go', 'go', 'go'), ('.tsx', 'typescript', 'typescript'), ('.sh', 'bash', 'bash')) AS t(ext, language, extra)),
+covered AS (
+  SELECT language, extra, count(*) AS file_count, language IN ('python', 'rust', 'bash') AS installed
+  FROM files JOIN lang ON lower(regexp_extract(rel, '\\.[^.]+$')) = ext GROUP BY language, extra)"""
+
+
+@_query(f"WITH {_COVERED_SQL} SELECT language, file_count, installed FROM covered")
+def suffix_lang_coverage(spark, sf_dir):
+    return scan.coverage(_files(spark, sf_dir), schema.registry(spark), _INSTALLED).select("language", "file_count", "installed")
+
+
+@_query(f"WITH {_COVERED_SQL} SELECT language, file_count, 'pip install ''codelode[' || extra || ']''' AS install_hint FROM covered WHERE NOT installed AND extra IS NOT NULL")
+def missing_grammars(spark, sf_dir):
+    found = scan.coverage(_files(spark, sf_dir), schema.registry(spark), _INSTALLED)
+    return found.filter(~F.col("installed") & F.col("install_hint").isNotNull()).select("language", "file_count", "install_hint")
+
+
+@_query("""
+SELECT page_id, rel FROM (
+  SELECT page_id, list_filter(string_split(regexp_replace(url, '^[a-z]+://', ''), '/'), lambda s: s <> '') AS parts, array_to_string(list_filter(string_split(regexp_replace(url, '^[a-z]+://', ''), '/'), lambda s: s <> ''), '/') || CASE page_id % 5 WHEN 0 THEN '/build/x.py' WHEN 1 THEN '/dist' WHEN 2 THEN '/builds/x.py' ELSE '' END AS rel FROM pages)
+WHERE NOT list_has_any(string_split(rel, '/'), ['.git', '.venv', 'venv', 'node_modules', '__pycache__', '.mypy_cache', '.pytest_cache', '.codelode_index', 'dist', 'build', '.tox', 'vendor'])""")
+def skip_segment_filter(spark, sf_dir):
+    parts = F.filter(F.split(F.regexp_replace("url", "^[a-z]+://", ""), "/"), lambda s: s != "")
+    tail = F.element_at(F.array(*map(F.lit, ("/build/x.py", "/dist", "/builds/x.py", "", ""))), (F.col("page_id") % 5 + 1).cast("int"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.array_join(parts, "/"), tail).alias("rel"))
+    return pages.filter(scan.not_skipped("rel", ("vendor",)))
+
+
+_PATHS = ["AGENTS.md", "docs/Claude.MD", ".cursorrules", "docs/agents.md.txt", "codex.md", "a/GEMINI.md", "copilot-instructions.md", "README.md"]
+
+
+@_query(f"WITH p AS ({_values([(p,) for p in _PATHS], 'rel')}) SELECT rel FROM p WHERE lower(regexp_extract(rel, '[^/]*$')) NOT IN ('.cursorrules', 'agents.md', 'claude.md', 'codex.md', 'copilot-instructions.md', 'gemini.md')")
+def agent_doc_filter(spark, sf_dir):
+    return spark.createDataFrame([(p,) for p in _PATHS], "rel string").filter(scan.not_agent_file("rel"))
+
+
+@_query(f"WITH {_FILES_SQL} SELECT doc_id, rel FROM files WHERE lower(regexp_extract(rel, '\\.[^.]+$')) IN ('.py', '.rs', '.md')")
+def ext_semi_join(spark, sf_dir):
+    wanted = spark.createDataFrame([(e,) for e in (".py", ".rs", ".md")], "ext string")
+    return _files(spark, sf_dir).withColumn("ext", X.suffix("rel")).join(F.broadcast(wanted), "ext", "left_semi").select("doc_id", "rel")
+
+
+@_query(f"WITH {_FILES_SQL}, ignored AS (SELECT rel FROM files WHERE doc_id % 3 = 0) SELECT doc_id, rel FROM files WHERE NOT EXISTS (SELECT 1 FROM ignored WHERE ignored.rel = files.rel)")
+def ignored_anti_join(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    return files.join(files.filter("doc_id % 3 = 0").select("rel"), "rel", "left_anti").select("doc_id", "rel")
+
+
+@_query(_values(fixtures.IGNORED, "rel, dropped"))
+def ignore_globs(spark, sf_dir):
+    rules = scan.IgnoreRules(fixtures.IGNORE_LINES)
+    return spark.createDataFrame([(rel,) for rel, _ in fixtures.IGNORED], "rel string").select("rel", rules.column("rel").alias("dropped"))
+
+
+@_query("SELECT DISTINCT ext FROM (VALUES ('.py'), ('.pyi'), ('.sh'), ('.bash'), ('.md'), ('.markdown'), ('.yaml'), ('.yml'), ('.csproj'), ('.props'), ('.targets')) AS t(ext)")
+def ext_union(spark, sf_dir):
+    reg = schema.registry(spark)
+    return reg.filter(F.col("language").isin("python", "bash")).select("ext").union(reg.filter("definition").select("ext")).distinct()
+
+
+@_query(f"WITH {SYM} SELECT id, file_path, kind, language FROM sym WHERE kind = 'section' AND language = 'de'")
+def filter_kind_lang(spark, sf_dir):
+    return search.filtered(symbols(spark, sf_dir), "kind = 'section' AND language = 'de'").select("id", "file_path", "kind", "language")
+
+
+@_query(f"WITH {SYM} SELECT id, file_path, symbol_name, kind FROM sym WHERE (symbol_name LIKE 'The%' OR file_path LIKE 'src1/%') AND kind = 'function'")
+def filter_raw_like(spark, sf_dir):
+    sql = search.build_filter("symbol_name LIKE 'The%' OR file_path LIKE 'src1/%'", kind="function")
+    return search.filtered(symbols(spark, sf_dir), sql).select("id", "file_path", "symbol_name", "kind")
+
+
+@_query(f"WITH {SYM} SELECT id, kind, language, start_line FROM sym WHERE kind IN ('class', 'section') AND NOT language = 'en' AND start_line >= 3")
+def filter_in_not(spark, sf_dir):
+    return search.filtered(symbols(spark, sf_dir), "kind IN ('class', 'section') AND NOT language = 'en' AND start_line >= 3").select("id", "kind", "language", "start_line")
+
+
+# Tokens ----------------------------------------------------------------------
+
+_COUNT = r"len(regexp_extract_all({}, '[A-Za-z_][A-Za-z0-9_]*|\d+|[^\sA-Za-z0-9_]'))"
+
+
+@_query(f"SELECT doc_id, {_COUNT.format('text')} AS tokens FROM documents")
+def token_estimate_docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.estimate_tokens("text").alias("tokens"))
+
+
+@_query(f"SELECT page_id, {_COUNT.format('html')} AS tokens FROM pages")
+def token_estimate_pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.estimate_tokens("html").alias("tokens"))
+
+
+@_query("SELECT item_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{1,}'), lambda t: lower(t)))), ' ') AS tokens FROM benchmark")
+def query_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.array_sort(X.query_tokens_column("text")), " ").alias("tokens"))
+
+
+def _lexical_sql(question: str) -> str:
+    tokens = X.query_tokens(question)
+    share = lambda c: "(" + " + ".join(f"CASE WHEN contains(lower({c}), '{t}') THEN 1 ELSE 0 END" for t in tokens) + f") / {float(len(tokens))}::DOUBLE"
+    return f"least(1.0::DOUBLE, 0.7::DOUBLE * ({share('symbol_name')}) + 0.3::DOUBLE * ({share('code_content')}))"
+
+
+@_query(f"WITH {SYM} SELECT id, round({_lexical_sql(_QUESTION)}, 6) AS lexical_score FROM sym")
+def lexical_score(spark, sf_dir):
+    return symbols(spark, sf_dir).select("id", F.round(X.lexical_score(X.query_tokens(_QUESTION)), 6).alias("lexical_score"))
+
+
+_TEXT_SQL = "kind || ' ' || symbol_name || chr(10) || left(code_content, 2000)"
+_TOKENS_SQL = f"tok AS (SELECT id, ('0x' || right(md5(t), 2))::INT % 64 AS bucket FROM (SELECT id, unnest(regexp_extract_all(lower({_TEXT_SQL}), '[A-Za-z_][A-Za-z0-9_]+')) AS t FROM sym))"
+
+
+@_query(f"WITH {SYM}, {_TOKENS_SQL} SELECT id, bucket, count(*) AS n FROM tok GROUP BY id, bucket")
+def embed_hash_buckets(spark, sf_dir):
+    rows = symbols(spark, sf_dir).select("id", F.explode(_EMBEDDER.buckets(X.embed_text())).alias("bucket"))
+    return rows.groupBy("id", "bucket").agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {SYM} SELECT id, length({_TEXT_SQL}) AS chars, md5({_TEXT_SQL}) AS digest FROM sym WHERE length(code_content) > 2000")
+def embed_text_cap(spark, sf_dir):
+    long = symbols(spark, sf_dir).filter(F.length("code_content") > X.EMBEDDED_CHARS)
+    return long.select("id", F.length(X.embed_text()).alias("chars"), F.md5(X.embed_text().cast("binary")).alias("digest"))
+
+
+# Dense search ----------------------------------------------------------------
+
+_COSINE = "round(greatest(0.0, list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6)"
+
+
+def _first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return list(table(spark, sf_dir, "embeddings").filter("vec_id = 0").select("embedding").first()[0])
+
+
+@_query(f"SELECT vec_id, {_COSINE} AS dense_similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY 2 DESC, 1 LIMIT 10")
+def dense_topk(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return search.dense_topk(rows, dot(F.col("embedding"), _first_vector(spark, sf_dir)), 10, tie="vec_id", digits=6).select("vec_id", "dense_similarity")
+
+
+@_query(f"SELECT vec_id, {_COSINE} AS dense_similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE label = 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def dense_topk_filtered(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").filter("label = 1")
+    return search.dense_topk(rows, dot(F.col("embedding"), _first_vector(spark, sf_dir)), 10, tie="vec_id", digits=6).select("vec_id", "dense_similarity")
+
+
+@_query(f"SELECT query_id, vec_id, rank, dense_similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense_similarity DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {_COSINE} AS dense_similarity FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 10) q)) WHERE rank <= 5")
+def dense_topk_batched(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    queries = rows.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))  # a stated query set
+    product = F.aggregate(F.zip_with("embedding", "query", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    return search.batched_topk(rows, queries, F.round(product, 6), 5, by="query_id", tie="vec_id").select("query_id", "vec_id", "rank", "dense_similarity")
+
+
+def _hybrid_sql(question: str, where: str, w_dense: float = 0.7, w_lexical: float = 0.3, top: int = 3, pool: int = 30) -> str:
+    own = "qtok AS (SELECT ('0x' || right(md5(t), 2))::INT % 64 AS bucket, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower('{q}'), '[A-Za-z_][A-Za-z0-9_]+')) AS t) GROUP BY 1)".format(q=question.replace("'", "''"))
+    return f"""
+WITH {SYM}, f AS (SELECT * FROM sym WHERE {where}), {_TOKENS_SQL.replace("FROM sym", "FROM f")}, {own},
+v AS (SELECT id, bucket, count(*) AS n FROM tok GROUP BY id, bucket),
+nrm AS (SELECT id, sum(n * n)::BIGINT AS sq FROM v GROUP BY id),
+qn AS (SELECT sum(n * n)::BIGINT AS sq FROM qtok),
+dt AS (SELECT v.id, sum(v.n * qtok.n)::BIGINT AS d FROM v JOIN qtok USING (bucket) GROUP BY v.id),
+ds AS (SELECT f.*, round(CASE WHEN coalesce(nrm.sq, 0) = 0 OR qn.sq IS NULL THEN 0.0 ELSE greatest(0.0, coalesce(dt.d, 0) / (sqrt(nrm.sq::DOUBLE) * sqrt(qn.sq::DOUBLE))) END, 6) AS sim FROM f LEFT JOIN nrm USING (id) LEFT JOIN dt USING (id), qn),
+pool AS (SELECT * FROM ds ORDER BY sim DESC, id LIMIT {max(pool, top)}),
+sc AS (SELECT *, {_lexical_sql(question)} AS lex FROM pool),
+fin AS (SELECT *, {w_dense}::DOUBLE * sim + {w_lexical}::DOUBLE * lex AS final FROM sc)
+SELECT row_number() OVER (ORDER BY final DESC, sim DESC, id) AS rank, round(final, 4) AS score, round(sim, 4) AS dense_similarity, round(lex, 4) AS lexical_score,
+  file_path, symbol_name, kind, language, start_line, end_line, code_content FROM fin ORDER BY rank LIMIT {top}"""
+
+
+def _hybrid(spark: SparkSession, sf_dir: str, question: str, sql_filter: str | None, **options) -> DataFrame:
+    rows = symbols(spark, sf_dir)
+    rows = search.filtered(rows, sql_filter).withColumn("buckets", _EMBEDDER.buckets(X.embed_text()))
+    return search.hybrid_query(rows, _EMBEDDER.similarity(F.col("buckets"), question), question, digits=6, **options)
+
+
+@_query(_hybrid_sql(_QUESTION, "language = 'en'"))
+def hybrid_query(spark, sf_dir):
+    return _hybrid(spark, sf_dir, _QUESTION, search.build_filter(lang=None, raw="language = 'en'"))
+
+
+@_query(_hybrid_sql(_QUESTION, "kind = 'function' AND (symbol_name LIKE 'A%' OR symbol_name LIKE 'T%')", top=5))
+def hybrid_query_filtered(spark, sf_dir):
+    return _hybrid(spark, sf_dir, _QUESTION, search.build_filter("symbol_name LIKE 'A%' OR symbol_name LIKE 'T%'", kind="function"), top=5)
+
+
+@_query(_hybrid_sql("queue leaeau tion", "true", 0.2, 0.8, top=12, pool=10))
+def hybrid_query_weights(spark, sf_dir):
+    return _hybrid(spark, sf_dir, "queue leaeau tion", None, w_dense=0.2, w_lexical=0.8, top=12, candidates=10)
+
+
+@_query(_hybrid_sql(_QUESTION, "true", top=30).replace("SELECT row_number()", "SELECT * FROM (SELECT row_number()", 1) + ") WHERE rank <= 30")
+def ranked_hits(spark, sf_dir):
+    return _hybrid(spark, sf_dir, _QUESTION, None, top=30)
+
+
+# Saved tokens ----------------------------------------------------------------
+
+_HITS_SQL = _hybrid_sql(_QUESTION, "true", top=12).strip()
+_WHOLE_SQL = "whole AS (SELECT source || '/doc_' || doc_id || '.' || lang AS file_path, text FROM documents WHERE doc_id % 3 <> 0)"
+
+
+def _hits_and_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    path = F.concat(F.col("source"), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit("."), F.col("lang"))
+    files = table(spark, sf_dir, "documents").filter("doc_id % 3 <> 0").select(path.alias("file_path"), "text")
+    return _hybrid(spark, sf_dir, _QUESTION, None, top=12), files
+
+
+@_query(f"""
+WITH hits AS ({_HITS_SQL}), {_WHOLE_SQL},
+a AS (SELECT coalesce(sum({_COUNT.format('code_content')}), 0)::BIGINT AS s FROM hits),
+b AS (SELECT coalesce(sum({_COUNT.format('text')}), 0)::BIGINT AS f FROM (SELECT DISTINCT file_path FROM hits) JOIN whole USING (file_path))
+SELECT 'regex-v1' AS estimator, s AS snippet_tokens, f AS full_file_tokens, greatest(0, f - s) AS saved_tokens, CASE WHEN f > 0 THEN round(greatest(0, f - s) / f::DOUBLE * 100, 2) ELSE 0.0 END AS reduction_percent FROM a, b""")
+def token_savings(spark, sf_dir):
+    return search.token_savings(*_hits_and_files(spark, sf_dir))
+
+
+@_query(f"WITH hits AS ({_HITS_SQL}), {_WHOLE_SQL} SELECT file_path, {_COUNT.format('text')} AS full_file_tokens FROM (SELECT DISTINCT file_path FROM hits) JOIN whole USING (file_path)")
+def token_savings_files(spark, sf_dir):
+    return search.token_files(*_hits_and_files(spark, sf_dir)).filter("reason is null").select("file_path", "full_file_tokens")
+
+
+@_query(f"WITH hits AS ({_HITS_SQL}), {_WHOLE_SQL} SELECT DISTINCT file_path, 'not_found' AS reason FROM hits ANTI JOIN whole USING (file_path)")
+def token_savings_unavailable(spark, sf_dir):
+    return search.token_files(*_hits_and_files(spark, sf_dir)).filter("reason is not null").select("file_path", "reason")
+
+
+# Reconcile -------------------------------------------------------------------
+
+_OLD_NEW_SQL = """
+old AS (SELECT source || '/doc_' || doc_id AS file_path, doc_id, text FROM documents WHERE doc_id % 5 <> 0),
+new AS (SELECT source || '/doc_' || doc_id AS file_path, doc_id, CASE WHEN doc_id % 11 = 0 THEN text || ' edited' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0),
+changes AS (
+  SELECT coalesce(new.doc_id, old.doc_id) AS id, coalesce(new.file_path, old.file_path) AS file_path,
+    CASE WHEN old.doc_id IS NULL THEN 'inserted' WHEN new.doc_id IS NULL THEN 'deleted' WHEN old.text = new.text THEN 'unchanged' ELSE 'updated' END AS change
+  FROM old FULL JOIN new ON old.doc_id = new.doc_id)"""
+
+
+def _old_new(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat("source", F.lit("/doc_"), F.col("doc_id").cast("string")).alias("file_path"), "text")
+    new = docs.filter("id % 7 <> 0").withColumn("text", F.when(F.col("id") % 11 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text")))
+    return docs.filter("id % 5 <> 0"), new
+
+
+@_query(f"WITH {_OLD_NEW_SQL} SELECT id, file_path, change FROM changes")
+def reconcile_diff(spark, sf_dir):
+    return reconcile.diff(*_old_new(spark, sf_dir), compared=("text",))
+
+
+@_query(f"WITH {_OLD_NEW_SQL} SELECT file_path, count(*) FILTER (change <> 'deleted') AS upserted, count(*) FILTER (change = 'deleted') AS deleted FROM changes GROUP BY file_path")
+def reconcile_counts(spark, sf_dir):
+    return reconcile.counts(reconcile.diff(*_old_new(spark, sf_dir), compared=("text",)))
+
+
+@_query(f"WITH {_OLD_NEW_SQL} SELECT file_path FROM old EXCEPT SELECT file_path FROM new")
+def orphans(spark, sf_dir):
+    return reconcile.orphans(*_old_new(spark, sf_dir))
+
+
+@_query(f"WITH {SYM} SELECT count(*) AS documents, count(DISTINCT file_path) AS files, string_agg(DISTINCT language, ',' ORDER BY language) AS languages FROM sym")
+def status_counts(spark, sf_dir):
+    return reconcile.summary(symbols(spark, sf_dir))
+
+
+@_query(f"WITH {SYM} SELECT (SELECT count(*) FROM documents) AS indexed_files, (SELECT count(*) FROM s1) AS indexed_symbols")
+def index_summary(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.agg(F.count("*").alias("indexed_files")).crossJoin(extracted(docs).agg(F.count("*").alias("indexed_symbols")))
+
+
+@_query("SELECT DISTINCT lang AS language FROM documents WHERE lang IS NOT NULL AND lang <> '' ORDER BY 1")
+def languages_sorted(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("lang").alias("language")).filter("language <> ''").distinct().orderBy("language")
+
+
+# Staleness -------------------------------------------------------------------
+
+_STALE_SQL = """
+f AS (SELECT doc_id, source || '/doc_' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.go' WHEN 2 THEN '.md' ELSE '.rs' END AS rel, text, n_chars FROM documents),
+disk AS (SELECT rel, sha1(CASE WHEN doc_id % 13 = 0 THEN text || '!' ELSE text END) AS sha1, (doc_id % 17) * 10.0 AS mtime, regexp_extract(rel, '\\.[^.]+$') AS ext FROM f WHERE doc_id % 10 <> 0),
+idx AS (SELECT rel, sha1(text) AS sha1, regexp_extract(rel, '\\.[^.]+$') AS ext FROM f WHERE doc_id % 9 <> 0 AND doc_id % 4 <> 1),
+flags AS (
+  SELECT coalesce(disk.rel, idx.rel) AS rel, coalesce(disk.mtime > 140, false) AS newer,
+    disk.rel IS NOT NULL AND disk.ext = '.rs' AS new_extension,
+    disk.rel IS NOT NULL AND idx.rel IS NOT NULL AND disk.sha1 <> idx.sha1 AS changed,
+    disk.rel IS NULL AS deleted,
+    idx.rel IS NULL AND disk.ext IN ('.py', '.md', '.rs') AS added
+  FROM disk FULL JOIN idx ON disk.rel = idx.rel)"""
+
+
+def _stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ext = F.element_at(F.array(*map(F.lit, (".py", ".go", ".md", ".rs"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    f = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("/doc_"), F.col("doc_id").cast("string"), ext).alias("rel"), "text")
+    now = F.when(F.col("doc_id") % 13 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    disk = f.filter("doc_id % 10 <> 0").select("rel", F.sha1(now.cast("binary")).alias("sha1"), (F.col("doc_id") % 17 * 10.0).alias("mtime"))
+    indexed = f.filter("doc_id % 9 <> 0 and doc_id % 4 <> 1").select("rel", F.sha1(F.col("text").cast("binary")).alias("sha1"))
+    return reconcile.stale_flags(disk, indexed, 140.0, {".py", ".md", ".rs"}, {".py", ".md"})
+
+
+@_query(f"WITH {_STALE_SQL} SELECT * FROM flags")
+def stale_flags(spark, sf_dir):
+    return _stale(spark, sf_dir)
+
+
+@_query(f"WITH {_STALE_SQL} SELECT bool_or(newer OR new_extension OR changed OR deleted OR added) AS stale FROM flags")
+def stale_any(spark, sf_dir):
+    return reconcile.is_stale(_stale(spark, sf_dir))
+
+
+# Sections and code: the oracles are the rows that the fixtures call for --------
+
+_SECTION_COLUMNS = "file_path, symbol_name, start_line, end_line"
+
+
+def _fixture(spark: SparkSession, *names: str) -> DataFrame:
+    return spark.createDataFrame([(n, fixtures.FILES[n]) for n in names], "file_path string, text string")
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    return rows.select("file_path", "symbol_name", "start_line", "end_line")
+
+
+@_query(_values(fixtures.MARKDOWN, _SECTION_COLUMNS))
+def md_sections(spark, sf_dir):
+    return _placed(sections.markdown_sections(_fixture(spark, "guide.md", "fences.md")))
+
+
+@_query(_values(fixtures.FENCED, "file_path, line, level, title"))
+def md_fences(spark, sf_dir):
+    heads = sections.markdown_headings(_fixture(spark, "fences.md"))
+    return heads.select("file_path", F.explode("heads").alias("h")).select("file_path", "h.line", "h.level", "h.title")
+
+
+@_query(_values(fixtures.YAML, _SECTION_COLUMNS))
+def yaml_sections(spark, sf_dir):
+    return _placed(sections.yaml_sections(_fixture(spark, "tool.yaml", "plain.yml")))
+
+
+@_query(_values(fixtures.MSBUILD, _SECTION_COLUMNS))
+def msbuild_sections(spark, sf_dir):
+    return _placed(sections.msbuild_sections(_fixture(spark, "src/Shop.csproj", "Directory.Build.props", "Stamp.targets")))
+
+
+@_query(_values(fixtures.MSBUILD_BROKEN, _SECTION_COLUMNS))
+def msbuild_malformed(spark, sf_dir):
+    return _placed(sections.msbuild_sections(_fixture(spark, "Torn.csproj")))
+
+
+@_query(r"SELECT lower(regexp_extract(raw, '^<([A-Za-z][A-Za-z0-9]*)', 1)) AS tag, count(*) AS opened, count(*) FILTER (raw LIKE '%/>') AS self_closed FROM (SELECT unnest(regexp_extract_all(html, '<[A-Za-z][A-Za-z0-9]*[^>]*>')) AS raw FROM pages) GROUP BY 1")
+def html_sections(spark, sf_dir):
+    return sections.tag_counts(table(spark, sf_dir, "pages"))
+
+
+def _code(name: str, file: str) -> None:
+    rows = fixtures.CODE[file]
+
+    def run(spark, sf_dir):
+        return code.code_symbols(_fixture(spark, file)).select("symbol_name", "kind", "start_line", "end_line")
+
+    run.__name__ = name
+    _query(_values(rows, "symbol_name, kind, start_line, end_line"))(run)
+
+
+for _name, _file in (("py_symbols", "shop.py"), ("rust_symbols", "shop.rs"), ("bash_symbols", "deploy.sh"), ("ts_symbols", "cart.ts"), ("js_symbols", "cart.js"), ("go_symbols", "shop.go"), ("cs_symbols", "Shop.cs"), ("ps_symbols", "Shop.ps1")):
+    _code(_name, _file)
+
+
+_NAMES = ["  ## Getting   started ## ", "..\\lib\\My.Core.csproj", "Serilog.Sinks.File", "a/b c!.txt", "{urn:x}Tag", "ns:Item", "plain"]
+
+
+@_query(
+    "WITH v AS ("
+    + _values([(n,) for n in _NAMES], "raw")
+    + r"), s AS (SELECT raw, trim(regexp_replace(trim(regexp_replace(trim(raw), '^#+|#+$', '', 'g')), '\s+', ' ', 'g')) AS slug FROM v) SELECT raw, slug, trim(regexp_replace(regexp_replace(regexp_extract(replace(slug, chr(92), '/'), '[^/]*$'), '\.[^.]*$', ''), '[^A-Za-z0-9_-]+', ' ', 'g')) AS compact, regexp_replace(raw, '^.*[}:]', '') AS local FROM s"
+)
+def slug_compact(spark, sf_dir):
+    v = spark.createDataFrame([(n,) for n in _NAMES], "raw string")
+    return v.select("raw", X.slug("raw").alias("slug"), X.compact_name("raw").alias("compact"), X.local_xml_name("raw").alias("local"))
+
+
+_PATH_NAMES = ["a/b.PY", "x.tar.gz", ".bashrc", "dir.d/noext", "trailing.", "Ünï.Md"]
+
+
+@_query(_values([("a/b.PY", ".py"), ("x.tar.gz", ".gz"), (".bashrc", ""), ("dir.d/noext", ""), ("trailing.", ""), ("Ünï.Md", ".md")], "rel, ext"))
+def suffixes(spark, sf_dir):
+    return spark.createDataFrame([(n,) for n in _PATH_NAMES], "rel string").select("rel", X.suffix("rel").alias("ext"))
+
+
+@_query("SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS last_line FROM documents")
+def line_numbers(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", X.line_of("text", F.length("text")).alias("last_line"))
+
+
+@_query("SELECT user_id, count(*) AS sessions FROM (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events) WHERE fresh = 1 GROUP BY user_id")
+def session_starts(spark, sf_dir):
+    """Editor sessions, each of which asks for a re-index: events of a user less than half an hour apart."""
+    w = Window.partitionBy("user_id").orderBy("ts")
+    fresh = F.coalesce(F.col("ts") - F.lag("ts").over(w) > F.expr("INTERVAL '30' MINUTE"), F.lit(True))
+    return table(spark, sf_dir, "events").withColumn("fresh", fresh).filter("fresh").groupBy("user_id").agg(F.count("*").alias("sessions"))

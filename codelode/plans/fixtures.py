@@ -1,0 +1,78 @@
+"""Texts that the parsers are tried on, and the rows that they call for."""
+
+IGNORE_LINES = ["# comment", "*.log", "/knowledge/", "tmp/", "!keep.log", "docs/*.draft.md", "**/gen/*.py", "file?.txt", "[ab].rs"]
+IGNORED = [
+    ("a.log", True),
+    ("x/b.log", True),
+    ("x/keep.log", False),
+    ("knowledge/a.py", True),
+    ("src/knowledge/a.py", False),
+    ("src/tmp/x.py", True),
+    ("tmp.py", False),
+    ("docs/a.draft.md", True),
+    ("docs/sub/a.draft.md", False),
+    ("gen/a.py", True),
+    ("x/y/gen/b.py", True),
+    ("x/gen/y/b.py", False),
+    ("file1.txt", True),
+    ("file12.txt", False),
+    ("q/a.rs", True),
+    ("q/c.rs", False),
+]
+
+FILES = {
+    "guide.md": "# Shop\nIntro\n## Install #\nsteps\n\n### Before\nnone\n## Use\ntext\n# Other\nend\n",
+    "fences.md": "# A\n```sh\n# not a heading\n~~~\n## B\n```\n# hidden\n```\n#nospace\n### C\n",
+    "tool.yaml": "# top\nname: 'Seven Tools'\nversion: 3\n\ninstall:\n  run: x\n  # note\n\nremove: [a, b]\n",
+    "plain.yml": "id:\nsteps:\n  - a\nproduct: Widget # kept\n",
+    "src/Shop.csproj": '<Project Sdk="x">\n  <PropertyGroup>\n    <TargetFramework>net8.0</TargetFramework>\n    <Nullable>enable</Nullable>\n  </PropertyGroup>\n  <ItemGroup>\n    <PackageReference Include="Polly.Core.Ext" Version="1" />\n    <ProjectReference Include="..\\Base\\Shop.Base.csproj" />\n  </ItemGroup>\n</Project>\n',
+    "Directory.Build.props": "<Project>\n  <PropertyGroup>\n    <VersionPrefix>1.2</VersionPrefix>\n  </PropertyGroup>\n</Project>\n",
+    "Stamp.targets": '<Project>\n  <Target Name="Stamp" BeforeTargets="Build">\n    <Message Text="hello" />\n    <Exec Command="run" />\n  </Target>\n</Project>\n',
+    "Torn.csproj": '<Project>\n  <PropertyGroup>\n    <OutputType>Exe</OutputType>\n  </PropertyGroup>\n  <ItemGroup>\n    <PackageReference Include="NLog">\n    </PackageReference>\n',
+    "shop.py": 'import os\n\n\ndef total(items):\n    """Sum."""\n    def price(i):\n        return i\n\n    return sum(price(i) for i in items)\n\n\nclass Cart:\n    size = 0\n\n    @property\n    def empty(self):\n        return not self.size\n\n    async def send(self):\n        pass\n',
+    "shop.rs": 'pub fn total(items: &[u32]) -> u32 {\n    // }\n    let s = "{";\n    items.iter().sum()\n}\n\npub struct Cart {\n    size: usize,\n}\n\nenum Mode {\n    Fast,\n}\n\npub trait Sender {\n    fn send(&self) -> bool;\n}\n\nimpl Cart {\n    fn empty(&self) -> bool {\n        self.size == 0\n    }\n}\n\nimpl Sender for Cart {\n    fn send(&self) -> bool {\n        true\n    }\n}\n',
+    "deploy.sh": '#!/bin/bash\nbuild() {\n  echo "}"\n}\n\nfunction ship {\n  build # }\n}\n',
+    "cart.ts": "export function total(items: number[]): number {\n  return items.length;\n}\n\nexport class Cart {\n  private size = 0;\n  empty(): boolean {\n    if (this.size) { return false; }\n    return true;\n  }\n}\n",
+    "cart.js": "function total(items) {\n  const f = (x) => { return x; };\n  return items.map(f);\n}\n\nclass Cart {\n  constructor() { this.size = 0; }\n  get empty() {\n    return !this.size;\n  }\n}\n",
+    "shop.go": 'package shop\n\ntype Cart struct {\n\tsize int\n}\n\nfunc Total(items []int) int {\n\treturn len(items)\n}\n\nfunc (c *Cart) Empty() bool {\n\treturn c.size == 0\n}\n\ntype Mode int\n',
+    "Shop.cs": 'namespace Shop;\n\npublic interface ISender\n{\n    bool Send(string to);\n}\n\npublic class Cart : ISender\n{\n    private int size;\n    public Cart(int size)\n    {\n        this.size = size;\n    }\n    public bool Send(string to) => to != "{";\n    public int Total()\n    {\n        return size;\n    }\n}\n\npublic record Item(string Name);\n',
+    "Shop.ps1": "function Get-Total {\n  param($Items)\n  $Items.Count\n}\n\nclass Cart {\n  [int]$Size\n  [bool] IsEmpty() {\n    return $this.Size -eq 0\n  }\n}\n",
+}
+
+MARKDOWN = [
+    ("guide.md", "Shop", 1, 9),
+    ("guide.md", "Shop.Install", 3, 7),
+    ("guide.md", "Shop.Install.Before", 6, 7),
+    ("guide.md", "Shop.Use", 8, 9),
+    ("guide.md", "Other", 10, 11),
+    ("fences.md", "A", 1, 10),
+    ("fences.md", "A.B", 5, 10),
+    ("fences.md", "A.B.C", 10, 10),
+]
+FENCED = [("fences.md", 1, 1, "A"), ("fences.md", 5, 2, "B"), ("fences.md", 10, 3, "C")]
+YAML = [
+    ("tool.yaml", "Seven Tools.name", 2, 2),
+    ("tool.yaml", "Seven Tools.version", 3, 4),
+    ("tool.yaml", "Seven Tools.install", 5, 8),
+    ("tool.yaml", "Seven Tools.remove", 9, 9),
+    ("plain.yml", "Widget # kept.id", 1, 1),
+    ("plain.yml", "Widget # kept.steps", 2, 3),
+    ("plain.yml", "Widget # kept.product", 4, 4),
+]
+MSBUILD = [
+    ("src/Shop.csproj", "Shop.PropertyGroup.TargetFramework.Nullable", 2, 5),
+    ("src/Shop.csproj", "Shop.ItemGroup.PackageReference.Polly Core Ext.ProjectReference.Shop Base", 6, 9),
+    ("Directory.Build.props", "Directory Build.PropertyGroup.VersionPrefix", 2, 4),
+    ("Stamp.targets", "Stamp.Target.Stamp.Message.Exec", 2, 5),
+]
+MSBUILD_BROKEN = [("Torn.csproj", "Torn.PropertyGroup.OutputType", 2, 4), ("Torn.csproj", "Torn.ItemGroup.PackageReference.NLog", 5, 8)]
+CODE = {
+    "shop.py": [("total", "function", 4, 9), ("total.price", "function", 6, 7), ("Cart", "class", 12, 20), ("Cart.empty", "function", 16, 17), ("Cart.send", "function", 19, 20)],
+    "shop.rs": [("total", "function", 1, 5), ("Cart", "class", 7, 9), ("Mode", "class", 11, 13), ("Sender", "class", 15, 17), ("Sender.send", "function", 16, 16), ("Cart.empty", "function", 20, 22), ("Cart.send", "function", 26, 28)],
+    "deploy.sh": [("build", "function", 2, 4), ("ship", "function", 6, 8)],
+    "cart.ts": [("total", "function", 1, 3), ("Cart", "class", 5, 11), ("Cart.empty", "function", 7, 10)],
+    "cart.js": [("total", "function", 1, 4), ("Cart", "class", 6, 11), ("Cart.constructor", "function", 7, 7), ("Cart.empty", "function", 8, 10)],
+    "shop.go": [("Cart", "class", 3, 5), ("Total", "function", 7, 9), ("Empty", "function", 11, 13), ("Mode", "class", 15, 15)],
+    "Shop.cs": [("ISender", "class", 3, 6), ("ISender.Send", "function", 5, 5), ("Cart", "class", 8, 20), ("Cart.Cart", "function", 11, 14), ("Cart.Send", "function", 15, 15), ("Cart.Total", "function", 16, 19), ("Item", "class", 22, 22)],
+    "Shop.ps1": [("Get-Total", "function", 1, 4), ("Cart", "class", 6, 11), ("Cart.IsEmpty", "function", 8, 10)],
+}
