@@ -42,13 +42,22 @@ _TOKEN = r"[^\x20\x09-\x0D]+"
 _VARIABLE = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 
 
-def _masked(line: Column) -> Column:
-    """A line's tokens, masked, with one space between two; regular expressions only see lines that call for them."""
-    odd = line.startswith(" ") | line.endswith(" ") | line.contains("  ")
-    for c in "\t\v\f\r":
-        odd = odd | line.contains(c)
-    plain = F.when(odd, F.trim(F.regexp_replace(line, "[\\x20\\x09-\\x0D]+", " "))).otherwise(line)
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, _VARIABLE, "<*>")).otherwise(plain)
+def _masked(lines: Column) -> Column:
+    """Each line's tokens, masked, with one space between two.
+
+    One step after another, so that each is evaluated once for a line; regular expressions only see lines that call for them.
+    """
+
+    def plain(line: Column) -> Column:
+        odd = line.startswith(" ") | line.endswith(" ") | line.contains("  ")
+        for c in "\t\v\f\r":
+            odd = odd | line.contains(c)
+        return F.when(odd, F.trim(F.regexp_replace(line, "[\\x20\\x09-\\x0D]+", " "))).otherwise(line)
+
+    def mask(line: Column) -> Column:
+        return F.when(line.rlike("[0-9]"), F.regexp_replace(line, _VARIABLE, "<*>")).otherwise(line)
+
+    return F.transform(F.transform(lines, plain), mask)
 
 
 def _n_tokens(masked: Column) -> Column:
@@ -77,7 +86,7 @@ _LATER = "not (doc <=> first.doc and text_hash = first.text_hash and line = firs
 def recurring_lines(docs: DataFrame, *, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc, text_hash, lines): the numbers, from 0, of the lines that each document loses; documents without any are left out."""
     keyed = docs.select(*_key(F.col("doc_id"), F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
-    placed = settle(keyed.select("doc", "text_hash", F.transform(F.split("text", "\n", -1), lambda raw: _place(_masked(raw), depth, min_tokens)).alias("places")))
+    placed = settle(keyed.select("doc", "text_hash", F.transform(_masked(F.split("text", "\n", -1)), lambda line: _place(line, depth, min_tokens)).alias("places")))
     # A template in min_docs documents stands in a leaf that as many reach; few lines do.
     leaves = placed.select(F.explode(F.array_distinct("places.leaf")).alias("leaf")).filter("leaf is not null").groupBy("leaf").count().filter(F.col("count") >= min_docs).select("leaf")
     lines = placed.select("doc", "text_hash", F.posexplode("places").alias("line", "place")).select("doc", "text_hash", "line", F.col("place.leaf").alias("leaf"), F.col("place.own").alias("own")).filter("leaf is not null")
@@ -89,8 +98,8 @@ def recurring_lines(docs: DataFrame, *, depth: int = DEPTH, min_docs: int = MIN_
     wanted = settle(left.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("line", "leaf")).alias("wanted")))
     sent = F.broadcast(wanted) if wanted.count() <= SENT_DOCS else wanted
     texts = keyed.join(sent, keyed["doc"].eqNullSafe(wanted["doc"]) & (keyed["text_hash"] == wanted["text_hash"])).select(keyed["doc"], keyed["text_hash"], F.split("text", "\n", -1).alias("lines"), "wanted")
-    texts = texts.select("doc", "text_hash", F.transform("wanted", lambda w: F.struct(w["line"].alias("line"), w["leaf"].alias("leaf"), F.split(_masked(F.get("lines", w["line"])), " ").alias("tokens"))).alias("wanted"))
-    words = settle(texts.select("doc", "text_hash", F.explode("wanted").alias("w")).select("doc", "text_hash", "w.line", "w.leaf", F.posexplode("w.tokens").alias("place", "token")))
+    texts = texts.select("doc", "text_hash", F.explode(F.arrays_zip("wanted", _masked(F.transform("wanted", lambda w: F.get("lines", w["line"]))).alias("masked"))).alias("w"))
+    words = settle(texts.select("doc", "text_hash", "w.wanted.line", "w.wanted.leaf", F.posexplode(F.split("w.masked", " ")).alias("place", "token")))
     constant = words.filter("token <> '<*>'").select("leaf", "place", "token", "doc", "text_hash").distinct().groupBy("leaf", "place", "token").count().filter(F.col("count") >= min_docs).select("leaf", "place", "token", F.lit(True).alias("fixed"))
     general = (
         words.join(constant, ["leaf", "place", "token"], "left")
