@@ -16,6 +16,7 @@ from codelode.functions.embed import HashEmbedder, dot
 from codelode.operators import code, reconcile, search, sections
 from codelode.plans import fixtures
 from codelode.plans.corpus_view import SYM, extracted, symbols, table
+from codelode.ship import ship
 from codelode.sources import scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -398,7 +399,7 @@ _SECTION_COLUMNS = "file_path, symbol_name, start_line, end_line"
 
 
 def _fixture(spark: SparkSession, *names: str) -> DataFrame:
-    return spark.createDataFrame([(n, fixtures.FILES[n]) for n in names], "file_path string, text string")
+    return ship(spark).createDataFrame([(n, fixtures.FILES[n]) for n in names], "file_path string, text string")
 
 
 def _placed(rows: DataFrame) -> DataFrame:

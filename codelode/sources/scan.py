@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import subprocess
 from pathlib import Path
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -25,7 +24,6 @@ def list_files(spark: SparkSession, root: str, content: bool = False) -> DataFra
     top = str(root).rstrip("/") + "/"
     path = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:/*(?=/)", "")
     rel = F.substring(path, len(re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*(?=/)", "", top)) + 1, 1 << 20)
-    rel = F.when(F.col("path").contains("%"), F.try_url_decode(F.replace(rel, F.lit("+"), F.lit("%2B")))).otherwise(rel)
     return files.select(rel.alias("rel"), F.col("modificationTime").cast("double").alias("mtime"), F.col("length").alias("size"), *(["content"] if content else []))
 
 
@@ -134,7 +132,3 @@ def coverage(files: DataFrame, registry: DataFrame, installed: frozenset[str] |
 def decoded(files: DataFrame) -> DataFrame:
     """file_path, text and content; malformed bytes become U+FFFD."""
     return files.select(F.col("rel").alias("file_path"), F.expr("make_valid_utf8(cast(content as string))").alias("text"), "content")
-
-
-def unquoted(path: str) -> str:
-    return unquote(path)
