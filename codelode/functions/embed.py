@@ -31,7 +31,10 @@ class HashEmbedder:
 
     def buckets(self, text: Column) -> Column:
         tokens = F.regexp_extract_all(F.lower(text), F.lit(X.EMBED_TOKEN), F.lit(0))
-        return F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 31, 2), 16, 10).cast("int") % self.dimension)
+        # 64 divides 256: the last byte's upper half counts modulo 4.
+        nibble = lambda digest, k: F.instr(F.lit("0123456789abcdef"), F.substring(digest, k, 1)) - 1
+        digests = F.transform(tokens, lambda t: F.md5(t.cast("binary")))
+        return F.transform(digests, lambda d: (nibble(d, 31) % 4 * 16 + nibble(d, 32)).cast("int"))
 
     def counts(self, text: Column) -> Column:
         """An array of the buckets' counts."""
