@@ -7,7 +7,8 @@ CPU's cache, cut only between documents; a null text counts as an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -167,3 +168,23 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     buf = np.frombuffer(b"".join(words), np.uint8)
     ends = np.cumsum([len(w) for w in words], dtype=np.int64)
     return np.sort(span_hash(prefix_hash(buf), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends))
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker gives freed memory back, as Spark keeps workers for other tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass

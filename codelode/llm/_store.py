@@ -7,6 +7,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codelode.ship import ship
+
+#: Rows of an Arrow batch, unless the session says otherwise: whole texts make batches of Spark's default too large.
+BATCH_ROWS = 2_000
+_ROWS, _SPARK_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Gives the executors the package, and texts smaller batches."""
+    if spark.conf.get(_ROWS) == _SPARK_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+    return ship(spark)
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder; one of this machine only where none is set, as in tests."""

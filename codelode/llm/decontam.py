@@ -194,7 +194,7 @@ def search(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, min_wor
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[x.split()[0] for x in _SCHEMA.split(", ")])
 
-        found = docs.mapInArrow(run, _SCHEMA)
+        found = docs.mapInArrow(K.frugal(run), _SCHEMA)
         out = found if not k else out.unionByName(found)
     return out
 
@@ -212,5 +212,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, min_word
                     leaky[row] = True
                 yield batch.filter(pa.array(~leaky))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(K.frugal(run), docs.schema)
     return docs

@@ -171,7 +171,7 @@ def fit(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS, languages: int = LAN
             for at, to, x in features(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[at:to], batch.column(2)[at:to], pa.array([v.astype(np.float32).tobytes() for v in x])], names=["doc_id", "lang", "x"])
 
-    rows = known.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang").mapInArrow(vectors, "doc_id long, lang string, x binary").collect()
+    rows = known.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang").mapInArrow(K.frugal(vectors), "doc_id long, lang string, x binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["doc_id"], bytes(r["x"])))
     return train(np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(len(rows), WIDTH), [r["lang"] for r in rows])
 
@@ -198,4 +198,4 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 own = ids[at:to]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[at:to], pa.array([is_held_out(v) for v in own]), pa.array(langs, pa.string()), pa.array(np.asarray(scores, np.float64))], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(K.frugal(run), _SCHEMA)

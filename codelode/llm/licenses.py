@@ -195,4 +195,4 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
     """One row for each document: its words, base places and labels; score is the share of words in matches."""
     for t in templates:
         compile_template(*t)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: _scan(it, templates), _SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(K.frugal(lambda it: _scan(it, templates)), _SCHEMA)

@@ -284,7 +284,7 @@ def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
             found = _found(batch.column(at), key)
             yield pa.RecordBatch.from_arrays([_replaced(c, found) if k == at else c for k, c in enumerate(batch.columns)], schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(K.frugal(run), docs.schema)
 
 
 _COUNTS = ("n_email", "n_iban", "n_card", "n_ssn", "n_date", "n_ip", "n_phone")
@@ -302,4 +302,4 @@ def scan(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
                     counts[_COUNTS.index(f"n_{kind}"), k] += 1
             yield pa.RecordBatch.from_arrays([batch.column(0), _replaced(batch.column(1), found), *map(pa.array, counts)], names=["doc_id", "text", *_COUNTS])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text string, " + ", ".join(f"{c} long" for c in _COUNTS))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(K.frugal(run), "doc_id long, text string, " + ", ".join(f"{c} long" for c in _COUNTS))

@@ -158,7 +158,7 @@ def _scan(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Record
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
     """One row for each document: the counts by kind, the base spans' digest and all spans."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: _scan(it, model), _SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(K.frugal(lambda it: _scan(it, model)), _SCHEMA)
 
 
 def redact(docs: DataFrame, model: Model, mask: str = "[SECRET]") -> DataFrame:
@@ -181,4 +181,4 @@ def redact(docs: DataFrame, model: Model, mask: str = "[SECRET]") -> DataFrame:
             new = pa.array([masked(batch.column(at)[int(i)].as_py() or "") for i in np.flatnonzero(flags)], batch.column(at).type)
             yield pa.RecordBatch.from_arrays([pc.replace_with_mask(c, pa.array(flags), new) if k == at else c for k, c in enumerate(batch.columns)], schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(K.frugal(run), docs.schema)
