@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from codelode.llm import _kernel as K
 from codelode.llm._store import settle
 
 
@@ -29,21 +30,31 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[inner], nodes[root[inner]]
 
 
+#: Edges, once contracted by partition, up to which one task finishes the work (16 bytes each); beyond, all tasks share it in rounds.
+ONE_TASK = 1_000_000
+
+
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            node, root = forest(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["a", "b"])
+    """A partition's edges as a forest of stars: (node, least node), no more rows than nodes."""
+    known = [b for b in batches if b.num_rows]
+    if known:
+        node, root = forest(*(np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in known]) for k in (0, 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["a", "b"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, one_task: int | None = None) -> DataFrame:
     """(node, root) for every node of the edges (a, b) of longs; root is the least node that links reach.
 
-    Alternates large-star and small-star steps (each edge moves to the least neighbour) until nothing
-    changes, which takes a number of rounds that grows with the logarithm of the graph's size.  Each round
-    is settled in the shared folder.  Edges within a batch are contracted beforehand.
+    Each partition's edges are contracted first.  If what is left is small (its size is checked) one task
+    contracts it; else large-star and small-star steps alternate (each edge moves to the least neighbour)
+    until nothing changes, which takes a number of rounds that grows with the logarithm of the graph's size.
+    Each round is settled in the shared folder.
     """
-    edges = settle(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(_contract, "a long, b long").distinct())
+    edges = settle(edges.filter("a <> b").mapInArrow(K.frugal(_contract), "a long, b long"))
+    if edges.count() <= (ONE_TASK if one_task is None else one_task):
+        edges = settle(edges.coalesce(1).mapInArrow(K.frugal(_contract), "a long, b long"))
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    edges = edges.distinct()
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

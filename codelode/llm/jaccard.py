@@ -4,7 +4,7 @@ A document's set is its distinct 5-word shingles; two sets link when their Jacca
 similarity is at least ``PERCENT`` / 100.
 
 1. One pass gives each document's set size, a signature (equal sets, equal
-   signatures: a class), and a histogram of its shingles over ``CELLS`` cells; and,
+   signatures: a class), and a histogram of its shingles over a number of cells that follows its size; and,
    for all documents together, how frequent shingles are in ``SKETCH`` cells.
 2. Shingles are put in one order, rare cells first.  Two sets that link share a
    shingle among the first ``n - ceil(n * PERCENT / 100) + 1`` of each, so only those
@@ -43,16 +43,16 @@ from codelode.llm._graph import components, forest
 from codelode.llm._store import settle
 
 WORDS, PERCENT = 5, 80
-#: Cells of the corpus-wide frequencies (a power of two), and of a document's histogram.
-SKETCH, CELLS = 1 << 18, 128
+#: Cells of the corpus-wide frequencies (a power of two); the most of a document's histogram, and its shingles for each cell.
+SKETCH, CELLS, PER_CELL = 1 << 18, 4096, 8
 #: Documents for each column block.
 BLOCK_DOCS = 16_000
 #: Classes of one shingle up to which its pairs are listed.
 LISTED = 48
-#: Shingles and classes of one task of step 4.
-TILE, ROWS = 4_000_000, 4_000
-#: Ids up to which a list of documents is sent to all tasks (8 bytes each); beyond it the tables are joined by a shuffle.
-SENT_IDS = 500_000
+#: Shingles and classes of one tile of step 4, at most, and shingles of one task of small tiles.
+TILE, ROWS, TASK = 4_000_000, 4_000, 1_000_000
+#: Ids up to which a list of documents is sent to all tasks (about 50 bytes each); beyond it the tables are joined by a shuffle.
+SENT_IDS = 250_000
 
 
 def shingle_sets(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -84,6 +84,21 @@ def signature(x: np.ndarray) -> int:
     return int(s.view(np.int64)[0]) or 1
 
 
+def histogram(x: np.ndarray) -> bytes:
+    """Counts of a set by the lowest bits, a byte for each cell; 255 stands for that many or more."""
+    cells = min(CELLS, 1 << max(5, (len(x) // PER_CELL).bit_length()))
+    return np.minimum(np.bincount((x & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+
+
+def most_shared(a: bytes, b: bytes) -> int:
+    """An upper bound of the overlap of two sets, from their histograms; the finer one is folded."""
+    x, y = (np.frombuffer(h, np.uint8).astype(np.int64) for h in (a, b))
+    if (x == 255).any() or (y == 255).any():
+        return 1 << 62
+    cells = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, cells).sum(0), y.reshape(-1, cells).sum(0)).sum())
+
+
 def need(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """The least overlap of linked sets of these sizes."""
     return -(-PERCENT * (n + m) // (100 + PERCENT))
@@ -103,7 +118,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in sets:
                 sizes.append(len(x))
                 sigs.append(signature(x))
-                cells.append(np.minimum(np.bincount((x & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 65535).astype("<u2").tobytes())
+                cells.append(histogram(x))
             counts += np.bincount((np.concatenate(sets) >> to_cell).astype(np.int64), minlength=SKETCH)
         n = batch.num_rows
         if n:
@@ -126,7 +141,7 @@ def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _ranks(first: DataFrame) -> np.ndarray:
     """The order of the SKETCH cells by frequency, as bytes (finer than halves of an octave)."""
     counts = np.zeros((_SLICES, SKETCH // _SLICES), np.int64)
-    for r in first.filter("kind = 1").select("slice", "counts").repartition(_SLICES, "slice").mapInArrow(_add_slices, "slice int, counts binary").collect():
+    for r in first.filter("kind = 1").select("slice", "counts").repartition(_SLICES, "slice").mapInArrow(K.frugal(_add_slices), "slice int, counts binary").collect():
         counts[r["slice"]] = np.frombuffer(r["counts"], "<i8")
     logs = np.log2(np.maximum(counts.ravel(), 1))
     base = np.median(logs)  # the ordinary cell; what stands out from it is told apart finely
@@ -176,14 +191,33 @@ def _entries(batches: Iterator[pa.RecordBatch], ranks, blocks: int) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(out_blocks, pa.int32()), pa.array(out, pa.binary())], names=["block", "part"])
 
 
-def _read_part(part: bytes) -> tuple[np.ndarray, ...]:
+def _read_part(part: bytes) -> list[np.ndarray]:
+    """Signatures, sizes and first keys of a part's classes, and keys, classes and places of its entries."""
     docs, n = np.frombuffer(part, "<i8", 2).tolist()
     out, at = [], 16
     for kind, size in (("<i8", docs), ("<u4", docs), ("<u8", docs), ("<u8", n), ("<u4", n), ("<u4", n)):
         out.append(np.frombuffer(part, kind, size, at))
         at += out[-1].nbytes
-    sigs, sizes, first, keys, local, place = out
-    return sigs[local], sizes[local].astype(np.int64), first[local], keys, place.astype(np.int64)
+    return out
+
+
+def _shared(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """sig, n, first, key and place of the entries whose shingle two classes or more of the block have, by shingle."""
+    sig, n, first, key, doc, place = ([p[k] for p in parts] for k in range(6))
+    base = np.cumsum([0] + [len(s) for s in sig[:-1]])
+    doc = np.concatenate([d + np.uint32(at) for d, at in zip(doc, base, strict=True)])
+    key, place = np.concatenate(key), np.concatenate(place)
+    order = np.argsort(key)
+    again = np.zeros(len(order) + 1, bool)
+    np.equal(key[order][1:], key[order][:-1], out=again[1:-1])
+    order = order[again[1:] | again[:-1]]  # most shingles are one document's alone
+    sig, n, first = np.concatenate(sig)[doc[order]], np.concatenate(n)[doc[order]].astype(np.int64), np.concatenate(first)[doc[order]]
+    key, place = key[order], place[order].astype(np.int64)
+    order = np.lexsort((sig, key))
+    key, sig = key[order], sig[order]
+    fresh = np.ones(len(key), bool)  # a class that several tasks sent counts once
+    fresh[1:] = (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])
+    return sig[fresh], n[order][fresh], first[order][fresh], key[fresh], place[order][fresh]
 
 
 def _product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,13 +226,10 @@ def _product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             by_block.setdefault(b, []).append(_read_part(part))
-    for parts in by_block.values():
-        sig, n, first, key, place = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order = np.lexsort((sig, key))
-        sig, n, first, key, place = (c[order] for c in (sig, n, first, key, place))
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])
-        sig, n, first, key, place = (c[fresh] for c in (sig, n, first, key, place))
+    for b in list(by_block):
+        sig, n, first, key, place = _shared(by_block.pop(b))
+        if not len(key):
+            continue
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         size = np.diff(edge)
         found = [np.empty((0, 2), np.int64)]
@@ -232,11 +263,9 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps the pairs whose histograms allow a link."""
     for batch in batches:
         if batch.num_rows:
-            n, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, CELLS) for k in (4, 5))
-            full = (x == 65535).any(1) | (y == 65535).any(1)
-            ok = (np.minimum(x, y).astype(np.int64).sum(1) >= need(n, m)) | full
-            yield batch.select([0, 1]).filter(pa.array(ok))
+            least = need(*(batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3)))
+            ok = [most_shared(x, y) >= m for x, y, m in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), least.tolist(), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
 def links(sigs: np.ndarray, sets: list[np.ndarray], sides: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -295,9 +324,20 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(root, i, j, sig, shingles) of the rows (sig, root, parts, text): a class once for each task, in every tile that needs it."""
+    seen = set()
     for batch in batches:
-        for _, sets in shingle_sets(batch.column(2)):
-            yield pa.RecordBatch.from_arrays([pa.array([signature(x) for x in sets], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], names=["sig", "shingles"])
+        sigs, roots, parts = (batch.column(k).to_pylist() for k in range(3))
+        for at, sets in shingle_sets(batch.column(3)):
+            rows = []
+            for k, x in enumerate(sets, at):
+                if sigs[k] not in seen:
+                    seen.add(sigs[k])
+                    own = sigs[k] % parts[k]
+                    rows += [(roots[k], min(own, o), max(own, o), sigs[k], x.astype("<u8").tobytes()) for o in range(parts[k])]
+            if rows:
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["root", "i", "j", "sig", "shingles"])
 
 
 def _by_size(ids: DataFrame) -> DataFrame:
@@ -310,32 +350,30 @@ def _components(docs: DataFrame) -> DataFrame:
 
     docs: doc_id, text_hash and text.
     """
-    first = settle(docs.mapInArrow(_first_pass, _FIRST))
+    first = settle(docs.mapInArrow(K.frugal(_first_pass), _FIRST))
     rows = first.filter("kind = 0").select("doc_id", "text_hash", "n", "sig")
     ranks = docs.sparkSession.sparkContext.broadcast(_ranks(first))
     blocks = max(1, -(-rows.count() // BLOCK_DOCS))
 
-    entries = docs.mapInArrow(lambda it: _entries(it, ranks, blocks), "block int, part binary")
-    product = settle(entries.repartition(blocks, "block").mapInArrow(_product, "a long, b long, tied boolean").groupBy("a", "b").agg(F.max("tied").alias("tied")))
+    entries = docs.mapInArrow(K.frugal(lambda it: _entries(it, ranks, blocks)), "block int, part binary")
+    product = settle(entries.repartition(blocks, "block").mapInArrow(K.frugal(_product), "a long, b long, tied boolean").groupBy("a", "b").agg(F.max("tied").alias("tied")))
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("lead")
     classes = first.filter("kind = 0 and sig <> 0").groupBy("sig").agg(lead, F.max("n").alias("n"), F.max("cells").alias("cells"))
     listed = product.filter("not tied").select("a", "b")
     touched = product.select(F.col("a").alias("sig")).unionByName(product.select(F.col("b").alias("sig"))).distinct()
     some = settle(classes.join(touched, "sig"))
     x, y = (some.select(F.col("sig").alias(k), F.col("n").alias(f"n_{k}"), F.col("cells").alias(f"cells_{k}")) for k in "ab")
-    bounded = listed.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(_bounded, "a long, b long")
+    bounded = listed.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(K.frugal(_bounded), "a long, b long")
     groups = components(bounded.unionByName(product.filter("tied").select("a", "b")))
 
-    members = groups.select(F.col("node").alias("sig"), "root").join(some.select("sig", "lead.text_hash", "n"), "sig")
+    members = groups.select(F.col("node").alias("sig"), "root").join(some.select("sig", F.col("lead.doc_id").alias("of"), F.col("lead.text_hash").alias("hash"), "n"), "sig")
     weights = members.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / TILE), F.ceil(F.count("*") / ROWS)).cast("int").alias("parts"))
     members = settle(members.join(weights, "root"))
-    sets = docs.join(_by_size(members.select("text_hash").distinct()), "text_hash", "left_semi").select("doc_id", "text_hash", "text").mapInArrow(_sets_of, "sig long, shingles binary")
-    sets = sets.join(members.select("sig", "root", "parts"), "sig").dropDuplicates(["sig"])
-    own = F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")
-    pairs = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiled = pairs.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sig", "shingles")
-    tasks = max(1, -(-members.count() // ROWS))
-    linked = components(tiled.repartition(tasks, "root", "i", "j").mapInArrow(_tiles, "a long, b long"))
+    chosen = _by_size(members)
+    texts = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["of"]) & (docs["text_hash"] == chosen["hash"])).select("sig", "root", "parts", "text")
+    tiled = texts.mapInArrow(K.frugal(_sets_of), "root long, i int, j int, sig long, shingles binary")
+    total = members.agg(F.sum(F.col("n") * F.col("parts"))).first()[0] or 0
+    linked = components(tiled.repartition(max(1, -(-total // TASK)), "root", "i", "j").mapInArrow(K.frugal(_tiles), "a long, b long"))
 
     named = linked.select(F.col("node").alias("sig"), "root").join(some.select("sig", "lead"), "sig")
     leads = named.groupBy("root").agg(F.min("lead").alias("of_all"))
@@ -375,3 +413,20 @@ def keep_one(docs: DataFrame) -> DataFrame:
         return docs.join(gone, on(gone), "left_anti")
     twice, lost = named(again), named(rows.filter("not first").select("doc_id", "text_hash").unionByName(again.select("doc_id", "text_hash")))
     return docs.join(lost, on(lost), "left_anti").unionByName(docs.join(twice, on(twice), "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+#: The same in DuckDB's dialect, over a table of documents with distinct ids; {docs} is the table.
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {docs}),
+shingles AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * n_both >= 80 * (x.n + y.n - n_both)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(doc_id, other) AS (SELECT a, a FROM edges UNION SELECT r.doc_id, e.b FROM reached r JOIN edges e ON r.other = e.a)
+SELECT d.doc_id, coalesce(any_value(sizes.n), 0) AS n_shingles, coalesce(min(reached.other), d.doc_id) AS component_id
+FROM {docs} d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN reached ON reached.doc_id = d.doc_id GROUP BY d.doc_id
+"""

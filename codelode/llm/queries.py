@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codelode.llm import decontam, jaccard, langid, licenses, line_dedup, packing, pii, quality, secrets, substring
+from codelode.llm._store import prepare
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +63,7 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_templates, op2_pii_pseudonyms, op3_license_templates, op4_quality_ratio, op5_packing_nnls, op6_shingle_join, op7_secret_models, op8_language_families, op9_repeated_substrings, op10_benchmark_leaks)}
-ORACLE_SQL: dict[str, str] = {"op1_line_templates": line_dedup.SQL.format(docs="documents")}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_templates": line_dedup.SQL.format(docs="documents"),
+    "op6_shingle_join": jaccard.SQL.format(docs="documents"),
+}
