@@ -40,7 +40,7 @@ GROUP = 50_000
 #: The id that ends each document.
 END = 2
 #: Words that a worker's memory of tokens holds; beyond it the memory starts anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 600_000
 
 
 # Tokens ---------------------------------------------------------------------
@@ -74,26 +74,23 @@ class Tokens:
 
     def _learn(self, h: np.ndarray, pieces: list[bytes]) -> None:
         """Tokenizes unknown pieces, many in one text, and remembers them."""
-        texts, places = [], []
+        ids, counts = [self.ids], []
         for k in range(0, len(pieces), 256):
             some = [p.decode("utf-8", "replace") for p in pieces[k : k + 256]]
-            texts.append(" ".join(some))
-            places.append(np.cumsum([0] + [len(s) + 1 for s in some]))
-        ids, counts = [self.ids], []
-        for place, enc in zip(places, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+            place = np.cumsum([0] + [len(s) + 1 for s in some])
+            enc = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             ids.append(np.array(enc.ids, np.uint32))
             owner = np.searchsorted(place, np.array(enc.offsets, np.int64).reshape(-1, 2)[:, 0], "right") - 1
             counts.append(np.bincount(owner, minlength=len(place) - 1)[: len(place) - 1])
         new = len(self.ends) - 1 + np.arange(len(h))
         self.ids = np.concatenate(ids)
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(counts))])
-        known, at = np.concatenate([self.known, h]), np.concatenate([self.at, new])
-        order = np.argsort(known)
-        self.known, self.at = known[order], at[order]
+        place = np.searchsorted(self.known, h)  # both are sorted
+        self.known, self.at = np.insert(self.known, place, h), np.insert(self.at, place, new)
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, row after the last, ids with END after each document, offsets) of runs of rows."""
-        for first, last, buf, offs in K.chunks(column, 1 << 20):
+        for first, last, buf, offs in K.chunks(column, 1 << 19):
             lower = K.LOWER[buf]
             cls = _CLASS[buf]
             edge = np.ones(len(buf) + 1, bool)
@@ -357,5 +354,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, group: int = GROUP) ->
     """Pieces of all documents, each with the place where it stands in a sequence of at most WINDOW tokens."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     groups = max(1, -(-docs.count() // group))
-    measured = docs.mapInArrow(lambda it: _measure(it, tokenizer_path), "doc_id long, n_tokens long, windows binary, steps binary")
-    return measured.repartition(groups, F.xxhash64("doc_id", "n_tokens", "steps")).mapInArrow(_pack_group, _PIECES)
+    measured = docs.mapInArrow(K.frugal(lambda it: _measure(it, tokenizer_path)), "doc_id long, n_tokens long, windows binary, steps binary")
+    return measured.repartition(groups, F.xxhash64("doc_id", "n_tokens", "steps")).mapInArrow(K.frugal(_pack_group), _PIECES)
