@@ -47,7 +47,7 @@ KEY = LENGTH - REACH + 1
 #: Bits of the bitmap of triggers seen twice: 16 MB that every task gets, at any size of the input.
 BITS = 1 << 27
 #: Bytes of text for each slice of the count, and for each part of the dictionary.
-SLICE_BYTES, PART_BYTES = 64 << 20, 16 << 20
+SLICE_BYTES, PART_BYTES = 64 << 20, 6 << 20
 
 
 def phrases(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -118,10 +118,10 @@ def repeated_triggers(docs: DataFrame, total: int) -> np.ndarray:
     slices = 1
     while slices * SLICE_BYTES < total and slices < 1 << 14:
         slices *= 2
-    counted = docs.select("text").mapInArrow(lambda it: _count(it, slices), "slice int, keys binary, twice binary")
+    counted = docs.select("text").mapInArrow(K.frugal(lambda it: _count(it, slices)), "slice int, keys binary, twice binary")
     out = np.zeros(BITS // 8, np.uint8)
     width = len(out) // slices
-    for r in counted.repartition(slices, "slice").mapInArrow(lambda it: _mark(it, slices), "slice int, bits binary").toLocalIterator():
+    for r in counted.repartition(slices, "slice").mapInArrow(K.frugal(lambda it: _mark(it, slices)), "slice int, bits binary").toLocalIterator():
         out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
     return out
 
@@ -186,20 +186,21 @@ def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
     prints, owner, place = [], [], []
     words = column.take(pa.array(index))
-    for at, to, buf, offs in K.chunks(words, 1 << 20):
+    for at, to, buf, offs in K.chunks(words):
         sums = K.prefix_hash(buf)
         room = np.diff(offs) - LENGTH + 1
         begins = np.repeat(offs[:-1] - (np.cumsum(room) - room), room) + np.arange(room.sum())
         prints.append(K.span_hash(sums, begins, begins + LENGTH))
-        owner.append(np.repeat(np.arange(at, to), room))
-        place.append(begins - np.repeat(offs[:-1], room))
+        owner.append(np.repeat(np.arange(at, to, dtype=np.int32), room))
+        place.append((begins - np.repeat(offs[:-1], room)).astype(np.int32))
     prints, owner, place = np.concatenate(prints), np.concatenate(owner), np.concatenate(place)
-    order = np.argsort(prints, kind="stable")
-    ranked = prints[order]
-    same = np.zeros(len(ranked) + 1, bool)
-    np.equal(ranked[1:], ranked[:-1], out=same[1:-1])
+    order = np.argsort(prints)
+    prints = prints[order]
+    same = np.zeros(len(prints) + 1, bool)
+    np.equal(prints[1:], prints[:-1], out=same[1:-1])
     dup = np.zeros(len(prints), bool)
     dup[order] = same[1:] | same[:-1]
+    del order
     # A suffix of a phrase that occurs twice is a repeat, and so is any other with its print: those are its neighbours already.
     dup |= known[owner]
     edge = np.ones(len(prints) + 1, bool)
@@ -223,10 +224,10 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, first, last): intervals of starts of repeated strings; docs: doc_id, text_hash and text."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     marks = docs.sparkSession.sparkContext.broadcast(repeated_triggers(docs, total))
-    gathered = docs.mapInArrow(lambda it: _gather(it, marks), _GATHERED)
+    gathered = docs.mapInArrow(K.frugal(lambda it: _gather(it, marks)), _GATHERED)
     # Phrases meet by trigger; places that need no more comparison are spread evenly.
     meet = F.when(F.col("phrase").isNotNull(), F.col("key")).otherwise(F.xxhash64("doc_id", "first"))
-    return gathered.repartition(max(1, total // PART_BYTES), meet).mapInArrow(_ordered, "doc_id long, text_hash long, first long, last long")
+    return gathered.repartition(max(1, total // PART_BYTES), meet).mapInArrow(K.frugal(_ordered), "doc_id long, text_hash long, first long, last long")
 
 
 _SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -281,7 +282,7 @@ def _marked(docs: DataFrame) -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     """One row for each document: its bytes, those removed, the maximal runs of these, and the digest of the rest."""
-    return _marked(docs).mapInArrow(_digest, _SCHEMA)
+    return _marked(docs).mapInArrow(K.frugal(_digest), _SCHEMA)
 
 
 def clean(docs: DataFrame) -> DataFrame:
@@ -300,4 +301,4 @@ def clean(docs: DataFrame) -> DataFrame:
                     texts.append(b"".join([*parts, raw[at:b]]).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return _marked(docs).mapInArrow(run, "doc_id long, text string")
+    return _marked(docs).mapInArrow(K.frugal(run), "doc_id long, text string")
