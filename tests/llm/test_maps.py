@@ -158,6 +158,17 @@ def test_quality_on_the_drivers_labels(spark):
     assert sum(good) >= 0.9 * len(good)
 
 
+@have_tables
+def test_quality_recall_on_unseen_toxic_and_low_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(docs, labels.filter("doc_id % 3 <> 1"))
+    got = quality.judge(docs, model).join(labels.filter("doc_id % 3 = 1"), "doc_id").select("kept", "quality", "toxic").collect()
+    kept = {kind: [r["kept"] for r in got if (r["quality"], r["toxic"]) == kind] for kind in ((1, 0), (1, 1), (0, 0), (0, 1))}
+    low = kept[0, 0] + kept[0, 1]
+    assert sum(kept[1, 1]) <= 0.15 * len(kept[1, 1]) and sum(low) <= 0.05 * len(low) and sum(kept[1, 0]) >= 0.95 * len(kept[1, 0])
+
+
 # Secrets
 
 _ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
