@@ -13,6 +13,13 @@ A template with a share of at least ``similarity`` constant tokens that recurs i
 ``min_docs`` documents is dropped, but for its first line (the least doc_id, then
 the least hash of the text, then the least line number).
 
+Two things can be asked for besides, as the pipeline does.  ``long_docs``: own
+sequences of more than ``LONG`` tokens recur in so many documents.  ``share``: what
+is left (with the first lines, each for all documents of its template) is
+generalised once more, and there a token is constant only if it also stands in
+that share of the leaf's lines; so fields whose values each recur in a large
+corpus are still fields.
+
 Rows with equal doc_id and text are one document and are cleaned alike.  No group
 is ever collected: recurrence is counted with partial sums, counts are joined back,
 and only a line's own tokens are gathered, by line.
@@ -35,6 +42,9 @@ DEPTH, MIN_DOCS, MIN_TOKENS = 3, 3, 3
 #: The least share of constant tokens in a template.
 SIMILARITY = 0.7
 
+#: For long_docs and share: tokens that a long line has more than, and what the pipeline asks for.
+LONG, LONG_DOCS, SHARE = 50, 2, 0.05
+
 #: Documents up to which a list of lines to look at is sent to all tasks (about 100 bytes each); beyond it the texts are shuffled.
 SENT_DOCS = 200_000
 
@@ -68,52 +78,88 @@ def _key(doc: Column, text: Column) -> list[Column]:
     return [doc.alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash")]
 
 
-def _place(masked: Column, depth: int, min_tokens: int) -> Column:
-    """The leaf and the whole sequence of a line, as hashes; null for a line that is too short."""
+def _place(masked: Column, depth: int, min_tokens: int, least: tuple[int, int] | None) -> Column:
+    """The leaf and the whole sequence of a line, as hashes; null for a line that is too short.
+
+    least: documents in which a short and a long line's sequence must recur; the one that holds is added.
+    """
     n = _n_tokens(masked)
-    return F.when(n >= min_tokens, F.struct(F.xxhash64(n, F.substring_index(masked, " ", depth)).alias("leaf"), F.xxhash64(masked).alias("own")))
+    own = [F.xxhash64(n, F.substring_index(masked, " ", depth)).alias("leaf"), F.xxhash64(masked).alias("own")]
+    if least:
+        own.append(F.when(n > LONG, least[1]).otherwise(least[0]).alias("least"))
+    return F.when(n >= min_tokens, F.struct(*own))
 
 
-def _recurring(lines: DataFrame, keys: list[str], min_docs: int) -> DataFrame:
-    """Rows (doc, text_hash, line, *keys) without the first of each key, for keys in min_docs documents."""
+def _recurring(lines: DataFrame, keys: list[str], least: Column, *more: str) -> DataFrame:
+    """Rows (doc, text_hash, line, *keys, first, *more) for keys in so many documents; docs can be one of more."""
     firsts = lines.groupBy(*keys, "doc", "text_hash").agg(F.min("line").alias("line")).groupBy(*keys).agg(F.count("*").alias("docs"), F.min(F.struct("doc", "text_hash", "line")).alias("first"))
-    return lines.join(firsts.filter(F.col("docs") >= min_docs).drop("docs"), keys)
+    return lines.join(firsts.filter(F.col("docs") >= least).select(*keys, "first", *more), keys)
+
+
+def _generalised(words: DataFrame, constant: DataFrame, similarity: float, *more: Column) -> DataFrame:
+    """(leaf, template, doc, text_hash, line, and what more aggregates) of the lines that have constant tokens enough."""
+    return (
+        words.join(constant, ["leaf", "place", "token"], "left")
+        .groupBy("leaf", "doc", "text_hash", "line", "place")
+        .agg(F.max("fixed").alias("fixed"), F.max("token").alias("token"), *more)
+        .groupBy("leaf", "doc", "text_hash", "line")
+        .agg(F.count("fixed").alias("n_fixed"), F.count("*").alias("n"), F.xxhash64(F.array_sort(F.collect_list(F.struct("place", F.when(F.col("fixed"), F.col("token")).otherwise("<*>").alias("token"))))).alias("template"), *more)
+        .filter(F.col("n_fixed") >= similarity * F.col("n"))
+        .drop("n_fixed", "n")
+    )
 
 
 _LATER = "not (doc <=> first.doc and text_hash = first.text_hash and line = first.line)"
 
 
-def recurring_lines(docs: DataFrame, *, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY) -> DataFrame:
+def recurring_lines(docs: DataFrame, *, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY, long_docs: int | None = None, share: float | None = None) -> DataFrame:
     """(doc, text_hash, lines): the numbers, from 0, of the lines that each document loses; documents without any are left out."""
     keyed = docs.select(*_key(F.col("doc_id"), F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
-    placed = settle(keyed.select("doc", "text_hash", F.transform(_masked(F.split("text", "\n", -1)), lambda line: _place(line, depth, min_tokens)).alias("places")))
+    placed = settle(keyed.select("doc", "text_hash", F.transform(_masked(F.split("text", "\n", -1)), lambda line: _place(line, depth, min_tokens, (min_docs, long_docs) if long_docs else None)).alias("places")))
+    own, least = (["leaf", "least"], F.col("least")) if long_docs else (["leaf"], F.lit(min_docs))
     # A template in min_docs documents stands in a leaf that as many reach; few lines do.
-    leaves = placed.select(F.explode(F.array_distinct("places.leaf")).alias("leaf")).filter("leaf is not null").groupBy("leaf").count().filter(F.col("count") >= min_docs).select("leaf")
-    lines = placed.select("doc", "text_hash", F.posexplode("places").alias("line", "place")).select("doc", "text_hash", "line", F.col("place.leaf").alias("leaf"), F.col("place.own").alias("own")).filter("leaf is not null")
+    places = F.transform("places", lambda p: F.struct(*(p[c].alias(c) for c in own)))
+    leaves = placed.select(F.explode(F.array_distinct(places)).alias("p")).select("p.*").filter("leaf is not null").groupBy(*own).count().filter(F.col("count") >= least).select("leaf")
+    lines = placed.select("doc", "text_hash", F.posexplode("places").alias("line", "place")).select("doc", "text_hash", "line", "place.own", *(F.col(f"place.{c}").alias(c) for c in own)).filter("leaf is not null")
     lines = settle(lines.join(leaves, "leaf", "left_semi"))
-    exact = settle(_recurring(lines, ["leaf", "own"], min_docs))
+    exact = settle(_recurring(lines, [*own, "own"], least, *(["docs"] if share else [])))
     dropped = exact.filter(_LATER).select("doc", "text_hash", "line")
 
     left = lines.join(exact.select("leaf", "own").distinct(), ["leaf", "own"], "left_anti")
-    wanted = settle(left.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("line", "leaf")).alias("wanted")))
+    if share:  # a line with a weight above 1 stands for the documents of its sequence
+        firsts = exact.filter(f"not ({_LATER})").select("doc", "text_hash", "line", "leaf", F.col("docs").alias("weight"))
+        left = left.select("doc", "text_hash", "line", "leaf", F.lit(1).cast("long").alias("weight")).unionByName(firsts)
+    columns = ["line", "leaf", *(["weight"] if share else [])]
+    wanted = settle(left.groupBy("doc", "text_hash").agg(F.collect_list(F.struct(*columns)).alias("wanted")))
     sent = F.broadcast(wanted) if wanted.count() <= SENT_DOCS else wanted
     texts = keyed.join(sent, keyed["doc"].eqNullSafe(wanted["doc"]) & (keyed["text_hash"] == wanted["text_hash"])).select(keyed["doc"], keyed["text_hash"], F.split("text", "\n", -1).alias("lines"), "wanted")
     texts = texts.select("doc", "text_hash", F.explode(F.arrays_zip("wanted", _masked(F.transform("wanted", lambda w: F.get("lines", w["line"]))).alias("masked"))).alias("w"))
-    words = settle(texts.select("doc", "text_hash", "w.wanted.line", "w.wanted.leaf", F.posexplode(F.split("w.masked", " ")).alias("place", "token")))
+    every = words = settle(texts.select("doc", "text_hash", *(f"w.wanted.{c}" for c in columns), F.posexplode(F.split("w.masked", " ")).alias("place", "token")))
+    if share:
+        words = every.filter("weight = 1")
     constant = words.filter("token <> '<*>'").select("leaf", "place", "token", "doc", "text_hash").distinct().groupBy("leaf", "place", "token").count().filter(F.col("count") >= min_docs).select("leaf", "place", "token", F.lit(True).alias("fixed"))
-    general = (
-        words.join(constant, ["leaf", "place", "token"], "left")
-        .groupBy("leaf", "doc", "text_hash", "line", "place")
-        .agg(F.max("fixed").alias("fixed"), F.max("token").alias("token"))
-        .groupBy("leaf", "doc", "text_hash", "line")
-        .agg(F.count("fixed").alias("n_fixed"), F.count("*").alias("n"), F.xxhash64(F.array_sort(F.collect_list(F.struct("place", F.when(F.col("fixed"), F.col("token")).otherwise("<*>").alias("token"))))).alias("template"))
-        .filter(F.col("n_fixed") >= similarity * F.col("n"))
-        .select("leaf", "template", "doc", "text_hash", "line")
-    )
-    more = _recurring(settle(general), ["leaf", "template"], min_docs).filter(_LATER).select("doc", "text_hash", "line")
+    general = _recurring(settle(_generalised(words, constant, similarity)), ["leaf", "template"], F.lit(min_docs), *(["docs"] if share else []))
+    if share:
+        general = settle(general)
+    more = general.filter(_LATER).select("doc", "text_hash", "line")
+    if share:
+        more = more.unionByName(_merged(every, general, min_docs, similarity, share))
     return dropped.unionByName(more).groupBy("doc", "text_hash").agg(F.collect_set("line").alias("lines"))
 
 
+def _merged(words: DataFrame, general: DataFrame, min_docs: int, similarity: float, share: float) -> DataFrame:
+    """(doc, text_hash, line) of what is generalised with constants by share, but for the first line of each template."""
+    key = F.xxhash64(F.col("doc").isNull(), "doc", "text_hash", "line").alias("key")
+    known = general.select(key, "docs", F.expr(_LATER).alias("later")).groupBy("key").agg(F.max("docs").alias("docs"), F.max("later").alias("later"))
+    words = settle(words.withColumn("key", key).join(known, "key", "left").filter("later is null or not later").withColumn("weight", F.greatest("weight", "docs")).drop("key", "docs", "later"))
+    sizes = words.filter("place = 0").groupBy("leaf").agg(F.sum("weight").alias("size"))
+    counts = words.filter("token <> '<*>'").groupBy("leaf", "place", "token").agg(F.sum("weight").alias("count"))
+    constant = counts.join(sizes, "leaf").filter((F.col("count") >= min_docs) & (F.col("count") >= share * F.col("size"))).select("leaf", "place", "token", F.lit(True).alias("fixed"))
+    lines = settle(_generalised(words, constant, similarity, F.max("weight").alias("weight")))
+    firsts = lines.groupBy("leaf", "template", "doc", "text_hash").agg(F.min("line").alias("line"), F.max("weight").alias("weight")).groupBy("leaf", "template").agg(F.greatest(F.count("*"), F.max("weight")).alias("docs"), F.min(F.struct("doc", "text_hash", "line")).alias("first"))
+    return lines.join(firsts.filter(F.col("docs") >= min_docs).drop("docs"), ["leaf", "template"]).filter(_LATER).select("doc", "text_hash", "line")
+
+
 def _cleaned(docs: DataFrame, **parameters) -> tuple[DataFrame, str]:
     """The documents with a column, of the name returned, of the lines to drop (null: none)."""
     lost = recurring_lines(docs, **parameters)

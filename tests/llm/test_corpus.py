@@ -10,7 +10,9 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from codelode.llm import _graph, decontam, jaccard, line_dedup, packing, substring
 from codelode.llm._store import prepare
 
@@ -88,6 +90,16 @@ def test_lines_generalise_fields_and_keep_the_first(frame):
     assert line_dedup.scan(frame([])).count() == 0 and line_dedup.clean(frame([])).count() == 0
 
 
+@pytest.mark.parametrize(("n", "most"), [(30, 6), (3000, 1)])
+def test_lines_of_the_pipeline_merge_fields_at_any_size(spark, n, most):
+    rng = random.Random(n)
+    names, cities = (["%s%s" % (a, b) for a in "bcdfghkl" for b in end] for end in (("an", "en", "in", "on", "un"), ("ville", "stadt", "bury", "ford", "ham")))
+    rows = [(k, f"reported by user {rng.choice(names)} from {rng.choice(cities)} about the broken red door\n" + " ".join("%x" % rng.randrange(10**9) for _ in range(5)).translate(str.maketrans("0123456789", "ghijklmnop"))) for k in range(n)]
+    docs = spark.createDataFrame([*rows, (None, rows[0][1] + " and more")], "doc_id long, text string")
+    out = corpus_pipeline.drop_lines(spark, docs.withColumn("n_chars", F.length("text").cast("long")), "").collect()
+    assert 1 <= sum("reported by user" in r["text"] for r in out) <= most and len(out) == n + 1
+
+
 # Packing
 
 
