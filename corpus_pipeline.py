@@ -3,7 +3,8 @@
 Stages take (spark, docs, sf_dir); all but the last return the columns of documents.
 
 1. quality: documents that fail the base rules or the n-gram ratio go.
-2. lines: recurring lines go, but for their first (fields by their share of a leaf); documents left without a word go too.
+2. lines: recurring lines go, but for their first (those of over 50 words from two documents
+   on, and fields by their share of a leaf); documents left without a word go too.
 3. near_duplicates: of each component of linked documents the one with the least doc_id
    stays (of rows with that id, those in the component).
 4. decontamination: documents into which a benchmark item leaks go.
@@ -27,7 +28,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    cleaned = line_dedup.clean(docs, drop_emptied=True, share=line_dedup.SHARE)
+    cleaned = line_dedup.clean(docs, drop_emptied=True, long_docs=line_dedup.LONG_DOCS, share=line_dedup.SHARE)
     return cleaned.withColumn("n_chars", F.length("text").cast("long"))
 
 

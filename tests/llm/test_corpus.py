@@ -100,6 +100,14 @@ def test_lines_of_the_pipeline_merge_fields_at_any_size(spark, n, most):
     assert 1 <= sum("reported by user" in r["text"] for r in out) <= most and len(out) == n + 1
 
 
+def test_lines_of_the_pipeline_drop_long_copies_from_two_documents_on(spark):
+    passage, short = (" ".join(f"{c}{a}{b}" for c in x for a in "bcdfgh" for b in "aeiouy") for x in ("kl", "m"))
+    rows = [(1, f"one text of its own\n{passage}"), (2, f"quite another text here\n{passage}"), (3, f"third is this one\n{short}"), (4, f"and a fourth\n{short}")]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, n_chars long")
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_lines(spark, docs, "").collect()}
+    assert out == {1: rows[0][1], 2: "quite another text here", 3: rows[2][1], 4: rows[3][1]}
+
+
 # Packing
 
 
