@@ -9,7 +9,8 @@ two equal halves are walked: the network is applied again until the result lies
 in the domain.
 
 Edge cases: a null text stays null, an empty one empty; repeated rows get equal
-results; where values overlap the earliest counts, then the kind listed first;
+results; where values overlap the earliest counts, then the kind listed first,
+but a card, which has a check digit, counts before a phone number;
 an empty table gives no rows.  ``pseudonymise`` keeps all columns; the counts
 that ``scan`` returns read the id and the text alone.
 """
@@ -82,12 +83,38 @@ def _only(text: str) -> str:
     return "".join(c for c in text if c.isdigit())
 
 
-def _card(m: re.Match, f: Feistel) -> str | None:
-    d = _only(m[0])
+#: Digits of a card's groups as they are usually written.
+_GROUPS = re.compile(r"4 4 4( 4)?( [1-4])?|4 6 [45]|1[3-9]")
+
+
+def _cards(run: str, f: Feistel) -> list[tuple[int, int, str]]:
+    """(start, end, pseudonym) of the cards in a run of digits with single spaces or dashes.
+
+    The whole run comes first, then parts between spaces: those with the usual groups, then others, from the left, longest first.
+    """
+    ends = [m.start() for m in re.finditer(" ", run)] + [len(run)]
+    parts = []
+    for k, s in enumerate([0, *(e + 1 for e in ends[:-1])]):
+        for e in ends[k : k + 19]:
+            groups = [str(len(x)) for x in re.split("[ -]", run[s:e])]
+            size = sum(map(int, groups))
+            if size > 19:
+                break
+            if size >= 13:
+                parts.append((e - s < len(run), not _GROUPS.fullmatch(" ".join(groups)), s, -e))
+    out: list[tuple[int, int, str]] = []
+    for _, _, s, e in sorted(parts):
+        if all(-e <= a or s >= b for a, b, _ in out) and (new := _card(run[s:-e], f)) is not None:
+            out.append((s, -e, new))
+    return out
+
+
+def _card(text: str, f: Feistel) -> str | None:
+    d = _only(text)
     if not 13 <= len(d) <= 19 or luhn_digit(d[:-1]) != d[-1] or len(set(d)) == 1:
         return None
     body = str(f.permute(int(d[1:-1]), 10 ** (len(d) - 2), b"card%d" % len(d))).zfill(len(d) - 2)
-    return _digits(m[0], d[0] + body + luhn_digit(d[0] + body))
+    return _digits(text, d[0] + body + luhn_digit(d[0] + body))
 
 
 def _ssn(m: re.Match, f: Feistel) -> str | None:
@@ -211,7 +238,7 @@ def _date(m: re.Match, f: Feistel) -> str | None:
 KINDS: tuple[tuple[str, re.Pattern, Callable[[re.Match, Feistel], str | None]], ...] = (
     ("email", re.compile(r"(?a)(?<![\w.%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b"), _email),
     ("iban", re.compile(r"(?a)\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b"), _iban),
-    ("card", re.compile(r"(?a)(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"), _card),
+    ("card", re.compile(r"(?a)(?<![\w.-])\d(?:[ -]?\d){12,}(?![\w-])"), lambda m, f: None),  # see _cards
     ("ssn", re.compile(r"(?a)(?<![\w-])(\d{3})-(\d{2})-(\d{4})(?![\w-])"), _ssn),
     ("date", re.compile(rf"(?a)(?<![\w./-])(?:(?P<y>\d{{4}})-(?P<m>\d{{2}})-(?P<d>\d{{2}})|(?P<a>\d{{1,2}})(?P<sep>[./])(?P<b>\d{{1,2}})(?P=sep)(?P<ay>\d{{4}})|(?P<name>{'|'.join(_MONTHS)}) (?P<nd>\d{{1,2}}), (?P<ny>\d{{4}}))(?!\w|[./-]\d)"), _date),
     ("ip", re.compile(r"(?a)(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)"), _ip),
@@ -227,9 +254,16 @@ def _plain(m: re.Match, f: Feistel) -> str | None:
 
 def spans(text: str, feistel: Feistel) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of the values in a text, without overlaps."""
-    found = []
+    found, cards = [], []
     for rank, (kind, form, rewrite) in enumerate(KINDS):
         for m in form.finditer(text):
+            if kind == "card":
+                own = [(m.start() + s, m.start() + e, new) for s, e, new in _cards(m[0], feistel)]
+                cards += own
+                found += [(s, rank, e, kind, new) for s, e, new in own]
+                continue
+            if kind == "phone" and any(m.start() < e and s < m.end() for s, e, _ in cards):
+                continue
             new = rewrite(m, feistel)
             if new is not None:
                 found.append((m.start(), rank, m.end(), kind, new))

@@ -63,6 +63,16 @@ def test_pseudonyms_keep_the_format_and_are_valid():
     assert sum(d if k % 2 else sum(divmod(2 * d, 10)) for k, d in enumerate(card)) % 10 == 0
 
 
+@pytest.mark.parametrize("text", ["42 {}", "in 2024 {}", "{} 7 2024", "12 99 3 {} 10 250 4111", "+1 {}", "5 {} 77 {} 8", "id 123456 {}"])
+def test_cards_beside_other_numbers(text):
+    for card in ("4111 1111 1111 1111", "4111-1111-1111-1111", "3782 822463 10005", "4111111111111111"):
+        whole = text.format(*[card] * text.count("{}"))
+        found = [(whole[s:e], kind) for s, e, kind, _ in pii.spans(whole, pii.Feistel(b"k"))]
+        if all(whole[s:e] != whole for s, e, _, _ in pii.spans(whole, pii.Feistel(b"k"))):
+            assert found.count((card, "card")) == text.count("{}")
+    assert not [k for _, _, k, _ in pii.spans("42 4111 1111 1111 1112", pii.Feistel(b"k")) if k == "card"]
+
+
 def test_pii_on_edge_rows_and_links(frame):
     docs = frame([*EDGE, (10, "call +1 (415) 555-2671"), (11, "or +1 (415) 555-2671 at 10.0.0.1")])
     got = {(r["doc_id"], r["text"]): r for r in pii.scan(docs).collect()}
