@@ -22,24 +22,27 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder; one of this machine only where none is set, as in tests."""
+    """The shared folder; one of this machine only on a local master without one, as in tests."""
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="codelode-checkpoints-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """df, computed once and read back from the shared folder, so that a lost executor costs no more than a read."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back."""
+    """df as a Parquet table in the shared folder, read back; the table goes when the application ends."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/codelode-{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df, computed once and read back from the shared folder, so that a lost executor costs no more than a read."""
+    return written(df, "step")

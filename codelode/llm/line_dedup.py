@@ -2,33 +2,35 @@
 
 Each line's tokens (runs without white space; a token with a digit becomes the
 wildcard ``<*>``) lead it down a tree of fixed depth: its token count, then its
-first ``DEPTH`` tokens.  In a leaf that at least ``min_docs`` documents reach, a
-line's template is
-
-* its own token sequence, if that recurs in ``min_docs`` documents, or else
-* its token sequence with a wildcard for every token that fewer than ``min_docs``
-  documents of the leaf (without lines of the first kind) have at that position.
-
-A template with a share of at least ``similarity`` constant tokens that recurs in
-``min_docs`` documents is dropped, but for its first line (the least doc_id, then
-the least hash of the text, then the least line number).
-
-Two things can be asked for besides, as the pipeline does.  ``long_docs``: own
-sequences of more than ``LONG`` tokens recur in so many documents.  ``share``: what
-is left (with the first lines, each for all documents of its template) is
-generalised once more, and there a token is constant only if it also stands in
-that share of the leaf's lines; so fields whose values each recur in a large
-corpus are still fields.
-
-Rows with equal doc_id and text are one document and are cleaned alike.  No group
-is ever collected: recurrence is counted with partial sums, counts are joined back,
-and only a line's own tokens are gathered, by line.
-
-Edge cases: a null text has one empty line; lines with fewer than ``min_tokens``
-tokens are kept; a document may lose all lines and is then empty; an empty table
-gives no rows; null ids are ordinary values; ties are broken as stated.  The
-result of ``scan`` has fixed columns; ``clean`` keeps all columns of the input, and
-its own have names that no input column has.
+first ``DEPTH`` tokens.  Equal token sequences are one sequence, weighted by the
+documents that hold it.  In a leaf,
+
+* a token's support at a place is the weight of the sequences that have it there;
+* a line's support is that of its k-th best supported token, where k is ``PERCENT``
+  percent of its tokens (rounded up; a wildcard has support 0);
+* a line's template keeps the tokens with more than half the line's support and has
+  a wildcard for all others.  Both supports grow with the corpus alike, so a field
+  whose values all recur is a field at any size.
+
+A template recurs if ``least`` documents hold it, the line's support is ``least`` too,
+and the template's sequences weigh ``SHARE`` percent of it or more (which tells templates
+from ordinary words that only happen to be frequent at their places).  ``least`` is
+``MIN_DOCS``, but ``LONG_DOCS`` for lines of more than ``LONG`` tokens.  All lines of a
+recurring template are dropped but for its first (the least doc_id, then the least
+digest of the text, then the least line number).  Lines whose template does not
+recur, but whose own sequence does in ``least`` documents, are dropped likewise.
+
+Rows with equal doc_id and text are one document and are cleaned alike.  No group is
+ever collected: recurrence is counted with partial sums, and only a line's own tokens
+are gathered, by line.  Joins on keys that a hot line, leaf or token can dominate
+send the other side to all tasks if its rows are few (counted), and else salt both.
+
+Edge cases: a null text has one empty line; lines with fewer than ``MIN_TOKENS``
+tokens are kept; a document may lose all lines and is then empty; very long texts
+and lines are handled whole, and a task holds one text with its lines' hashes at a
+time; an empty table gives no rows; null ids are ordinary values, and come first;
+ties are broken as stated.  The result of ``scan`` has fixed columns; ``clean`` keeps
+all columns of the input, and its own have names that no input column has.
 """
 
 from __future__ import annotations
@@ -37,16 +39,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codelode.llm._store import settle
 
-#: Leading tokens that the tree looks at; documents in which a template recurs; tokens of the shortest line that is judged.
-DEPTH, MIN_DOCS, MIN_TOKENS = 3, 3, 3
-#: The least share of constant tokens in a template.
-SIMILARITY = 0.7
+#: Leading tokens that the tree looks at; tokens of the shortest line that is judged.
+DEPTH, MIN_TOKENS = 3, 3
+#: Documents in which a template recurs; tokens that a long line has more than, and documents for those.
+MIN_DOCS, LONG, LONG_DOCS = 3, 50, 2
+#: The percentage of a line's tokens that its support is taken from, and the percentage of it that a template weighs.
+PERCENT, SHARE = 70, 1
 
-#: For long_docs and share: tokens that a long line has more than, and what the pipeline asks for.
-LONG, LONG_DOCS, SHARE = 50, 2, 0.05
-
-#: Documents up to which a list of lines to look at is sent to all tasks (about 100 bytes each); beyond it the texts are shuffled.
-SENT_DOCS = 200_000
+#: Rows up to which a side of a join is sent to all tasks (under 100 bytes each); beyond it both sides are salted.
+SENT_ROWS = 250_000
+#: Parts of a hot key in a salted join.
+SALTS = 16
 
 _TOKEN = r"[^\x20\x09-\x0D]+"
 _VARIABLE = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
@@ -74,113 +77,99 @@ def _n_tokens(masked: Column) -> Column:
     return F.when(masked == "", 0).otherwise(F.octet_length(masked) - F.octet_length(F.replace(masked, F.lit(" "), F.lit(""))) + 1)
 
 
-def _key(doc: Column, text: Column) -> list[Column]:
-    return [doc.alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash")]
-
+def _digest(text: Column) -> Column:
+    """60 bits of the text's MD5, which tell the texts of one id apart and order them."""
+    return F.conv(F.substring(F.md5(F.coalesce(text, F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
 
-def _place(masked: Column, depth: int, min_tokens: int, least: tuple[int, int] | None) -> Column:
-    """The leaf and the whole sequence of a line, as hashes; null for a line that is too short.
 
-    least: documents in which a short and a long line's sequence must recur; the one that holds is added.
-    """
+def _place(masked: Column) -> Column:
+    """The leaf and the whole sequence of a line, as hashes; null for a line that is too short.  A long line's leaf is odd."""
     n = _n_tokens(masked)
-    own = [F.xxhash64(n, F.substring_index(masked, " ", depth)).alias("leaf"), F.xxhash64(masked).alias("own")]
-    if least:
-        own.append(F.when(n > LONG, least[1]).otherwise(least[0]).alias("least"))
-    return F.when(n >= min_tokens, F.struct(*own))
-
-
-def _recurring(lines: DataFrame, keys: list[str], least: Column, *more: str) -> DataFrame:
-    """Rows (doc, text_hash, line, *keys, first, *more) for keys in so many documents; docs can be one of more."""
-    firsts = lines.groupBy(*keys, "doc", "text_hash").agg(F.min("line").alias("line")).groupBy(*keys).agg(F.count("*").alias("docs"), F.min(F.struct("doc", "text_hash", "line")).alias("first"))
-    return lines.join(firsts.filter(F.col("docs") >= least).select(*keys, "first", *more), keys)
-
-
-def _generalised(words: DataFrame, constant: DataFrame, similarity: float, *more: Column) -> DataFrame:
-    """(leaf, template, doc, text_hash, line, and what more aggregates) of the lines that have constant tokens enough."""
-    return (
-        words.join(constant, ["leaf", "place", "token"], "left")
-        .groupBy("leaf", "doc", "text_hash", "line", "place")
-        .agg(F.max("fixed").alias("fixed"), F.max("token").alias("token"), *more)
-        .groupBy("leaf", "doc", "text_hash", "line")
-        .agg(F.count("fixed").alias("n_fixed"), F.count("*").alias("n"), F.xxhash64(F.array_sort(F.collect_list(F.struct("place", F.when(F.col("fixed"), F.col("token")).otherwise("<*>").alias("token"))))).alias("template"), *more)
-        .filter(F.col("n_fixed") >= similarity * F.col("n"))
-        .drop("n_fixed", "n")
-    )
-
-
-_LATER = "not (doc <=> first.doc and text_hash = first.text_hash and line = first.line)"
-
-
-def recurring_lines(docs: DataFrame, *, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY, long_docs: int | None = None, share: float | None = None) -> DataFrame:
-    """(doc, text_hash, lines): the numbers, from 0, of the lines that each document loses; documents without any are left out."""
-    keyed = docs.select(*_key(F.col("doc_id"), F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
-    placed = settle(keyed.select("doc", "text_hash", F.transform(_masked(F.split("text", "\n", -1)), lambda line: _place(line, depth, min_tokens, (min_docs, long_docs) if long_docs else None)).alias("places")))
-    own, least = (["leaf", "least"], F.col("least")) if long_docs else (["leaf"], F.lit(min_docs))
-    # A template in min_docs documents stands in a leaf that as many reach; few lines do.
-    places = F.transform("places", lambda p: F.struct(*(p[c].alias(c) for c in own)))
-    leaves = placed.select(F.explode(F.array_distinct(places)).alias("p")).select("p.*").filter("leaf is not null").groupBy(*own).count().filter(F.col("count") >= least).select("leaf")
-    lines = placed.select("doc", "text_hash", F.posexplode("places").alias("line", "place")).select("doc", "text_hash", "line", "place.own", *(F.col(f"place.{c}").alias(c) for c in own)).filter("leaf is not null")
-    lines = settle(lines.join(leaves, "leaf", "left_semi"))
-    exact = settle(_recurring(lines, [*own, "own"], least, *(["docs"] if share else [])))
-    dropped = exact.filter(_LATER).select("doc", "text_hash", "line")
-
-    left = lines.join(exact.select("leaf", "own").distinct(), ["leaf", "own"], "left_anti")
-    if share:  # a line with a weight above 1 stands for the documents of its sequence
-        firsts = exact.filter(f"not ({_LATER})").select("doc", "text_hash", "line", "leaf", F.col("docs").alias("weight"))
-        left = left.select("doc", "text_hash", "line", "leaf", F.lit(1).cast("long").alias("weight")).unionByName(firsts)
-    columns = ["line", "leaf", *(["weight"] if share else [])]
-    wanted = settle(left.groupBy("doc", "text_hash").agg(F.collect_list(F.struct(*columns)).alias("wanted")))
-    sent = F.broadcast(wanted) if wanted.count() <= SENT_DOCS else wanted
-    texts = keyed.join(sent, keyed["doc"].eqNullSafe(wanted["doc"]) & (keyed["text_hash"] == wanted["text_hash"])).select(keyed["doc"], keyed["text_hash"], F.split("text", "\n", -1).alias("lines"), "wanted")
-    texts = texts.select("doc", "text_hash", F.explode(F.arrays_zip("wanted", _masked(F.transform("wanted", lambda w: F.get("lines", w["line"]))).alias("masked"))).alias("w"))
-    every = words = settle(texts.select("doc", "text_hash", *(f"w.wanted.{c}" for c in columns), F.posexplode(F.split("w.masked", " ")).alias("place", "token")))
-    if share:
-        words = every.filter("weight = 1")
-    constant = words.filter("token <> '<*>'").select("leaf", "place", "token", "doc", "text_hash").distinct().groupBy("leaf", "place", "token").count().filter(F.col("count") >= min_docs).select("leaf", "place", "token", F.lit(True).alias("fixed"))
-    general = _recurring(settle(_generalised(words, constant, similarity)), ["leaf", "template"], F.lit(min_docs), *(["docs"] if share else []))
-    if share:
-        general = settle(general)
-    more = general.filter(_LATER).select("doc", "text_hash", "line")
-    if share:
-        more = more.unionByName(_merged(every, general, min_docs, similarity, share))
-    return dropped.unionByName(more).groupBy("doc", "text_hash").agg(F.collect_set("line").alias("lines"))
-
-
-def _merged(words: DataFrame, general: DataFrame, min_docs: int, similarity: float, share: float) -> DataFrame:
-    """(doc, text_hash, line) of what is generalised with constants by share, but for the first line of each template."""
-    key = F.xxhash64(F.col("doc").isNull(), "doc", "text_hash", "line").alias("key")
-    known = general.select(key, "docs", F.expr(_LATER).alias("later")).groupBy("key").agg(F.max("docs").alias("docs"), F.max("later").alias("later"))
-    words = settle(words.withColumn("key", key).join(known, "key", "left").filter("later is null or not later").withColumn("weight", F.greatest("weight", "docs")).drop("key", "docs", "later"))
-    sizes = words.filter("place = 0").groupBy("leaf").agg(F.sum("weight").alias("size"))
-    counts = words.filter("token <> '<*>'").groupBy("leaf", "place", "token").agg(F.sum("weight").alias("count"))
-    constant = counts.join(sizes, "leaf").filter((F.col("count") >= min_docs) & (F.col("count") >= share * F.col("size"))).select("leaf", "place", "token", F.lit(True).alias("fixed"))
-    lines = settle(_generalised(words, constant, similarity, F.max("weight").alias("weight")))
-    firsts = lines.groupBy("leaf", "template", "doc", "text_hash").agg(F.min("line").alias("line"), F.max("weight").alias("weight")).groupBy("leaf", "template").agg(F.greatest(F.count("*"), F.max("weight")).alias("docs"), F.min(F.struct("doc", "text_hash", "line")).alias("first"))
-    return lines.join(firsts.filter(F.col("docs") >= min_docs).drop("docs"), ["leaf", "template"]).filter(_LATER).select("doc", "text_hash", "line")
-
-
-def _cleaned(docs: DataFrame, **parameters) -> tuple[DataFrame, str]:
+    leaf = F.xxhash64(n, F.substring_index(masked, " ", DEPTH)).bitwiseAND(F.lit(-2)).bitwiseOR((n > LONG).cast("long"))
+    return F.when(n >= MIN_TOKENS, F.struct(leaf.alias("leaf"), F.xxhash64(masked).alias("own")))
+
+
+_LEAST = f"IF(leaf & 1 = 1, {LONG_DOCS}, {MIN_DOCS})"
+_LATER = "not (doc <=> first.doc and digest = first.digest and line = first.line)"
+
+
+def _meet(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], how: str = "inner") -> DataFrame:
+    """left joined with the settled right on keys; spread: columns of left that differ within a key."""
+    if right.count() <= SENT_ROWS:
+        return left.join(F.broadcast(right), keys, how)
+    left = left.withColumn("salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return left.join(right, [*keys, "salt"], how).drop("salt")
+
+
+def _words(seqs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(own, leaf, docs, place, token) of the first line of each sequence, read from its text; a token is a hash, a wildcard null."""
+    wanted = settle(seqs.groupBy(F.col("first.doc").alias("of"), F.col("first.digest").alias("hash")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "own", "leaf", "docs")).alias("wanted")))
+    few = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= SENT_ROWS
+    found = texts.join(F.broadcast(wanted) if few else wanted, texts["doc"].eqNullSafe(wanted["of"]) & (texts["digest"] == wanted["hash"])).select(F.split("text", "\n", -1).alias("lines"), "wanted")
+    found = found.select(F.explode(F.arrays_zip("wanted", _masked(F.transform("wanted", lambda w: F.get("lines", w["line"]))).alias("masked"))).alias("w"))
+    found = found.select("w.wanted.own", "w.wanted.leaf", "w.wanted.docs", "w.masked").dropDuplicates(["own"])  # a text may stand in several rows
+    words = found.select("own", "leaf", "docs", F.posexplode(F.split("masked", " ")).alias("place", "token"))
+    return words.withColumn("token", F.when(F.col("token") != "<*>", F.xxhash64("token")))
+
+
+def _templates(seqs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(own, leaf, template) of the sequences whose template can recur."""
+    several = settle(seqs.groupBy("leaf").agg(F.min("own").alias("a"), F.max("own").alias("b")).filter("a <> b").select("leaf"))  # where one sequence is alone its template is itself
+    words = settle(_words(_meet(seqs, several, ["leaf"], ["own"], "left_semi"), texts))
+    support = settle(words.filter("token is not null").groupBy("leaf", "place", "token").agg(F.sum("docs").alias("support")).filter("support >= 2"))  # less is never a constant
+    lined = _meet(words, support, ["leaf", "place", "token"], ["own"], "left").groupBy("own", "leaf", "docs").agg(F.array_sort(F.collect_list(F.struct("place", "token", F.coalesce("support", F.lit(0)).alias("support")))).alias("words"))
+    best = F.sort_array(F.transform("words", lambda w: w["support"]), asc=False)
+    lined = lined.withColumn("of_line", F.element_at(best, F.floor((PERCENT * F.size("words") + 99) / 100).cast("int"))).filter(f"of_line >= {_LEAST}")
+    template = F.xxhash64(F.transform("words", lambda w: F.when(2 * w["support"] > F.col("of_line"), w["token"]).otherwise(F.lit(0).cast("long"))))
+    lined = settle(lined.select("own", "leaf", "docs", "of_line", template.alias("template")))
+    good = lined.groupBy("leaf", "template").agg(F.sum("docs").alias("weight"), F.max("of_line").alias("of_line")).filter(f"weight >= {_LEAST} and 100 * weight >= {SHARE} * of_line").select("leaf", "template")
+    return _meet(lined.select("own", "leaf", "template"), settle(good), ["leaf", "template"], ["own"], "left_semi")
+
+
+def recurring_lines(docs: DataFrame) -> DataFrame:
+    """(doc, digest, line) of the lines that each document loses."""
+    texts = docs.select(F.col("doc_id").alias("doc"), _digest(F.col("text")).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
+    placed = settle(texts.select("doc", "digest", F.transform(_masked(F.split("text", "\n", -1)), _place).alias("places")))
+    # A template in so many documents stands in a leaf that as many reach; few lines do.
+    leaves = settle(placed.select(F.explode(F.array_distinct(F.transform("places", lambda p: p["leaf"]))).alias("leaf")).filter("leaf is not null").groupBy("leaf").count().filter(f"count >= {_LEAST}").select("leaf"))
+    lines = placed.select("doc", "digest", F.posexplode("places").alias("line", "place")).select("doc", "digest", "line", "place.own", "place.leaf").filter("leaf is not null")
+    lines = settle(_meet(lines, leaves, ["leaf"], ["own"], "left_semi").groupBy("own", "leaf", "doc", "digest", "line").agg(F.lit(1).alias("one")).drop("one"))
+    firsts = lines.groupBy("own", "leaf", "doc", "digest").agg(F.min("line").alias("line")).groupBy("own", "leaf").agg(F.count("*").alias("docs"), F.min(F.struct("doc", "digest", "line")).alias("first"))
+    seqs = settle(firsts)
+
+    templates = settle(_templates(seqs, texts))
+    members = _meet(lines.drop("leaf"), templates, ["own"], ["doc", "line"])
+    members = members.groupBy("leaf", "template", "doc", "digest").agg(F.min("line").alias("line"))
+    recurring = settle(members.groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.min(F.struct("doc", "digest", "line")).alias("first")).filter(f"docs >= {_LEAST}").select("leaf", "template", "first"))
+    general = settle(_meet(templates, recurring, ["leaf", "template"], ["own"]).select("own", "first"))
+    exact = _meet(seqs.filter(f"docs >= {_LEAST}"), general.select("own"), ["own"], ["own"], "left_anti").select("own", "first")
+    lost = settle(general.unionByName(exact))
+    return _meet(lines, lost, ["own"], ["doc", "line"]).filter(_LATER).select("doc", "digest", "line")
+
+
+def _cleaned(docs: DataFrame) -> tuple[DataFrame, str]:
     """The documents with a column, of the name returned, of the lines to drop (null: none)."""
-    lost = recurring_lines(docs, **parameters)
+    lost = settle(recurring_lines(docs).groupBy("doc", "digest").agg(F.collect_set("line").alias("lines")))
+    few = (lost.agg(F.sum(F.size("lines") + 4)).first()[0] or 0) <= SENT_ROWS
     name = "lost"
     while any(c.lower().startswith(name) for c in docs.columns):
         name = f"_{name}"
-    lost = lost.select(F.col("doc").alias(f"{name}_doc"), F.col("text_hash").alias(f"{name}_hash"), F.col("lines").alias(name))
-    on = docs["doc_id"].eqNullSafe(lost[f"{name}_doc"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == lost[f"{name}_hash"])
-    return docs.join(lost, on, "left").drop(f"{name}_doc", f"{name}_hash"), name
+    lost = lost.select(F.col("doc").alias(f"{name}_doc"), F.col("digest").alias(f"{name}_digest"), F.col("lines").alias(name))
+    on = docs["doc_id"].eqNullSafe(lost[f"{name}_doc"]) & (_digest(docs["text"]) == lost[f"{name}_digest"])
+    return docs.join(F.broadcast(lost) if few else lost, on, "left").drop(f"{name}_doc", f"{name}_digest"), name
 
 
 def _kept(lines: Column, lost: Column) -> Column:
     return F.when(lost.isNull(), lines).otherwise(F.filter(lines, lambda _, k: ~F.array_contains(lost, k)))
 
 
-def clean(docs: DataFrame, *, drop_emptied: bool = False, **parameters) -> DataFrame:
+def clean(docs: DataFrame, *, drop_emptied: bool = False) -> DataFrame:
     """The documents without recurring lines, with all their columns.
 
     drop_emptied: documents that lose their last line with a token go as well; those that had none stay.
     """
-    marked, name = _cleaned(docs, **parameters)
+    marked, name = _cleaned(docs)
     text = F.when(F.col(name).isNull(), F.col("text")).otherwise(F.array_join(_kept(F.split("text", "\n", -1), F.col(name)), "\n"))
     out = marked.select(*(text.alias(c) if c == "text" else marked[c] for c in docs.columns), name)
     if drop_emptied:
@@ -188,9 +177,9 @@ def clean(docs: DataFrame, *, drop_emptied: bool = False, **parameters) -> DataF
     return out.drop(name)
 
 
-def scan(docs: DataFrame, **parameters) -> DataFrame:
+def scan(docs: DataFrame) -> DataFrame:
     """One row for each document: its lines, those dropped, and the length and digest of the text that is kept."""
-    marked, name = _cleaned(docs.select("doc_id", "text"), **parameters)
+    marked, name = _cleaned(docs.select("doc_id", "text"))
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     kept = F.array_join(_kept(lines, F.col(name)), "\n")
     return marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size(name), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept")).select("doc_id", "n_lines", "n_dropped", F.length("kept").cast("long").alias("kept_chars"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -198,31 +187,34 @@ def scan(docs: DataFrame, **parameters) -> DataFrame:
 
 #: The same in DuckDB's dialect, over a table of documents; {docs} is the table.
 SQL = rf"""
-WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM {{docs}}),
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS digest FROM {{docs}}),
 parsed AS (
-  SELECT doc_id, text, line, regexp_extract_all(regexp_replace(raw, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[^\x20\x09-\x0D]+') AS tokens
-  FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM (SELECT DISTINCT doc_id, text FROM docs))),
-placed AS (SELECT doc_id, text, line, tokens, len(tokens) AS n, tokens[1:{DEPTH}] AS lead FROM parsed WHERE len(tokens) >= {MIN_TOKENS}),
-exact AS (SELECT tokens FROM placed GROUP BY tokens HAVING count(DISTINCT (doc_id, text)) >= {MIN_DOCS}),
-leaves AS (SELECT n, lead FROM placed GROUP BY n, lead HAVING count(DISTINCT (doc_id, text)) >= {MIN_DOCS}),
-rest AS (SELECT * FROM placed SEMI JOIN leaves USING (n, lead) ANTI JOIN exact USING (tokens)),
-words AS (SELECT doc_id, text, line, n, lead, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM rest),
-fixed AS (SELECT n, lead, place, token FROM words WHERE token <> '<*>' GROUP BY ALL HAVING count(DISTINCT (doc_id, text)) >= {MIN_DOCS}),
-general AS (
-  SELECT w.doc_id, w.text, w.line, w.n, list(CASE WHEN f.token IS NULL THEN '<*>' ELSE w.token END ORDER BY w.place) AS template, count(f.token) AS n_fixed
-  FROM words w LEFT JOIN fixed f ON w.n = f.n AND w.lead = f.lead AND w.place = f.place AND w.token = f.token
-  GROUP BY w.doc_id, w.text, w.line, w.n, w.lead HAVING count(f.token) >= {SIMILARITY} * w.n),
-templates AS (
-  SELECT doc_id, text, line, tokens AS template, 1 AS kind FROM placed SEMI JOIN exact USING (tokens)
-  UNION ALL SELECT doc_id, text, line, template, 2 AS kind FROM general),
+  SELECT doc_id, digest, line, regexp_extract_all(regexp_replace(raw, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[^\x20\x09-\x0D]+') AS tokens
+  FROM (SELECT doc_id, digest, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM (SELECT DISTINCT doc_id, text, digest FROM docs))),
+placed AS (SELECT doc_id, digest, line, tokens, len(tokens) AS n, tokens[1:{DEPTH}] AS lead, CASE WHEN len(tokens) > {LONG} THEN {LONG_DOCS} ELSE {MIN_DOCS} END AS least FROM parsed WHERE len(tokens) >= {MIN_TOKENS}),
+seqs AS (SELECT tokens, n, lead, least, count(DISTINCT (doc_id, digest)) AS docs FROM placed GROUP BY ALL),
+words AS (SELECT tokens, n, lead, least, docs, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM seqs),
+supports AS (SELECT n, lead, place, token, sum(docs) AS support FROM words WHERE token <> '<*>' GROUP BY ALL),
+lined AS (
+  SELECT w.tokens, w.n, w.lead, w.least, w.docs, list(w.token ORDER BY w.place) AS own, list(coalesce(s.support, 0) ORDER BY w.place) AS support
+  FROM words w LEFT JOIN supports s ON w.n = s.n AND w.lead = s.lead AND w.place = s.place AND w.token = s.token GROUP BY w.tokens, w.n, w.lead, w.least, w.docs),
+of_lines AS (SELECT *, list_reverse_sort(support)[({PERCENT} * n + 99) // 100] AS of_line FROM lined),
+shaped AS (
+  SELECT tokens, n, lead, least, docs, of_line, list_transform(range(1, n + 1), lambda k: CASE WHEN 2 * support[k] > of_line THEN own[k] ELSE '<*>' END) AS template
+  FROM of_lines WHERE of_line >= least),
+heavy AS (SELECT n, lead, template FROM shaped GROUP BY ALL HAVING 100 * sum(docs) >= {SHARE} * max(of_line)),
+tagged AS (SELECT p.*, s.template FROM placed p JOIN shaped s ON p.tokens = s.tokens SEMI JOIN heavy h ON s.n = h.n AND s.lead = h.lead AND s.template = h.template),
+recurring AS (SELECT n, lead, template FROM tagged GROUP BY n, lead, template, least HAVING count(DISTINCT (doc_id, digest)) >= least),
+general AS (SELECT t.doc_id, t.digest, t.line, t.lead, t.template, t.tokens FROM tagged t SEMI JOIN recurring r ON t.n = r.n AND t.lead = r.lead AND t.template = r.template),
+exact AS (
+  SELECT p.doc_id, p.digest, p.line, p.tokens FROM placed p JOIN seqs s ON p.tokens = s.tokens
+  ANTI JOIN general g ON p.tokens = g.tokens WHERE s.docs >= s.least),
 lost AS (
-  SELECT doc_id, text, line FROM (
-    SELECT doc_id, text, line, count(DISTINCT (doc_id, text)) OVER (PARTITION BY kind, template) AS docs,
-      row_number() OVER (PARTITION BY kind, template ORDER BY doc_id NULLS FIRST, text, line) AS place FROM templates)
-  WHERE docs >= {MIN_DOCS} AND place > 1),
-lost_lines AS (SELECT doc_id, text, list(line) AS lines FROM lost GROUP BY doc_id, text),
+  SELECT doc_id, digest, line FROM (SELECT doc_id, digest, line, row_number() OVER (PARTITION BY lead, template ORDER BY doc_id NULLS FIRST, digest, line) AS k FROM general) WHERE k > 1
+  UNION ALL SELECT doc_id, digest, line FROM (SELECT doc_id, digest, line, row_number() OVER (PARTITION BY tokens ORDER BY doc_id NULLS FIRST, digest, line) AS k FROM exact) WHERE k > 1),
+lost_lines AS (SELECT doc_id, digest, list(line) AS lines FROM lost GROUP BY doc_id, digest),
 kept AS (
-  SELECT d.doc_id, string_split(d.text, chr(10)) AS lines, l.lines AS lost FROM docs d LEFT JOIN lost_lines l ON d.doc_id IS NOT DISTINCT FROM l.doc_id AND d.text = l.text),
+  SELECT d.doc_id, string_split(d.text, chr(10)) AS lines, l.lines AS lost FROM docs d LEFT JOIN lost_lines l ON d.doc_id IS NOT DISTINCT FROM l.doc_id AND d.digest = l.digest),
 texts AS (
   SELECT doc_id, len(lines) AS n_lines, coalesce(len(lost), 0) AS n_dropped,
     CASE WHEN lost IS NULL THEN array_to_string(lines, chr(10)) ELSE array_to_string(list_filter(lines, lambda x, k: NOT list_contains(lost, k - 1)), chr(10)) END AS kept FROM kept)
