@@ -23,7 +23,8 @@ recur, but whose own sequence does in ``least`` documents, are dropped likewise.
 Rows with equal doc_id and text are one document and are cleaned alike.  No group is
 ever collected: recurrence is counted with partial sums, and only a line's own tokens
 are gathered, by line.  Joins on keys that a hot line, leaf or token can dominate
-send the other side to all tasks if its rows are few (counted), and else salt both.
+send the other side's rows to all tasks: all of them if they are few (counted), and
+else those of the keys that many rows have, of which there is a bounded number.
 
 Edge cases: a null text has one empty line; lines with fewer than ``MIN_TOKENS``
 tokens are kept; a document may lose all lines and is then empty; very long texts
@@ -46,10 +47,10 @@ MIN_DOCS, LONG, LONG_DOCS = 3, 50, 2
 #: The percentage of a line's tokens that its support is taken from, and the percentage of it that a template weighs.
 PERCENT, SHARE = 70, 1
 
-#: Rows up to which a side of a join is sent to all tasks (under 100 bytes each); beyond it both sides are salted.
+#: Rows up to which a side of a join is sent to all tasks (under 100 bytes each).
 SENT_ROWS = 250_000
-#: Parts of a hot key in a salted join.
-SALTS = 16
+#: Beyond it a key is hot with so many rows, and more than one in so many of all rows; hot keys are sent alone.
+HOT_ROWS, HOT_KEYS = 100_000, 100_000
 
 _TOKEN = r"[^\x20\x09-\x0D]+"
 _VARIABLE = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
@@ -93,38 +94,48 @@ _LEAST = f"IF(leaf & 1 = 1, {LONG_DOCS}, {MIN_DOCS})"
 _LATER = "not (doc <=> first.doc and digest = first.digest and line = first.line)"
 
 
-def _meet(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], how: str = "inner") -> DataFrame:
-    """left joined with the settled right on keys; spread: columns of left that differ within a key."""
-    if right.count() <= SENT_ROWS:
-        return left.join(F.broadcast(right), keys, how)
-    left = left.withColumn("salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
-    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return left.join(right, [*keys, "salt"], how).drop("salt")
+def _meet(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined with the settled right on keys (unique in right); rows: about how many rows of left a key has.
+
+    Few rows of right are sent to all tasks.  Else both sides are shuffled, but for keys with more than
+    ``HOT_ROWS`` rows and one in ``HOT_KEYS`` of all: no more than HOT_KEYS of them can be, and they are sent.
+    """
+    n, total, most = right.agg(F.count("*"), F.sum("rows"), F.max("rows")).first()
+    bound = max(HOT_ROWS, (total or 0) // HOT_KEYS)
+    own = right.drop("rows")
+    if n <= SENT_ROWS:
+        return left.join(F.broadcast(own), keys, how)
+    if most <= bound:
+        return left.join(own, keys, how)
+    hot = F.broadcast(right.filter(F.col("rows") > bound).drop("rows"))
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.filter(F.col("rows") <= bound).drop("rows"), keys, how)
+    return rest if how == "left_anti" else rest.unionByName(left.join(hot, keys, how))
 
 
 def _words(seqs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(own, leaf, docs, place, token) of the first line of each sequence, read from its text; a token is a hash, a wildcard null."""
+    """(own, leaf, docs, n, place, token) of the first line of each sequence, read from its text, less wildcards; a token is a hash."""
     wanted = settle(seqs.groupBy(F.col("first.doc").alias("of"), F.col("first.digest").alias("hash")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "own", "leaf", "docs")).alias("wanted")))
     few = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= SENT_ROWS
     found = texts.join(F.broadcast(wanted) if few else wanted, texts["doc"].eqNullSafe(wanted["of"]) & (texts["digest"] == wanted["hash"])).select(F.split("text", "\n", -1).alias("lines"), "wanted")
     found = found.select(F.explode(F.arrays_zip("wanted", _masked(F.transform("wanted", lambda w: F.get("lines", w["line"]))).alias("masked"))).alias("w"))
     found = found.select("w.wanted.own", "w.wanted.leaf", "w.wanted.docs", "w.masked").dropDuplicates(["own"])  # a text may stand in several rows
-    words = found.select("own", "leaf", "docs", F.posexplode(F.split("masked", " ")).alias("place", "token"))
-    return words.withColumn("token", F.when(F.col("token") != "<*>", F.xxhash64("token")))
+    words = found.select("own", "leaf", "docs", F.split("masked", " ").alias("words"))
+    words = words.select("own", "leaf", "docs", F.size("words").alias("n"), F.posexplode("words").alias("place", "token"))
+    return words.filter("token <> '<*>'").withColumn("token", F.xxhash64("token"))
 
 
 def _templates(seqs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(own, leaf, template) of the sequences whose template can recur."""
-    several = settle(seqs.groupBy("leaf").agg(F.min("own").alias("a"), F.max("own").alias("b")).filter("a <> b").select("leaf"))  # where one sequence is alone its template is itself
-    words = settle(_words(_meet(seqs, several, ["leaf"], ["own"], "left_semi"), texts))
-    support = settle(words.filter("token is not null").groupBy("leaf", "place", "token").agg(F.sum("docs").alias("support")).filter("support >= 2"))  # less is never a constant
-    lined = _meet(words, support, ["leaf", "place", "token"], ["own"], "left").groupBy("own", "leaf", "docs").agg(F.array_sort(F.collect_list(F.struct("place", "token", F.coalesce("support", F.lit(0)).alias("support")))).alias("words"))
-    best = F.sort_array(F.transform("words", lambda w: w["support"]), asc=False)
-    lined = lined.withColumn("of_line", F.element_at(best, F.floor((PERCENT * F.size("words") + 99) / 100).cast("int"))).filter(f"of_line >= {_LEAST}")
-    template = F.xxhash64(F.transform("words", lambda w: F.when(2 * w["support"] > F.col("of_line"), w["token"]).otherwise(F.lit(0).cast("long"))))
+    """(own, leaf, template, rows) of the sequences whose template can recur."""
+    several = settle(seqs.groupBy("leaf").agg(F.min("own").alias("a"), F.max("own").alias("b"), F.count("*").alias("rows")).filter("a <> b").select("leaf", "rows"))  # where one sequence is alone its template is itself
+    words = settle(_words(_meet(seqs, several, ["leaf"], "left_semi"), texts))
+    support = settle(words.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("support"), F.count("*").alias("rows")).filter("support >= 2"))  # less is never a constant
+    lined = _meet(words, support, ["leaf", "place", "token"]).groupBy("own", "leaf", "docs", "n").agg(F.array_sort(F.collect_list(F.struct("place", "token", "support"))).alias("words"))
+    best, k = F.sort_array(F.transform("words", lambda w: w["support"]), asc=False), F.floor((PERCENT * F.col("n") + 99) / 100).cast("int")
+    lined = lined.withColumn("of_line", F.when(F.size("words") >= k, F.element_at(best, k))).filter(f"of_line >= {_LEAST}")
+    template = F.xxhash64(F.transform(F.filter("words", lambda w: 2 * w["support"] > F.col("of_line")), lambda w: F.struct(w["place"], w["token"])))
     lined = settle(lined.select("own", "leaf", "docs", "of_line", template.alias("template")))
-    good = lined.groupBy("leaf", "template").agg(F.sum("docs").alias("weight"), F.max("of_line").alias("of_line")).filter(f"weight >= {_LEAST} and 100 * weight >= {SHARE} * of_line").select("leaf", "template")
-    return _meet(lined.select("own", "leaf", "template"), settle(good), ["leaf", "template"], ["own"], "left_semi")
+    good = lined.groupBy("leaf", "template").agg(F.sum("docs").alias("weight"), F.max("of_line").alias("of_line"), F.count("*").alias("rows")).filter(f"weight >= {_LEAST} and 100 * weight >= {SHARE} * of_line").select("leaf", "template", "rows")
+    return _meet(lined.select("own", "leaf", "template", F.col("docs").alias("rows")), settle(good), ["leaf", "template"], "left_semi")
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
@@ -132,20 +143,19 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").alias("doc"), _digest(F.col("text")).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
     placed = settle(texts.select("doc", "digest", F.transform(_masked(F.split("text", "\n", -1)), _place).alias("places")))
     # A template in so many documents stands in a leaf that as many reach; few lines do.
-    leaves = settle(placed.select(F.explode(F.array_distinct(F.transform("places", lambda p: p["leaf"]))).alias("leaf")).filter("leaf is not null").groupBy("leaf").count().filter(f"count >= {_LEAST}").select("leaf"))
+    leaves = settle(placed.select(F.explode(F.array_distinct(F.transform("places", lambda p: p["leaf"]))).alias("leaf")).filter("leaf is not null").groupBy("leaf").agg(F.count("*").alias("rows")).filter(f"rows >= {_LEAST}"))
     lines = placed.select("doc", "digest", F.posexplode("places").alias("line", "place")).select("doc", "digest", "line", "place.own", "place.leaf").filter("leaf is not null")
-    lines = settle(_meet(lines, leaves, ["leaf"], ["own"], "left_semi").groupBy("own", "leaf", "doc", "digest", "line").agg(F.lit(1).alias("one")).drop("one"))
+    lines = settle(_meet(lines, leaves, ["leaf"], "left_semi").distinct())
     firsts = lines.groupBy("own", "leaf", "doc", "digest").agg(F.min("line").alias("line")).groupBy("own", "leaf").agg(F.count("*").alias("docs"), F.min(F.struct("doc", "digest", "line")).alias("first"))
     seqs = settle(firsts)
 
     templates = settle(_templates(seqs, texts))
-    members = _meet(lines.drop("leaf"), templates, ["own"], ["doc", "line"])
-    members = members.groupBy("leaf", "template", "doc", "digest").agg(F.min("line").alias("line"))
-    recurring = settle(members.groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.min(F.struct("doc", "digest", "line")).alias("first")).filter(f"docs >= {_LEAST}").select("leaf", "template", "first"))
-    general = settle(_meet(templates, recurring, ["leaf", "template"], ["own"]).select("own", "first"))
-    exact = _meet(seqs.filter(f"docs >= {_LEAST}"), general.select("own"), ["own"], ["own"], "left_anti").select("own", "first")
+    members = _meet(lines.drop("leaf"), templates, ["own"]).groupBy("leaf", "template", "doc", "digest").agg(F.min("line").alias("line"))
+    recurring = settle(members.groupBy("leaf", "template").agg(F.count("*").alias("rows"), F.min(F.struct("doc", "digest", "line")).alias("first")).filter(f"rows >= {_LEAST}"))
+    general = settle(_meet(templates, recurring, ["leaf", "template"]).select("own", "first", "rows"))
+    exact = _meet(seqs.filter(f"docs >= {_LEAST}").withColumnRenamed("docs", "rows"), general.drop("first"), ["own"], "left_anti").select("own", "first", "rows")
     lost = settle(general.unionByName(exact))
-    return _meet(lines, lost, ["own"], ["doc", "line"]).filter(_LATER).select("doc", "digest", "line")
+    return _meet(lines, lost, ["own"]).filter(_LATER).select("doc", "digest", "line")
 
 
 def _cleaned(docs: DataFrame) -> tuple[DataFrame, str]:

@@ -112,11 +112,13 @@ def test_templates_of_one_leaf_are_told_apart(frame):
     assert sum(bool(out[k]) for k, _ in rows[412:]) >= 290
 
 
-def test_lines_without_sending_and_in_salted_joins(frame, monkeypatch):
+def test_lines_without_sending_and_with_hot_keys(frame, monkeypatch):
     rows = [(k, f"reported by user {'abcdef'[k % 6]} about the broken red door\nthe very same line\n" + "w%x " % k) for k in range(60)]
     want = sorted(map(tuple, line_dedup.scan(frame(rows)).collect()))
     monkeypatch.setattr(line_dedup, "SENT_ROWS", 0)
-    assert sorted(map(tuple, line_dedup.scan(frame(rows)).collect())) == want and sum(r[2] for r in want) == 2 * 59
+    for hot in (10**6, 20):
+        monkeypatch.setattr(line_dedup, "HOT_ROWS", hot)
+        assert sorted(map(tuple, line_dedup.scan(frame(rows)).collect())) == want and sum(r[2] for r in want) == 2 * 59
 
 
 def test_long_lines_go_from_two_documents_on(frame):
