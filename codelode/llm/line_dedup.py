@@ -48,9 +48,9 @@ MIN_DOCS, LONG, LONG_DOCS = 3, 50, 2
 PERCENT, SHARE = 70, 1
 
 #: Rows up to which a side of a join is sent to all tasks (under 100 bytes each).
-SENT_ROWS = 250_000
+SENT_ROWS = 10_000
 #: Beyond it a key is hot with so many rows, and more than one in so many of all rows; hot keys are sent alone.
-HOT_ROWS, HOT_KEYS = 100_000, 100_000
+HOT_ROWS, HOT_KEYS = 1_000, 10_000
 
 _TOKEN = r"[^\x20\x09-\x0D]+"
 _VARIABLE = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
@@ -115,8 +115,7 @@ def _meet(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
 def _words(seqs: DataFrame, texts: DataFrame) -> DataFrame:
     """(own, leaf, docs, n, place, token) of the first line of each sequence, read from its text, less wildcards; a token is a hash."""
     wanted = settle(seqs.groupBy(F.col("first.doc").alias("of"), F.col("first.digest").alias("hash")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "own", "leaf", "docs")).alias("wanted")))
-    few = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= SENT_ROWS
-    found = texts.join(F.broadcast(wanted) if few else wanted, texts["doc"].eqNullSafe(wanted["of"]) & (texts["digest"] == wanted["hash"])).select(F.split("text", "\n", -1).alias("lines"), "wanted")
+    found = texts.join(wanted, texts["doc"].eqNullSafe(wanted["of"]) & (texts["digest"] == wanted["hash"])).select(F.split("text", "\n", -1).alias("lines"), "wanted")
     found = found.select(F.explode(F.arrays_zip("wanted", _masked(F.transform("wanted", lambda w: F.get("lines", w["line"]))).alias("masked"))).alias("w"))
     found = found.select("w.wanted.own", "w.wanted.leaf", "w.wanted.docs", "w.masked").dropDuplicates(["own"])  # a text may stand in several rows
     words = found.select("own", "leaf", "docs", F.split("masked", " ").alias("words"))
@@ -161,13 +160,12 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
 def _cleaned(docs: DataFrame) -> tuple[DataFrame, str]:
     """The documents with a column, of the name returned, of the lines to drop (null: none)."""
     lost = settle(recurring_lines(docs).groupBy("doc", "digest").agg(F.collect_set("line").alias("lines")))
-    few = (lost.agg(F.sum(F.size("lines") + 4)).first()[0] or 0) <= SENT_ROWS
     name = "lost"
     while any(c.lower().startswith(name) for c in docs.columns):
         name = f"_{name}"
     lost = lost.select(F.col("doc").alias(f"{name}_doc"), F.col("digest").alias(f"{name}_digest"), F.col("lines").alias(name))
     on = docs["doc_id"].eqNullSafe(lost[f"{name}_doc"]) & (_digest(docs["text"]) == lost[f"{name}_digest"])
-    return docs.join(F.broadcast(lost) if few else lost, on, "left").drop(f"{name}_doc", f"{name}_digest"), name
+    return docs.join(lost, on, "left").drop(f"{name}_doc", f"{name}_digest"), name
 
 
 def _kept(lines: Column, lost: Column) -> Column:
