@@ -2,20 +2,23 @@
 
 A text becomes a vector of hashed byte 1- to 3-grams (letters in lower case,
 other ASCII as a space; square roots of frequencies, length 1).  Linear support
-vector machines decide in two levels: one-versus-one between language families,
+vector machines decide in two levels: each language family against all others,
 then one-versus-one between the languages of the family that won.  All are
-trained from a bounded sample of labelled rows by dual coordinate descent.
-
-Edge cases: a text that is null or without a letter is ``und`` with score 0.0; if
-nothing can be learned every text is ``und``; one learned language is the answer
-for every text with a letter; ties go to the name that sorts first; repeated rows
-are judged row by row; an empty table gives no rows.  The prediction reads the
-text alone; only the fit reads the language, and further columns cannot clash.
+trained from a bounded sample of labelled rows by dual coordinate descent.  Every
+language that has a labelled row is learned; only the rows of each are bounded.
+
+Edge cases: a text that is null or without a letter (Unicode's, so ``\u00b2`` and ``\u00bd`` are
+none) is ``und`` with score 0.0; if nothing can be learned every text is ``und``; one
+learned language is the answer for every text with a letter; ties go to the name
+that sorts first; repeated rows are judged row by row, and the sample takes one of
+the rows with the same id and language (the least text); a very long text is a chunk
+of its own, whose vector is no longer than any; an empty table gives no rows.  The
+prediction reads the text alone; only the fit reads the language, and further
+columns cannot clash.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,16 +26,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from codelode.llm import _kernel as K
 
 #: Entries of a feature vector (a power of two).
 WIDTH = 4096
-#: The most labelled rows that the sample takes of each language, those with the least hashes of id.
-SAMPLE_ROWS = 400
-#: The most languages that are learned, the most frequent ones.
-LANGUAGES = 64
+#: The most labelled rows that the sample takes of each language, those with the least hashes of id; and of all
+#: languages together (16 KB each on the driver; each language has LEAST_ROWS in any case).
+SAMPLE_ROWS, ALL_ROWS, LEAST_ROWS = 400, 16_000, 20
 
 #: Families by ISO 639-1 code; a code that is not listed is a family of its own.
 FAMILIES = {
@@ -48,7 +50,8 @@ FAMILIES = {
 
 _FOLD = np.where(K.NOT_WORD, 0x20, K.LOWER).astype(np.uint8)
 _FOLD[0x30:0x3A] = 0x20
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[0x41:0x5B] = _ASCII_LETTER[0x61:0x7B] = True
 _FACTORS = ((1,), (0x9E3779B1, 0x85EBCA77), (0xC2B2AE3D, 0x27D4EB2F, 0x165667B1))
 
 
@@ -123,9 +126,34 @@ def votes(x: np.ndarray, names: np.ndarray) -> Votes:
     return Votes(every, pairs, np.array(weights, np.float32).reshape(len(pairs), x.shape[1] + 1))
 
 
+@dataclass(frozen=True)
+class Rivals:
+    """One machine for each name against all others; none for a single name."""
+
+    names: tuple[str, ...]
+    weights: np.ndarray
+
+    def decide(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place in names of the widest margin and its share of all names' odds, for each row."""
+        if len(self.names) == 1:
+            return np.zeros(len(x), np.int64), np.ones(len(x))
+        margins = x @ self.weights[:, :-1].T + self.weights[:, -1]
+        best = np.argmax(margins, 1)
+        p = 1 / (1 + np.exp(-2 * margins))
+        return best, p[np.arange(len(x)), best] / np.maximum(p.sum(1), 1e-9)
+
+
+def rivals(x: np.ndarray, names: np.ndarray) -> Rivals:
+    every = tuple(sorted(set(names)))
+    weights = [svm(x, np.where(names == name, 1.0, -1.0)) for name in every[: 1 if len(every) == 2 else None]] if len(every) > 1 else []
+    if len(every) == 2:  # the second's machine is the first's, mirrored
+        weights.append(-weights[0])
+    return Rivals(every, np.array(weights, np.float32).reshape(len(weights), x.shape[1] + 1))
+
+
 @dataclass(frozen=True)
 class Model:
-    families: Votes
+    families: Rivals
     within: dict[str, Votes]
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -149,30 +177,34 @@ def train(x: np.ndarray, langs: list[str]) -> Model | None:
         return None
     langs = np.array(langs, object)
     families = np.array([family_of(v) for v in langs], object)
-    return Model(votes(x, families), {f: votes(x[families == f], langs[families == f]) for f in sorted(set(families))})
+    return Model(rivals(x, families), {f: votes(x[families == f], langs[families == f]) for f in sorted(set(families))})
 
 
-def fit(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS, languages: int = LANGUAGES) -> Model | None:
+def fit(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS, all_rows: int = ALL_ROWS) -> Model | None:
     """Trains on the sample of the rows given; they have doc_id, text and lang.
 
-    The sample is bounded: ``sample_rows`` of each of the ``languages`` most frequent languages.
+    The sample is bounded: ``sample_rows`` of each language, ``all_rows`` in all (but ``LEAST_ROWS`` of each).  One
+    aggregate over ids says how small a hash must be for that, and one scan takes the rows with such hashes.
     """
-    known = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null and doc_id is not null")
-    top = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    ids = None
-    for lang in sorted(top):
-        some = known.filter(F.col("lang") == lang).select("doc_id", "lang").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-        ids = some if ids is None else ids.unionByName(some)
-    if ids is None:
+    known = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).filter("lang is not null and text is not null and doc_id is not null")
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("ids"))
+    counted = sizes.collect()  # a row for each language
+    if not counted:
         return None
+    share = min(sample_rows, max(LEAST_ROWS, all_rows // len(counted)))
+    least = docs.sparkSession.createDataFrame([(r["lang"], (1.5 * share + 20) / max(1, r["ids"])) for r in counted], "lang string, below double")
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / F.lit(float(1 << 63))
+    some = known.join(F.broadcast(least), "lang").filter(place < F.col("below")).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
+    sample = ranked.filter(F.col("rank") <= share).select("doc_id", "text", "lang")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, x in features(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at:to], batch.column(2)[at:to], pa.array([v.astype(np.float32).tobytes() for v in x])], names=["doc_id", "lang", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at:to], batch.column(2)[at:to], pa.array([v.astype(np.float32).tobytes() for v in x], pa.binary())], names=["doc_id", "lang", "x"])
 
-    rows = known.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang").mapInArrow(K.frugal(vectors), "doc_id long, lang string, x binary").collect()
-    rows.sort(key=lambda r: (r["lang"], r["doc_id"], bytes(r["x"])))
+    rows = sample.mapInArrow(K.frugal(vectors), "doc_id long, lang string, x binary").collect()
+    rows.sort(key=lambda r: (r["lang"], r["doc_id"]))
     return train(np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(len(rows), WIDTH), [r["lang"] for r in rows])
 
 
@@ -181,6 +213,16 @@ def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 3 == 1
 
 
+def has_letter(column: pa.Array) -> np.ndarray:
+    """Whether each text holds a letter of Unicode; only texts without one of ASCII are decoded."""
+    out = np.zeros(len(column), bool)
+    for at, to, buf, offs in K.chunks(column):
+        out[at:to] = K.per_doc(_ASCII_LETTER[buf], offs) > 0
+    for k in np.flatnonzero(~out).tolist():
+        out[k] = any(c.isalpha() for c in column[k].as_py() or "")
+    return out
+
+
 _SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -190,11 +232,11 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            lettered = has_letter(texts)
             for at, to, x in features(texts) if batch.num_rows else ():
                 langs, scores = model.predict(x) if model else (["und"] * (to - at), np.zeros(to - at))
-                for k, text in enumerate(texts[at:to].to_pylist()):
-                    if text is None or not _LETTER.search(text):
-                        langs[k], scores[k] = "und", 0.0
+                for k in np.flatnonzero(~lettered[at:to]).tolist():
+                    langs[k], scores[k] = "und", 0.0
                 own = ids[at:to]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[at:to], pa.array([is_held_out(v) for v in own]), pa.array(langs, pa.string()), pa.array(np.asarray(scores, np.float64))], names=["doc_id", "held_out", "lang_pred", "score"])
 

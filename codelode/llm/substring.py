@@ -1,32 +1,40 @@
 """Suffix-array dedup of exact substrings by prefix-free parsing.
 
 Every byte that lies in a string of ``LENGTH`` bytes which also starts anywhere else in
-the corpus is removed.  Texts are parsed the way prefix-free parsing does:
-
-1. A rolling hash of ``TRIGGER`` bytes is taken at each position.  The least hash among
-   the ``REACH`` positions from a start is the start's trigger; neighbouring starts with
-   the same trigger form a phrase, which runs from the first of them to ``LENGTH`` bytes
-   past the last.  Triggers depend on content alone, so equal strings lie at the same
-   place of phrases with equal triggers, and no string of ``LENGTH`` bytes is split: two
-   phrases overlap by ``LENGTH - 1`` bytes.  The parse itself then need not be sorted to
-   find them; it only says where each phrase stands.
-2. A first pass over the texts counts the ``KEY`` bytes from each trigger.  Those seen once
-   cannot be in a repeat; the others are marked in a bitmap of fixed size (a mark too many
-   costs time, not correctness).
-3. A second pass gathers the marked phrases into a dictionary, by trigger: equal phrases
-   of a batch become one row, which says that it is repeated, so a passage that very many
-   documents share arrives once from each batch.
-4. The dictionary's suffixes of ``LENGTH`` bytes or more are put in order of the
-   fingerprint of their first ``LENGTH`` bytes; equal neighbours, and suffixes of phrases that
-   occur twice, are the repeats.  (Only adjacency of equal strings matters here, which any
-   total order of the prefixes gives; fingerprints are cheaper to sort than bytes.)
-5. Each occurrence's repeated starts go back to its document as intervals, whose union is
-   removed.
+the corpus is removed.
+
+Dealing out.  A rolling hash of ``TRIGGER`` bytes is taken at each position.  The least hash
+among the ``REACH`` positions from a start is the start's trigger; neighbouring starts with
+the same trigger form a piece, from the first of them to ``LENGTH`` bytes past the last.
+Triggers depend on content alone, so equal strings lie in pieces with equal triggers.
+A first pass counts the ``KEY`` bytes from each trigger; those seen once cannot be in a
+repeat, the others are marked in a bitmap, which grows with the input up to ``MOST_BITS``
+(a mark too many costs time, not correctness).  A second pass sends the marked pieces to the
+part of their trigger.  A task sends equal pieces once, and tells that they are repeated;
+places of such pieces are merged and go straight to their documents.
+
+Order.  The pieces of a part are a small corpus, whose suffix order is built by prefix-free
+parsing:
+
+1. Hashes of ``LOCAL`` bytes that are 0 modulo ``SPARSE`` trigger short phrases, which
+   overlap by the trigger.  No phrase suffix longer than a trigger is a prefix of another.
+2. The distinct phrases are the dictionary; its suffix array (as ranks) is built by prefix
+   doubling over bytes.
+3. The parse is the sequence of the phrases' ranks; its suffix array is built likewise.
+4. A position of the corpus is a suffix of a phrase, followed by a suffix of the parse.
+   The ranks of both, combined, put all positions in order of their text.
+
+Neighbours in that order that agree in ``LENGTH`` bytes (compared by fingerprint), and all of
+a piece that occurs twice, are the repeats.  As intervals they go back to their
+documents, whose unions of them are removed.  Only the first ``LENGTH`` bytes of a suffix
+matter, so doubling stops there.
 
 Fingerprints have 64 bits.  Edge cases: a null text is an empty one; texts below LENGTH
-bytes lose nothing; rows with equal doc_id and text are copies of each other like any others
-(both lose what they share); null ids are ordinary values; an empty table gives no
-rows.  Only the id and the text are read, so further columns cannot clash.
+bytes lose nothing; very long texts are parsed in segments, and periodic ones make one
+piece for each phase of their period; rows with equal doc_id and text are copies of each
+other like any others (both lose what they share), and their equal intervals are merged;
+null ids are ordinary values; an empty table gives no rows.  Only the id and the text are
+read, so further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -44,14 +52,18 @@ from codelode.llm import _kernel as K
 #: Bytes of a repeated string; starts that share a trigger at most; bytes that are counted from a trigger; bytes of the rolling hash.
 LENGTH, REACH, TRIGGER = 200, 140, 16
 KEY = LENGTH - REACH + 1
-#: Bits of the bitmap of triggers seen twice: 16 MB that every task gets, at any size of the input.
-BITS = 1 << 27
-#: Bytes of text for each slice of the count, and for each part of the dictionary.
-SLICE_BYTES, PART_BYTES = 64 << 20, 6 << 20
-
-
-def phrases(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First and last start of each phrase, its trigger's key, and the prefix hash of the bytes."""
+#: Bits of the bitmap of triggers seen twice, which every task gets: as many as bytes of text, from 1 MB to 128 MB in all.
+LEAST_BITS, MOST_BITS = 1 << 23, 1 << 30
+#: Bytes of text for each slice of the count and each task of the order, of pieces for each part, and of a segment of a long text.
+SLICE_BYTES, TASK_BYTES, PART_BYTES, SEGMENT = 64 << 20, 24 << 20, 3 << 20, 1 << 21
+#: Bytes of the local triggers of the parse, and the share of hashes that trigger.
+LOCAL, SPARSE = 8, 64
+#: Pieces that a task remembers as sent; beyond it the memory starts anew, and some are sent once more.
+REMEMBERED = 2_000_000
+
+
+def pieces(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last start of each piece, its trigger's key, and the prefix hash of the bytes."""
     sums = K.prefix_hash(buf)
     n = len(buf) - TRIGGER + 1
     room = np.maximum(np.diff(offs) - LENGTH + 1, 0)
@@ -81,8 +93,15 @@ def phrases(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _parse(column: pa.Array) -> Iterator[tuple]:
-    for at, to, buf, offs in K.chunks(column):
-        yield at, to, buf, offs, *phrases(buf, offs)
+    """(first row, bytes, offsets, place of the first byte in its text, *pieces) of runs of rows; a long text comes in segments."""
+    for at, _, buf, offs in K.chunks(column):
+        if len(offs) > 2 or len(buf) <= SEGMENT:
+            yield at, buf, offs, 0, *pieces(buf, offs)
+            continue
+        for base in range(0, len(buf) - LENGTH + 1, SEGMENT):
+            part = buf[base : base + SEGMENT + LENGTH - 1]
+            ends = np.array([0, len(part)])
+            yield at, part, ends, base, *pieces(part, ends)
 
 
 def _count(batches: Iterator[pa.RecordBatch], slices: int) -> Iterator[pa.RecordBatch]:
@@ -99,125 +118,233 @@ def _count(batches: Iterator[pa.RecordBatch], slices: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["slice", "keys", "twice"])
 
 
-def _mark(batches: Iterator[pa.RecordBatch], slices: int) -> Iterator[pa.RecordBatch]:
+def _mark(batches: Iterator[pa.RecordBatch], slices: int, bits: int) -> Iterator[pa.RecordBatch]:
     """The bitmap of each slice's keys that occur twice."""
     by_slice: dict[int, list[np.ndarray]] = {}
     for batch in batches:
         for k, keys, twice in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             by_slice.setdefault(k, []).extend((np.frombuffer(keys, np.uint64), np.frombuffer(twice, np.uint64)))
-    width = BITS // slices
+    width = max(8, bits // slices)
     for k, parts in by_slice.items():
         keys = np.sort(np.concatenate(parts))
-        bits = np.zeros(width, bool)
-        bits[(keys[1:][keys[1:] == keys[:-1]] >> np.uint64(64 - (BITS.bit_length() - 1))).astype(np.int64) - k * width] = True
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)], pa.binary())], names=["slice", "bits"])
+        marks = np.zeros(width, bool)
+        at = (keys[1:][keys[1:] == keys[:-1]] >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.int64)
+        first = k * bits // slices // 8 * 8
+        marks[at - first] = True
+        yield pa.RecordBatch.from_arrays([pa.array([first // 8], pa.int32()), pa.array([zlib.compress(np.packbits(marks, bitorder="little").tobytes(), 1)], pa.binary())], names=["first", "bits"])
 
 
 def repeated_triggers(docs: DataFrame, total: int) -> np.ndarray:
     """The bitmap of keys that occur twice in the corpus, as bytes."""
-    slices = 1
-    while slices * SLICE_BYTES < total and slices < 1 << 14:
+    slices, bits = 1, LEAST_BITS
+    while slices * SLICE_BYTES < total:
         slices *= 2
+    while bits < min(total, MOST_BITS):
+        bits *= 2
     counted = docs.select("text").mapInArrow(K.frugal(lambda it: _count(it, slices)), "slice int, keys binary, twice binary")
-    out = np.zeros(BITS // 8, np.uint8)
-    width = len(out) // slices
-    for r in counted.repartition(slices, "slice").mapInArrow(K.frugal(lambda it: _mark(it, slices)), "slice int, bits binary").toLocalIterator():
-        out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    out = np.zeros(bits // 8, np.uint8)
+    for r in counted.repartition(slices, "slice").mapInArrow(K.frugal(lambda it: _mark(it, slices, bits)), "first int, bits binary").toLocalIterator():
+        own = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+        out[r["first"] : r["first"] + len(own)] |= own
     return out
 
 
-_GATHERED = "key long, content long, phrase binary, twice boolean, doc_id long, text_hash long, first long, last long"
+_GATHERED = "key long, content long, piece binary, twice boolean, doc_id long, text_hash long, first long, last long"
+
+
+def _merged(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals of starts by row, those that touch made one."""
+    order = np.lexsort((first, row))
+    row, first, last = row[order], first[order], last[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (first[1:] > last[:-1] + 1)  # pieces of a text do not overlap
+    at = np.flatnonzero(new)
+    return row[at], first[at], last[np.append(at[1:], len(row)) - 1] if len(row) else last
 
 
 def _gather(batches: Iterator[pa.RecordBatch], marks) -> Iterator[pa.RecordBatch]:
-    """Marked phrases: one row with its bytes for each content of a batch, and if it is repeated there, rows of all its places."""
+    """Marked pieces: a new one with its bytes and place; if it is repeated in the task, its bytes once, and all places without."""
     marks = marks.value
+    shift = np.uint64(64 - ((len(marks) * 8).bit_length() - 1))
+    names = [x.split()[0] for x in _GATHERED.split(", ")]
+    sent, told = np.empty(0, np.uint64), np.empty(0, bool)
     for batch in batches:
-        found: list[tuple] = []
-        pieces: list[bytes] = []
-        for at, _, buf, offs, first, last, key, sums in _parse(batch.column(2)):
-            bit = (key >> np.uint64(64 - (BITS.bit_length() - 1))).astype(np.int64)
+        found, spans, buffers = [], [], []
+        for at, buf, offs, base, first, last, key, sums in _parse(batch.column(2)):
+            bit = (key >> shift).astype(np.int64)
             ok = np.flatnonzero(marks[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
             if not len(ok):
                 continue
             first, last, key = first[ok], last[ok], key[ok]
-            content = K.span_hash(sums, first, last + LENGTH)
             row = np.searchsorted(offs, first, "right") - 1
-            found.append((key, content, at + row, first - offs[row], last - offs[row]))
-            raw = buf.tobytes()
-            pieces += [raw[a:b] for a, b in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)]
+            found.append((key, K.span_hash(sums, first, last + LENGTH), at + row, base + first - offs[row], base + last - offs[row]))
+            spans.append((np.full(len(ok), len(buffers)), first, last + LENGTH))
+            buffers.append(buf)
         if not found:
             continue
         key, content, row, first, last = (np.concatenate(c) for c in zip(*found, strict=True))
-        _, index, back, count = np.unique(content, return_index=True, return_inverse=True, return_counts=True)
-        once = count[back] == 1
-        ids, hashes = batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))
-        shown = np.zeros(len(key), bool)
-        shown[index] = True
-        # A content that is unique in the batch: bytes and place in one row.  A repeated one: its bytes once, and all places as they are known to be repeats.
-        for ship, with_bytes, with_place, twice in ((once, True, True, False), (shown & ~once, True, False, True), (~once, False, True, True)):
-            at = np.flatnonzero(ship)
+        buffer, begin, end = (np.concatenate(c) for c in zip(*spans, strict=True))
+        distinct, index, back, count = np.unique(content, return_index=True, return_inverse=True, return_counts=True)
+        place = np.minimum(np.searchsorted(sent, distinct), max(len(sent) - 1, 0))
+        old = sent[place] == distinct if len(sent) else np.zeros(len(distinct), bool)
+        repeated = old | (count > 1)
+        untold = old.copy()
+        untold[old] = ~told[place[old]]
+        told[place[old]] = True
+        once = index[~repeated]
+        shown, notice = index[repeated & ~old], index[untold]
+        # What is unique so far: bytes and place in one row.  Repeats: their bytes, or a notice that what was sent is one, and places.
+        for at, with_bytes, with_place, twice in ((once, True, True, False), (shown, True, False, True), (notice, False, False, True)):
             for k in range(0, len(at), 20_000):
-                own, n = at[k : k + 20_000], len(at[k : k + 20_000])
-                where = [ids.take(pa.array(own)), hashes.take(pa.array(own)), pa.array(first[own]), pa.array(last[own])] if with_place else [pa.nulls(n, pa.int64())] * 4
-                what = pa.array([pieces[i] for i in own], pa.binary()) if with_bytes else pa.nulls(n, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(key[own].view(np.int64)), pa.array(content[own].view(np.int64)), what, pa.array(np.full(n, twice)), *where], names=[x.split()[0] for x in _GATHERED.split(", ")])
+                own = at[k : k + 20_000]
+                n = len(own)
+                where = [batch.column(0).take(pa.array(row[own])), batch.column(1).take(pa.array(row[own])), pa.array(first[own]), pa.array(last[own])] if with_place else [pa.nulls(n, pa.int64())] * 4
+                what = pa.array([buffers[b][s:e].tobytes() for b, s, e in zip(buffer[own].tolist(), begin[own].tolist(), end[own].tolist(), strict=True)], pa.binary()) if with_bytes else pa.nulls(n, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(key[own].view(np.int64)), pa.array(content[own].view(np.int64)), what, pa.array(np.full(n, twice)), *where], names=names)
+        known = repeated[back]
+        at, first, last = _merged(row[known], first[known], last[known])
+        for k in range(0, len(at), 50_000):
+            own = slice(k, k + 50_000)
+            n = len(at[own])
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(np.ones(n, bool)), batch.column(0).take(pa.array(at[own])), batch.column(1).take(pa.array(at[own])), pa.array(first[own]), pa.array(last[own])], names=names)
+        if len(sent) > REMEMBERED:
+            sent, told = np.empty(0, np.uint64), np.empty(0, bool)
+        else:
+            place = np.searchsorted(sent, distinct[~old])
+            sent, told = np.insert(sent, place, distinct[~old]), np.insert(told, place, repeated[~old])
+
+
+# The order of a part --------------------------------------------------------
+
+
+def suffix_ranks(keys: np.ndarray, depth: int, ends: np.ndarray, limit: int) -> np.ndarray:
+    """Ranks of the suffixes of sequences by prefix doubling; equal ranks agree in ``limit`` elements or to the end.
+
+    keys: order by the first ``depth`` elements; ends: where the sequence of each position ends.
+    """
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))  # a group's rank is its first place
+    open_ = order[~(new & np.append(new[1:], True))]  # in groups of more than one
+    while len(open_) and depth < limit:
+        after = open_ + depth
+        inside = after < ends[open_]
+        second = np.where(inside, rank[np.minimum(after, len(rank) - 1)] + 1, 0)
+        own = np.lexsort((second, rank[open_]))
+        open_, second = open_[own], second[own]
+        first = rank[open_]
+        group, part = np.ones(len(open_), bool), np.ones(len(open_), bool)
+        group[1:] = first[1:] != first[:-1]
+        part[1:] = group[1:] | (second[1:] != second[:-1])
+        place = np.arange(len(open_))
+        rank[open_] = first + np.maximum.accumulate(np.where(part, place, 0)) - np.maximum.accumulate(np.where(group, place, 0))
+        open_ = open_[~(part & np.append(part[1:], True)) & (second > 0)]  # what has ended in both is equal for good
+        depth *= 2
+    return rank
+
+
+def corpus_order(buf: np.ndarray, offs: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The positions with LENGTH bytes before their text's end, and their order by these bytes; equal ones are neighbours."""
+    n, (_, inv) = len(buf), K.powers(len(sums))
+    text_end = np.repeat(offs[1:], np.diff(offs))
+    h = (sums[LOCAL:] - sums[:-LOCAL]) * inv[: max(n - LOCAL + 1, 0)]
+    h = K.mix(h)
+    cut = np.zeros(n, bool)
+    cut[: len(h)] = (h % np.uint64(SPARSE) == 0) & (np.arange(len(h)) + LOCAL <= text_end[: len(h)])
+    cut[offs[:-1][np.diff(offs) > 0]] = True
+    begin = np.flatnonzero(cut)
+    end = np.minimum(np.append(begin[1:], n) + LOCAL, text_end[begin])
+    # The dictionary, its suffixes' ranks, and with them the phrases' ranks.
+    _, index, phrase = np.unique(K.span_hash(sums, begin, end), return_index=True, return_inverse=True)
+    size = (end - begin)[index]
+    at = np.concatenate([[0], np.cumsum(size)])
+    dictionary = buf[np.repeat(begin[index] - at[:-1], size) + np.arange(at[-1])]
+    ends = np.repeat(at[1:], size)
+    keys, values = np.zeros(len(dictionary), np.uint64), np.append(dictionary.astype(np.uint64) + np.uint64(1), np.zeros(7, np.uint64))
+    for k in range(7):  # seven bytes of nine bits, 0 past the phrase's end
+        keys = keys << np.uint64(9) | np.where(np.arange(len(dictionary)) + k < ends, values[k : len(dictionary) + k], np.uint64(0))
+    suffix = suffix_ranks(keys, 7, ends, LENGTH)
+    # The parse and its suffixes' ranks; 0 stands for its end.
+    parse = suffix[at[:-1]][phrase]
+    last = np.append(begin[1:], n) == text_end[begin]
+    closes = np.flatnonzero(last) + 1
+    parse_end = closes[np.searchsorted(closes, np.arange(len(begin)), "right")]
+    after = np.append(suffix_ranks(parse, 1, parse_end, LENGTH) + 1, 0)
+    follows = np.where(last, 0, after[1:])
+    room = np.maximum(np.diff(offs) - LENGTH + 1, 0)
+    starts = np.repeat(offs[:-1] - (np.cumsum(room) - room), room) + np.arange(room.sum())
+    own = np.searchsorted(begin, starts, "right") - 1
+    of_suffix = suffix[at[:-1][phrase[own]] + starts - begin[own]]
+    return starts, np.argsort(of_suffix * np.int64(len(begin) + 1) + follows[own], kind="stable")
 
 
-def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Intervals of repeated starts of the places in a part of the dictionary; places known to be repeats pass as they are."""
-    got = []
-    for batch in batches:
-        known = batch.column(2).is_null()
-        if batch.num_rows:
-            yield batch.filter(known).select([4, 5, 6, 7])
-            got.append(batch.filter(batch.column(2).is_valid()))
-    got = [b for b in got if b.num_rows]
-    if not got:
-        return
-    table = pa.Table.from_batches(got).combine_chunks()
-    content = table["content"].to_numpy()
-    twice = table["twice"].to_numpy()
-    _, index, back, count = np.unique(content, return_index=True, return_inverse=True, return_counts=True)
-    known = count > 1
-    np.logical_or.at(known, back, twice)
-    # The dictionary: each distinct phrase once.
-    column = table["phrase"].combine_chunks()
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    prints, owner, place = [], [], []
-    words = column.take(pa.array(index))
-    for at, to, buf, offs in K.chunks(words):
-        sums = K.prefix_hash(buf)
-        room = np.diff(offs) - LENGTH + 1
-        begins = np.repeat(offs[:-1] - (np.cumsum(room) - room), room) + np.arange(room.sum())
-        prints.append(K.span_hash(sums, begins, begins + LENGTH))
-        owner.append(np.repeat(np.arange(at, to, dtype=np.int32), room))
-        place.append((begins - np.repeat(offs[:-1], room)).astype(np.int32))
-    prints, owner, place = np.concatenate(prints), np.concatenate(owner), np.concatenate(place)
-    order = np.argsort(prints)
-    prints = prints[order]
+def _runs_of(words: pa.Array, known: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(piece, first, last) of the maximal runs of repeated starts, by piece; known: pieces that occur twice."""
+    at, _, buf, offs = next(K.chunks(words, 1 << 40))
+    sums = K.prefix_hash(buf)
+    starts, order = corpus_order(buf, offs, sums)
+    prints = K.span_hash(sums, starts, starts + LENGTH)[order]
     same = np.zeros(len(prints) + 1, bool)
     np.equal(prints[1:], prints[:-1], out=same[1:-1])
+    owner = np.searchsorted(offs, starts, "right") - 1
     dup = np.zeros(len(prints), bool)
     dup[order] = same[1:] | same[:-1]
-    del order
-    # A suffix of a phrase that occurs twice is a repeat, and so is any other with its print: those are its neighbours already.
-    dup |= known[owner]
-    edge = np.ones(len(prints) + 1, bool)
+    dup |= known[owner]  # any other suffix that agrees with these is their neighbour already
+    edge = np.ones(len(dup) + 1, bool)
     edge[1:-1] = (dup[1:] != dup[:-1]) | (owner[1:] != owner[:-1])
     cut = np.flatnonzero(edge)
     runs = np.flatnonzero(dup[cut[:-1]])
     a, b = cut[:-1][runs], cut[1:][runs] - 1
-    run_owner, run_from, run_to = owner[a], place[a], place[b]
-    by_owner = np.searchsorted(run_owner, np.arange(len(index) + 1))
-    # Places whose repeats are not known from their own batch.
+    return owner[a], starts[a] - offs[owner[a]], starts[b] - offs[owner[b]]
+
+
+def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Intervals of repeated starts of the places of a task's pieces; places known to be repeats pass as they are.
+
+    The pieces are put in order part by part, a trigger's together.
+    """
+    texts: dict[int, tuple[int, bytes]] = {}
+    got: list[tuple] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        yield batch.filter(batch.column(1).is_null()).select([4, 5, 6, 7])
+        batch = batch.filter(batch.column(1).is_valid())
+        key, content, shipped = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+        for k in np.flatnonzero(shipped).tolist():
+            if content[k] not in texts:  # other copies of the bytes are dropped as they come
+                texts[content[k]] = (int(key[k]), batch.column(2)[k].as_py())
+        got.append((content, batch.column(3).to_numpy(zero_copy_only=False), shipped, batch.select([4, 5, 6, 7])))
+    if not texts:
+        return
+    content, twice, shipped = (np.concatenate([g[k] for g in got]) for k in range(3))
+    places = pa.Table.from_batches([g[3] for g in got]).combine_chunks()
+    del got
+    distinct, back = np.unique(content, return_inverse=True)
+    known = np.bincount(back, shipped, len(distinct)) > 1
+    np.logical_or.at(known, back, twice)
+    sizes = sum(len(t) for _, t in texts.values())
+    part = (K.mix(np.array([texts[int(c)][0] for c in distinct], np.int64).view(np.uint64)) % np.uint64(-(-sizes // PART_BYTES))).astype(np.int64)
+    found = []
+    for own in np.split(np.argsort(part, kind="stable"), np.cumsum(np.bincount(part))[:-1]):
+        if len(own):
+            piece, first, last = _runs_of(pa.array([texts.pop(int(distinct[k]))[1] for k in own], pa.binary()), known[own])
+            found.append((own[piece], first, last))
+    run_owner, run_from, run_to = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.argsort(run_owner, kind="stable")
+    run_owner, run_from, run_to = run_owner[order], run_from[order], run_to[order]
+    by_owner = np.searchsorted(run_owner, np.arange(len(distinct) + 1))
+    # Places whose repeats are not known from their own task.
     rows = np.flatnonzero(~twice)
     n = by_owner[back[rows] + 1] - by_owner[back[rows]]
     rows, n = rows[n > 0], n[n > 0]
     run = np.repeat(by_owner[back[rows]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    rows = np.repeat(rows, n)
-    first = table["first"].to_numpy()[rows].astype(np.int64)
-    yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks().take(pa.array(rows)), table["text_hash"].combine_chunks().take(pa.array(rows)), pa.array(first + run_from[run]), pa.array(first + run_to[run])], names=["doc_id", "text_hash", "first", "last"])
+    own = places.take(pa.array(np.repeat(rows, n))).combine_chunks()
+    for b in pa.table({"doc_id": own["doc_id"], "text_hash": own["text_hash"], "first": own["first"].to_numpy().astype(np.int64) + run_from[run], "last": own["first"].to_numpy().astype(np.int64) + run_to[run]}).to_batches(50_000):
+        yield b
 
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
@@ -225,9 +352,9 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     marks = docs.sparkSession.sparkContext.broadcast(repeated_triggers(docs, total))
     gathered = docs.mapInArrow(K.frugal(lambda it: _gather(it, marks)), _GATHERED)
-    # Phrases meet by trigger; places that need no more comparison are spread evenly.
-    meet = F.when(F.col("phrase").isNotNull(), F.col("key")).otherwise(F.xxhash64("doc_id", "first"))
-    return gathered.repartition(max(1, total // PART_BYTES), meet).mapInArrow(K.frugal(_ordered), "doc_id long, text_hash long, first long, last long")
+    # Pieces meet by trigger; places that need no more comparison are spread evenly.
+    meet = F.when(F.col("content").isNotNull(), F.col("key")).otherwise(F.xxhash64("doc_id", "first"))
+    return gathered.repartition(max(1, -(-total // TASK_BYTES)), meet).mapInArrow(K.frugal(_ordered), "doc_id long, text_hash long, first long, last long")
 
 
 _SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -275,7 +402,7 @@ def _marked(docs: DataFrame) -> DataFrame:
     """doc_id, text and spans (null: none) of all documents."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    spans = repeated_starts(keyed).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    spans = repeated_starts(keyed).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     spans = spans.select(F.col("doc_id").alias("of"), F.col("text_hash").alias("hash"), "spans")
     return keyed.join(spans, keyed["doc_id"].eqNullSafe(spans["of"]) & (keyed["text_hash"] == spans["hash"]), "left").select("doc_id", "text", "spans")
 

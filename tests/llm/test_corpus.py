@@ -341,6 +341,45 @@ def test_substrings_in_small_batches_and_cleaned(spark, frame):
     assert substring.digest(frame([])).count() == 0
 
 
+@pytest.mark.parametrize("alphabet", ["ab", "abcdefgh", "=", "\x00\xff"])
+def test_corpus_order_is_the_order_of_suffixes(alphabet):
+    rng = random.Random(len(alphabet))
+    texts = ["".join(rng.choices(alphabet, k=rng.choice([200, 201, 260, 700]))).encode("latin-1") for _ in range(25)]
+    texts += [texts[3][50:] + texts[4][:150] + texts[3][:40], texts[5] * 2, bytes(texts[6])]
+    texts = [t for t in texts if t]
+    buf, offs = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    from codelode.llm import _kernel
+
+    starts, order = substring.corpus_order(buf, offs, _kernel.prefix_hash(buf))
+    ends = offs[np.searchsorted(offs, starts, "right")]
+    assert starts.tolist() == [int(a) + k for a, t in zip(offs, texts, strict=False) for k in range(len(t) - substring.LENGTH + 1)]
+    own = [bytes(buf[s:e])[: substring.LENGTH] for s, e in zip(starts[order], ends[order], strict=True)]
+    assert own == sorted(own)
+
+
+def test_substrings_of_filler_and_repeated_rows(spark, frame, monkeypatch):
+    """Periodic texts of any length, many equal rows without ids, and a passage in every document."""
+    monkeypatch.setattr(substring, "SEGMENT", 5_000)
+    rng = random.Random(9)
+    own = lambda n: "".join(rng.choices("abcdefghijklmnop ", k=n))
+    passage, same = own(260), own(700)
+    rows = [(k, own(300) + passage + own(100)) for k in range(40)] + [(None, same)] * 60
+    rows += [(100, "=" * 30_000), (101, own(100) + "ab" * 9_000 + own(100)), (102, "=" * 200), (103, "-" * 201), (104, "-" * 200 + "x"), (105, "from " * 50), (106, "0123456789abc" * 900 + own(20)), (107, own(12_000))]
+    got = sorted(map(repr, map(tuple, substring.digest(frame(rows)).collect())))
+    assert got == sorted(map(repr, brute_substrings(rows)))
+
+
+def test_a_long_filler_text_stays_small(frame):
+    """Five megabytes of one character, and of a period, travel as a few rows."""
+    import pyarrow as pa
+
+    marks = type("Marks", (), {"value": np.full(1 << 10, 255, np.uint8)})
+    for text in ("=" * 5_000_000, "ab" * 2_500_000):
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([text])], names=["doc_id", "text_hash", "text"])
+        out = list(substring._gather(iter([batch]), marks))
+        assert sum(b.num_rows for b in out) < 100 and sum(b.nbytes for b in out) < 100_000
+
+
 # Decontamination
 
 
