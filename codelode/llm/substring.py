@@ -55,7 +55,7 @@ KEY = LENGTH - REACH + 1
 #: Bits of the bitmap of triggers seen twice, which every task gets: as many as bytes of text, from 1 MB to 128 MB in all.
 LEAST_BITS, MOST_BITS = 1 << 23, 1 << 30
 #: Bytes of text for each slice of the count and each task of the order, of pieces for each part, and of a segment of a long text.
-SLICE_BYTES, TASK_BYTES, PART_BYTES, SEGMENT = 64 << 20, 24 << 20, 3 << 20, 1 << 21
+SLICE_BYTES, TASK_BYTES, PART_BYTES, SEGMENT = 64 << 20, 24 << 20, 1 << 20, 1 << 21
 #: Bytes of the local triggers of the parse, and the share of hashes that trigger.
 LOCAL, SPARSE = 8, 64
 #: Pieces that a task remembers as sent; beyond it the memory starts anew, and some are sent once more.
@@ -222,7 +222,7 @@ def suffix_ranks(keys: np.ndarray, depth: int, ends: np.ndarray, limit: int) ->
 
     keys: order by the first ``depth`` elements; ends: where the sequence of each position ends.
     """
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     ordered = keys[order]
     new = np.ones(len(keys), bool)
     new[1:] = ordered[1:] != ordered[:-1]
@@ -233,7 +233,7 @@ def suffix_ranks(keys: np.ndarray, depth: int, ends: np.ndarray, limit: int) ->
         after = open_ + depth
         inside = after < ends[open_]
         second = np.where(inside, rank[np.minimum(after, len(rank) - 1)] + 1, 0)
-        own = np.lexsort((second, rank[open_]))
+        own = np.argsort(rank[open_] * np.int64(len(keys) + 1) + second)
         open_, second = open_[own], second[own]
         first = rank[open_]
         group, part = np.ones(len(open_), bool), np.ones(len(open_), bool)
@@ -278,7 +278,7 @@ def corpus_order(buf: np.ndarray, offs: np.ndarray, sums: np.ndarray) -> tuple[n
     starts = np.repeat(offs[:-1] - (np.cumsum(room) - room), room) + np.arange(room.sum())
     own = np.searchsorted(begin, starts, "right") - 1
     of_suffix = suffix[at[:-1][phrase[own]] + starts - begin[own]]
-    return starts, np.argsort(of_suffix * np.int64(len(begin) + 1) + follows[own], kind="stable")
+    return starts, np.argsort(of_suffix * np.int64(len(begin) + 1) + follows[own])
 
 
 def _runs_of(words: pa.Array, known: np.ndarray) -> tuple[np.ndarray, ...]:
