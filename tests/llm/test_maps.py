@@ -208,13 +208,45 @@ def test_secret_models_on_held_out_samples():
     model = secrets.train(secrets.random_strings(3000), secrets.identifiers(words, 5000))
     fresh = secrets.random_strings(400, seed=1234)
     assert sum(map(model.is_secret, fresh)) >= 0.97 * len(fresh)
-    names = [s for s in secrets.identifiers(words, 3000, seed=77) if len(s) >= secrets.SHORTEST]
+    names = secrets.identifiers(words, 3000, seed=77)
     assert sum(map(model.is_secret, names)) <= 0.01 * len(names)
+    short = ["".join(random.Random(k).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=14)) for k in range(200)]
+    assert sum(map(model.is_secret, short)) >= 0.8 * len(short)  # no run is too short to be judged
     key = fresh[0]
     text = f"é key here {key} end"
     assert secrets.joined(secrets.spans(text, model)).startswith("markov:11:") or secrets.spans(text, model)[0][1] == 2
 
 
+def test_secret_spans_against_brute_force():
+    """Every run of token characters, and the parts of those that are none, judged one by one."""
+    rng = random.Random(21)
+    model = secrets.train(secrets.random_strings(1500), secrets.identifiers(["value", "index", "river", "stone"], 3000))
+    ratio = lambda w: int(model.first[ord(w[0])]) + sum(int(model.after[ord(a), ord(b)]) for a, b in zip(w, w[1:], strict=False))
+    secret = lambda w: ratio(w) >= int(secrets.LEAST * secrets.SCALE) and ratio(w) >= int(secrets.LEAST_EACH * secrets.SCALE * len(w))
+    pieces = [*secrets.random_strings(30, seed=5), "home/river/stone", "é", "漢", " ", "\n", "/", "=", "value_index", "token: abcdef99", "AKIA" + "Q7" * 9, "deadbeef" * 4, "-", "x"]
+    for _ in range(300):
+        text = "".join(rng.choices(pieces, k=rng.randint(0, 14)))
+        base = [(s, e) for s, k, e in secrets.spans(text, None)]
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+            found = [m.span()] if secret(m[0]) else [(m.start() + p.start(), m.start() + p.end()) for p in re.finditer("[^/=]+", m[0]) if secret(p[0])]
+            want += [(s, e) for s, e in found if not any(s < b and a < e for a, b in base)]
+        assert [(s, e) for s, k, e in secrets.spans(text, model) if k == 3] == want
+
+
+def test_secret_scan_is_linear_in_the_text():
+    import time
+
+    model = secrets.train(secrets.random_strings(600), secrets.identifiers(["value"], 600))
+    line = "token=abcdef0123456 and " + secrets.random_strings(1)[0] + "\n"
+    took = []
+    for n in (4_000, 16_000):
+        began = time.perf_counter()
+        assert len(secrets.spans(line * n, model)) == 2 * n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 0.2
+
+
 def test_secret_fit_and_redact(frame):
     docs = frame([(k, "ordinary words of several kinds stand in this text") for k in range(5)] + [(9, "token = abcdef123456 then"), (10, None)])
     model = secrets.fit(docs)
@@ -236,6 +268,31 @@ def test_language_und_and_edge_rows(frame):
     assert langid.fit(frame([])) is None and langid.predict(frame([]), None).count() == 0
 
 
+def test_language_against_training_anew(frame):
+    """A model trained without Spark on the same rows says the same; every language is learned; ties go to the first name."""
+    rng = random.Random(31)
+    forms = {f"x{k}": "".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 6)) for k in range(70)} | {"en": "theandofi", "de": "derundich"}
+    prose = lambda lang: " ".join("".join(rng.choices(forms[lang], k=rng.randint(2, 6))) for _ in range(40))
+    langs = [lang for lang in forms for _ in range(6)]
+    texts = [prose(lang) for lang in langs]
+    docs = frame([(k, t) for k, t in enumerate(texts)]).drop("lang").join(frame([]).sparkSession.createDataFrame(list(enumerate(langs)), "doc_id long, lang string"), "doc_id")
+    model = langid.fit(docs.unionByName(docs.filter("doc_id < 9")))  # repeated rows change nothing
+    import pyarrow as pa
+
+    order = sorted(range(len(texts)), key=lambda k: (langs[k], k))
+    x = next(iter([v for _, _, v in langid.features(pa.array([texts[k] for k in order]))]))
+    x = __import__("numpy").concatenate([v for _, _, v in langid.features(pa.array([texts[k] for k in order]))])
+    again = langid.train(x, [langs[k] for k in order])
+    assert set(model.families.names) == {langid.family_of(lang) for lang in forms} and (model.families.weights == again.families.weights).all()
+    got = {r["doc_id"]: (r["lang_pred"], round(r["score"], 6)) for r in langid.predict(docs, model).collect()}
+    want, scores = again.predict(x)
+    assert got == {k: (w, round(float(s), 6)) for k, w, s in zip(order, want, scores, strict=True)}
+    assert sum(got[k][0] == lang for k, lang in enumerate(langs)) > 0.9 * len(langs)
+    blank = langid.rivals(__import__("numpy").zeros((4, langid.WIDTH), "float32"), __import__("numpy").array(["b", "a", "b", "a"], object))
+    assert blank.names[blank.decide(__import__("numpy").zeros((1, langid.WIDTH), "float32"))[0][0]] == "a"
+    assert langid.has_letter(pa.array(["\u00b2 \u00bd 12", "\u2167", "\u00e9", "\u6f22", "a", None, "_"])).tolist() == [False, False, True, True, True, False, False]
+
+
 @have_tables
 def test_language_held_out_accuracy(spark):
     from codelode.llm.queries import op8_language_families
