@@ -122,6 +122,19 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def gram_sums(h: np.ndarray) -> np.ndarray:
+    """Prefix sums from which ``long_grams`` takes the hashes of any number of words."""
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(mix(h) * powers(len(h))[0][: len(h)], out=sums[1:])
+    return sums
+
+
+def long_grams(sums: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of n consecutive words, at each word but the last n - 1; windows may cross documents."""
+    m = max(len(sums) - n, 0)
+    return mix((sums[n:] - sums[:m]) * powers(m)[1][:m]) if m else np.empty(0, np.uint64)
+
+
 def inside(woffs: np.ndarray, n: int, total: int) -> np.ndarray:
     """Which of the windows of n words stand inside one document; total: the windows."""
     ok = np.ones(max(total, 0), bool)

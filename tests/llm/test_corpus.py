@@ -383,13 +383,13 @@ def test_a_long_filler_text_stays_small(frame):
 # Decontamination
 
 
-def brute_leaks(rows, items, rate=decontam.RATE):
+def brute_leaks(rows, items, rate=decontam.RATE, min_words=1):
     out = set()
     for i, t in rows:
         text = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(t))
         for j, s in items:
             own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(s))
-            if len(own) < decontam.MIN_WORDS:
+            if len(own) < min_words:
                 continue
             before = [0] * (len(text) + 1)
             for a in range(1, len(own) + 1):
@@ -424,12 +424,39 @@ def test_leaks_against_brute_force(spark, frame, seed):
     for block in (decontam.BLOCK_WORDS, 60):
         got = decontam.search(frame(rows), benchmark, block_words=block).collect()
         assert {(r["doc_id"], r["item_id"], r["distance"]) for r in got} == brute_leaks(rows, items)
-    dirty = {i for i, _, _ in brute_leaks(rows, items)}
+    for rate in (0.0, 0.3, 0.6):
+        assert {(r["doc_id"], r["item_id"], r["distance"]) for r in decontam.search(frame(rows), benchmark, rate=rate).collect()} == brute_leaks(rows, items, rate)
+    dirty = {i for i, _, _ in brute_leaks(rows, items, min_words=decontam.MIN_WORDS)}
     kept = decontam.clean(frame(rows), benchmark)
     assert kept.columns == ["doc_id", "text", *EXTRA] and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for i, _ in rows if i not in dirty)
     assert decontam.search(frame([]), benchmark).count() == 0 and decontam.search(frame(rows), benchmark.limit(0)).count() == 0 and decontam.clean(frame(rows), benchmark.limit(0)).count() == len(rows)
 
 
+def test_leaks_of_ties_repeated_items_and_long_texts(spark, frame):
+    item = " ".join("w%d" % k for k in range(20))
+    items = [(1, item), (1, item), (2, item), (3, "x y"), (None, item)]
+    text = "a b " * 30_000
+    rows = [(1, f"{text} {item} {item} {text}"), (2, item.replace("w3", "q")), (2, item.replace("w3", "q")), (3, "z x y z")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"] or 0, r["distance"], r["first_word"], r["end_word"]) for r in decontam.search(frame(rows), benchmark).collect())
+    assert got == sorted([(1, i, 0, 60_000, 60_020) for i in (0, 1, 2)] + [(2, i, 1, 0, 20) for i in (0, 1, 2)] * 2 + [(3, 3, 0, 1, 3)])
+    assert [r["doc_id"] for r in decontam.clean(frame(rows), benchmark).collect()] == [3]
+    with pytest.raises(ValueError):
+        decontam.search(frame(rows), benchmark, rate=1.0)
+
+
+def test_items_that_begin_alike_are_not_all_verified(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    items = ["what is the value of " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(9)) for _ in range(800)]
+    calls = []
+    known = decontam.myers
+    monkeypatch.setattr(decontam, "myers", lambda *a, **k: calls.append(1) or known(*a, **k))
+    block = decontam.compile_block(list(range(800)), items, decontam.RATE, 1)
+    assert not list(decontam.find(pa.array(["what is the value of " + "gold and silver now " * 8] * 50), block)) and len(calls) < 50
+
+
 def test_myers_distance():
     rng = random.Random(5)
     for _ in range(300):

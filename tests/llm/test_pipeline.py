@@ -1,12 +1,15 @@
 """The pipeline's stages, each held against a brute-force version over its own input."""
 
+import hashlib
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from codelode.llm import quality
+from codelode.llm import _kernel as K, quality
 from codelode.llm._store import written
 from tests.llm.test_corpus import brute_leaks, check_pieces, shingles
 from tests.llm.test_maps import base_of
@@ -47,6 +50,77 @@ def tables(spark, tmp_path_factory):
     return folder, items
 
 
+def brute_lines(rows):
+    """The rows of documents after the line stage, by its rule, with plain loops."""
+    docs = {(i, t or "", hashlib.md5((t or "").encode()).hexdigest()[:15]) for i, t in rows}
+    places = {}
+    for i, t, digest in docs:
+        for k, line in enumerate(t.split("\n")):
+            tokens = tuple("<*>" if re.search("[0-9]", w) else w for w in re.findall(r"[^\x20\x09-\x0D]+", line))
+            if len(tokens) >= 3:
+                places.setdefault(tokens, []).append((i is not None, i or 0, digest, k))
+    held = {s: len({p[:3] for p in own}) for s, own in places.items()}
+    support = Counter()
+    for s, n in held.items():
+        support.update({(len(s), s[:3], k, w): n for k, w in enumerate(s) if w != "<*>"})
+    groups, least = {}, lambda s: 2 if len(s) > 50 else 3
+    for s in held:
+        own = [support[len(s), s[:3], k, w] for k, w in enumerate(s)]
+        of_line = sorted(own, reverse=True)[(70 * len(s) + 99) // 100 - 1]
+        if of_line >= least(s):
+            groups.setdefault((s[:3], of_line, tuple(w if 2 * n > of_line else "<*>" for w, n in zip(s, own, strict=True))), []).append(s)
+    lost, general = set(), set()
+    for (_, of_line, template), own in groups.items():
+        every = [p for s in own for p in places[s]]
+        if 100 * sum(held[s] for s in own) >= of_line and len({p[:3] for p in every}) >= least(template):
+            general |= set(own)
+            lost |= set(every) - {min(every)}
+    for s in set(held) - general:
+        if held[s] >= least(s):
+            lost |= set(places[s]) - {min(places[s])}
+    gone = {}
+    for known, i, digest, k in lost:
+        gone.setdefault((known, i, digest), set()).add(k)
+    out = []
+    for i, t in rows:
+        drop = gone.get((i is not None, i or 0, hashlib.md5((t or "").encode()).hexdigest()[:15]))
+        if drop:
+            t = "\n".join(line for k, line in enumerate(t.split("\n")) if k not in drop)
+        if not drop or re.search(r"[^\x20\x09-\x0D]", t):
+            out.append((i, t))
+    return out
+
+
+def brute_scores(rows, model):
+    """The score and the harm of each text from the model's ratios, word by word."""
+    bucket = lambda h, n: int(h) >> 64 - (n.bit_length() - 1)
+    out = []
+    for _, t in rows:
+        raw = (t or "").encode()
+        tokens = [m[0] for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0D]+", raw)]
+        one = [int(K.word_hashes([w])[0]) for w in tokens]
+        two = [int(K.grams(np.array(pair, np.uint64), 2)[0]) for pair in zip(one, one[1:], strict=False)]
+        ratios = [int(model.ratios[bucket(h, quality.BUCKETS)]) for h in one + two]
+        harm = sorted(int(model.harm_ratios[b]) for b in {bucket(K.word_hashes([w.lower()])[0], quality.HARM_BUCKETS) for w in tokens}) if model.harm_ratios is not None else []
+        out.append((sum(ratios) / max(1, len(ratios)) / quality.SCALE, sum([x for x in harm if x < 0][: quality.WORST]) / quality.WORST / quality.SCALE))
+    return out
+
+
+def test_quality_verdicts_against_brute_force(spark, tables):
+    folder, _ = tables
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    marked = labels.withColumn("toxic", (labels["doc_id"] % 8 == 6).cast("int"))  # prose that passes the base rules
+    model = quality.fit(docs, marked)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = []
+    for (i, t), (score, harm) in zip(rows, brute_scores(rows, model), strict=True):
+        kept = not base_of(t)[-1] and (model.threshold is None or score >= model.threshold) and (model.harm_threshold is None or harm >= model.harm_threshold)
+        want.append(repr((i, kept, round(score, 9))))
+    got = quality.judge(docs, model).collect()
+    assert model.threshold is not None and sorted(repr((r["doc_id"], r["kept"], round(r["score"], 9))) for r in got) == sorted(want)
+    assert sorted(str(r["doc_id"]) for r in quality.keep(docs, model).collect()) == sorted(str(r["doc_id"]) for r in got if r["kept"])
+
+
 def test_stages(spark, tables):
     folder, items = tables
     docs = spark.read.parquet(f"{folder}/documents.parquet")
@@ -66,7 +140,8 @@ def test_stages(spark, tables):
             assert set(after) <= set(before) and sum("|" not in (r[1] or "|") and not base_of(r[1])[-1] for r in before) - len(after) <= 2
         if name == "lines":
             assert all(r[4] == len(r[1]) for r in after)
-            assert sum("under the old site rules" in t for _, t in pairs) == 3  # the first line of each of three recurring ones
+            assert sum("under the old site rules" in t for _, t in pairs) == 1  # the first line of the template
+            assert sorted(map(repr, ((r[0], r[1]) for r in after))) == sorted(map(repr, brute_lines([(r[0], r[1]) for r in before])))
         if name == "near_duplicates":
             assert set(after) <= set(before)
             sets = [shingles(t) for _, t in pairs]
