@@ -12,13 +12,13 @@ documents that hold it.  In a leaf,
   a wildcard for all others.  Both supports grow with the corpus alike, so a field
   whose values all recur is a field at any size.
 
-A template recurs if ``least`` documents hold it, the line's support is ``least`` too,
+A template recurs if ``MIN_DOCS`` documents hold it, the line's support is as much,
 and the template's sequences weigh ``SHARE`` percent of it or more (which tells templates
-from ordinary words that only happen to be frequent at their places).  ``least`` is
-``MIN_DOCS``, but ``LONG_DOCS`` for lines of more than ``LONG`` tokens.  All lines of a
+from ordinary words that only happen to be frequent at their places).  All lines of a
 recurring template are dropped but for its first (the least doc_id, then the least
-digest of the text, then the least line number).  Lines whose template does not
-recur, but whose own sequence does in ``least`` documents, are dropped likewise.
+digest of the text, then the least line number).  Lines whose template does not recur,
+but whose own sequence does in as many documents, are dropped likewise; own
+sequences of more than ``LONG`` tokens recur from ``LONG_DOCS`` documents on.
 
 Rows with equal doc_id and text are one document and are cleaned alike.  No group is
 ever collected: recurrence is counted with partial sums, and only a line's own tokens
@@ -130,10 +130,10 @@ def _templates(seqs: DataFrame, texts: DataFrame) -> DataFrame:
     support = settle(words.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("support"), F.count("*").alias("rows")).filter("support >= 2"))  # less is never a constant
     lined = _meet(words, support, ["leaf", "place", "token"]).groupBy("own", "leaf", "docs", "n").agg(F.array_sort(F.collect_list(F.struct("place", "token", "support"))).alias("words"))
     best, k = F.sort_array(F.transform("words", lambda w: w["support"]), asc=False), F.floor((PERCENT * F.col("n") + 99) / 100).cast("int")
-    lined = lined.withColumn("of_line", F.when(F.size("words") >= k, F.element_at(best, k))).filter(f"of_line >= {_LEAST}")
+    lined = lined.withColumn("of_line", F.when(F.size("words") >= k, F.element_at(best, k))).filter(f"of_line >= {MIN_DOCS}")
     template = F.xxhash64(F.transform(F.filter("words", lambda w: 2 * w["support"] > F.col("of_line")), lambda w: F.struct(w["place"], w["token"])))
     lined = settle(lined.select("own", "leaf", "docs", "of_line", template.alias("template")))
-    good = lined.groupBy("leaf", "template").agg(F.sum("docs").alias("weight"), F.max("of_line").alias("of_line"), F.count("*").alias("rows")).filter(f"weight >= {_LEAST} and 100 * weight >= {SHARE} * of_line").select("leaf", "template", "rows")
+    good = lined.groupBy("leaf", "template").agg(F.sum("docs").alias("weight"), F.max("of_line").alias("of_line"), F.count("*").alias("rows")).filter(f"weight >= {MIN_DOCS} and 100 * weight >= {SHARE} * of_line").select("leaf", "template", "rows")
     return _meet(lined.select("own", "leaf", "template", F.col("docs").alias("rows")), settle(good), ["leaf", "template"], "left_semi")
 
 
@@ -150,7 +150,7 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
 
     templates = settle(_templates(seqs, texts))
     members = _meet(lines.drop("leaf"), templates, ["own"]).groupBy("leaf", "template", "doc", "digest").agg(F.min("line").alias("line"))
-    recurring = settle(members.groupBy("leaf", "template").agg(F.count("*").alias("rows"), F.min(F.struct("doc", "digest", "line")).alias("first")).filter(f"rows >= {_LEAST}"))
+    recurring = settle(members.groupBy("leaf", "template").agg(F.count("*").alias("rows"), F.min(F.struct("doc", "digest", "line")).alias("first")).filter(f"rows >= {MIN_DOCS}"))
     general = settle(_meet(templates, recurring, ["leaf", "template"]).select("own", "first", "rows"))
     exact = _meet(seqs.filter(f"docs >= {_LEAST}").withColumnRenamed("docs", "rows"), general.drop("first"), ["own"], "left_anti").select("own", "first", "rows")
     lost = settle(general.unionByName(exact))
@@ -201,18 +201,18 @@ parsed AS (
   FROM (SELECT doc_id, digest, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM (SELECT DISTINCT doc_id, text, digest FROM docs))),
 placed AS (SELECT doc_id, digest, line, tokens, len(tokens) AS n, tokens[1:{DEPTH}] AS lead, CASE WHEN len(tokens) > {LONG} THEN {LONG_DOCS} ELSE {MIN_DOCS} END AS least FROM parsed WHERE len(tokens) >= {MIN_TOKENS}),
 seqs AS (SELECT tokens, n, lead, least, count(DISTINCT (doc_id, digest)) AS docs FROM placed GROUP BY ALL),
-words AS (SELECT tokens, n, lead, least, docs, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM seqs),
+words AS (SELECT tokens, n, lead, docs, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM seqs),
 supports AS (SELECT n, lead, place, token, sum(docs) AS support FROM words WHERE token <> '<*>' GROUP BY ALL),
 lined AS (
-  SELECT w.tokens, w.n, w.lead, w.least, w.docs, list(w.token ORDER BY w.place) AS own, list(coalesce(s.support, 0) ORDER BY w.place) AS support
-  FROM words w LEFT JOIN supports s ON w.n = s.n AND w.lead = s.lead AND w.place = s.place AND w.token = s.token GROUP BY w.tokens, w.n, w.lead, w.least, w.docs),
+  SELECT w.tokens, w.n, w.lead, w.docs, list(w.token ORDER BY w.place) AS own, list(coalesce(s.support, 0) ORDER BY w.place) AS support
+  FROM words w LEFT JOIN supports s ON w.n = s.n AND w.lead = s.lead AND w.place = s.place AND w.token = s.token GROUP BY w.tokens, w.n, w.lead, w.docs),
 of_lines AS (SELECT *, list_reverse_sort(support)[({PERCENT} * n + 99) // 100] AS of_line FROM lined),
 shaped AS (
-  SELECT tokens, n, lead, least, docs, of_line, list_transform(range(1, n + 1), lambda k: CASE WHEN 2 * support[k] > of_line THEN own[k] ELSE '<*>' END) AS template
-  FROM of_lines WHERE of_line >= least),
+  SELECT tokens, n, lead, docs, of_line, list_transform(range(1, n + 1), lambda k: CASE WHEN 2 * support[k] > of_line THEN own[k] ELSE '<*>' END) AS template
+  FROM of_lines WHERE of_line >= {MIN_DOCS}),
 heavy AS (SELECT n, lead, template FROM shaped GROUP BY ALL HAVING 100 * sum(docs) >= {SHARE} * max(of_line)),
 tagged AS (SELECT p.*, s.template FROM placed p JOIN shaped s ON p.tokens = s.tokens SEMI JOIN heavy h ON s.n = h.n AND s.lead = h.lead AND s.template = h.template),
-recurring AS (SELECT n, lead, template FROM tagged GROUP BY n, lead, template, least HAVING count(DISTINCT (doc_id, digest)) >= least),
+recurring AS (SELECT n, lead, template FROM tagged GROUP BY n, lead, template HAVING count(DISTINCT (doc_id, digest)) >= {MIN_DOCS}),
 general AS (SELECT t.doc_id, t.digest, t.line, t.lead, t.template, t.tokens FROM tagged t SEMI JOIN recurring r ON t.n = r.n AND t.lead = r.lead AND t.template = r.template),
 exact AS (
   SELECT p.doc_id, p.digest, p.line, p.tokens FROM placed p JOIN seqs s ON p.tokens = s.tokens

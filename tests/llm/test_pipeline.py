@@ -67,12 +67,12 @@ def brute_lines(rows):
     for s in held:
         own = [support[len(s), s[:3], k, w] for k, w in enumerate(s)]
         of_line = sorted(own, reverse=True)[(70 * len(s) + 99) // 100 - 1]
-        if of_line >= least(s):
+        if of_line >= 3:
             groups.setdefault((s[:3], of_line, tuple(w if 2 * n > of_line else "<*>" for w, n in zip(s, own, strict=True))), []).append(s)
     lost, general = set(), set()
     for (_, of_line, template), own in groups.items():
         every = [p for s in own for p in places[s]]
-        if 100 * sum(held[s] for s in own) >= of_line and len({p[:3] for p in every}) >= least(template):
+        if 100 * sum(held[s] for s in own) >= of_line and len({p[:3] for p in every}) >= 3:
             general |= set(own)
             lost |= set(every) - {min(every)}
     for s in set(held) - general:
