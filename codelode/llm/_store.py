@@ -9,15 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codelode.ship import ship
 
-#: Rows of an Arrow batch, unless the session says otherwise: whole texts make batches of Spark's default too large.
-BATCH_ROWS = 2_000
+#: Rows and bytes of an Arrow batch, unless the session says otherwise: whole texts make batches of Spark's defaults too large.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+#: Bytes of a row group of settled tables, which a task holds while it writes.
+ROW_GROUP = 16 << 20
 _ROWS, _SPARK_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+_BYTES, _SPARK_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Gives the executors the package, and texts smaller batches."""
     if spark.conf.get(_ROWS) == _SPARK_ROWS:
         spark.conf.set(_ROWS, str(BATCH_ROWS))
+    if spark.conf.get(_BYTES) == _SPARK_BYTES:
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
     return ship(spark)
 
 
@@ -39,7 +44,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/codelode-{name}-{uuid.uuid4().hex}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
