@@ -409,7 +409,7 @@ def _placed(rows: DataFrame) -> DataFrame:
 
 @_query(_values(fixtures.MARKDOWN, _SECTION_COLUMNS))
 def md_sections(spark, sf_dir):
-    return _placed(sections.markdown_sections(_fixture(spark, "guide.md", "fences.md")))
+    return _placed(sections.markdown_sections(_fixture(spark, "guide.md", "fences.md", "deep.md")))
 
 
 @_query(_values(fixtures.FENCED, "file_path, line, level, title"))
@@ -425,7 +425,7 @@ def yaml_sections(spark, sf_dir):
 
 @_query(_values(fixtures.MSBUILD, _SECTION_COLUMNS))
 def msbuild_sections(spark, sf_dir):
-    return _placed(sections.msbuild_sections(_fixture(spark, "src/Shop.csproj", "Directory.Build.props", "Stamp.targets")))
+    return _placed(sections.msbuild_sections(_fixture(spark, "src/Shop.csproj", "Directory.Build.props", "Stamp.targets", "src/Odd.csproj")))
 
 
 @_query(_values(fixtures.MSBUILD_BROKEN, _SECTION_COLUMNS))

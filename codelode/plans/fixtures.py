@@ -28,6 +28,8 @@ FILES = {
     "src/Shop.csproj": '<Project Sdk="x">\n  <PropertyGroup>\n    <TargetFramework>net8.0</TargetFramework>\n    <Nullable>enable</Nullable>\n  </PropertyGroup>\n  <ItemGroup>\n    <PackageReference Include="Polly.Core.Ext" Version="1" />\n    <ProjectReference Include="..\\Base\\Shop.Base.csproj" />\n  </ItemGroup>\n</Project>\n',
     "Directory.Build.props": "<Project>\n  <PropertyGroup>\n    <VersionPrefix>1.2</VersionPrefix>\n  </PropertyGroup>\n</Project>\n",
     "Stamp.targets": '<Project>\n  <Target Name="Stamp" BeforeTargets="Build">\n    <Message Text="hello" />\n    <Exec Command="run" />\n  </Target>\n</Project>\n',
+    "src/Odd.csproj": '<Project>\n  <!-- <ItemGroup> -->\n  <PropertyGroup Label="x" />\n  <PropertyGroup Condition="\'$(A)\' > \'1\'">\n    <!-- <Hidden /> -->\n    <x:Deep><Inner>1</Inner></x:Deep>\n    <Flag/>\n  </PropertyGroup>\n  <ItemGroup>\n    <Compile Remove=" ; a" Update="b/R&amp;D.cs;c" />\n    <ProjectReference Include="..\\Q\\My.Lib.csproj"/>\n    <None Include=\'x y.txt\'><Link>z</Link></None>\n  </ItemGroup>\n  <Target Name="Two Steps">\n    <PropertyGroup><Mode>1</Mode></PropertyGroup>\n    <Copy SourceFiles="a" />\n  </Target>\n</Project>\n',
+    "deep.md": "###### Six\n# One\n### Three\n## Two\n#### Four\n### Three again\n```\n# no\n~~~\n# One more\n## Two more\n### Last ###\n",
     "Torn.csproj": '<Project>\n  <PropertyGroup>\n    <OutputType>Exe</OutputType>\n  </PropertyGroup>\n  <ItemGroup>\n    <PackageReference Include="NLog">\n    </PackageReference>\n',
     "shop.py": 'import os\n\n\ndef total(items):\n    """Sum."""\n    def price(i):\n        return i\n\n    return sum(price(i) for i in items)\n\n\nclass Cart:\n    size = 0\n\n    @property\n    def empty(self):\n        return not self.size\n\n    async def send(self):\n        pass\n',
     "shop.rs": 'pub fn total(items: &[u32]) -> u32 {\n    // }\n    let s = "{";\n    items.iter().sum()\n}\n\npub struct Cart {\n    size: usize,\n}\n\nenum Mode {\n    Fast,\n}\n\npub trait Sender {\n    fn send(&self) -> bool;\n}\n\nimpl Cart {\n    fn empty(&self) -> bool {\n        self.size == 0\n    }\n}\n\nimpl Sender for Cart {\n    fn send(&self) -> bool {\n        true\n    }\n}\n',
@@ -48,6 +50,15 @@ MARKDOWN = [
     ("fences.md", "A", 1, 10),
     ("fences.md", "A.B", 5, 10),
     ("fences.md", "A.B.C", 10, 10),
+    ("deep.md", "Six", 1, 1),
+    ("deep.md", "One", 2, 9),
+    ("deep.md", "One.Three", 3, 3),
+    ("deep.md", "One.Two", 4, 9),
+    ("deep.md", "One.Two.Four", 5, 5),
+    ("deep.md", "One.Two.Three again", 6, 9),
+    ("deep.md", "One more", 10, 12),
+    ("deep.md", "One more.Two more", 11, 12),
+    ("deep.md", "One more.Two more.Last", 12, 12),
 ]
 FENCED = [("fences.md", 1, 1, "A"), ("fences.md", 5, 2, "B"), ("fences.md", 10, 3, "C")]
 YAML = [
@@ -64,6 +75,12 @@ MSBUILD = [
     ("src/Shop.csproj", "Shop.ItemGroup.PackageReference.Polly Core Ext.ProjectReference.Shop Base", 6, 9),
     ("Directory.Build.props", "Directory Build.PropertyGroup.VersionPrefix", 2, 4),
     ("Stamp.targets", "Stamp.Target.Stamp.Message.Exec", 2, 5),
+    ("src/Odd.csproj", "Odd.ItemGroup.PropertyGroup.PropertyGroup.ItemGroup", 2, 13),
+    ("src/Odd.csproj", "Odd.PropertyGroup.Deep.Flag", 3, 8),
+    ("src/Odd.csproj", "Odd.PropertyGroup.Deep.Flag", 4, 8),
+    ("src/Odd.csproj", "Odd.ItemGroup.Compile.R D cs.ProjectReference.My Lib.None.x y txt", 9, 13),
+    ("src/Odd.csproj", "Odd.Target.Two Steps.PropertyGroup.Copy", 14, 17),
+    ("src/Odd.csproj", "Odd.PropertyGroup.Mode", 15, 15),
 ]
 MSBUILD_BROKEN = [("Torn.csproj", "Torn.PropertyGroup.OutputType", 2, 4), ("Torn.csproj", "Torn.ItemGroup.PackageReference.NLog", 5, 8)]
 CODE = {
