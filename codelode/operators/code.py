@@ -1,15 +1,16 @@
 """Definitions in source files: functions, methods and classes with their lines and scope.
 
 Python files are parsed by the interpreter's own parser (by indentation where that
-fails).  Files of the other languages are masked - comments and strings become blanks
-of the same length - and then matched against the forms of definitions; braces tell
-where a definition ends, and containment gives the scopes of its name.
+fails).  Files of the other languages go through a lexer, which blanks comments, strings,
+patterns and here-documents, and are then matched against the forms of definitions;
+brackets tell where a definition ends, and containment gives the scopes of its name.
 """
 
 from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from codelode import schema
 from codelode.functions import text as X
+from codelode.operators.lexers import closing, masked
 
 
 @dataclass(frozen=True)
@@ -49,104 +51,162 @@ def python_spans(text: str) -> list[Span]:
 
 
 def _indented(lines: list[str], offs: list[int]) -> list[Span]:
-    out = []
+    """Definitions by indentation, in one pass: a line that is not indented further ends what is open."""
+    out, open_ = [], []
+    last = 0
+
+    def close(width: int) -> None:
+        while open_ and open_[-1][0] >= width:
+            _, start, name, is_class = open_.pop()
+            out.append(Span(start, offs[last] + len(lines[last].rstrip("\r\n")), name, is_class))
+
     for k, line in enumerate(lines):
-        m = re.match(r"([ \t]*)(?:async[ \t]+)?(def|class)[ \t]+(\w+)", line)
-        if not m:
+        if not line.strip():
             continue
-        width, last = len(m[1].expandtabs()), k
-        for j in range(k + 1, len(lines)):
-            if not lines[j].strip():
-                continue
-            if len(lines[j].expandtabs()) - len(lines[j].expandtabs().lstrip()) <= width:
-                break
-            last = j
-        out.append(Span(offs[k] + len(m[1]), offs[last] + len(lines[last].rstrip("\r\n")), m[3], m[2] == "class"))
+        wide = line.expandtabs()
+        close(len(wide) - len(wide.lstrip()))
+        last = k
+        if m := re.match(r"([ \t]*)(?:async[ \t]+)?(def|class)[ \t]+(\w+)", line):
+            open_.append((len(m[1].expandtabs()), offs[k] + len(m[1]), m[3], m[2] == "class"))
+    close(0)
     return out
 
 
-_C_LIKE = r'//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\''
-_MASKS = {
-    "csharp": r'@"(?:""|[^"])*"|' + _C_LIKE,
-    "javascript": r"`(?:\\.|[^`\\])*`|" + _C_LIKE,
-    "typescript": r"`(?:\\.|[^`\\])*`|" + _C_LIKE,
-    "go": r"`[^`]*`|" + _C_LIKE,
-    "rust": r'//[^\n]*|/\*.*?(?:\*/|\Z)|r#*"(?:[^"])*"#*|"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\\n])\'',
-    "bash": r'(?<![\w$])#[^\n]*|"(?:\\.|[^"\\])*"|\'[^\']*\'',
-    "powershell": r'<#.*?#>|#[^\n]*|"(?:`.|[^"`])*"|\'[^\']*\'',
-}
-
+_PAIRS = {"(": "()", "[": "[]", "{": "{}"}
 
-def masked(text: str, language: str) -> str:
-    return re.sub(_MASKS[language], lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.DOTALL)
 
-
-def _closing(code: str, at: int, pair: str = "{}") -> int:
-    """The position after the bracket that closes the one at ``at``; the text's end if none does."""
-    depth = 0
-    for m in re.compile(f"[{re.escape(pair)}]").finditer(code, at):
-        depth += 1 if m[0] == pair[0] else -1
-        if not depth:
+def _until(code: str, at: int) -> int:
+    """The end of a definition whose head ends at ``at``: its block, or its semicolon; parentheses and brackets are passed over."""
+    while m := re.compile(r"[{;(\[]").search(code, at):
+        if m[0] == ";":
             return m.end()
+        at = closing(code, m.start(), _PAIRS[m[0]])
+        if m[0] == "{":
+            return at
     return len(code)
 
 
-def _until(code: str, at: int) -> int:
-    """The end of a definition whose head ends at ``at``: its block, or its semicolon, or the line."""
-    m = re.compile(r"[{;]").search(code, at)
-    if not m:
-        return len(code)
-    return _closing(code, m.start()) if m[0] == "{" else m.end()
+def _past_angles(code: str, at: int) -> int:
+    """The place after type parameters, if they begin at ``at``; a function's arrow closes nothing."""
+    if code[at : at + 1] != "<":
+        return at
+    depth = 0
+    for m in re.compile(r"=>|[<>(;{]").finditer(code, at):
+        if m[0] in "<>":
+            depth += 1 if m[0] == "<" else -1
+            if not depth:
+                return m.end()
+        elif m[0] == ";":
+            break
+    return at
 
 
 def _body(code: str, paren: int, between: str) -> int | None:
     """The end of a function whose parameters open at ``paren``, if a block follows after only ``between``."""
-    m = re.compile(between).match(code, _closing(code, paren, "()"))
-    return _closing(code, m.end() - 1) if m else None
+    m = re.compile(between).match(code, closing(code, paren, "()"))
+    return closing(code, m.end() - 1) if m else None
+
+
+def _typed_body(code: str, paren: int) -> int | None:
+    """The same where a type may stand before the block; an object type follows an operator or is within angles."""
+    at = re.compile(r"\s*").match(code, closing(code, paren, "()")).end()
+    if code[at : at + 1] == "{":
+        return closing(code, at)
+    if code[at : at + 1] != ":":
+        return None
+    angles, before = 0, ":"
+    for m in iter(lambda: re.compile(r"\s*(=>|[A-Za-z_$][\w$.]*|\S)").match(code, at), None):
+        token = m[1]
+        if token in "([" or (token == "{" and (angles or before in ":|&<,?" or before in ("=>", "is", "extends", "keyof", "readonly", "asserts"))):
+            at = closing(code, m.start(1), _PAIRS[token])
+        elif token == "{":
+            return closing(code, m.start(1))
+        elif token in ";})=":
+            return None
+        else:
+            angles += (token == "<") - (token == ">")
+            at = m.end()
+        before = token if token not in "([{" else ")"
+    return None
 
 
 _NO_METHOD = {"if", "for", "while", "switch", "catch", "function", "return", "with", "do", "else", "super", "new", "await", "typeof", "using", "lock", "fixed", "foreach", "when", "nameof", "elseif", "until", "trap", "param"}
 
 
-def _script_spans(code: str, text: str, return_type: str) -> list[Span]:
-    out = [Span(m.start(), _until(code, m.end()), m[1], True) for m in re.finditer(r"\b(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)", code)]
-    for m in re.finditer(r"\b(?:async\s+)?function\s*(?:\*\s*)?([A-Za-z_$][\w$]*)\s*(?:<[^>(]*>)?\s*\(", code):
-        end = _body(code, m.end() - 1, return_type)
-        if end:
+#: What an expression stands behind; a class or function there is no declaration.
+_EXPRESSION = re.compile(r"(?:[=(,:?\[&|!~+\-*/%<>]|\b(?:return|new|typeof|case|in|of|delete|void|throw|extends|yield|await))\s*\Z")
+
+
+def _script_spans(code: str, typed: bool) -> list[Span]:
+    declared = lambda at: not _EXPRESSION.search(code, max(0, at - 60), at)
+    body = _typed_body if typed else (lambda code, paren: _body(code, paren, r"\s*\{"))
+    out = []
+    for m in re.finditer(r"(?<![\w$.])(abstract\s+)?class\s+([A-Za-z_$][\w$]*)", code):
+        if m[2] not in ("extends", "implements") and not (typed and m[1]) and declared(m.start()):
+            out.append(Span(m.start(), _until(code, m.end()), m[2], True))
+    for m in re.finditer(r"(?<![\w$.])(?:async\s+)?function\s+([A-Za-z_$][\w$]*)\s*", code):
+        paren = re.compile(r"\s*\(").match(code, _past_angles(code, m.end()))
+        if paren and declared(m.start()) and (end := body(code, paren.end() - 1)):
             out.append(Span(m.start(), end, m[1]))
-    for m in re.finditer(r"(?<![\w$.])((?:(?:public|private|protected|static|readonly|override|async|get|set)\s+)*(?:\*\s*)?)(#?[A-Za-z_$][\w$]*)\s*(?:<[^>(]*>)?\s*\(", code):
-        if m[2] not in _NO_METHOD and not re.search(r"(?:function\s*\*?|new|\bclass)\s*$", code[max(0, m.start() - 20) : m.start()]):
-            end = _body(code, m.end() - 1, return_type)
-            if end:
-                out.append(Span(m.start(), end, m[2]))
+    for m in re.finditer(r"(?<![\w$.#])((?:(?:public|private|protected|static|readonly|override|async|get|set|accessor)\s+)*(?:\*\s*)?)(#?[A-Za-z_$][\w$]*|\[[^\]\n]*\])\s*(?=[<(])", code):
+        paren = re.compile(r"\s*\(").match(code, _past_angles(code, m.end()))
+        if not paren or m[2] in _NO_METHOD or re.search(r"(?:\bfunction\s*\*?|\bnew|\bclass|[\w$\])])\s*\Z", code[max(0, m.start() - 20) : m.start()]) and not re.search(r"\n\s*\Z", code[max(0, m.start() - 20) : m.start()]):
+            continue
+        if end := body(code, paren.end() - 1):
+            out.append(Span(m.start(), end, m[2]))
     return out
 
 
-def _csharp_spans(code: str, text: str) -> list[Span]:
-    out = []
+def _from_attributes(code: str, at: int) -> int:
+    """Where a declaration begins whose modifiers begin at ``at``: with the attribute lists before them."""
+    while m := re.search(r"\]\s*\Z", code[max(0, at - 400) : at]):
+        last, depth, k = max(0, at - 400) + m.start(), 0, max(0, at - 400) + m.start()
+        while k >= 0:
+            depth += (code[k] == "]") - (code[k] == "[")
+            if not depth:
+                break
+            k -= 1
+        if k < 0 or last < 0 or not re.search(r"[{};\]]\s*\Z|\A\s*\Z", code[max(0, k - 400) : k]):
+            break
+        at = k
+    return at
+
+
+def _csharp_spans(code: str) -> list[Span]:
+    types = []
     for m in re.finditer(r"(?:\b(?:public|private|protected|internal|static|sealed|abstract|partial|readonly|ref|unsafe|new|file)\s+)*\b(?:class|interface|struct|record(?:\s+(?:class|struct))?)\s+([A-Za-z_]\w*)", code):
-        out.append(Span(m.start(), _until(code, m.end()), m[1], True))
-    classes = {s.name for s in out}
-    head = r"((?:\b(?:public|private|protected|internal|static|virtual|override|abstract|sealed|async|extern|unsafe|new|partial|readonly)\s+)*)(?:([A-Za-z_][\w.]*(?:<[^;{}()=]*>)?(?:\[[,\s]*\])*\??)\s+)?([A-Za-z_]\w*)\s*(?:<[^;{}()=]*>)?\s*\("
+        if not re.search(r"\bwhere\s+\w+\s*:\s*(?:[^{};]*,\s*)?\Z", code[max(0, m.start() - 200) : m.start()]):
+            types.append(Span(_from_attributes(code, m.start()), _until(code, m.end()), m[1], True))
+    names, out = {s.name for s in types}, []
+    head = r"((?:\b(?:public|private|protected|internal|static|virtual|override|abstract|sealed|async|extern|unsafe|new|partial|readonly)\s+)*)(?:((?:ref\s+(?:readonly\s+)?)?(?:\([^()]*\)|[A-Za-z_][\w.]*(?:<[^;{}()=]*>)?)(?:\[[,\s]*\]|\?)*)\s+)?([A-Za-z_][\w.]*(?:<[^;{}()=]*>\.\w+)?)\s*(?:<[^;{}()=]*>)?\s*\("
     for m in re.finditer(head, code):
-        after = _closing(code, m.end() - 1, "()")
-        tail = re.compile(r"\s*(?::\s*(?:base|this)\s*\([^)]*\)\s*|where\s[^{;]*)?(\{|=>|;)").match(code, after)
-        constructor = not m[2] and m[3] in classes
-        if not tail or m[3] in _NO_METHOD or (m[2] in _NO_METHOD | {"return", "throw", "case", "in", "is", "as", "record", "class", "struct"}) or not (m[2] or constructor):
+        tail = re.compile(r"\s*(?::\s*(?:base|this)\s*(?=\())?").match(code, closing(code, m.end() - 1, "()"))
+        after = closing(code, tail.end(), "()") if tail[0].strip() else tail.end()
+        stop = re.compile(r"\s*(?:where\s[^{;=]*)?(\{|=>|;)").match(code, after)
+        constructor = not m[2] and m[3] in names
+        if not stop or m[3] in _NO_METHOD or m[2] in _NO_METHOD | {"return", "throw", "case", "in", "is", "as", "record", "class", "struct", "delegate"} or not (m[2] or constructor):
             continue
-        if tail[1] == ";" and not any(s.start < m.start() < s.end for s in out if s.is_class):
+        if re.search(r"\bdelegate\s*\Z", code[max(0, m.start() - 20) : m.start()]):
             continue
-        end = _closing(code, tail.end() - 1) if tail[1] == "{" else tail.end() if tail[1] == ";" else (code.find(";", tail.end()) + 1 or len(code))
-        out.append(Span(m.start(), end, m[3]))
-    return out
+        end = closing(code, stop.end() - 1) if stop[1] == "{" else stop.end() if stop[1] == ";" else _until(code, stop.end()) if "{" not in code[stop.end() : code.find(";", stop.end()) + 1] else code.find(";", _until(code, stop.end())) + 1 or len(code)
+        out.append(Span(_from_attributes(code, m.start()), end, m[3].rpartition(".")[2]))
+    # A function counts where a type holds it directly; within another it is local.
+    kept, open_ = [], []
+    for s in sorted(types + out, key=lambda s: (s.start, -s.end)):
+        while open_ and open_[-1].end <= s.start:
+            open_.pop()
+        if s.is_class or (open_ and open_[-1].is_class):
+            kept.append(s)
+            open_.append(s)
+    return kept
 
 
-def _go_spans(code: str, text: str) -> list[Span]:
+def _go_spans(code: str) -> list[Span]:
     out = []
     for m in re.finditer(r"^func\s+(\((?:[^()]|\([^()]*\))*\)\s*)?([A-Za-z_]\w*)", code, re.MULTILINE):
         out.append(Span(m.start(), _until_line(code, m.end()), m[2]))
     for m in re.finditer(r"^\s*type\s+(\()?", code, re.MULTILINE):
-        stop = _closing(code, m.end() - 1, "()") if m[1] else (code.find("\n", m.end()) + 1 or len(code))
+        stop = closing(code, m.end() - 1, "()") if m[1] else (code.find("\n", m.end()) + 1 or len(code))
         for s in re.compile(r"([A-Za-z_]\w*)(?:\[[^\]\n]*\])?\s+(?!=)\S" if not m[1] else r"(?:(?<=\n)|(?<=\())[ \t]*([A-Za-z_]\w*)(?:\[[^\]\n]*\])?[ \t]+(?!=)\S", re.MULTILINE).finditer(code, m.end(), stop):
             out.append(Span(s.start(1), _until_line(code, s.end() - 1), s[1], True))
             if not m[1]:
@@ -158,43 +218,43 @@ def _until_line(code: str, at: int) -> int:
     """The end of a block that opens before the line does, or of the line."""
     while at < len(code) and code[at] != "\n":
         if code[at] in "({[":
-            at = _closing(code, at, {"(": "()", "{": "{}", "[": "[]"}[code[at]])
+            at = closing(code, at, _PAIRS[code[at]])
             continue
         at += 1
     return at - (at > 0 and code[at - 1 : at] == "\r")
 
 
-def _rust_spans(code: str, text: str) -> list[Span]:
+def _rust_spans(code: str) -> list[Span]:
     lead = r"(?:\bpub(?:\([^)]*\))?\s+)?"
     out = [Span(m.start(), _until(code, m.end()), m[1]) for m in re.finditer(lead + r"(?:\b(?:const|async|unsafe|default|extern(?:\s+\"?\s*\"?)?)\s+)*\bfn\s+([A-Za-z_]\w*)", code)]
     out += [Span(m.start(), _until(code, m.end()), m[2], True) for m in re.finditer(lead + r"(?:unsafe\s+)?\b(struct|enum|trait)\s+([A-Za-z_]\w*)", code)]
     for m in re.finditer(r"^[ \t]*(?:unsafe\s+)?impl\b\s*(?:<[^{]*?>\s*)?([^{;]*?)\s*(?:\bwhere\b[^{]*)?\{", code, re.MULTILINE):
         of = re.split(r"\bfor\b", m[1])[-1].strip()
-        out.append(Span(m.start(), _closing(code, m.end() - 1), of, scope_only=True))
+        out.append(Span(m.start(), closing(code, m.end() - 1), of, scope_only=True))
     return out
 
 
-def _bash_spans(code: str, text: str) -> list[Span]:
-    form = r"(?:^|(?<=[;&|\n]))[ \t]*(?:function[ \t]+([\w:.-]+)[ \t]*(?:\([ \t]*\))?|([\w:.-]+)[ \t]*\([ \t]*\))\s*\{"
-    return [Span(m.start() + len(m[0]) - len(m[0].lstrip()), _closing(code, m.end() - 1), m[1] or m[2]) for m in re.finditer(form, code, re.MULTILINE)]
+def _bash_spans(code: str) -> list[Span]:
+    form = r"(?:^|(?<=[;&|{(\n]))[ \t]*(?:function[ \t]+([\w:.-]+)[ \t]*(?:\([ \t]*\))?|([\w:.-]+)[ \t]*\([ \t]*\))\s*([{(])"
+    return [Span(m.start() + len(m[0]) - len(m[0].lstrip()), closing(code, m.end() - 1, _PAIRS[m[3]]), m[1] or m[2]) for m in re.finditer(form, code, re.MULTILINE)]
 
 
-def _powershell_spans(code: str, text: str) -> list[Span]:
+def _powershell_spans(code: str) -> list[Span]:
     out = [Span(m.start(), _until(code, m.end()), m[1]) for m in re.finditer(r"(?i)\b(?:function|filter|workflow)\s+([\w:.-]+)", code)]
     classes = [Span(m.start(), _until(code, m.end()), m[1], True) for m in re.finditer(r"(?i)^\s*class\s+([A-Za-z_]\w*)", code, re.MULTILINE)]
     classes = [Span(s.start + len(code[s.start :]) - len(code[s.start :].lstrip()), s.end, s.name, True) for s in classes]
     for c in classes:
         for m in re.compile(r"(?:(?:\bstatic|\bhidden)\s+)*(?:\[[^\]\n]*\]\s*)?(?<![\w$.])([A-Za-z_]\w*)\s*\(", re.IGNORECASE).finditer(code, c.start, c.end):
-            end = _body(code, m.end() - 1, r"(?i)\s*(?::\s*base\s*\([^)]*\)\s*)?\{") if m[1].lower() not in _NO_METHOD else None
+            end = _body(code, m.end() - 1, r"(?i)\s*(?::\s*base\s*\([^)]*\)\s*)?\{") if m[1].lower() not in _NO_METHOD | {"base"} else None
             if end and code.count("{", c.start, m.start()) - code.count("}", c.start, m.start()) == 1:
                 out.append(Span(m.start(), end, m[1]))
     return out + classes
 
 
-_SPANS: dict[str, Callable[[str, str], list[Span]]] = {
+_SPANS: dict[str, Callable[[str], list[Span]]] = {
     "csharp": _csharp_spans,
-    "javascript": lambda code, text: _script_spans(code, text, r"\s*\{"),
-    "typescript": lambda code, text: _script_spans(code, text, r"\s*(?::\s*(?:[^{};=]|\{[^{}]*\})*?)?\s*\{"),
+    "javascript": lambda code: _script_spans(code, False),
+    "typescript": lambda code: _script_spans(code, True),
     "go": _go_spans,
     "rust": _rust_spans,
     "bash": _bash_spans,
@@ -207,17 +267,18 @@ def definitions(text: str, language: str) -> list[tuple[str, str, int, int, str]
 
     Of definitions with the same name and kind the one that comes last here counts, so the earliest of a text does.
     """
-    spans = python_spans(text) if language == "python" else _SPANS[language](masked(text, language), text)
+    spans = python_spans(text) if language == "python" else _SPANS[language](masked(text, language))
     spans.sort(key=lambda s: (s.start, -s.end))
     out: list[tuple[str, str, int, int, str]] = []
     open_: list[Span] = []
+    breaks = [m.start() for m in re.finditer("\n", text)]
     for s in spans:
         while open_ and open_[-1].end <= s.start:
             open_.pop()
         if not s.scope_only and s.name:
             name = ".".join([*(o.name for o in open_ if o.name), s.name])
-            last = text.count("\n", 0, max(s.start, s.end - 1)) + 1
-            out.append((name, "class" if s.is_class else "function", text.count("\n", 0, s.start) + 1, last, text[s.start : s.end]))
+            last = bisect_left(breaks, max(s.start, s.end - 1)) + 1
+            out.append((name, "class" if s.is_class else "function", bisect_left(breaks, s.start) + 1, last, text[s.start : s.end]))
         open_.append(s)
     return out[::-1]
 

@@ -438,18 +438,18 @@ def html_sections(spark, sf_dir):
     return sections.tag_counts(table(spark, sf_dir, "pages"))
 
 
-def _code(name: str, file: str) -> None:
-    rows = fixtures.CODE[file]
+def _code(name: str, *files: str) -> None:
+    rows = [(file, *row) for file in files for row in fixtures.CODE[file]]
 
     def run(spark, sf_dir):
-        return code.code_symbols(_fixture(spark, file)).select("symbol_name", "kind", "start_line", "end_line")
+        return code.code_symbols(_fixture(spark, *files)).select("file_path", "symbol_name", "kind", "start_line", "end_line")
 
     run.__name__ = name
-    _query(_values(rows, "symbol_name, kind, start_line, end_line"))(run)
+    _query(_values(rows, "file_path, symbol_name, kind, start_line, end_line"))(run)
 
 
-for _name, _file in (("py_symbols", "shop.py"), ("rust_symbols", "shop.rs"), ("bash_symbols", "deploy.sh"), ("ts_symbols", "cart.ts"), ("js_symbols", "cart.js"), ("go_symbols", "shop.go"), ("cs_symbols", "Shop.cs"), ("ps_symbols", "Shop.ps1")):
-    _code(_name, _file)
+for _name, *_files in (("py_symbols", "shop.py", "odd.py"), ("rust_symbols", "shop.rs", "odd.rs"), ("bash_symbols", "deploy.sh", "odd.sh"), ("ts_symbols", "cart.ts", "odd.ts"), ("js_symbols", "cart.js", "odd.js"), ("go_symbols", "shop.go", "odd.go"), ("cs_symbols", "Shop.cs", "Odd.cs"), ("ps_symbols", "Shop.ps1", "Odd.ps1")):
+    _code(_name, *_files)
 
 
 _NAMES = ["  ## Getting   started ## ", "..\\lib\\My.Core.csproj", "Serilog.Sinks.File", "a/b c!.txt", "{urn:x}Tag", "ns:Item", "plain"]
