@@ -119,19 +119,20 @@ class Engine:
     def is_stale(self, root: str | Path, store: Store) -> bool:
         """Whether the tree has changed since the index was made; contents are only hashed if nothing cheaper tells."""
         meta = store.metadata()
-        if meta is None or not isinstance(meta.get("indexed_at"), (int, float)):
+        if meta is None:
             return True
+        last = meta["indexed_at"] if isinstance(meta.get("indexed_at"), (int, float)) else store.newest()
         definitions = meta.get("definitions") is True
         can = schema.extensions(definitions, self.installed)
         known = set(meta["indexed_extensions"]) if isinstance(meta.get("indexed_extensions"), list) else None
         indexed = store.files()
         every = schema.extensions(definitions) | can | (known or set())
         listing = scan.candidates(self.spark, str(root), every)
-        cheap = reconcile.stale_flags(listing.select("rel", F.lit(None).cast("string").alias("sha1"), "mtime"), indexed, float(meta["indexed_at"]), can, known)
+        cheap = reconcile.stale_flags(listing.select("rel", F.lit(None).cast("string").alias("sha1"), "mtime"), indexed, float(last), can, known)
         if cheap.filter("newer or new_extension or deleted or added").limit(1).count():
             return True
         disk = scan.candidates(self.spark, str(root), every, content=True).select("rel", F.sha1("content").alias("sha1"), "mtime")
-        return bool(reconcile.is_stale(reconcile.stale_flags(disk, indexed, float(meta["indexed_at"]), can, known)).first()[0])
+        return bool(reconcile.is_stale(reconcile.stale_flags(disk, indexed, float(last), can, known)).first()[0])
 
     def missing_grammars(self, root: str | Path) -> list[dict]:
         if self.installed is None:
@@ -149,7 +150,7 @@ class Engine:
         try:
             summary = reconcile.summary(store.symbols()).first()
             out |= {"indexed_files": summary["files"], "indexed_symbols": summary["documents"], "dimension": store.dimension(), "languages": [x for x in (summary["languages"] or "").split(",") if x]}
-            out["last_indexed_at"] = (store.metadata() or {}).get("indexed_at")
+            out["last_indexed_at"] = (store.metadata() or {}).get("indexed_at") or store.newest()
             if root:
                 out |= {"stale": self.is_stale(Path(root).resolve(), store), "missing_grammars": self.missing_grammars(root)}
         except (IndexError_, OSError) as e:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import fcntl
 import json
 import os
+import shutil
 from pathlib import Path
 
 from codelode import schema
@@ -12,35 +13,54 @@ from codelode import schema
 NAME = "codelode"
 
 
+#: Agents that need more than the server's entry: what is added to it.
+HARNESSES = {"pi": {"directTools": True}}
+#: A file that, like an index, opts a workspace in to the session hook.
+MARKER = ".codelode.yaml"
+
+
 def _load(path: Path) -> dict:
+    """The object that a file holds; empty if there is none that reads as one."""
     try:
         known = json.loads(path.read_text(encoding="utf-8"))
-    except FileNotFoundError:
+    except (OSError, ValueError):
         return {}
-    except ValueError as e:
-        raise ValueError(f"{path} is not JSON") from e
-    if not isinstance(known, dict):
-        raise ValueError(f"{path} does not hold an object")
-    return known
+    return known if isinstance(known, dict) else {}
+
+
+def _member(known: dict, name: str, kind: type):
+    """A member of its kind; an empty one in place of anything else."""
+    return kind(known[name]) if isinstance(known.get(name), kind) else kind()
 
 
 def _save(path: Path, value: dict, old: dict) -> bool:
-    if value == old:
+    if value == old and path.exists():
         return False
     path.parent.mkdir(parents=True, exist_ok=True)
     path.write_text(json.dumps(value, indent=2) + "\n", encoding="utf-8")
     return True
 
 
-def merge_server(root: Path, db: Path) -> bool:
-    """Names this server in .mcp.json, leaving all else as it is; whether that changed the file."""
+def merge_server(root: Path, db: Path, harness: str | None = None) -> bool:
+    """Names this server in .mcp.json, leaving all else that reads as it is; whether that changed the file."""
     path = root / ".mcp.json"
     old = _load(path)
     where = db.relative_to(root).as_posix() if db.is_relative_to(root) else str(db)
-    servers = {**old.get("mcpServers", {}), NAME: {"command": NAME, "args": ["serve", "--db", where]}}
+    servers = _member(old, "mcpServers", dict) | {NAME: {"command": NAME, "args": ["serve", "--db", where], **HARNESSES.get(harness, {})}}
     return _save(path, {**old, "mcpServers": servers}, old)
 
 
+def harness_report(root: Path, harness: str | None) -> dict | None:
+    """What a harness needs besides, and whether it is there."""
+    if not harness:
+        return None
+    home = Path(os.environ.get("PI_CODING_AGENT_DIR") or Path.home() / ".pi" / "agent")
+    adapter = any((p / "npm" / "node_modules" / "pi-mcp-adapter").exists() for p in (home, root / ".pi"))
+    program = shutil.which(harness)
+    missing = [what for what, there in ((harness, program), ("pi-mcp-adapter", adapter)) if not there]
+    return {"name": harness, "config_path": ".mcp.json", "requirements": {harness: {"installed": program is not None, "executable": program}, "adapter": {"installed": adapter}}, "guidance": [f"install {m}" for m in missing]}
+
+
 def merge_gitignore(root: Path) -> bool:
     path = root / ".gitignore"
     text = path.read_text(encoding="utf-8") if path.exists() else ""
@@ -51,15 +71,15 @@ def merge_gitignore(root: Path) -> bool:
     return True
 
 
-def install_hook(root: Path) -> bool:
-    """Adds the session hook to .cursor/hooks.json once."""
-    path = root / ".cursor" / "hooks.json"
-    old = _load(path)
-    hooks = dict(old.get("hooks", {}))
-    command = {"command": f"{NAME} hook session-start"}
-    if command not in hooks.get("sessionStart", []):
-        hooks["sessionStart"] = [*hooks.get("sessionStart", []), command]
-    return _save(path, {"version": 1, **old, "hooks": hooks}, old)
+def install_hook(folder: Path | None = None) -> dict:
+    """Adds the session hook to the user's hooks.json once, in place of an older entry of its own."""
+    path = (folder or Path.home() / ".cursor") / "hooks.json"
+    created, old = not path.exists(), _load(path)
+    hooks, command = _member(old, "hooks", dict), f"{NAME} hook session-start"
+    others = [e for e in _member(hooks, "sessionStart", list) if not (isinstance(e, dict) and command in str(e.get("command") or ""))]
+    hooks["sessionStart"] = [*others, {"command": command, "type": "command"}]
+    changed = _save(path, {"version": 1, **old, "hooks": hooks}, old)
+    return {"hooks_path": str(path), "created": created, "changed": changed}
 
 
 def read_configs(root: Path) -> dict:
@@ -68,23 +88,28 @@ def read_configs(root: Path) -> dict:
     for name in (".mcp.json", ".cursor/mcp.json"):
         path = root / name
         try:
-            out[name] = {"exists": path.exists(), "configured": NAME in _load(path).get("mcpServers", {}), "error": None}
-        except (ValueError, OSError, TypeError) as e:
+            known = json.loads(path.read_text(encoding="utf-8"))
+            out[name] = {"exists": True, "configured": NAME in _member(known, "mcpServers", dict), "error": None} if isinstance(known, dict) else {"exists": True, "configured": None, "error": "not an object"}
+        except FileNotFoundError:
+            out[name] = {"exists": False, "configured": False, "error": None}
+        except (ValueError, OSError) as e:
             out[name] = {"exists": True, "configured": None, "error": str(e)}
     return out
 
 
-def init(engine, root: str | Path, db: str | Path | None = None, *, skip_index: bool = False, auto_index: bool = False, force: bool = False) -> dict:
-    """Merges the configuration and makes the first index."""
+def init(engine, root: str | Path, db: str | Path | None = None, *, skip_index: bool = False, auto_index: bool = False, force: bool = False, harness: str | None = None, hooks: Path | None = None) -> dict:
+    """Merges the configuration and makes the first index; without an index any folder will do, as no tree is walked."""
     from codelode.api import check_root
 
-    top = check_root(root, force)
+    if harness is not None and harness not in HARNESSES:
+        raise ValueError(f"unsupported harness {harness!r}; one of {', '.join(HARNESSES)}")
+    top = check_root(root, force or skip_index)
     where = Path(db).resolve() if db else top / schema.INDEX_DIR
-    out = {"status": "ok", "root": str(top), "db": str(where), "mcp_config_changed": merge_server(top, where), "gitignore_changed": merge_gitignore(top), "missing_grammars": engine.missing_grammars(top)}
+    out = {"status": "ok", "root": str(top), "db": str(where), "mcp_config_changed": merge_server(top, where, harness), "gitignore_changed": merge_gitignore(top), "harness": harness_report(top, harness), "missing_grammars": engine.missing_grammars(top)}
     if not skip_index:
         out["index"] = engine.index(top, where, force=force)
     if auto_index:
-        out["hook_changed"] = install_hook(top)
+        out["hook_changed"] = install_hook(hooks)["changed"]
     return out
 
 
@@ -94,14 +119,15 @@ def session_start(engine, cwd: str | Path) -> dict:
         from codelode.api import check_root
 
         here = Path(cwd).resolve()
-        root = next((p for p in (here, *here.parents) if (p / schema.INDEX_DIR).is_dir()), None)
+        root = next((p for p in (here, *here.parents) if (p / schema.INDEX_DIR).is_dir() or (p / MARKER).is_file()), None)
         if root is None:
-            return {"status": "skipped", "reason": "no index in this folder or above"}
+            return {"status": "skipped", "reason": "no index or marker in this folder or above"}
         check_root(root)
+        engine = engine() if callable(engine) else engine
         status = engine.status(root=root)
         if status["exists"] and status["stale"] is False:
             return {"status": "skipped", "reason": "fresh"}
-        definitions = bool((json.loads((root / schema.INDEX_DIR / "metadata.json").read_text()) or {}).get("definitions")) if status["exists"] and not status["error"] else False
+        definitions = bool(_load(root / schema.INDEX_DIR / "metadata.json").get("definitions")) if status["exists"] and not status["error"] else False
         return {"status": "indexed", "index": engine.index(root, definitions=definitions)}
     except Exception as e:  # the hook must not stop a session
         return {"status": "error", "error": str(e)[:200]}

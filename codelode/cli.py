@@ -12,25 +12,30 @@ from pyspark.sql import SparkSession
 
 from codelode import __version__, bootstrap, schema
 from codelode.api import Engine, IndexError_, LockedError, UnsafeRootError
+from codelode.functions.embed import named_model
 from codelode.operators.search import CANDIDATES, DENSE_WEIGHT, LEXICAL_WEIGHT, TOP, FilterError
 
+#: Texts that a model embeds at a time, unless told otherwise.
+BATCH = 128
+
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("codelode")
     p.add_argument("--version", action="store_true")
     sub = p.add_subparsers(dest="command")
     add = lambda name, *args: _with(sub.add_parser(name), args)
-    add("index", "path", "--db", "!--reset", "!-D/--definitions", "!--force")
-    q = add("query", "text", "--db", "--filter", "--kind", "--lang", "--root", "!--tokens")
+    i = add("index", "path", "--db", "--model", "!--reset", "!-D/--definitions", "!--force")
+    i.add_argument("--batch", type=int, default=BATCH)
+    q = add("query", "text", "--db", "--model", "--filter", "--kind", "--lang", "--root", "!--tokens")
     q.add_argument("-n", "--top", type=int, default=TOP)
     q.add_argument("--candidates", type=int, default=CANDIDATES)
     q.add_argument("--w-dense", type=float, default=DENSE_WEIGHT)
     q.add_argument("--w-lexical", type=float, default=LEXICAL_WEIGHT)
     add("status", "--db", "--root")
     add("doctor", "--db", "--root")
-    add("init", "path", "--db", "!--skip-index", "!--auto-index", "!--force")
+    add("init", "path", "--db", "--model", "--harness", "!--skip-index", "!--auto-index", "!--force")
     add("hook", "action")
-    add("serve", "--db")
+    add("serve", "--db", "--model")
     return p
 
 
@@ -62,11 +67,9 @@ def run(a: argparse.Namespace, engine: Engine) -> tuple[dict, int]:
     if a.command == "doctor":
         return engine.doctor(a.db, root), 0
     if a.command == "init":
-        return bootstrap.init(engine, a.path, a.db, skip_index=a.skip_index, auto_index=a.auto_index, force=a.force), 0
+        return bootstrap.init(engine, a.path, a.db, skip_index=a.skip_index, auto_index=a.auto_index, force=a.force, harness=a.harness), 0
     if a.action == "install":
-        return {"status": "ok", "changed": bootstrap.install_hook(Path.cwd())}, 0
-    if a.action == "session-start":
-        return bootstrap.session_start(engine, os.getcwd()), 0
+        return {"status": "ok", "hook": bootstrap.install_hook()}, 0
     raise ValueError(f"unknown action {a.action!r}")
 
 
@@ -79,8 +82,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if not a.command:
         p.print_help(sys.stderr)
         return 2
+    if a.command == "hook" and a.action == "session-start":  # whatever goes wrong, a session starts
+        print(json.dumps(bootstrap.session_start(lambda: Engine(spark or _session()), os.getcwd()), default=str))
+        return 0
     try:
-        engine = Engine(spark or _session())
+        model = getattr(a, "model", None)
+        engine = Engine(spark or _session(), named_model(model, getattr(a, "batch", BATCH)) if model else None)
         if a.command == "serve":
             from codelode.server import serve
 

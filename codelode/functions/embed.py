@@ -102,6 +102,24 @@ class ModelEmbedder:
         return self._unit(self.load()([text])[0])
 
 
+def named_model(name: str, batch: int = 128) -> ModelEmbedder:
+    """A model of the sentence-transformers library by its name; texts go through it in batches of so many."""
+    try:
+        from sentence_transformers import SentenceTransformer
+    except ImportError as e:
+        raise ValueError(f"the model {name!r} needs the package sentence-transformers") from e
+    if batch < 1:
+        raise ValueError("a batch holds at least one text")
+
+    def load() -> Callable[[list[str]], list[list[float]]]:
+        from sentence_transformers import SentenceTransformer
+
+        model = SentenceTransformer(name)
+        return lambda texts: model.encode(texts, batch_size=batch, normalize_embeddings=True, convert_to_numpy=True, show_progress_bar=False).tolist()
+
+    return ModelEmbedder(load, int(SentenceTransformer(name).get_sentence_embedding_dimension()))
+
+
 def dot(vector: Column, query: list[float]) -> Column:
     """The product with a literal vector, a term for each entry that counts, so that whole-stage codegen applies."""
     out = F.lit(0.0)

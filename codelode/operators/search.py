@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -12,7 +13,7 @@ from codelode.functions import text as X
 # Weights of the two scores, hits and size of the pool.
 DENSE_WEIGHT, LEXICAL_WEIGHT, TOP, CANDIDATES = 0.7, 0.3, 3, 30
 
-_LEXEMES = re.compile(r"\s*(?:(?P<string>'(?:[^']|'')*')|(?P<number>\d+(?:\.\d+)?)|(?P<op><>|!=|<=|>=|<|>|=(?!=)|\(|\)|,)|(?P<word>[A-Za-z_]\w*))")
+_LEXEMES = re.compile(r"\s*(?:(?P<string>'(?:[^']|'')*')|(?P<number>[+-]?\d+(?:\.\d+)?)|(?P<op><>|!=|<=|>=|<|>|=(?!=)|\(|\)|,)|(?P<word>[A-Za-z_]\w*))")
 _KEYWORDS = {"and", "or", "not", "in", "like", "is", "null", "between"}
 
 
@@ -86,11 +87,25 @@ def hybrid_query(symbols: DataFrame, similarity: Column, query_text: str, *, top
     return hits.select("rank", F.round("final", 4).alias("score"), F.round("dense_similarity", 4).alias("dense_similarity"), F.round("lex", 4).alias("lexical_score"), *schema.SYMBOL_COLUMNS)
 
 
+#: Queries of a batch that are sent to all tasks at a time.
+QUERY_BLOCK = 10_000
+
+
 def batched_topk(rows: DataFrame, queries: DataFrame, similarity: Column, k: int, by: str, tie: str) -> DataFrame:
-    """The k best rows for each of a stated set of queries (a small table), ranked from 1; partial ranks precede the shuffle."""
+    """The k best rows for each of a stated set of queries, ranked from 1; partial ranks precede the shuffle.
+
+    The queries are counted, and a large set is taken in blocks.
+    """
     w = Window.partitionBy(by).orderBy(F.desc("dense_similarity"), tie)
-    scored = rows.crossJoin(F.broadcast(queries)).withColumn("dense_similarity", F.greatest(F.lit(0.0), similarity))
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+    def best(some: DataFrame) -> DataFrame:
+        scored = rows.crossJoin(F.broadcast(some)).withColumn("dense_similarity", F.greatest(F.lit(0.0), similarity))
+        return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    if blocks <= 1:
+        return best(queries)
+    return reduce(DataFrame.unionByName, (best(queries.filter(F.pmod(F.xxhash64(by), F.lit(blocks)) == b)) for b in range(blocks)))
 
 
 def token_rows(hits: DataFrame) -> DataFrame:
@@ -101,7 +116,9 @@ def token_rows(hits: DataFrame) -> DataFrame:
 def token_files(hits: DataFrame, files: DataFrame) -> DataFrame:
     """(file_path, full_file_tokens, reason): each file with a hit once; files: file_path, text, and unreadable if known."""
     known = files if "unreadable" in files.columns else files.withColumn("unreadable", F.lit(False))
-    found = hits.select("file_path").distinct().join(known.select("file_path", "text", "unreadable", F.lit(True).alias("there")), "file_path", "left")
+    paths = F.broadcast(hits.select("file_path").distinct())  # a query's hits are few
+    wanted = known.select("file_path", "text", "unreadable", F.lit(True).alias("there")).join(paths, "file_path", "left_semi")
+    found = hits.select("file_path").distinct().join(wanted, "file_path", "left")
     reason = F.when(F.col("there").isNull(), "not_found").when(F.col("unreadable"), "unreadable")
     return found.select("file_path", F.when(reason.isNull(), X.estimate_tokens("text")).alias("full_file_tokens"), reason.alias("reason"))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import re
 import subprocess
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from codelode import schema
@@ -18,13 +21,28 @@ AGENT_FILES = (".cursorrules", "agents.md", "claude.md", "codex.md", "copilot-in
 GIT_TIMEOUT = 30
 
 
-def list_files(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """(rel, mtime, size[, content]) of all files below a root; without content only the listing is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def folders(root: str, ignore: tuple[str, ...] = ()) -> list[str]:
+    """A root and all folders below it that are looked into; those that are skipped are not entered."""
+    names, out = {*SKIPPED, *ignore}, []
+    for folder, below, _ in os.walk(root):
+        below[:] = sorted(d for d in below if d not in names)
+        out.append(folder)
+    return out
+
+
+def list_files(spark: SparkSession, root: str, content: bool = False, *, ignore: tuple[str, ...] = (), extensions: set[str] | None = None) -> DataFrame:
+    """(rel, mtime, size[, content]) of the files below a root, but for skipped folders; without content only the listing is read.
+
+    Other extensions are not opened, in any case of letters; a file that cannot be read is left out.
+    """
+    reader = spark.read.format("binaryFile").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    if extensions:
+        either = lambda e: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e)
+        reader = reader.option("pathGlobFilter", "*{" + ",".join(either(e) for e in sorted(extensions)) + "}")
     top = str(root).rstrip("/") + "/"
+    files = reader.load([re.sub(r"([\[\]{}*?\\])", r"\\\1", f"file://{d}") for d in folders(str(root), ignore)])
     path = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:/*(?=/)", "")
-    rel = F.substring(path, len(re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*(?=/)", "", top)) + 1, 1 << 20)
-    return files.select(rel.alias("rel"), F.col("modificationTime").cast("double").alias("mtime"), F.col("length").alias("size"), *(["content"] if content else []))
+    return files.select(F.substring(path, len(top) + 1, 1 << 20).alias("rel"), F.col("modificationTime").cast("double").alias("mtime"), F.col("length").alias("size"), *(["content"] if content else []))
 
 
 def not_skipped(rel: str | Column = "rel", ignore: tuple[str, ...] = ()) -> Column:
@@ -111,14 +129,18 @@ def read_ignore(root: str) -> IgnoreRules:
 def candidates(spark: SparkSession, root: str, extensions: set[str], *, ignore: tuple[str, ...] = (), content: bool = False) -> DataFrame:
     """Files to index: of the extensions, not skipped, no agent instructions, not ignored by git or the ignore file.
 
-    The listing is Spark's; only relative paths reach the driver, for git to judge.
+    Folders that are skipped are never listed; git judges the paths batch by batch, where the files are read.
     """
     root = str(Path(root).resolve())
-    files = list_files(spark, root, content).filter(not_skipped("rel", ignore) & not_agent_file("rel") & has_extension(extensions, "rel")).filter(~read_ignore(root).column("rel"))
-    dropped = git_ignored(root, [r[0] for r in files.select("rel").toLocalIterator()])
-    if dropped:
-        files = files.join(spark.createDataFrame([(d,) for d in sorted(dropped)], "rel string"), "rel", "left_anti")
-    return files
+    files = list_files(spark, root, content, ignore=ignore, extensions=extensions)
+    files = files.filter(not_skipped("rel", ignore) & not_agent_file("rel") & has_extension(extensions, "rel")).filter(~read_ignore(root).column("rel"))
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dropped = git_ignored(root, batch.column(0).to_pylist())
+            yield batch.filter(pa.array([r not in dropped for r in batch.column(0).to_pylist()], pa.bool_())) if dropped else batch
+
+    return files.mapInArrow(judged, files.schema)
 
 
 def coverage(files: DataFrame, registry: DataFrame, installed: frozenset[str] | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ import contextlib
 import fcntl
 import json
 import os
+import re
 import shutil
 import threading
 import time
@@ -37,6 +38,8 @@ class LockedError(RuntimeError):
 
 class Store:
     def __init__(self, spark: SparkSession, db: str | Path) -> None:
+        if re.match(r"[A-Za-z][A-Za-z0-9+.-]*://", str(db)):
+            raise ValueError(f"{db}: an index is kept in a folder that the driver and all executors mount")
         self.spark, self.db = spark, Path(db).resolve()
 
     def exists(self) -> bool:
@@ -51,19 +54,19 @@ class Store:
             raise IndexError_(f"damaged pointer in {self.db}") from e
 
     def _path(self, kind: str, version: int) -> str:
-        return str(self.db / f"{kind}-v{version}")
+        return f"file://{self.db}/{kind}-v{version}"  # never the default file system's
 
     def symbols(self) -> DataFrame:
         """The current snapshot: id, the symbol columns, embed_hash and embedding."""
         version = self.version()
-        if version is None or not Path(self._path("symbols", version)).is_dir():
+        if version is None or not (self.db / f"symbols-v{version}").is_dir():
             raise IndexError_(f"no readable index at {self.db}")
         return self.spark.read.schema(_SNAPSHOT).parquet(self._path("symbols", version))
 
     def files(self) -> DataFrame:
         """rel and sha1 of the files that were walked."""
         version = self.version()
-        if version is None or not Path(self._path("files", version)).is_dir():
+        if version is None or not (self.db / f"files-v{version}").is_dir():
             raise IndexError_(f"no readable index at {self.db}")
         return self.spark.read.parquet(self._path("files", version))
 
@@ -75,6 +78,12 @@ class Store:
             return None
         return known if isinstance(known, dict) else None
 
+    def newest(self) -> float | None:
+        """The last time that a file of the index changed; the folder's own time if it has none."""
+        if not self.db.exists():
+            return None
+        return max((p.stat().st_mtime for p in self.db.rglob("*") if p.is_file()), default=self.db.stat().st_mtime)
+
     @contextlib.contextmanager
     def writing(self) -> Iterator[None]:
         """Holds this process's and the file's lock; LockedError if another process writes."""
@@ -101,7 +110,7 @@ class Store:
         """Writes both tables as the next version and makes it current; older versions but the last one go."""
         known = [int(p.name.rpartition("-v")[2]) for p in self.db.glob("*-v*") if p.name.rpartition("-v")[2].isdigit()]
         version = max(known, default=0) + 1
-        symbols.repartition("language").sortWithinPartitions("file_path", "start_line").write.partitionBy("language").parquet(self._path("symbols", version))
+        symbols.repartitionByRange("language", "file_path").sortWithinPartitions("language", "file_path", "start_line").write.partitionBy("language").parquet(self._path("symbols", version))
         files.write.parquet(self._path("files", version))
         self._replace(_METADATA, json.dumps(metadata | {"version": METADATA_VERSION, "indexed_at": time.time()}, indent=2, sort_keys=True))
         self._replace(_POINTER, str(version))
@@ -116,7 +125,7 @@ class Store:
 
     def staged(self, df: DataFrame, name: str) -> DataFrame:
         """df, computed once and read back from a folder of the index that the next call replaces."""
-        path = str(self.db / f"stage-{name}")
+        path = f"file://{self.db}/stage-{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 

@@ -172,7 +172,12 @@ def test_command_line(spark, tree, capsys, monkeypatch):
     assert run("query", "login", "--db", tree / "nothing") == (1, None)
     assert run("status", "--root", tree)[1]["stale"] is False
     assert run("doctor", "--root", tree)[1]["locks"]["serve"] == {"locked": False, "pid": None}
+    monkeypatch.setenv("HOME", str(tree.parent / "home"))
+    (tree / ".mcp.json").write_text('{"mcpServers": [], "kept": 1')
+    assert run("init", tree, "--skip-index", "--harness", "nope") == (1, None)
     code, out = run("init", tree, "--auto-index", "--skip-index")
+    hooks = json.loads((tree.parent / "home/.cursor/hooks.json").read_text())
+    assert hooks["hooks"]["sessionStart"] == [{"command": "codelode hook session-start", "type": "command"}]
     assert out["mcp_config_changed"] and out["gitignore_changed"] and out["hook_changed"]
     code, out = run("init", tree, "--auto-index", "--skip-index")
     assert not (out["mcp_config_changed"] or out["gitignore_changed"] or out["hook_changed"])
@@ -181,6 +186,51 @@ def test_command_line(spark, tree, capsys, monkeypatch):
     assert run("hook", "session-start")[1] == {"status": "skipped", "reason": "fresh"}
 
 
+def test_init_in_odd_places(engine, tmp_path, monkeypatch, capsys):
+    from codelode import bootstrap, cli
+
+    monkeypatch.setenv("HOME", str(tmp_path))
+    for text in ("{", "[]", '{"mcpServers": []}', '{"mcpServers": {"x": {}}, "y": 2}'):
+        (tmp_path / ".mcp.json").write_text(text)
+        out = bootstrap.init(engine, tmp_path, skip_index=True, harness="pi")
+        known = json.loads((tmp_path / ".mcp.json").read_text())
+        assert out["mcp_config_changed"] and known["mcpServers"]["codelode"]["directTools"] and out["harness"]["name"] == "pi"
+    assert set(known) == {"mcpServers", "y"} and set(known["mcpServers"]) == {"x", "codelode"}
+    with pytest.raises(UnsafeRootError):
+        bootstrap.init(engine, tmp_path)
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / bootstrap.MARKER).write_text("")
+    (tmp_path / "w" / "a.py").write_text("def f():\n    pass\n")
+    monkeypatch.chdir(tmp_path / "w")
+    assert cli.main(["hook", "session-start"], engine.spark) == 0 and json.loads(capsys.readouterr().out)["index"]["indexed_symbols"] == 1
+    assert bootstrap.session_start(lambda: 1 / 0, tmp_path / "w")["status"] == "error"
+    assert cli.main(["index", str(tmp_path / "w"), "--model", "none/such"], engine.spark) == 1
+
+
+def test_index_time_falls_back_to_the_files(engine, tree):
+    engine.index(tree)
+    path = tree / schema.INDEX_DIR / "metadata.json"
+    known = json.loads(path.read_text())
+    del known["indexed_at"]
+    path.write_text(json.dumps(known))
+    status = engine.status(root=tree)
+    assert status["stale"] is False and abs(status["last_indexed_at"] - path.stat().st_mtime) < 60
+
+
+def test_what_is_skipped_is_not_opened(spark, engine, tree):
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "2000")
+    try:
+        for name in ("node_modules/[x]/big.py", "pkg/[odd]{1}/small.py"):
+            (tree / name).parent.mkdir(parents=True)
+            (tree / name).write_text("def inner():\n    pass\n" + ("#" * 5000 if "big" in name else ""))
+        (tree / "pkg/big.bin").write_bytes(b"x" * 9000)
+        assert engine.index(tree)["indexed_files"] == 3
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    with pytest.raises(ValueError):
+        Store(spark, "hdfs://here/there")
+
+
 def test_server_answers(engine, tree):
     from codelode.server import answer, tools
 
@@ -205,10 +255,15 @@ def test_stream_of_changed_files(spark, tmp_path):
         (folder / name).write_text("\n".join(json.dumps(r) for r in rows))
         reindex.start(spark, str(folder), target, str(tmp_path / "cp"), extract).awaitTermination()
 
+    def names_of():
+        return {r["symbol_name"] for r in reindex.read(spark, target, extract(spark.createDataFrame([], "file_path string, text string")).schema).collect()}
+
     drop("1.json", [{"rel": "a.md", "text": "# A\n", "seq": 1}, {"rel": "b.md", "text": "# B\n", "seq": 1}, {"rel": "b.md", "text": "# B2\n", "seq": 2}])
-    assert {r["symbol_name"] for r in spark.read.parquet(f"{target}/0").collect()} == {"A", "B2"}
+    assert names_of() == {"A", "B2"}
     drop("2.json", [{"rel": "a.md", "text": None, "seq": 3}, {"rel": "c.md", "text": "# C\n", "seq": 3}])
-    assert {r["symbol_name"] for r in spark.read.parquet(f"{target}/1").collect()} == {"B2", "C"}
+    assert names_of() == {"B2", "C"}
+    reindex.start(spark, str(folder), target, str(tmp_path / "another checkpoint"), extract).awaitTermination()
+    assert names_of() == {"B2", "C"} and len(list((tmp_path / "out").glob("batch-*"))) <= 3
 
 
 def test_scan_filters(spark, tmp_path):
