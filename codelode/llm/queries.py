@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codelode.llm import decontam, jaccard, langid, licenses, line_dedup, packing, pii, quality, secrets, substring
+from codelode.llm import contracts, decontam, jaccard, langid, licenses, line_dedup, packing, pii, quality, secrets, substring
 from codelode.llm._store import prepare
 
 
@@ -26,34 +26,41 @@ def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words, its base phrases, and the labels of all templates that it matches."""
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
 def op4_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base counts, and the verdict of the ratio of trusted and raw text."""
     docs = _table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
 def op5_packing_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, and where they stand in the sequences."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size and the component that links put it in."""
     return jaccard.join(_table(spark, sf_dir, "documents"))
 
 
 def op7_secret_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's spans of secrets, by the fixed patterns and by the models."""
     docs = _table(spark, sf_dir, "documents")
     return secrets.scan(docs, secrets.fit(docs))
 
 
 def op8_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from the documents that are not held out."""
     docs = _table(spark, sf_dir, "documents")
     seen = docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     return langid.predict(docs, langid.fit(seen))
 
 
 def op9_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes, those that repeat, and the digest of the rest."""
     return substring.digest(_table(spark, sf_dir, "documents"))
 
 
@@ -62,8 +69,9 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_templates, op2_pii_pseudonyms, op3_license_templates, op4_quality_ratio, op5_packing_nnls, op6_shingle_join, op7_secret_models, op8_language_families, op9_repeated_substrings, op10_benchmark_leaks)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_templates, op2_pii_pseudonyms, op3_license_templates, op4_quality_ratio, op5_packing_nnls, op6_shingle_join, op7_secret_models, op8_language_families, op9_repeated_substrings, op10_benchmark_leaks)} | contracts.QUERIES
 ORACLE_SQL: dict[str, str] = {
     "op1_line_templates": line_dedup.SQL.format(docs="documents"),
     "op6_shingle_join": jaccard.SQL.format(docs="documents"),
-}
+    "op9_repeated_substrings": contracts.SUBSTRINGS.format(docs="documents", length=substring.LENGTH),
+} | contracts.ORACLE_SQL
