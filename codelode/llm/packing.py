@@ -1,29 +1,40 @@
 """Packing: non-negative least squares over shallow length combinations.
 
 Documents become tokens and an end mark.  Full windows of a long document are
-sequences of their own; what remains (under a window) is packed:
-
-1. short remainders are chained, whole, into units of at least a quarter window;
-2. units are counted by length in steps of ``STEP`` tokens, all combinations of at
-   most ``DEPTH`` lengths that fill the window are enumerated, and non-negative
-   least squares finds how often to repeat each so that the histogram is used up;
-3. the counts are rounded down and carried out, fullest columns first;
-4. units that are left are packed greedily, one sequence after another, and the
-   document that crosses a window's end is cut there at a multiple of ``STEP``.
+sequences of their own; what remains (under a window) is packed, in levels of
+windows of 4, 8, ... up to ``WINDOW`` tokens.  A remainder of a quarter of a
+level's window or more, and less than half, belongs to that level (to the last all
+from a quarter on, to the first all that are shorter).  At each level
+
+1. the lengths, with those of the units that the level below filled, are counted in
+   ``CELLS`` steps, all combinations of at most ``DEPTH`` lengths that fill the window
+   are enumerated, and non-negative least squares finds how often to repeat each
+   so that the histogram is used up;
+2. the counts are rounded down and carried out, then up, the largest fractions
+   first, as long as there are such lengths;
+3. what is filled is a unit of the next level (a sequence at the last), and what is
+   left goes there as it is.
+
+So short documents are planned like long ones.  What the last level leaves is packed
+greedily, one sequence after another, and the document that crosses a window's end
+is cut there at a multiple of ``STEP``.
 
 Tokens are made once.  The first pass keeps, for each document, the checksums of
 its full windows and of each ``STEP`` tokens of the remainder, about a hundred
 bytes; checksums of cut pieces are combined from those.  Documents are dealt into
-groups of about ``GROUP`` by a hash, and each group is packed by itself, so
-neither the driver nor a task ever sees more than a group's lengths.
-
-Edge cases: a null or empty text is the end mark alone; repeated rows are packed
-row by row; ids may be null or equal; an empty table gives no rows; only the id
-and the text are read, so further columns cannot clash.
+groups of about ``GROUP`` by a hash of their place in the pass, and each group is packed
+by itself, so neither the driver nor a task ever sees more than a group's lengths.
+
+Edge cases: a null or empty text is the end mark alone; very long texts are tokenized
+whole, a task's memory growing with the longest; repeated rows are packed row by row
+and spread over all groups; ids may be null or equal; of equal lengths the one with the
+least id is taken last; an empty table gives no rows; only the id and the text are read,
+so further columns cannot clash.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,7 +45,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from codelode.llm import _kernel as K
 
-WINDOW, STEP, DEPTH = 4096, 16, 3
+WINDOW, STEP, DEPTH, CELLS, LEAST_WINDOW = 4096, 16, 3, 256, 4
 #: Documents of a group; more groups make no other difference than one part-filled sequence each.
 GROUP = 50_000
 #: The id that ends each document.
@@ -56,6 +67,19 @@ _CLASS[0x27] = _OTHER
 _CLASS[K.SPACE] = 0
 
 
+#: The normaliser and splitter for which that holds; texts of other tokenizers are encoded whole.
+_NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _parts_at_classes(tokenizer) -> bool:
+    """Whether a tokenizer folds case and splits texts in the way that the memory of pieces relies on."""
+    known = json.loads(tokenizer.to_str())
+    splitter = known["pre_tokenizer"] or {}
+    first = (splitter.get("pretokenizers") or [splitter])[0]
+    return known["normalizer"] == _NORMALISER and first.get("type") == "Split" and first.get("pattern") == {"Regex": _SPLIT} and first.get("behavior") == "Removed" and first.get("invert") is True
+
+
 class Tokens:
     """A tokenizer with a memory of the ids of each piece of text between safe places."""
 
@@ -63,6 +87,7 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_pieces = _parts_at_classes(self.tokenizer)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
 
@@ -91,6 +116,11 @@ class Tokens:
     def encode(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, row after the last, ids with END after each document, offsets) of runs of rows."""
         for first, last, buf, offs in K.chunks(column, 1 << 19):
+            if not self.by_pieces:
+                texts = [buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offs[:-1], offs[1:], strict=True)]
+                ids = [np.array([*e.ids, END], np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+                yield first, last, np.concatenate(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+                continue
             lower = K.LOWER[buf]
             cls = _CLASS[buf]
             edge = np.ones(len(buf) + 1, bool)
@@ -211,14 +241,14 @@ def combinations(cells: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """All ways to fill ``cells`` with at most ``depth`` lengths: the lengths (0: none) and their counts by length."""
     found = []
 
-    def fill(left: int, most: int, own: tuple[int, ...]) -> None:
+    def extend(left: int, most: int, own: tuple[int, ...]) -> None:
         if not left:
             found.append(own + (0,) * (depth - len(own)))
         elif len(own) < depth:
             for x in range(min(left, most), (left - 1) // (depth - len(own)), -1):
-                fill(left - x, x, (*own, x))
+                extend(left - x, x, (*own, x))
 
-    fill(cells, cells, ())
+    extend(cells, cells, ())
     sets = np.array(found)
     a = np.zeros((cells + 1, len(sets)))
     for k in range(depth):
@@ -256,58 +286,65 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
     return x
 
 
-def pack(lengths: np.ndarray) -> list[list[tuple[int, int, int]]]:
-    """Sequences of pieces (document, start, length) that hold each of the lengths (1 to WINDOW - 1) once."""
-    cells, quarter = WINDOW // STEP, WINDOW // 4
-    units: list[list[int]] = []
-    sizes: list[int] = []
-    chain, size = [], 0
-    for k, n in enumerate(lengths.tolist()):
-        if n >= quarter:
-            units.append([k])
-            sizes.append(n)
-            continue
-        chain.append(k)
-        size += n
-        if size >= quarter:
-            units.append(chain)
-            sizes.append(size)
-            chain, size = [], 0
-    if chain:
-        units.append(chain)
-        sizes.append(size)
+def fill(items: list[tuple[int, list[int]]], window: int) -> tuple[list[tuple[int, list[int]]], list[tuple[int, list[int]]]]:
+    """Items (length, documents) put together to fill the window by the plan, and those that are left."""
+    cells = min(CELLS, window)
+    step = window // cells
     by_cell: dict[int, list[int]] = {}
-    for u, n in enumerate(sizes):
-        by_cell.setdefault(-(-n // STEP), []).append(u)
+    for k, (n, _) in enumerate(items):
+        by_cell.setdefault(-(-n // step), []).append(k)
     histogram = np.array([len(by_cell.get(c + 1, ())) for c in range(cells)], float)
     sets, a = combinations(cells, DEPTH)
-    usable = ~np.any(a[histogram == 0] > 0, axis=0) if (histogram == 0).any() else np.ones(a.shape[1], bool)
-    columns = np.flatnonzero(usable)
-    out: list[list[tuple[int, int, int]]] = []
+    columns = np.flatnonzero(~np.any(a[histogram == 0] > 0, axis=0))
+    out = []
     if len(columns):
         repeats = nnls(a[:, columns], histogram)
-        for k in np.argsort(-repeats, kind="stable"):
+        whole = np.floor(repeats + 1e-6)
+        rounds = [(k, int(whole[k])) for k in np.argsort(-repeats, kind="stable")] + [(k, 1) for k in np.argsort(whole - repeats, kind="stable") if repeats[k] - whole[k] > 1e-6]
+        for k, times in rounds:
             own = [int(c) for c in sets[columns[k]] if c]
-            for _ in range(int(round(repeats[k], 6))):
+            for _ in range(times):
                 if any(len(by_cell[c]) < own.count(c) for c in own):
                     break
-                out.append([(d, 0, int(lengths[d])) for c in own for d in units[by_cell[c].pop()]])
+                picked = [by_cell[c].pop() for c in own]
+                out.append((sum(items[k][0] for k in picked), [d for k in picked for d in items[k][1]]))
+    return out, [items[k] for c in sorted(by_cell, reverse=True) for k in by_cell[c]]
+
+
+def plan(lengths: np.ndarray) -> tuple[list[list[int]], list[int]]:
+    """Documents of each sequence that the levels' plans fill, and the documents that are left, the longest items first."""
+    carried: list[tuple[int, list[int]]] = []
+    rest = np.argsort(lengths, kind="stable")
+    window = LEAST_WINDOW
+    while True:
+        n = len(rest) if window == WINDOW else int(np.searchsorted(lengths[rest], window // 2))
+        filled, left = fill(carried + [(int(lengths[k]), [int(k)]) for k in rest[:n]], window)
+        rest = rest[n:]
+        if window == WINDOW:
+            return [own for _, own in filled], [d for _, own in left for d in own]
+        carried = left + filled
+        window *= 2
+
+
+def pack(lengths: np.ndarray) -> list[list[tuple[int, int, int]]]:
+    """Sequences of pieces (document, start, length) that hold each of the lengths (1 to WINDOW - 1) once."""
+    planned, left = plan(lengths)
+    out = [[(d, 0, int(lengths[d])) for d in own] for own in planned]
     row: list[tuple[int, int, int]] = []
     room = WINDOW
-    for u in (u for c in sorted(by_cell, reverse=True) for u in by_cell[c]):
-        for d in units[u]:
-            start, n = 0, int(lengths[d])
-            while n > room:
-                if part := room // STEP * STEP:
-                    row.append((d, start, part))
-                    start, n = start + part, n - part
-                out.append(row)
-                row, room = [], WINDOW
-            row.append((d, start, n))
-            room -= n
-            if not room:
-                out.append(row)
-                row, room = [], WINDOW
+    for d in left:
+        start, n = 0, int(lengths[d])
+        while n > room:
+            if part := room // STEP * STEP:
+                row.append((d, start, part))
+                start, n = start + part, n - part
+            out.append(row)
+            row, room = [], WINDOW
+        row.append((d, start, n))
+        room -= n
+        if not room:
+            out.append(row)
+            row, room = [], WINDOW
     return out + [row] if row else out
 
 

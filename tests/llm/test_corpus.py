@@ -189,6 +189,29 @@ def test_packing_pads_little():
     assert packing.pack(np.array([], int)) == [] and packing.pack(np.array([5])) == [[(0, 0, 5)]]
 
 
+@pytest.mark.parametrize(("median", "n"), [(8, 60_000), (55, 12_000), (148, 12_000), (665, 4_000)])
+def test_packing_plans_short_lengths_too(median, n):
+    lengths = np.minimum(np.random.default_rng(median).lognormal(np.log(median), 0.9, n).astype(int) + 1, packing.WINDOW - 1)
+    planned, left = packing.plan(lengths)
+    assert sorted([d for own in planned for d in own] + left) == list(range(n))
+    assert all(packing.WINDOW - 16 * packing.DEPTH < lengths[own].sum() <= packing.WINDOW for own in planned)
+    sequences = packing.pack(lengths)
+    assert len(planned) >= 0.8 * len(sequences) and (len(sequences) - 1) * packing.WINDOW < 1.01 * lengths.sum()
+
+
+def test_another_tokenizer_encodes_whole_texts(tmp_path):
+    import pyarrow as pa
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.WordLevel({"Ab": 5, "ab": 6, "?": 7}, unk_token="?"))
+    other.pre_tokenizer = pre_tokenizers.Whitespace()
+    other.save(str(tmp_path / "other.json"))
+    texts = ["Ab ab x", "", None, "ab"]
+    tokens = packing.Tokens(str(tmp_path / "other.json"))
+    got = [ids[a:b].tolist() for _, _, ids, offs in tokens.encode(pa.array(texts)) for a, b in zip(offs[:-1], offs[1:], strict=True)]
+    assert not tokens.by_pieces and packing.Tokens(TOKENIZER).by_pieces and got == [[5, 6, 7, 2], [2], [2], [6, 2]]
+
+
 def test_nnls_and_checksums():
     rng = np.random.default_rng(2)
     for _ in range(20):
