@@ -26,8 +26,9 @@ step 4 compares them; no task lists all pairs of a group, and no pair is lost.
 Copies are classes of one row from the first pass on.  Edge cases: a text with fewer
 than five words is one shingle; a null or empty text, or one without words, has the empty
 set, links with nothing and is a component of its own; equal doc_ids are different rows
-of the same id; a null doc_id is a component's id only if it has no other; an empty table
-gives no rows.  Only the id and the text are read, so further columns cannot clash.
+of the same id; a null doc_id is a component's id only if it has no other; very long texts
+are one set each, held whole by a task; of equal ids the least text hash stands for a component;
+an empty table gives no rows.  Only the id and the text are read, so further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -40,13 +41,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from codelode.llm import _kernel as K
 from codelode.llm._graph import components, forest
+from codelode.llm._join import meet
 from codelode.llm._store import settle
 
 WORDS, PERCENT = 5, 80
 #: Cells of the corpus-wide frequencies (a power of two); the most of a document's histogram, and its shingles for each cell.
 SKETCH, CELLS, PER_CELL = 1 << 18, 4096, 8
-#: Documents for each column block.
-BLOCK_DOCS = 16_000
+#: Entries of the incidence matrix for each column block, about.
+BLOCK_ENTRIES = 1_200_000
 #: Classes of one shingle up to which its pairs are listed.
 LISTED = 48
 #: Shingles and classes of one tile of step 4, at most, and shingles of one task of small tiles.
@@ -275,6 +277,7 @@ def links(sigs: np.ndarray, sets: list[np.ndarray], sides: np.ndarray | None = N
     """
     order = np.argsort([len(x) for x in sets], kind="stable")
     sigs, sets = sigs[order], [sets[k] for k in order]
+    sides = None if sides is None else sides[order]
     n = np.array([len(x) for x in sets])
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     offs = np.concatenate([[0], np.cumsum(n)])
@@ -292,7 +295,7 @@ def links(sigs: np.ndarray, sets: list[np.ndarray], sides: np.ndarray | None = N
             x = todo.pop()
             lo = int(np.searchsorted(100 * n, PERCENT * n[x]))
             hi = int(np.searchsorted(PERCENT * n, 100 * n[x], "right"))
-            left = lo + np.flatnonzero(free[lo:hi])
+            left = lo + np.flatnonzero(free[lo:hi] if sides is None else free[lo:hi] & (sides[lo:hi] != sides[x]))
             if not len(left):
                 continue
             mark[ids[offs[x] : offs[x + 1]]] = 1
@@ -312,19 +315,19 @@ def links(sigs: np.ndarray, sets: list[np.ndarray], sides: np.ndarray | None = N
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within each tile (root, i, j) of the rows (root, i, j, sig, shingles)."""
-    tiles: dict[tuple, dict[int, bytes]] = {}
+    """Links within each tile (root, i, j) of the rows (root, i, j, first, sig, shingles); if i and j differ, from block to block only."""
+    tiles: dict[tuple, dict[int, tuple[bool, bytes]]] = {}
     for batch in batches:
-        for root, i, j, sig, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            tiles.setdefault((root, i, j), {})[sig] = x
-    for own in tiles.values():
-        a, b = links(np.array(list(own), np.int64), [np.frombuffer(x, "<u8") for x in own.values()])
+        for root, i, j, first, sig, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            tiles.setdefault((root, i, j), {})[sig] = (first, x)
+    for (_, i, j), own in tiles.items():
+        a, b = links(np.array(list(own), np.int64), [np.frombuffer(x, "<u8") for _, x in own.values()], None if i == j else np.array([f for f, _ in own.values()]))
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(root, i, j, sig, shingles) of the rows (sig, root, parts, text): a class once for each task, in every tile that needs it."""
+    """(root, i, j, first, sig, shingles) of the rows (sig, root, parts, text): a class once for each task, in every tile that needs it."""
     seen = set()
     for batch in batches:
         sigs, roots, parts = (batch.column(k).to_pylist() for k in range(3))
@@ -334,10 +337,10 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if sigs[k] not in seen:
                     seen.add(sigs[k])
                     own = sigs[k] % parts[k]
-                    rows += [(roots[k], min(own, o), max(own, o), sigs[k], x.astype("<u8").tobytes()) for o in range(parts[k])]
+                    rows += [(roots[k], min(own, o), max(own, o), own <= o, sigs[k], x.astype("<u8").tobytes()) for o in range(parts[k])]
             if rows:
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["root", "i", "j", "sig", "shingles"])
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["root", "i", "j", "first", "sig", "shingles"])
 
 
 def _by_size(ids: DataFrame) -> DataFrame:
@@ -353,12 +356,13 @@ def _components(docs: DataFrame) -> DataFrame:
     first = settle(docs.mapInArrow(K.frugal(_first_pass), _FIRST))
     rows = first.filter("kind = 0").select("doc_id", "text_hash", "n", "sig")
     ranks = docs.sparkSession.sparkContext.broadcast(_ranks(first))
-    blocks = max(1, -(-rows.count() // BLOCK_DOCS))
+    total = rows.agg(F.sum(F.ceil(F.col("n") * (100 - PERCENT) / 100) + 1)).first()[0] or 0
+    blocks = max(1, -(-total // BLOCK_ENTRIES))
 
     entries = docs.mapInArrow(K.frugal(lambda it: _entries(it, ranks, blocks)), "block int, part binary")
     product = settle(entries.repartition(blocks, "block").mapInArrow(K.frugal(_product), "a long, b long, tied boolean").groupBy("a", "b").agg(F.max("tied").alias("tied")))
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("lead")
-    classes = first.filter("kind = 0 and sig <> 0").groupBy("sig").agg(lead, F.max("n").alias("n"), F.max("cells").alias("cells"))
+    classes = first.filter("kind = 0 and sig <> 0").groupBy("sig").agg(lead, F.max("n").alias("n"), F.max("cells").alias("cells"), F.count("*").alias("rows"))
     listed = product.filter("not tied").select("a", "b")
     touched = product.select(F.col("a").alias("sig")).unionByName(product.select(F.col("b").alias("sig"))).distinct()
     some = settle(classes.join(touched, "sig"))
@@ -371,14 +375,14 @@ def _components(docs: DataFrame) -> DataFrame:
     members = settle(members.join(weights, "root"))
     chosen = _by_size(members)
     texts = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["of"]) & (docs["text_hash"] == chosen["hash"])).select("sig", "root", "parts", "text")
-    tiled = texts.mapInArrow(K.frugal(_sets_of), "root long, i int, j int, sig long, shingles binary")
+    tiled = texts.mapInArrow(K.frugal(_sets_of), "root long, i int, j int, first boolean, sig long, shingles binary")
     total = members.agg(F.sum(F.col("n") * F.col("parts"))).first()[0] or 0
     linked = components(tiled.repartition(max(1, -(-total // TASK)), "root", "i", "j").mapInArrow(K.frugal(_tiles), "a long, b long"))
 
     named = linked.select(F.col("node").alias("sig"), "root").join(some.select("sig", "lead"), "sig")
     leads = named.groupBy("root").agg(F.min("lead").alias("of_all"))
-    by_class = classes.select("sig", "lead").join(named.select("sig", "root").join(leads, "root").select("sig", "of_all"), "sig", "left").select("sig", F.coalesce("of_all", "lead").alias("lead"))
-    out = rows.filter("sig <> 0").join(by_class, "sig").select("doc_id", "text_hash", "n", "sig", F.col("lead.doc_id").alias("component"), (F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("text_hash") == F.col("lead.text_hash"))).alias("first"))
+    by_class = classes.select("sig", "lead", "rows").join(named.select("sig", "root").join(leads, "root").select("sig", "of_all"), "sig", "left").select("sig", F.coalesce("of_all", "lead").alias("lead"), "rows")
+    out = meet(rows.filter("sig <> 0"), settle(by_class), ["sig"]).select("doc_id", "text_hash", "n", "sig", F.col("lead.doc_id").alias("component"), (F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("text_hash") == F.col("lead.text_hash"))).alias("first"))
     return out.unionByName(rows.filter("sig = 0").select("doc_id", "text_hash", "n", "sig", F.col("doc_id").alias("component"), F.lit(True).alias("first")))
 
 

@@ -38,6 +38,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from codelode.llm._join import meet
 from codelode.llm._store import settle
 
 #: Leading tokens that the tree looks at; tokens of the shortest line that is judged.
@@ -47,11 +48,6 @@ MIN_DOCS, LONG, LONG_DOCS = 3, 50, 2
 #: The percentage of a line's tokens that its support is taken from, and the percentage of it that a template weighs.
 PERCENT, SHARE = 70, 1
 
-#: Rows up to which a side of a join is sent to all tasks (under 100 bytes each).
-SENT_ROWS = 10_000
-#: Beyond it a key is hot with so many rows, and more than one in so many of all rows; hot keys are sent alone.
-HOT_ROWS, HOT_KEYS = 1_000, 10_000
-
 _TOKEN = r"[^\x20\x09-\x0D]+"
 _VARIABLE = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 
@@ -94,24 +90,6 @@ _LEAST = f"IF(leaf & 1 = 1, {LONG_DOCS}, {MIN_DOCS})"
 _LATER = "not (doc <=> first.doc and digest = first.digest and line = first.line)"
 
 
-def _meet(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """left joined with the settled right on keys (unique in right); rows: about how many rows of left a key has.
-
-    Few rows of right are sent to all tasks.  Else both sides are shuffled, but for keys with more than
-    ``HOT_ROWS`` rows and one in ``HOT_KEYS`` of all: no more than HOT_KEYS of them can be, and they are sent.
-    """
-    n, total, most = right.agg(F.count("*"), F.sum("rows"), F.max("rows")).first()
-    bound = max(HOT_ROWS, (total or 0) // HOT_KEYS)
-    own = right.drop("rows")
-    if n <= SENT_ROWS:
-        return left.join(F.broadcast(own), keys, how)
-    if most <= bound:
-        return left.join(own, keys, how)
-    hot = F.broadcast(right.filter(F.col("rows") > bound).drop("rows"))
-    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.filter(F.col("rows") <= bound).drop("rows"), keys, how)
-    return rest if how == "left_anti" else rest.unionByName(left.join(hot, keys, how))
-
-
 def _words(seqs: DataFrame, texts: DataFrame) -> DataFrame:
     """(own, leaf, docs, n, place, token) of the first line of each sequence, read from its text, less wildcards; a token is a hash."""
     wanted = settle(seqs.groupBy(F.col("first.doc").alias("of"), F.col("first.digest").alias("hash")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "own", "leaf", "docs")).alias("wanted")))
@@ -126,15 +104,15 @@ def _words(seqs: DataFrame, texts: DataFrame) -> DataFrame:
 def _templates(seqs: DataFrame, texts: DataFrame) -> DataFrame:
     """(own, leaf, template, rows) of the sequences whose template can recur."""
     several = settle(seqs.groupBy("leaf").agg(F.min("own").alias("a"), F.max("own").alias("b"), F.count("*").alias("rows")).filter("a <> b").select("leaf", "rows"))  # where one sequence is alone its template is itself
-    words = settle(_words(_meet(seqs, several, ["leaf"], "left_semi"), texts))
+    words = settle(_words(meet(seqs, several, ["leaf"], "left_semi"), texts))
     support = settle(words.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("support"), F.count("*").alias("rows")).filter("support >= 2"))  # less is never a constant
-    lined = _meet(words, support, ["leaf", "place", "token"]).groupBy("own", "leaf", "docs", "n").agg(F.array_sort(F.collect_list(F.struct("place", "token", "support"))).alias("words"))
+    lined = meet(words, support, ["leaf", "place", "token"]).groupBy("own", "leaf", "docs", "n").agg(F.array_sort(F.collect_list(F.struct("place", "token", "support"))).alias("words"))
     best, k = F.sort_array(F.transform("words", lambda w: w["support"]), asc=False), F.floor((PERCENT * F.col("n") + 99) / 100).cast("int")
     lined = lined.withColumn("of_line", F.when(F.size("words") >= k, F.element_at(best, k))).filter(f"of_line >= {MIN_DOCS}")
     template = F.xxhash64(F.transform(F.filter("words", lambda w: 2 * w["support"] > F.col("of_line")), lambda w: F.struct(w["place"], w["token"])))
     lined = settle(lined.select("own", "leaf", "docs", "of_line", template.alias("template")))
     good = lined.groupBy("leaf", "template").agg(F.sum("docs").alias("weight"), F.max("of_line").alias("of_line"), F.count("*").alias("rows")).filter(f"weight >= {MIN_DOCS} and 100 * weight >= {SHARE} * of_line").select("leaf", "template", "rows")
-    return _meet(lined.select("own", "leaf", "template", F.col("docs").alias("rows")), settle(good), ["leaf", "template"], "left_semi")
+    return meet(lined.select("own", "leaf", "template", F.col("docs").alias("rows")), settle(good), ["leaf", "template"], "left_semi")
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
@@ -144,17 +122,17 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     # A template in so many documents stands in a leaf that as many reach; few lines do.
     leaves = settle(placed.select(F.explode(F.array_distinct(F.transform("places", lambda p: p["leaf"]))).alias("leaf")).filter("leaf is not null").groupBy("leaf").agg(F.count("*").alias("rows")).filter(f"rows >= {_LEAST}"))
     lines = placed.select("doc", "digest", F.posexplode("places").alias("line", "place")).select("doc", "digest", "line", "place.own", "place.leaf").filter("leaf is not null")
-    lines = settle(_meet(lines, leaves, ["leaf"], "left_semi").distinct())
+    lines = settle(meet(lines, leaves, ["leaf"], "left_semi").distinct())
     firsts = lines.groupBy("own", "leaf", "doc", "digest").agg(F.min("line").alias("line")).groupBy("own", "leaf").agg(F.count("*").alias("docs"), F.min(F.struct("doc", "digest", "line")).alias("first"))
     seqs = settle(firsts)
 
     templates = settle(_templates(seqs, texts))
-    members = _meet(lines.drop("leaf"), templates, ["own"]).groupBy("leaf", "template", "doc", "digest").agg(F.min("line").alias("line"))
+    members = meet(lines.drop("leaf"), templates, ["own"]).groupBy("leaf", "template", "doc", "digest").agg(F.min("line").alias("line"))
     recurring = settle(members.groupBy("leaf", "template").agg(F.count("*").alias("rows"), F.min(F.struct("doc", "digest", "line")).alias("first")).filter(f"rows >= {MIN_DOCS}"))
-    general = settle(_meet(templates, recurring, ["leaf", "template"]).select("own", "first", "rows"))
-    exact = _meet(seqs.filter(f"docs >= {_LEAST}").withColumnRenamed("docs", "rows"), general.drop("first"), ["own"], "left_anti").select("own", "first", "rows")
+    general = settle(meet(templates, recurring, ["leaf", "template"]).select("own", "first", "rows"))
+    exact = meet(seqs.filter(f"docs >= {_LEAST}").withColumnRenamed("docs", "rows"), general.drop("first"), ["own"], "left_anti").select("own", "first", "rows")
     lost = settle(general.unionByName(exact))
-    return _meet(lines, lost, ["own"]).filter(_LATER).select("doc", "digest", "line")
+    return meet(lines, lost, ["own"]).filter(_LATER).select("doc", "digest", "line")
 
 
 def _cleaned(docs: DataFrame) -> tuple[DataFrame, str]:

@@ -22,7 +22,7 @@ is cut there at a multiple of ``STEP``.
 Tokens are made once.  The first pass keeps, for each document, the checksums of
 its full windows and of each ``STEP`` tokens of the remainder, about a hundred
 bytes; checksums of cut pieces are combined from those.  Documents are dealt into
-groups of about ``GROUP`` by a hash of their place in the pass, and each group is packed
+groups of about ``GROUP`` by a hash that takes in their place in a batch, and each group is packed
 by itself, so neither the driver nor a task ever sees more than a group's lengths.
 
 Edge cases: a null or empty text is the end mark alone; very long texts are tokenized
@@ -192,7 +192,7 @@ def _measure(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
                 n_tokens.append(b - a)
                 windows.append(np.array([zlib.crc32(raw[4 * k : 4 * (k + WINDOW)]) for k in range(a, rest, WINDOW)], "<u4").tobytes())
                 steps.append(np.array([zlib.crc32(raw[4 * k : 4 * min(k + STEP, b)]) for k in range(rest, b, STEP)] + [zlib.crc32(raw[4 * rest : 4 * b])] * (b > rest), "<u4").tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(windows, pa.binary()), pa.array(steps, pa.binary())], names=["doc_id", "n_tokens", "windows", "steps"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(windows, pa.binary()), pa.array(steps, pa.binary()), pa.array(np.arange(batch.num_rows, dtype=np.int32))], names=["doc_id", "n_tokens", "windows", "steps", "place"])
 
 
 # Checksums ------------------------------------------------------------------
@@ -391,5 +391,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, group: int = GROUP) ->
     """Pieces of all documents, each with the place where it stands in a sequence of at most WINDOW tokens."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     groups = max(1, -(-docs.count() // group))
-    measured = docs.mapInArrow(K.frugal(lambda it: _measure(it, tokenizer_path)), "doc_id long, n_tokens long, windows binary, steps binary")
-    return measured.repartition(groups, F.xxhash64("doc_id", "n_tokens", "steps")).mapInArrow(K.frugal(_pack_group), _PIECES)
+    measured = docs.mapInArrow(K.frugal(lambda it: _measure(it, tokenizer_path)), "doc_id long, n_tokens long, windows binary, steps binary, place int")
+    return measured.repartition(groups, F.xxhash64("doc_id", "n_tokens", "steps", "place")).drop("place").mapInArrow(K.frugal(_pack_group), _PIECES)

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from codelode.llm import _graph, decontam, jaccard, line_dedup, packing, substring
+from codelode.llm import _graph, _join, decontam, jaccard, line_dedup, packing, substring
 from codelode.llm._store import prepare
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -115,9 +115,9 @@ def test_templates_of_one_leaf_are_told_apart(frame):
 def test_lines_without_sending_and_with_hot_keys(frame, monkeypatch):
     rows = [(k, f"reported by user {'abcdef'[k % 6]} about the broken red door\nthe very same line\n" + "w%x " % k) for k in range(60)]
     want = sorted(map(tuple, line_dedup.scan(frame(rows)).collect()))
-    monkeypatch.setattr(line_dedup, "SENT_ROWS", 0)
+    monkeypatch.setattr(_join, "SENT_ROWS", 0)
     for hot in (10**6, 20):
-        monkeypatch.setattr(line_dedup, "HOT_ROWS", hot)
+        monkeypatch.setattr(_join, "HOT_ROWS", hot)
         assert sorted(map(tuple, line_dedup.scan(frame(rows)).collect())) == want and sum(r[2] for r in want) == 2 * 59
 
 
@@ -284,6 +284,14 @@ def test_join_of_a_large_family_is_cut_into_tiles(frame, monkeypatch):
     assert sorted(map(repr, map(tuple, jaccard.join(frame(rows)).collect()))) == want
 
 
+def test_join_of_hot_copies_and_a_very_long_text(frame, monkeypatch):
+    monkeypatch.setattr(_join, "SENT_ROWS", 0)
+    monkeypatch.setattr(_join, "HOT_ROWS", 5)
+    long = " ".join("v%d" % k for k in range(40_000))
+    rows = [*some_texts(14, 40), *[(k, "one text that very many documents share here") for k in range(3000, 3030)], (4000, long), (4001, long + " end"), (None, long)]
+    assert sorted(map(repr, map(tuple, jaccard.join(frame(rows)).collect()))) == sorted(map(repr, brute_components(rows)))
+
+
 def test_one_document_of_each_component_stays(frame):
     rows = some_texts(21, 60)
     kept = jaccard.keep_one(frame(rows))
