@@ -8,8 +8,8 @@ document, and different values stay different.  Domains that are no product of
 two equal halves are walked: the network is applied again until the result lies
 in the domain.
 
-Edge cases: a null text stays null, an empty one empty; repeated rows get equal
-results; where values overlap the earliest counts, then the kind listed first,
+Edge cases: a null text stays null, an empty one empty; very long texts are searched
+whole; repeated rows get equal results; where values overlap the earliest counts, then the kind listed first,
 but a card, which has a check digit, counts before a phone number;
 an empty table gives no rows.  ``pseudonymise`` keeps all columns; the counts
 that ``scan`` returns read the id and the text alone.
@@ -121,11 +121,10 @@ def _ssn(m: re.Match, f: Feistel) -> str | None:
     a, g, s = int(m[1]), int(m[2]), int(m[3])
     if a in (0, 666) or a >= 900 or not g or not s:
         return None
-    areas = [x for x in range(1, 900) if x != 666]
-    v = f.permute((areas.index(a) * 99 + g - 1) * 9999 + s - 1, len(areas) * 99 * 9999, b"ssn")
+    v = f.permute(((a - 1 - (a > 666)) * 99 + g - 1) * 9999 + s - 1, 898 * 99 * 9999, b"ssn")  # areas 1 to 899 but 666
     v, s = divmod(v, 9999)
     a, g = divmod(v, 99)
-    return f"{areas[a]:03d}-{g + 1:02d}-{s + 1:04d}"
+    return f"{a + 1 + (a >= 665):03d}-{g + 1:02d}-{s + 1:04d}"
 
 
 def _phone(m: re.Match, f: Feistel) -> str | None:
@@ -283,8 +282,20 @@ def rewritten(text: str, found: list[tuple[int, int, str, str]]) -> str:
     return "".join([*out, text[done:]])
 
 
-_DIGIT_OR_AT = np.zeros(256, bool)
-_DIGIT_OR_AT[0x30:0x3A] = _DIGIT_OR_AT[0x40] = True
+_DIGIT = np.zeros(256, bool)
+_DIGIT[0x30:0x3A] = True
+#: Digits that stand within so many bytes in any value but an address: a date with a month's name has five at least.
+_DIGITS, _WITHIN = 5, 24
+
+
+def _suspects(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Whether each text can hold a value: an at sign, digits close to each other, or three dots between digits."""
+    digit = _DIGIT[buf]
+    sums = np.concatenate([[0], np.cumsum(digit)])
+    close = digit & (sums[np.minimum(np.arange(len(buf)) + _WITHIN, len(buf))] - sums[:-1] >= _DIGITS)
+    dotted = np.zeros(len(buf), bool)
+    dotted[1:-1] = (buf[1:-1] == 0x2E) & digit[:-2] & digit[2:]
+    return (K.per_doc(close | (buf == 0x40), offs) > 0) | (K.per_doc(dotted, offs) >= 3)
 
 
 @lru_cache(4)
@@ -293,10 +304,10 @@ def _feistel(key: bytes) -> Feistel:
 
 
 def _found(column: pa.Array, key: bytes) -> dict[int, tuple[str, list]]:
-    """Text and values of the rows that hold values; only texts with a digit or an at sign are decoded."""
+    """Text and values of the rows that hold values; only texts that can hold one are decoded."""
     out = {}
     for at, _, buf, offs in K.chunks(column):
-        for k in np.flatnonzero(K.per_doc(_DIGIT_OR_AT[buf], offs)):
+        for k in np.flatnonzero(_suspects(buf, offs)):
             text = column[at + int(k)].as_py()
             if found := spans(text, _feistel(key)):
                 out[at + int(k)] = (text, found)

@@ -86,6 +86,46 @@ def test_pii_on_edge_rows_and_links(frame):
     assert pii.scan(frame([])).count() == 0
 
 
+def test_pii_against_planted_values(frame):
+    """Texts made of plain parts and known values: each value is replaced, alike everywhere, and nothing else is."""
+    rng = random.Random(12)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+
+    def card():
+        body = "4" + digits(14)
+        return body + str(-sum(sum(divmod(2 * int(d), 10)) if k % 2 == 0 else int(d) for k, d in enumerate(reversed(body))) % 10)
+
+    def iban():
+        body = digits(18)
+        return "DE%02d" % (98 - int(body + "131400") % 97) + body
+
+    make = {
+        "email": lambda: rng.choice(["ann", "bob.c", "x+y1"]) + "@" + rng.choice(["mail", "web-1"]) + ".example.org",
+        "iban": iban,
+        "card": card,
+        "ssn": lambda: "%03d-%02d-%04d" % (rng.randint(1, 665), rng.randint(1, 99), rng.randint(1, 9999)),
+        "date": lambda: "%04d-%02d-%02d" % (rng.randint(1900, 2099), rng.randint(1, 12), rng.randint(1, 28)),
+        "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
+        "phone": lambda: "+1 (%d) 555-%s" % (rng.randint(201, 989), digits(4)),
+    }
+    plain = ["some words here", "no 12 of 300", "year 2001", "999-00-0000 x", "300.1.1.1", "2021-02-30", "a @ b", "é漢", "version 1.2.3"]
+    values = {kind: [f() for _ in range(12)] for kind, f in make.items()}
+    rows, parts = [], {}
+    for k in range(200):
+        own = [(None, rng.choice(plain)) if rng.random() < 0.5 else (kind := rng.choice(list(make)), rng.choice(values[kind])) for _ in range(rng.randint(0, 8))]
+        rows.append((k, " ; ".join(v for _, v in own)))
+        parts[k] = own
+    seen, counts = {}, {}
+    for r in pii.scan(frame(rows)).collect():
+        own = parts[r["doc_id"]]
+        got = r["text"].split(" ; ") if own else []
+        assert len(got) == len(own)
+        for (kind, value), new in zip(own, got, strict=True):
+            assert (new == value) if kind is None else seen.setdefault((kind, value), new) == new and new != value
+        assert {kind: r[f"n_{kind}"] for kind in make} == {kind: sum(k == kind for k, _ in own) for kind in make}
+    assert len(set(seen.values())) == len(seen)  # different values stay different
+
+
 # Licenses
 
 
@@ -109,14 +149,19 @@ def test_template_regions():
     ok = lambda s: a.longest(s.encode().split(), 0)
     assert ok("licensed by acme for use") == 5 and ok("licensed to you by acme inc ltd for use more") == 9 and ok("licensed to you now by x for use") == 8
     assert ok("licensed by for use") == -1 and ok("licensed to by x for use") == -1 and ok("licensed by a b c d for use") == -1 and ok("licenced by x for use") == -1
-    with pytest.raises(ValueError):
-        licenses.compile_template("t", "a <<beginOptional>> b")
+    for bad in ("a <<beginOptional>> b", "<<beginOptional>>a b<<endOptional>>", "<<var;1;3>>", ""):
+        with pytest.raises(ValueError):
+            licenses.compile_template("t", bad)
 
 
 def test_license_labels_of_the_method(frame):
     docs = frame([(1, "This work is licensed under the GNU General Public License, version 3."), (2, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"), (3, "nothing here"), (4, "Released under the terms of the MIT License")])
     got = {r["doc_id"]: (r["base_labels"], r["labels"], r["score"]) for r in licenses.scan(docs).collect()}
     assert got[1][:2] == ("", "gpl-3") and got[2][1] == "bsd" and got[3] == ("", "", 0.0) and got[4][:2] == ("", "mit")
+    notice = next(t for label, t in licenses.TEMPLATES if label == "bsd-3-clause" and len(t) > 500)
+    text = re.sub(r"<<(begin|end)Optional>>", "", notice).replace("<<var;0;1>>", "* ").replace("<<var;1;12>>", "the Owner, Inc.")
+    whole = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(frame([(1, text), (2, text.replace("binary", "other")), (3, "x " * 40_000 + text)])).collect()}
+    assert whole[1] == ("bsd-3-clause", 1.0) and whole[2][0] == "bsd-3-clause" and whole[2][1] < 0.5 and whole[3][0] == "bsd-3-clause"
     assert all(0 <= s <= 1 for _, _, s in got.values()) and licenses.scan(frame([])).count() == 0
 
 
