@@ -448,8 +448,8 @@ def _code(name: str, *files: str) -> None:
     _query(_values(rows, "file_path, symbol_name, kind, start_line, end_line"))(run)
 
 
-for _name, *_files in (("py_symbols", "shop.py", "odd.py"), ("rust_symbols", "shop.rs", "odd.rs"), ("bash_symbols", "deploy.sh", "odd.sh"), ("ts_symbols", "cart.ts", "odd.ts"), ("js_symbols", "cart.js", "odd.js"), ("go_symbols", "shop.go", "odd.go"), ("cs_symbols", "Shop.cs", "Odd.cs"), ("ps_symbols", "Shop.ps1", "Odd.ps1")):
-    _code(_name, *_files)
+for _name, *_sources in (("py_symbols", "shop.py", "odd.py"), ("rust_symbols", "shop.rs", "odd.rs"), ("bash_symbols", "deploy.sh", "odd.sh"), ("ts_symbols", "cart.ts", "odd.ts"), ("js_symbols", "cart.js", "odd.js"), ("go_symbols", "shop.go", "odd.go"), ("cs_symbols", "Shop.cs", "Odd.cs"), ("ps_symbols", "Shop.ps1", "Odd.ps1")):
+    _code(_name, *_sources)
 
 
 _NAMES = ["  ## Getting   started ## ", "..\\lib\\My.Core.csproj", "Serilog.Sinks.File", "a/b c!.txt", "{urn:x}Tag", "ns:Item", "plain"]
