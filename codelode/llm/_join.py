@@ -25,4 +25,4 @@ def meet(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner")
         return left.join(own, keys, how)
     hot = F.broadcast(right.filter(F.col("rows") > bound).drop("rows"))
     rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.filter(F.col("rows") <= bound).drop("rows"), keys, how)
-    return rest if how == "left_anti" else rest.unionByName(left.join(hot, keys, how))
+    return rest if how == "left_anti" else rest.unionByName(left.join(hot, keys, "inner" if how == "left" else how))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codelode.llm import contracts, decontam, jaccard, langid, licenses, line_dedup, packing, pii, quality, secrets, substring
+from codelode.llm import contracts, decontam, jaccard, langid, licenses, line_dedup, neighbours, packing, pii, quality, secrets, substring, trie
 from codelode.llm._store import prepare
 
 
@@ -69,9 +69,20 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_templates, op2_pii_pseudonyms, op3_license_templates, op4_quality_ratio, op5_packing_nnls, op6_shingle_join, op7_secret_models, op8_language_families, op9_repeated_substrings, op10_benchmark_leaks)} | contracts.QUERIES
+def op11_adaptive_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found for every vector whose id is divisible by 20, among all vectors."""
+    return neighbours.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, top=20)
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all rebuilt conversations."""
+    return trie.nodes(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_templates, op2_pii_pseudonyms, op3_license_templates, op4_quality_ratio, op5_packing_nnls, op6_shingle_join, op7_secret_models, op8_language_families, op9_repeated_substrings, op10_benchmark_leaks, op11_adaptive_neighbours, op12_conversation_trie)} | contracts.QUERIES
 ORACLE_SQL: dict[str, str] = {
     "op1_line_templates": line_dedup.SQL.format(docs="documents"),
     "op6_shingle_join": jaccard.SQL.format(docs="documents"),
     "op9_repeated_substrings": contracts.SUBSTRINGS.format(docs="documents", length=substring.LENGTH),
+    "op12_conversation_trie": trie.SQL.format(turns="conversations"),
 } | contracts.ORACLE_SQL
