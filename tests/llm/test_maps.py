@@ -332,6 +332,9 @@ def test_language_against_training_anew(frame):
     got = {r["doc_id"]: (r["lang_pred"], round(r["score"], 6)) for r in langid.predict(docs, model).collect()}
     want, scores = again.predict(x)
     assert got == {k: (w, round(float(s), 6)) for k, w, s in zip(order, want, scores, strict=True)}
+    for size in (1, 7, 64):  # to the last bit, whatever rows stand beside a row
+        parts = [again.predict(x[k : k + size]) for k in range(0, len(x), size)]
+        assert [w for p in parts for w in p[0]] == want and [s for p in parts for s in p[1].tolist()] == scores.tolist()
     assert sum(got[k][0] == lang for k, lang in enumerate(langs)) > 0.9 * len(langs)
     blank = langid.rivals(__import__("numpy").zeros((4, langid.WIDTH), "float32"), __import__("numpy").array(["b", "a", "b", "a"], object))
     assert blank.names[blank.decide(__import__("numpy").zeros((1, langid.WIDTH), "float32"))[0][0]] == "a"
