@@ -33,3 +33,29 @@ def differing(old: DataFrame, new: DataFrame, group: list[str], compared: list[s
     both = a.join(b, group, "full")
     same = F.col("n_old").eqNullSafe(F.col("n_new")) & F.col("a_old").eqNullSafe(F.col("a_new")) & F.col("b_old").eqNullSafe(F.col("b_new"))
     return both.filter(~same).select(*group, F.coalesce("n_old", F.lit(0)).alias("n_old"), F.coalesce("n_new", F.lit(0)).alias("n_new"))
+
+
+#: Levels of the tree of digests: directories of one and of three segments, and buckets of paths in those.
+DEPTHS, BUCKETS = (1, 3), 64
+#: Groups up to which a level's differing ones are sent to all tasks (under 200 bytes each).
+SENT = 10_000
+
+
+def changes(old: DataFrame, new: DataFrame, path: str, compared: list[str]) -> DataFrame:
+    """(path, change) of the rows that were added, changed or deleted; both sides have a path and what is compared.
+
+    Digests are compared from the top down: directories, then deeper ones within those that differ, then buckets of
+    paths.  Only rows of groups that differ at every level are joined by path.
+    """
+    levels = [[f"_d{k}"] for k in range(len(DEPTHS))] + [["_bucket"]]
+    tagged = [side.select(path, *compared, *(directory_of(path, d).alias(f"_d{k}") for k, d in enumerate(DEPTHS)), bucket_of(path, BUCKETS).alias("_bucket")) for side in (old, new)]
+    group: list[str] = []
+    for level in levels:
+        group = group + level
+        apart = differing(*tagged, group, [path, *compared]).select(*group)
+        # Compared at every level anew: what is left is read once more, but only counted.
+        n = apart.count()
+        tagged = [side.join(F.broadcast(apart) if n <= SENT else apart, group, "left_semi") for side in tagged]
+    a, b = (side.select(path, F.xxhash64(*compared).alias(name)) for side, name in zip(tagged, ("_old", "_new"), strict=True))
+    both = a.join(b, path, "full").filter(~F.col("_old").eqNullSafe(F.col("_new")))
+    return both.select(path, F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "deleted").otherwise("changed").alias("change"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -87,27 +86,6 @@ def hybrid_query(symbols: DataFrame, similarity: Column, query_text: str, *, top
     return hits.select("rank", F.round("final", 4).alias("score"), F.round("dense_similarity", 4).alias("dense_similarity"), F.round("lex", 4).alias("lexical_score"), *schema.SYMBOL_COLUMNS)
 
 
-#: Queries of a batch that are sent to all tasks at a time.
-QUERY_BLOCK = 10_000
-
-
-def batched_topk(rows: DataFrame, queries: DataFrame, similarity: Column, k: int, by: str, tie: str) -> DataFrame:
-    """The k best rows for each of a stated set of queries, ranked from 1; partial ranks precede the shuffle.
-
-    The queries are counted, and a large set is taken in blocks.
-    """
-    w = Window.partitionBy(by).orderBy(F.desc("dense_similarity"), tie)
-
-    def best(some: DataFrame) -> DataFrame:
-        scored = rows.crossJoin(F.broadcast(some)).withColumn("dense_similarity", F.greatest(F.lit(0.0), similarity))
-        return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-    blocks = -(-queries.count() // QUERY_BLOCK)
-    if blocks <= 1:
-        return best(queries)
-    return reduce(DataFrame.unionByName, (best(queries.filter(F.pmod(F.xxhash64(by), F.lit(blocks)) == b)) for b in range(blocks)))
-
-
 def token_rows(hits: DataFrame) -> DataFrame:
     """(rank, file_path, symbol_name, snippet_tokens) of hits."""
     return hits.select("rank", "file_path", "symbol_name", X.estimate_tokens("code_content").alias("snippet_tokens"))

@@ -11,13 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from codelode import schema
-from codelode.functions import text as X
+from codelode.functions import text as X, udtf
 from codelode.functions.embed import HashEmbedder, dot
-from codelode.operators import code, reconcile, search, sections
+from codelode.operators import code, copartitioned, digests, lexical, reconcile, search, sections, vectors
 from codelode.plans import fixtures
 from codelode.plans.corpus_view import SYM, extracted, symbols, table
 from codelode.ship import ship
 from codelode.sources import scan
+from codelode.sources.shared import own_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -193,6 +194,16 @@ def lexical_score(spark, sf_dir):
     return symbols(spark, sf_dir).select("id", F.round(X.lexical_score(X.query_tokens(_QUESTION)), 6).alias("lexical_score"))
 
 
+@_query(f"WITH {SYM}, t AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{{1,}}'))) AS token FROM benchmark) SELECT token, count(*) AS n_symbols, min(id) AS first_id FROM t JOIN sym ON contains(lower(code_content), token) GROUP BY token")
+def lexical_token_counts(spark, sf_dir):
+    """How many symbols hold each token of all benchmark items, and the first of them, by an inverted index."""
+    rows = symbols(spark, sf_dir).select("id", F.lower("code_content").alias("code"))
+    path = own_folder(spark, "trigrams")
+    lexical.write(rows, path, id="id", text="code")
+    tokens = table(spark, sf_dir, "benchmark").select(F.explode(X.query_tokens_column("text")).alias("token")).distinct()
+    return lexical.containing(spark, path, rows, tokens, id="id", text="code").groupBy("token").agg(F.count("*").alias("n_symbols"), F.min("id").alias("first_id"))
+
+
 _TEXT_SQL = "kind || ' ' || symbol_name || chr(10) || left(code_content, 2000)"
 _TOKENS_SQL = f"tok AS (SELECT id, ('0x' || right(md5(t), 2))::INT % 64 AS bucket FROM (SELECT id, unnest(regexp_extract_all(lower({_TEXT_SQL}), '[A-Za-z_][A-Za-z0-9_]+')) AS t FROM sym))"
 
@@ -230,12 +241,34 @@ def dense_topk_filtered(spark, sf_dir):
     return search.dense_topk(rows, dot(F.col("embedding"), _first_vector(spark, sf_dir)), 10, tie="vec_id", digits=6).select("vec_id", "dense_similarity")
 
 
-@_query(f"SELECT query_id, vec_id, rank, dense_similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense_similarity DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {_COSINE} AS dense_similarity FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 10) q)) WHERE rank <= 5")
-def dense_topk_batched(spark, sf_dir):
+def _batched_sql(queries: str, k: int) -> str:
+    return f"SELECT query_id, vec_id, rank, dense_similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense_similarity DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {_COSINE} AS dense_similarity FROM embeddings e, (SELECT * FROM embeddings WHERE {queries}) q)) WHERE rank <= {k}"
+
+
+def _batched(spark: SparkSession, sf_dir: str, queries: str, k: int) -> DataFrame:
+    """The queries are a stated set; every vector is looked at for each."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    queries = rows.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))  # a stated query set
-    product = F.aggregate(F.zip_with("embedding", "query", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    return search.batched_topk(rows, queries, F.round(product, 6), 5, by="query_id", tie="vec_id").select("query_id", "vec_id", "rank", "dense_similarity")
+    asked = rows.filter(queries).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return vectors.batched_topk(rows, asked, k, id="vec_id", vector="embedding", by="query_id", query="query", digits=6)
+
+
+@_query(_batched_sql("vec_id < 10", 5))
+def dense_topk_batched(spark, sf_dir):
+    return _batched(spark, sf_dir, "vec_id < 10", 5)
+
+
+@_query(_batched_sql("vec_id < 1000", 3))
+def dense_topk_blocked(spark, sf_dir):
+    """A thousand queries: products of blocks, never a row for each pair."""
+    return _batched(spark, sf_dir, "vec_id < 1000", 3)
+
+
+@_query(f"SELECT vec_id, {_COSINE} AS dense_similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY 2 DESC, 1 LIMIT 10")
+def dense_topk_pruned(spark, sf_dir):
+    """The same as ``dense_topk``, from a layout by centroids that is made of the whole table and then read in part."""
+    path = own_folder(spark, "vector-lists")
+    vectors.write_lists(table(spark, sf_dir, "embeddings"), path, id="vec_id", vector="embedding")
+    return vectors.topk(spark, path, _first_vector(spark, sf_dir), 10, id="vec_id", vector="embedding", digits=6)
 
 
 def _hybrid_sql(question: str, where: str, w_dense: float = 0.7, w_lexical: float = 0.3, top: int = 3, pool: int = 30) -> str:
@@ -334,6 +367,16 @@ def reconcile_diff(spark, sf_dir):
     return reconcile.diff(*_old_new(spark, sf_dir), compared=("text",))
 
 
+@_query(f"WITH {_OLD_NEW_SQL} SELECT id, file_path, change FROM changes")
+def reconcile_bucketed(spark, sf_dir):
+    """The same from two snapshots that are bucketed by key: the join reads bucket by bucket, without an exchange."""
+    folder = own_folder(spark, "snapshots")
+    names = [f"{side}_{folder.rpartition('-')[2]}" for side in ("old", "new")]
+    for name, rows in zip(names, _old_new(spark, sf_dir), strict=True):
+        copartitioned.save(rows, name, f"{folder}/{name}")
+    return copartitioned.diff(spark, *names, compared=("text",))
+
+
 @_query(f"WITH {_OLD_NEW_SQL} SELECT file_path, count(*) FILTER (change <> 'deleted') AS upserted, count(*) FILTER (change = 'deleted') AS deleted FROM changes GROUP BY file_path")
 def reconcile_counts(spark, sf_dir):
     return reconcile.counts(reconcile.diff(*_old_new(spark, sf_dir), compared=("text",)))
@@ -375,13 +418,17 @@ flags AS (
   FROM disk FULL JOIN idx ON disk.rel = idx.rel)"""
 
 
-def _stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _disk_and_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     ext = F.element_at(F.array(*map(F.lit, (".py", ".go", ".md", ".rs"))), (F.col("doc_id") % 4 + 1).cast("int"))
     f = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("/doc_"), F.col("doc_id").cast("string"), ext).alias("rel"), "text")
     now = F.when(F.col("doc_id") % 13 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
     disk = f.filter("doc_id % 10 <> 0").select("rel", F.sha1(now.cast("binary")).alias("sha1"), (F.col("doc_id") % 17 * 10.0).alias("mtime"))
     indexed = f.filter("doc_id % 9 <> 0 and doc_id % 4 <> 1").select("rel", F.sha1(F.col("text").cast("binary")).alias("sha1"))
-    return reconcile.stale_flags(disk, indexed, 140.0, {".py", ".md", ".rs"}, {".py", ".md"})
+    return disk, indexed
+
+
+def _stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.stale_flags(*_disk_and_index(spark, sf_dir), 140.0, {".py", ".md", ".rs"}, {".py", ".md"})
 
 
 @_query(f"WITH {_STALE_SQL} SELECT * FROM flags")
@@ -394,6 +441,13 @@ def stale_any(spark, sf_dir):
     return reconcile.is_stale(_stale(spark, sf_dir))
 
 
+@_query(f"WITH {_STALE_SQL} SELECT rel, CASE WHEN idx.rel IS NULL THEN 'added' WHEN disk.rel IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM disk FULL JOIN idx USING (rel) WHERE disk.sha1 IS DISTINCT FROM idx.sha1")
+def stale_changes(spark, sf_dir):
+    """What changed, by digests of directories and of buckets in them: files of equal ones are never joined."""
+    disk, indexed = _disk_and_index(spark, sf_dir)
+    return digests.changes(indexed, disk.select("rel", "sha1"), "rel", ["sha1"])
+
+
 # Sections and code: the oracles are the rows that the fixtures call for --------
 
 _SECTION_COLUMNS = "file_path, symbol_name, start_line, end_line"
@@ -438,6 +492,20 @@ def html_sections(spark, sf_dir):
     return sections.tag_counts(table(spark, sf_dir, "pages"))
 
 
+@_query(f"WITH {SYM} SELECT file_path, symbol_name, kind, start_line AS line FROM s0")
+def carve_lateral(spark, sf_dir):
+    """The extractor called from SQL, over all documents."""
+    udtf.register(spark)
+    return spark.sql("SELECT concat(d.source, '/doc_', d.doc_id, '.', d.lang) AS file_path, c.symbol_name, c.kind, c.line FROM {documents} AS d, LATERAL carve(d.text, 'lines') AS c", documents=table(spark, sf_dir, "documents"))
+
+
+@_query("WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<[A-Za-z][A-Za-z0-9]*[^>]*>')) AS raw FROM pages) SELECT page_id, lower(regexp_extract(raw, '^<([A-Za-z][A-Za-z0-9]*)', 1)) AS tag, count(*) AS opened, sum(CASE WHEN raw LIKE '%/>' THEN 1 ELSE 0 END)::BIGINT AS self_closed FROM t GROUP BY ALL")
+def carve_lateral_tags(spark, sf_dir):
+    """The same function with other columns, over all pages."""
+    udtf.register(spark)
+    return spark.sql("SELECT p.page_id, c.tag, count(*) AS opened, sum(c.self_closed) AS self_closed FROM {pages} AS p, LATERAL carve(p.html, 'tags') AS c GROUP BY ALL", pages=table(spark, sf_dir, "pages"))
+
+
 def _code(name: str, *files: str) -> None:
     rows = [(file, *row) for file in files for row in fixtures.CODE[file]]
 

@@ -1,4 +1,4 @@
-"""What the jobs share: configuration, settings for a while, a session, and where registered queries put their files."""
+"""What the jobs share: configuration, settings for a while, and the command line."""
 
 from __future__ import annotations
 
@@ -6,8 +6,6 @@ import argparse
 import contextlib
 import json
 import logging
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -46,20 +44,6 @@ def table_or_none(spark: SparkSession, path: str, schema: StructType | str) -> D
     return spark.read.schema(schema).parquet(path)
 
 
-def own_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's name in the one that spark.checkpoint.dir names; on a local master without one, as in tests, in one of this machine."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            shared = known.get()
-        elif spark.sparkContext.master.startswith("local"):
-            shared = tempfile.mkdtemp(prefix="codelode-jobs-")
-        else:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def main(name: str, purpose: str, paths: dict[str, str], run: Callable[..., dict]) -> None:
     """The command line: a path for each of ``paths`` and --config; the session lives as long as the run."""
     parser = argparse.ArgumentParser(prog=f"jobs/{name}.py", description=purpose)

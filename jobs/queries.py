@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from codelode.plans.corpus_view import SYM
+from codelode.sources.shared import own_folder
 from jobs import common, editor_sessions, snippet_catalogue
 
 
 def job1_snippet_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue of all documents; the second run finds nothing new."""
-    output = common.own_folder(spark, "snippet-catalogue")
+    output = own_folder(spark, "snippet-catalogue")
     for _ in range(2):
         snippet_catalogue.run(spark, f"{sf_dir}/documents.parquet", output)
     return snippet_catalogue.snippets(spark, output)
@@ -18,7 +19,7 @@ def job1_snippet_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def job2_editor_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sessions of all events that are over; the second run finds no new file."""
-    folder = common.own_folder(spark, "editor-sessions")
+    folder = own_folder(spark, "editor-sessions")
     for _ in range(2):
         editor_sessions.run(spark, f"{sf_dir}/events.parquet", f"{folder}/sessions", f"{folder}/checkpoint")
     return editor_sessions.finished(spark, f"{folder}/sessions")
