@@ -28,10 +28,10 @@ _DOUBLE, _SINGLE = r'"(?:\\.|[^"\\\n])*"', r"'(?:\\.|[^'\\\n])*'"
 _FORMS = {
     "javascript": rf"{_LINE}|{_BLOCK}|{_DOUBLE}|{_SINGLE}|`|/",
     "go": rf"{_LINE}|{_BLOCK}|{_DOUBLE}|{_SINGLE}|`[^`]*`",
-    "csharp": rf'{_LINE}|{_BLOCK}|^[ \t]*#[^\n]*|\$*(?P<raw>"""+).*?(?:(?P=raw)|\Z)|(?:\$@|@\$|@)"(?:""|[^"])*"|{_DOUBLE}|{_SINGLE}',
+    "csharp": rf'{_LINE}|{_BLOCK}|^[ \t]*#[^\n]*|\$*(?P<raw>"""+).*?(?:(?P=raw)|\Z)|\$@?"|@\$"|@"(?:""|[^"])*"|{_DOUBLE}|{_SINGLE}',
     "rust": rf"{_LINE}|/\*|\bb?r(?P<hashes>#*)\".*?(?:\"(?P=hashes)|\Z)|\"(?:\\.|[^\"\\])*\"|'(?:\\[^\n']*|[^'\\\n])'",
-    "bash": r"""(?<![^\s;&|()])\#[^\n]*|<<-?[ \t]*(?P<quote>["']?)(?P<mark>[A-Za-z_]\w*)(?P=quote)|\$'(?:\\.|[^'\\])*'|'[^']*'|"|\\.|<<<""",
-    "powershell": r"""<\#.*?(?:\#>|\Z)|\#[^\n]*|@"[ \t]*\n.*?(?:\n"@|\Z)|@'[ \t]*\n.*?(?:\n'@|\Z)|"(?:`.|""|[^"`])*"|'(?:''|[^'])*'|`.""",
+    "bash": r"""(?<![^\s;&|()])\#[^\n]*|\(\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)\)|<<-?[ \t]*(?P<quote>["']?)(?P<mark>[A-Za-z_]\w*)(?P=quote)|\$'(?:\\.|[^'\\])*'|'[^']*'|"|\\.|<<<""",
+    "powershell": r"""<\#.*?(?:\#>|\Z)|\#[^\n]*|@"[ \t]*\n.*?(?:\n"@|\Z)|@'[ \t]*\n.*?(?:\n'@|\Z)|"|'(?:''|[^'])*'|`.""",
 }
 _FORMS["typescript"] = _FORMS["javascript"]
 _COMPILED = {language: re.compile(form, re.DOTALL | re.MULTILINE) for language, form in _FORMS.items()}
@@ -40,11 +40,22 @@ _BEFORE_PATTERN = {"return", "typeof", "case", "in", "of", "delete", "void", "th
 _PATTERN = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
 
 
+def _closes_condition(text: str, at: int) -> bool:
+    """Whether the bracket at ``at`` ends the condition of a statement, which a pattern may begin after."""
+    depth = 0
+    for k in range(at, max(-1, at - 2_000), -1):
+        depth += (text[k] == ")") - (text[k] == "(")
+        if not depth:
+            return re.search(r"(?<![\w$.])(?:if|while|for|with|await)\s*\Z", text[max(0, k - 20) : k]) is not None
+    return False
+
+
 def _script_end(text: str, at: int) -> int:
     """The end of a template or a pattern that begins at ``at``; ``at`` + 1 for a division."""
     if text[at] == "/":
         word = re.search(r"([\w$]+|[^\s\w$])\s*\Z", text[max(0, at - 40) : at])
-        if word and (word[1] in ")]" or (re.match(r"[\w$]", word[1]) and word[1] not in _BEFORE_PATTERN)):
+        condition = word and word[1] == ")" and _closes_condition(text, max(0, at - 40) + word.start())
+        if word and not condition and (word[1] in ")]" or (re.match(r"[\w$]", word[1]) and word[1] not in _BEFORE_PATTERN)):
             return at + 1
         m = _PATTERN.match(text, at)
         return m.end() if m else at + 1
@@ -64,7 +75,7 @@ def _embedded(text: str, at: int, opens: str, closes: str, form: re.Pattern, spe
     while at < len(text):
         m = form.match(text, at)
         if m:
-            at = special(text, at) if m[0] in ("`", "/", '"') else m.end()
+            at = special(text, at) if m[0] in _SPECIAL else m.end()
             continue
         depth += (text[at] == opens) - (text[at] == closes)
         at += 1
@@ -73,16 +84,31 @@ def _embedded(text: str, at: int, opens: str, closes: str, form: re.Pattern, spe
     return at
 
 
-def _bash_end(text: str, at: int) -> int:
-    """The end of a string in double quotes, which may hold commands with strings of their own."""
-    at += 1
-    while at < len(text) and text[at] != '"':
-        if text[at] == "\\":
+def _quoted_end(text: str, at: int, language: str) -> int:
+    """The end of a string that may hold code with strings of its own: ``$(...)``, or ``{...}`` in C#."""
+    escape, (mark, opens, closes) = _ESCAPES[language], ("{", "{", "}") if language == "csharp" else ("$(", "(", ")")
+    verbatim = language == "csharp" and "@" in text[at : at + 2]
+    at = text.index('"', at) + 1
+    special = _END_OF[language]
+    while at < len(text):
+        if text[at] == escape and not verbatim:
             at += 1
-        elif text.startswith("$(", at):
-            at = _embedded(text, at + 2, "(", ")", _COMPILED["bash"], _bash_end) - 1
+        elif text[at] == '"':
+            if not (text.startswith('""', at) and (language == "powershell" or verbatim)):
+                return at + 1
+            at += 1
+        elif language == "csharp" and text.startswith("{{", at):
+            at += 1
+        elif text.startswith(mark, at):
+            at = _embedded(text, at + len(mark), opens, closes, _COMPILED[language], special) - 1
         at += 1
-    return at + 1
+    return at
+
+
+_ESCAPES = {"bash": "\\", "powershell": "`", "csharp": "\\"}
+_END_OF: dict[str, Callable[[str, int], int]] = {language: lambda text, at, language=language: _quoted_end(text, at, language) for language in _ESCAPES}
+#: What begins a form whose end must be looked for.
+_SPECIAL = {"`", "/", '"', '$"', '$@"', '@$"'}
 
 
 def _nested_comment(text: str, at: int) -> int:
@@ -111,8 +137,8 @@ def masked(text: str, language: str) -> str:
                 continue
         elif language == "rust" and m[0] == "/*":
             end = _nested_comment(text, begin)
-        elif language == "bash" and m[0] == '"':
-            end = _bash_end(text, begin)
+        elif language in _ESCAPES and m[0] in _SPECIAL:
+            end = _quoted_end(text, begin, language)
         elif language == "bash" and m["mark"]:
             documents.append((m["mark"], m[0].startswith("<<-")))
         out += [text[at:begin], _spaces(text[begin:end])]

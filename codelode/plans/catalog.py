@@ -1,7 +1,6 @@
 """Queries of the search engine by name, and DuckDB SQL that recomputes each from the same tables.
 
-Oracles of the parsers (sections and code) are lists of the rows that the fixture texts call for;
-all others compute their result anew.
+Parsers of sections and code read files that are derived from all documents, so that SQL can tell what they must find.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from codelode import schema
 from codelode.functions import text as X, udtf
 from codelode.functions.embed import HashEmbedder, dot
 from codelode.operators import code, copartitioned, digests, lexical, reconcile, search, sections, vectors
-from codelode.plans import fixtures
+from codelode.plans import derived
 from codelode.plans.corpus_view import SYM, extracted, symbols, table
 from codelode.ship import ship
 from codelode.sources import scan
@@ -37,15 +36,6 @@ def _query(sql: str | None) -> Callable:
     return register
 
 
-def _values(rows: list[tuple], columns: str) -> str:
-    """A SELECT of literal rows."""
-
-    def literal(v) -> str:
-        return "NULL" if v is None else str(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'"
-
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) AS t({columns})"
-
-
 # Symbols, keys and hashes ----------------------------------------------------
 
 
@@ -115,12 +105,18 @@ def skip_segment_filter(spark, sf_dir):
     return pages.filter(scan.not_skipped("rel", ("vendor",)))
 
 
-_PATHS = ["AGENTS.md", "docs/Claude.MD", ".cursorrules", "docs/agents.md.txt", "codex.md", "a/GEMINI.md", "copilot-instructions.md", "README.md"]
+def _cased(paths: tuple[str, ...]) -> str:
+    """A path for each document, in SQL that both engines read; {d} stands for the id."""
+    cases = " ".join(f"WHEN {k} THEN '{p}'" for k, p in enumerate(paths)).replace("{d}", "' || CAST(doc_id AS STRING) || '")
+    return f"CASE doc_id % {len(paths)} {cases} END"
+
 
+_PATHS = _cased(("d{d}/AGENTS.md", "docs/d{d}/Claude.MD", "d{d}/.cursorrules", "docs/d{d}/agents.md.txt", "d{d}/codex.md", "a/d{d}/GEMINI.md", "d{d}/copilot-instructions.md", "d{d}/README.md"))
 
-@_query(f"WITH p AS ({_values([(p,) for p in _PATHS], 'rel')}) SELECT rel FROM p WHERE lower(regexp_extract(rel, '[^/]*$')) NOT IN ('.cursorrules', 'agents.md', 'claude.md', 'codex.md', 'copilot-instructions.md', 'gemini.md')")
+
+@_query(f"SELECT doc_id, rel FROM (SELECT doc_id, {_PATHS} AS rel FROM documents) WHERE lower(regexp_extract(rel, '[^/]*$')) NOT IN ('.cursorrules', 'agents.md', 'claude.md', 'codex.md', 'copilot-instructions.md', 'gemini.md')")
 def agent_doc_filter(spark, sf_dir):
-    return spark.createDataFrame([(p,) for p in _PATHS], "rel string").filter(scan.not_agent_file("rel"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(_PATHS).alias("rel")).filter(scan.not_agent_file("rel"))
 
 
 @_query(f"WITH {_FILES_SQL} SELECT doc_id, rel FROM files WHERE lower(regexp_extract(rel, '\\.[^.]+$')) IN ('.py', '.rs', '.md')")
@@ -135,16 +131,23 @@ def ignored_anti_join(spark, sf_dir):
     return files.join(files.filter("doc_id % 3 = 0").select("rel"), "rel", "left_anti").select("doc_id", "rel")
 
 
-@_query(_values(fixtures.IGNORED, "rel, dropped"))
+_IGNORE = ["# comment", "*.log", "/knowledge/", "tmp/", "!keep.log", "docs/*.draft.md", "**/gen/*.py", "file?.txt", "[ab].rs"]
+_IGNORE_PATHS = ("a{d}.log", "x/b{d}.log", "x{d}/keep.log", "knowledge/a{d}.py", "src/knowledge/a{d}.py", "src/tmp/x{d}.py", "tmp{d}.py", "docs/a{d}.draft.md", "docs/sub/a{d}.draft.md", "gen/a{d}.py", "x/y/gen/b{d}.py", "x/gen/y{d}/b.py", "n{d}/file1.txt", "n{d}/file12.txt", "q{d}/a.rs", "q{d}/c.rs")
+_DROPPED = (0, 1, 3, 5, 7, 9, 10, 12, 14)
+
+
+@_query(f"SELECT doc_id, {_cased(_IGNORE_PATHS)} AS rel, doc_id % {len(_IGNORE_PATHS)} IN {_DROPPED} AS dropped FROM documents")
 def ignore_globs(spark, sf_dir):
-    rules = scan.IgnoreRules(fixtures.IGNORE_LINES)
-    return spark.createDataFrame([(rel,) for rel, _ in fixtures.IGNORED], "rel string").select("rel", rules.column("rel").alias("dropped"))
+    files = table(spark, sf_dir, "documents").select("doc_id", F.expr(_cased(_IGNORE_PATHS)).alias("rel"))
+    return files.withColumn("dropped", scan.IgnoreRules(_IGNORE).column("rel"))
 
 
-@_query("SELECT DISTINCT ext FROM (VALUES ('.py'), ('.pyi'), ('.sh'), ('.bash'), ('.md'), ('.markdown'), ('.yaml'), ('.yml'), ('.csproj'), ('.props'), ('.targets')) AS t(ext)")
+@_query(f"WITH {_FILES_SQL} SELECT lower(regexp_extract(rel, '\\.[^.]+$')) AS ext, count(*) AS files FROM files WHERE lower(regexp_extract(rel, '\\.[^.]+$')) IN ('.py', '.pyi', '.sh', '.bash', '.md', '.markdown', '.yaml', '.yml', '.csproj', '.props', '.targets') GROUP BY 1")
 def ext_union(spark, sf_dir):
+    """Files of the extensions of some languages and of all definition formats, by extension."""
     reg = schema.registry(spark)
-    return reg.filter(F.col("language").isin("python", "bash")).select("ext").union(reg.filter("definition").select("ext")).distinct()
+    wanted = reg.filter(F.col("language").isin("python", "bash")).select("ext").union(reg.filter("definition").select("ext")).distinct()
+    return _files(spark, sf_dir).select(X.suffix("rel").alias("ext")).join(F.broadcast(wanted), "ext", "left_semi").groupBy("ext").agg(F.count("*").alias("files"))
 
 
 @_query(f"WITH {SYM} SELECT id, file_path, kind, language FROM sym WHERE kind = 'section' AND language = 'de'")
@@ -316,14 +319,12 @@ def ranked_hits(spark, sf_dir):
 # Saved tokens ----------------------------------------------------------------
 
 _HITS_SQL = _hybrid_sql(_QUESTION, "true", top=12).strip()
-_WHOLE_SQL = "whole AS (SELECT source || '/doc_' || doc_id || '.' || lang AS file_path, text FROM documents WHERE doc_id % 3 <> 0)"
+_WHOLE_SQL = "whole AS (SELECT source || '/doc_' || doc_id || '.' || lang AS file_path, text FROM documents)"
 
 
 def _hits_and_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     path = F.concat(F.col("source"), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit("."), F.col("lang"))
-    files = table(spark, sf_dir, "documents").filter("doc_id % 3 <> 0").select(path.alias("file_path"), "text")
-    hits = _hybrid(spark, sf_dir, _QUESTION, None, top=12)
-    return spark.createDataFrame(hits.collect(), hits.schema), files  # a dozen rows, which the report reads three times
+    return _hybrid(spark, sf_dir, _QUESTION, None, top=12), table(spark, sf_dir, "documents").select(path.alias("file_path"), "text")
 
 
 @_query(f"""
@@ -340,9 +341,12 @@ def token_savings_files(spark, sf_dir):
     return search.token_files(*_hits_and_files(spark, sf_dir)).filter("reason is null").select("file_path", "full_file_tokens")
 
 
-@_query(f"WITH hits AS ({_HITS_SQL}), {_WHOLE_SQL} SELECT DISTINCT file_path, 'not_found' AS reason FROM hits ANTI JOIN whole USING (file_path)")
+@_query(f"WITH hits AS ({_HITS_SQL}), {_WHOLE_SQL.replace('FROM documents', 'FROM documents WHERE doc_id % 3 <> 0')} SELECT DISTINCT file_path, 'not_found' AS reason FROM hits ANTI JOIN whole USING (file_path)")
 def token_savings_unavailable(spark, sf_dir):
-    return search.token_files(*_hits_and_files(spark, sf_dir)).filter("reason is not null").select("file_path", "reason")
+    """A third of the files is gone, which is what this report tells."""
+    hits, files = _hits_and_files(spark, sf_dir)
+    there = files.filter(F.regexp_extract("file_path", r"doc_(\d+)\.", 1).cast("long") % 3 != 0)
+    return search.token_files(hits, there).filter("reason is not null").select("file_path", "reason")
 
 
 # Reconcile -------------------------------------------------------------------
@@ -448,43 +452,57 @@ def stale_changes(spark, sf_dir):
     return digests.changes(indexed, disk.select("rel", "sha1"), "rel", ["sha1"])
 
 
-# Sections and code: the oracles are the rows that the fixtures call for --------
-
-_SECTION_COLUMNS = "file_path, symbol_name, start_line, end_line"
-
-
-def _fixture(spark: SparkSession, *names: str) -> DataFrame:
-    return ship(spark).createDataFrame([(n, fixtures.FILES[n]) for n in names], "file_path string, text string")
+# Sections and code: files that are derived from all documents ------------------
 
 
 def _placed(rows: DataFrame) -> DataFrame:
     return rows.select("file_path", "symbol_name", "start_line", "end_line")
 
 
-@_query(_values(fixtures.MARKDOWN, _SECTION_COLUMNS))
+_LEVELS_SQL = f"""{derived.NAMED},
+heads AS (SELECT doc_id, i, m, name, 1 + length(raw) % 3 AS level FROM named),
+led AS (
+  SELECT *, max(CASE WHEN level = 1 THEN i END) OVER w AS one, max(CASE WHEN level = 2 THEN i END) OVER w AS two FROM heads
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ends AS (SELECT a.doc_id, a.i, min(b.i) AS next FROM heads a JOIN heads b ON a.doc_id = b.doc_id AND b.i > a.i AND b.level <= a.level GROUP BY ALL)"""
+
+
+@_query(f"""
+WITH {_LEVELS_SQL}
+SELECT 'src/doc_' || l.doc_id || '.md' AS file_path,
+  coalesce(CASE WHEN l.level > 1 THEN o.name || '.' END, '') || coalesce(CASE WHEN l.level = 3 AND (o.i IS NULL OR t.i > o.i) THEN t.name || '.' END, '') || l.name AS symbol_name,
+  2 * l.i - 1 AS start_line, coalesce(2 * e.next - 2, 2 * l.m) AS end_line
+FROM led l LEFT JOIN heads o ON o.doc_id = l.doc_id AND o.i = l.one LEFT JOIN heads t ON t.doc_id = l.doc_id AND t.i = l.two LEFT JOIN ends e ON e.doc_id = l.doc_id AND e.i = l.i""")
 def md_sections(spark, sf_dir):
-    return _placed(sections.markdown_sections(_fixture(spark, "guide.md", "fences.md", "deep.md")))
+    """Headings of three levels, by the length of the first token."""
+    level = lambda n: 1 + (F.length(F.regexp_replace(n, "_[0-9]+$", "")) % 3)
+    each = lambda n, i: F.array(F.concat(F.repeat(F.lit("#"), level(n)), F.lit(" "), n), F.lit("text"))
+    return _placed(sections.markdown_sections(derived.files(table(spark, sf_dir, "documents"), ".md", (), each, ())))
 
 
-@_query(_values(fixtures.FENCED, "file_path, line, level, title"))
+@_query(f"WITH {derived.NAMED} SELECT * FROM (SELECT 'src/doc_' || doc_id || '.md' AS file_path, i AS line, 2 AS level, name AS title FROM named WHERE i % 4 <> 0 AND (i // 4) % 2 = 0)")
 def md_fences(spark, sf_dir):
-    heads = sections.markdown_headings(_fixture(spark, "fences.md"))
+    """Every fourth line is a fence, which hides the headings up to the next."""
+    each = lambda n, i: F.array(F.when((i + 1) % 4 == 0, "```").otherwise(F.concat(F.lit("## "), n, F.lit(" ##"))))
+    heads = sections.markdown_headings(derived.files(table(spark, sf_dir, "documents"), ".md", (), each, ()))
     return heads.select("file_path", F.explode("heads").alias("h")).select("file_path", "h.line", "h.level", "h.title")
 
 
-@_query(_values(fixtures.YAML, _SECTION_COLUMNS))
+@_query(derived.sql(derived.FORMS["yaml_sections"], False))
 def yaml_sections(spark, sf_dir):
-    return _placed(sections.yaml_sections(_fixture(spark, "tool.yaml", "plain.yml")))
+    return _placed(sections.yaml_sections(derived.formed(table(spark, sf_dir, "documents"), derived.FORMS["yaml_sections"])))
 
 
-@_query(_values(fixtures.MSBUILD, _SECTION_COLUMNS))
+@_query(derived.sql(derived.FORMS["msbuild_sections"], False))
 def msbuild_sections(spark, sf_dir):
-    return _placed(sections.msbuild_sections(_fixture(spark, "src/Shop.csproj", "Directory.Build.props", "Stamp.targets", "src/Odd.csproj")))
+    return _placed(sections.msbuild_sections(derived.formed(table(spark, sf_dir, "documents"), derived.FORMS["msbuild_sections"])))
 
 
-@_query(_values(fixtures.MSBUILD_BROKEN, _SECTION_COLUMNS))
+@_query(f"WITH {derived.NAMED} SELECT 'src/doc_' || doc_id || '.props' AS file_path, 'doc_' || doc_id || '.ItemGroup.Ref.' || name AS symbol_name, 2 * i AS start_line, CASE WHEN i < m THEN 2 * i + 2 ELSE 2 * m + 1 END AS end_line FROM named")
 def msbuild_malformed(spark, sf_dir):
-    return _placed(sections.msbuild_sections(_fixture(spark, "Torn.csproj")))
+    """Groups that nothing closes."""
+    files = derived.files(table(spark, sf_dir, "documents"), ".props", ("<Project>",), ("  <ItemGroup>", '    <Ref Include="{n}" />'), ())
+    return _placed(sections.msbuild_sections(files))
 
 
 @_query(r"SELECT lower(regexp_extract(raw, '^<([A-Za-z][A-Za-z0-9]*)', 1)) AS tag, count(*) AS opened, count(*) FILTER (raw LIKE '%/>') AS self_closed FROM (SELECT unnest(regexp_extract_all(html, '<[A-Za-z][A-Za-z0-9]*[^>]*>')) AS raw FROM pages) GROUP BY 1")
@@ -506,39 +524,34 @@ def carve_lateral_tags(spark, sf_dir):
     return spark.sql("SELECT p.page_id, c.tag, count(*) AS opened, sum(c.self_closed) AS self_closed FROM {pages} AS p, LATERAL carve(p.html, 'tags') AS c GROUP BY ALL", pages=table(spark, sf_dir, "pages"))
 
 
-def _code(name: str, *files: str) -> None:
-    rows = [(file, *row) for file in files for row in fixtures.CODE[file]]
-
+def _code(name: str, form: derived.Form) -> None:
     def run(spark, sf_dir):
-        return code.code_symbols(_fixture(spark, *files)).select("file_path", "symbol_name", "kind", "start_line", "end_line")
+        return code.code_symbols(derived.formed(table(spark, sf_dir, "documents"), form)).select("file_path", "symbol_name", "kind", "start_line", "end_line")
 
     run.__name__ = name
-    _query(_values(rows, "file_path, symbol_name, kind, start_line, end_line"))(run)
-
-
-for _name, *_sources in (("py_symbols", "shop.py", "odd.py"), ("rust_symbols", "shop.rs", "odd.rs"), ("bash_symbols", "deploy.sh", "odd.sh"), ("ts_symbols", "cart.ts", "odd.ts"), ("js_symbols", "cart.js", "odd.js"), ("go_symbols", "shop.go", "odd.go"), ("cs_symbols", "Shop.cs", "Odd.cs"), ("ps_symbols", "Shop.ps1", "Odd.ps1")):
-    _code(_name, *_sources)
+    _query(derived.sql(form, True))(run)
 
 
-_NAMES = ["  ## Getting   started ## ", "..\\lib\\My.Core.csproj", "Serilog.Sinks.File", "a/b c!.txt", "{urn:x}Tag", "ns:Item", "plain"]
+for _name, _form in derived.FORMS.items():
+    if _name.endswith("_symbols"):
+        _code(_name, _form)
 
 
 @_query(
-    "WITH v AS ("
-    + _values([(n,) for n in _NAMES], "raw")
-    + r"), s AS (SELECT raw, trim(regexp_replace(trim(regexp_replace(trim(raw), '^#+|#+$', '', 'g')), '\s+', ' ', 'g')) AS slug FROM v) SELECT raw, slug, trim(regexp_replace(regexp_replace(regexp_extract(replace(slug, chr(92), '/'), '[^/]*$'), '\.[^.]*$', ''), '[^A-Za-z0-9_-]+', ' ', 'g')) AS compact, regexp_replace(raw, '^.*[}:]', '') AS local FROM s"
+    r"WITH v AS (SELECT doc_id, '  ## ' || split_part(text, chr(10), 1) || '/My.Lib' || doc_id || '.csproj  # ' AS raw FROM documents), s AS (SELECT doc_id, raw, trim(regexp_replace(trim(regexp_replace(trim(raw), '^#+|#+$', '', 'g')), '\s+', ' ', 'g')) AS slug FROM v) SELECT doc_id, slug, trim(regexp_replace(regexp_replace(regexp_extract(replace(slug, chr(92), '/'), '[^/]*$'), '\.[^.]*$', ''), '[^A-Za-z0-9_-]+', ' ', 'g')) AS compact, regexp_replace(raw, '^.*[}:]', '') AS local FROM s"
 )
 def slug_compact(spark, sf_dir):
-    v = spark.createDataFrame([(n,) for n in _NAMES], "raw string")
-    return v.select("raw", X.slug("raw").alias("slug"), X.compact_name("raw").alias("compact"), X.local_xml_name("raw").alias("local"))
+    raw = F.concat(F.lit("  ## "), F.get(F.split("text", "\n", -1), F.lit(0)), F.lit("/My.Lib"), F.col("doc_id").cast("string"), F.lit(".csproj  # "))
+    v = table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"))
+    return v.select("doc_id", X.slug("raw").alias("slug"), X.compact_name("raw").alias("compact"), X.local_xml_name("raw").alias("local"))
 
 
-_PATH_NAMES = ["a/b.PY", "x.tar.gz", ".bashrc", "dir.d/noext", "trailing.", "Ünï.Md"]
+_NAMED_PATHS = ("d{d}/b.PY", "d{d}/x.tar.gz", "d{d}/.bashrc", "d{d}.d/noext", "d{d}/trailing.", "d{d}/Ünï.Md")
 
 
-@_query(_values([("a/b.PY", ".py"), ("x.tar.gz", ".gz"), (".bashrc", ""), ("dir.d/noext", ""), ("trailing.", ""), ("Ünï.Md", ".md")], "rel, ext"))
+@_query(f"SELECT doc_id, {_cased(_NAMED_PATHS)} AS rel, CASE doc_id % 6 WHEN 0 THEN '.py' WHEN 1 THEN '.gz' WHEN 5 THEN '.md' ELSE '' END AS ext FROM documents")
 def suffixes(spark, sf_dir):
-    return spark.createDataFrame([(n,) for n in _PATH_NAMES], "rel string").select("rel", X.suffix("rel").alias("ext"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(_cased(_NAMED_PATHS)).alias("rel")).withColumn("ext", X.suffix("rel"))
 
 
 @_query("SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS last_line FROM documents")
