@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from codelode.ship import ship
 
 #: Rows and bytes of an Arrow batch, unless the session says otherwise: whole texts make batches of Spark's defaults too large.
-BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
-#: Bytes of a row group of settled tables, which a task holds while it writes.
-ROW_GROUP = 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+#: Bytes of a row group of settled tables, which a task holds while it writes; their codec, which works on the heap (Snappy's direct buffers pile up until a collection).
+ROW_GROUP, CODEC = 16 << 20, "zstd"
 _ROWS, _SPARK_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 _BYTES, _SPARK_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
@@ -44,7 +44,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/codelode-{name}-{uuid.uuid4().hex}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
+    df.write.option("parquet.block.size", str(ROW_GROUP)).option("compression", CODEC).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -32,6 +32,8 @@ from codelode.llm import _kernel as K
 
 #: Entries of a feature vector (a power of two).
 WIDTH = 4096
+#: Texts whose vectors are held at a time, in doubles.
+ROWS = 128
 #: The most labelled rows that the sample takes of each language, those with the least hashes of id; and of all
 #: languages together (32 KB each on the driver; each language has LEAST_ROWS in any case).
 SAMPLE_ROWS, ALL_ROWS, LEAST_ROWS = 400, 16_000, 20
@@ -58,8 +60,10 @@ _FACTORS = ((1,), (0x9E3779B1, 0x85EBCA77), (0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)
 def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
     """(first row, row after the last, vectors) of runs of rows."""
     shift = np.uint32(32 - (WIDTH.bit_length() - 1))
-    for at, to, buf, offs in K.chunks(column):
-        text, n = _FOLD[buf].astype(np.uint32), to - at
+    parts = ((k, *c) for k in range(0, len(column), ROWS) for c in K.chunks(column.slice(k, ROWS)))
+    for first, at, to, buf, offs in parts:
+        at, to, n = first + at, first + to, to - at
+        text = _FOLD[buf].astype(np.uint32)
         doc = np.repeat(np.arange(n, dtype=np.int64) * WIDTH, np.diff(offs))
         counts = np.zeros(n * WIDTH)
         for size, factors in enumerate(_FACTORS, 1):

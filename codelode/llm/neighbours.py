@@ -33,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codelode.llm import _kernel as K
@@ -201,7 +202,7 @@ class _Tile:
         self.own = index.vectors(table["v"].combine_chunks())
         self.rotated = index.rotated(self.own)
         ids = table["ids"].combine_chunks()
-        self.ids, self.offs = ids.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(ids).to_numpy())])
+        self.ids, self.offs = ids.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy())])
 
     def scan(self, own: np.ndarray, tau: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, score, vec_id) of the top + 1 best that reach tau."""
