@@ -55,7 +55,7 @@ KEY = LENGTH - REACH + 1
 #: Bits of the bitmap of triggers seen twice, which every task gets: as many as bytes of text, from 1 MB to 128 MB in all.
 LEAST_BITS, MOST_BITS = 1 << 23, 1 << 30
 #: Bytes of text for each slice of the count and each task of the order, of pieces for each part, and of a segment of a long text.
-SLICE_BYTES, TASK_BYTES, PART_BYTES, SEGMENT = 64 << 20, 24 << 20, 1 << 20, 1 << 21
+SLICE_BYTES, TASK_BYTES, PART_BYTES, SEGMENT = 64 << 20, 8 << 20, 1 << 20, 1 << 21
 #: Bytes of the local triggers of the parse, and the share of hashes that trigger.
 LOCAL, SPARSE = 8, 64
 #: Pieces that a task remembers as sent; beyond it the memory starts anew, and some are sent once more.
