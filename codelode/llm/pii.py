@@ -21,8 +21,10 @@ import datetime as dt
 import hashlib
 import ipaddress
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import groupby
 from math import isqrt
 
 import numpy as np
@@ -83,35 +85,52 @@ def _only(text: str) -> str:
     return "".join(c for c in text if c.isdigit())
 
 
-#: Digits of a card's groups as they are usually written.
-_GROUPS = re.compile(r"4 4 4( 4)?( [1-4])?|4 6 [45]|1[3-9]")
+# Digits of a card's groups as they are usually written, and how issuers' numbers of 16, 15 and 14 digits begin.
+_WRITTEN = ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 1), (4, 4, 4, 4, 2), (4, 4, 4, 4, 3), (4, 4, 4, 1), (4, 4, 4, 2), (4, 4, 4, 3))
+_ISSUED = {(4, 4, 4, 4): re.compile(r"4|5[1-5]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720|6011|65|64[4-9]|62|35(?:2[89]|[3-8])"), (4, 6, 5): re.compile("34|37"), (4, 6, 4): re.compile("30|36|38")}
 
 
 def _cards(run: str, f: Feistel) -> list[tuple[int, int, str]]:
-    """(start, end, pseudonym) of the cards in a run of digits with single spaces or dashes.
+    """(start, end, pseudonym) of the cards in a run of digits with single spaces or dashes, in one pass over its groups.
 
-    The whole run comes first, then parts between spaces: those with the usual groups, then others, from the left, longest first.
+    A card is 13 to 19 digits without a break, or groups as they are usually written with one kind of break.  Groups that
+    other numbers stand beside may be a row of a table: there only lengths and beginnings that issuers use count, and of
+    more than five numbers of four digits in a row either all are cards or none is.
     """
-    ends = [m.start() for m in re.finditer(" ", run)] + [len(run)]
-    parts = []
-    for k, s in enumerate([0, *(e + 1 for e in ends[:-1])]):
-        for e in ends[k : k + 19]:
-            groups = [str(len(x)) for x in re.split("[ -]", run[s:e])]
-            size = sum(map(int, groups))
-            if size > 19:
-                break
-            if size >= 13:
-                parts.append((e - s < len(run), not _GROUPS.fullmatch(" ".join(groups)), s, -e))
+    groups = [(m.start(), m.end()) for m in re.finditer("[0-9]+", run)]
     out: list[tuple[int, int, str]] = []
-    for _, _, s, e in sorted(parts):
-        if all(-e <= a or s >= b for a, b, _ in out) and (new := _card(run[s:-e], f)) is not None:
-            out.append((s, -e, new))
+    dense = [False] * len(groups)  # in a long row of fours that are not all cards
+    for four, own in groupby(range(len(groups)), lambda k: groups[k][1] - groups[k][0] == 4):
+        own = list(own)
+        if four and len(own) > 5:
+            cards = [(groups[k][0], groups[k + 3][1]) for k in own[::4] if k + 3 <= own[-1]]
+            every = len(own) % 4 == 0 and all(_ISSUED[4, 4, 4, 4].match(run, s) and _valid(_only(run[s:e])) for s, e in cards)
+            for k in own:
+                dense[k] = not every
+    k = 0
+    while k < len(groups):
+        forms = [(1, True)] if 13 <= groups[k][1] - groups[k][0] <= 19 else []
+        for form in _WRITTEN:
+            own = groups[k : k + len(form)]
+            if tuple(e - s for s, e in own) == form and len({run[e] for _, e in own[:-1]}) == 1:
+                begins = form in _ISSUED and not dense[k] and _ISSUED[form].match(run, own[0][0])
+                forms.append((len(form), len(form) == len(groups) or begins))
+        for n, counts in forms:
+            if counts and (new := _card(run[groups[k][0] : groups[k + n - 1][1]], f)) is not None:
+                out.append((groups[k][0], groups[k + n - 1][1], new))
+                k += n - 1
+                break
+        k += 1
     return out
 
 
+def _valid(d: str) -> bool:
+    return 13 <= len(d) <= 19 and luhn_digit(d[:-1]) == d[-1] and len(set(d)) > 1
+
+
 def _card(text: str, f: Feistel) -> str | None:
     d = _only(text)
-    if not 13 <= len(d) <= 19 or luhn_digit(d[:-1]) != d[-1] or len(set(d)) == 1:
+    if not _valid(d):
         return None
     body = str(f.permute(int(d[1:-1]), 10 ** (len(d) - 2), b"card%d" % len(d))).zfill(len(d) - 2)
     return _digits(text, d[0] + body + luhn_digit(d[0] + body))
@@ -261,8 +280,10 @@ def spans(text: str, feistel: Feistel) -> list[tuple[int, int, str, str]]:
                 cards += own
                 found += [(s, rank, e, kind, new) for s, e, new in own]
                 continue
-            if kind == "phone" and any(m.start() < e and s < m.end() for s, e, _ in cards):
-                continue
+            if kind == "phone":
+                k = bisect_left(cards, (m.end(),))  # the cards before start before its end
+                if k and cards[k - 1][1] > m.start():
+                    continue
             new = rewrite(m, feistel)
             if new is not None:
                 found.append((m.start(), rank, m.end(), kind, new))

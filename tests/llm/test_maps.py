@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from pathlib import Path
 
@@ -73,6 +74,29 @@ def test_cards_beside_other_numbers(text):
     assert not [k for _, _, k, _ in pii.spans("42 4111 1111 1111 1112", pii.Feistel(b"k")) if k == "card"]
 
 
+def test_numbers_that_are_no_cards():
+    """Rows of a table, and long runs of digits, which take time in proportion to their length."""
+    f, rng = pii.Feistel(b"k"), random.Random(5)
+    rows = [" ".join(str(rng.randint(10 ** (n - 1), 10**n - 1)) for n in rng.choices((2, 3, 4, 5), k=8)) for _ in range(4000)]
+    found = [[row[s:e] for s, e, k, _ in pii.spans(row, f) if k == "card"] for row in rows]
+    assert sum(map(len, found)) <= 6  # one in 1,000 begins like an issuer's and passes the check: nothing tells it from a card
+    assert all(len(c) == 19 and c[0] in "23456" for cards in found for c in cards)
+    cards = lambda text: [k for _, _, k, _ in pii.spans(text, f) if k == "card"]
+    assert cards("9111 1111 1111 1110") == ["card"] and cards("9111 1111 1111 1111") == []  # the check digit decides on whole runs
+    assert cards("9111 1111 1111 1110 22") == []  # no issuer's number, beside another one
+    assert [k for _, _, k, _ in pii.spans("4111 1111-1111 1111", f) if k == "card"] == []  # two kinds of breaks
+    for whole in ("6011 0009 9013 9424", "4222 2222 2222 2", "3056 930902 5904", "9792 0000 0000 0001"):
+        assert [k for _, _, k, _ in pii.spans(whole, f) if k == "card"] == (["card"] if pii._card(whole, f) else [])
+    two = [pii.spans(" ".join(["4111 1111 1111 1111"] * n), f) for n in (2, 3)]
+    assert [[(s, e, k) for s, e, k, _ in t] for t in two] == [[(20 * k, 20 * k + 19, "card") for k in range(n)] for n in (2, 3)]
+    took = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        pii.spans(" ".join(rng.choices("0123456789", k=n // 2)), f)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * max(took[0], 0.02)
+
+
 def test_pii_on_edge_rows_and_links(frame):
     docs = frame([*EDGE, (10, "call +1 (415) 555-2671"), (11, "or +1 (415) 555-2671 at 10.0.0.1")])
     got = {(r["doc_id"], r["text"]): r for r in pii.scan(docs).collect()}
