@@ -93,7 +93,7 @@ _LATER = "not (doc <=> first.doc and digest = first.digest and line = first.line
 def _words(seqs: DataFrame, texts: DataFrame) -> DataFrame:
     """(own, leaf, docs, n, place, token) of the first line of each sequence, read from its text, less wildcards; a token is a hash."""
     wanted = settle(seqs.groupBy(F.col("first.doc").alias("of"), F.col("first.digest").alias("hash")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "own", "leaf", "docs")).alias("wanted")))
-    found = texts.join(wanted, texts["doc"].eqNullSafe(wanted["of"]) & (texts["digest"] == wanted["hash"])).select(F.split("text", "\n", -1).alias("lines"), "wanted")
+    found = texts.join(wanted.hint("merge"), texts["doc"].eqNullSafe(wanted["of"]) & (texts["digest"] == wanted["hash"])).select(F.split("text", "\n", -1).alias("lines"), "wanted")
     found = found.select(F.explode(F.arrays_zip("wanted", _masked(F.transform("wanted", lambda w: F.get("lines", w["line"]))).alias("masked"))).alias("w"))
     found = found.select("w.wanted.own", "w.wanted.leaf", "w.wanted.docs", "w.masked").dropDuplicates(["own"])  # a text may stand in several rows
     words = found.select("own", "leaf", "docs", F.split("masked", " ").alias("words"))
@@ -143,7 +143,7 @@ def _cleaned(docs: DataFrame) -> tuple[DataFrame, str]:
         name = f"_{name}"
     lost = lost.select(F.col("doc").alias(f"{name}_doc"), F.col("digest").alias(f"{name}_digest"), F.col("lines").alias(name))
     on = docs["doc_id"].eqNullSafe(lost[f"{name}_doc"]) & (_digest(docs["text"]) == lost[f"{name}_digest"])
-    return docs.join(lost, on, "left").drop(f"{name}_doc", f"{name}_digest"), name
+    return docs.join(lost.hint("merge"), on, "left").drop(f"{name}_doc", f"{name}_digest"), name
 
 
 def _kept(lines: Column, lost: Column) -> Column:
