@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
+import platform
 import time
 from collections.abc import Callable
+from importlib.metadata import PackageNotFoundError, version
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,6 +16,7 @@ from codelode import __version__, schema
 from codelode.functions import text as X
 from codelode.functions.embed import Embedder, HashEmbedder, dot
 from codelode.operators import code, reconcile, search, sections
+from codelode.operators.vectors import described
 from codelode.ship import ship
 from codelode.sources import scan
 from codelode.sources.store import IndexError_, LockedError, Store
@@ -29,6 +33,18 @@ def check_root(root: str | Path, force: bool = False, home: Path | None = None)
     return path
 
 
+#: What the engine runs on, and the package that named models need.
+PACKAGES = ("pyspark", "pyarrow", "pandas", "numpy", "sentence-transformers")
+
+
+def installed_package(name: str) -> dict:
+    """Whether a distribution is installed, and which version."""
+    try:
+        return {"installed": True, "version": version(name)}
+    except PackageNotFoundError:
+        return {"installed": False, "version": None}
+
+
 class Engine:
     """installed: the languages whose files are read (None: all)."""
 
@@ -83,10 +99,17 @@ class Engine:
             store.unstage()
         return {"status": "ok", "indexed_files": n_files, "indexed_symbols": n_symbols, "dimension": self.embedder.dimension, "db": str(store.db), "deleted": changes.get("deleted", 0), "updated": changes.get("updated", 0), "elapsed_seconds": round(time.time() - began, 2)}
 
+    def optimize(self, db: str | Path | None = None, *, root: str | Path | None = None) -> dict:
+        """Makes the layout that queries without a filter search; exact, and for the current snapshot only."""
+        return json.loads(described(Store(self.spark, self._db(root, db)).optimize()))
+
     def hits(self, text: str, db: str | Path | None = None, *, root: str | Path | None = None, top: int = search.TOP, candidates: int = search.CANDIDATES, filter: str | None = None, kind: str | None = None, lang: str | None = None, w_dense: float = search.DENSE_WEIGHT, w_lexical: float = search.LEXICAL_WEIGHT) -> DataFrame:
         sql = search.build_filter(filter, kind, lang)  # before the index is touched
-        rows = Store(self.spark, self._db(root, db)).symbols()
-        return search.hybrid_query(rows, dot(F.col("embedding"), self.embedder.query(text)), text, top=top, candidates=candidates, sql_filter=sql, w_dense=w_dense, w_lexical=w_lexical)
+        store, vector = Store(self.spark, self._db(root, db)), self.embedder.query(text)
+        rows = store.symbols()
+        if sql is None and top >= 0 and candidates >= 0 and (pool := store.nearest(vector, max(top, candidates))) is not None:
+            rows = rows.join(F.broadcast(pool.select("id")), "id", "left_semi")  # the pool, which the layout finds without a look at the rest
+        return search.hybrid_query(rows, dot(F.col("embedding"), vector), text, top=top, candidates=candidates, sql_filter=sql, w_dense=w_dense, w_lexical=w_lexical)
 
     def query(self, text: str, db: str | Path | None = None, *, root: str | Path | None = None, tokens: bool = False, **options) -> dict:
         """The payload of a query: its filter, its hits and, if asked for, the report on saved tokens."""
@@ -148,7 +171,7 @@ class Engine:
         if not out["exists"]:
             return out
         try:
-            summary = reconcile.summary(store.symbols()).first()
+            summary = store.summary().first()
             out |= {"indexed_files": summary["files"], "indexed_symbols": summary["documents"], "dimension": store.dimension(), "languages": [x for x in (summary["languages"] or "").split(",") if x]}
             out["last_indexed_at"] = (store.metadata() or {}).get("indexed_at") or store.newest()
             if root:
@@ -166,9 +189,9 @@ class Engine:
         return {
             "status": "ok",
             "workspace": {"root": str(top), "db_path": str(store.db)},
-            "install": {"version": __version__, "languages": sorted(self.installed or schema.LANGUAGES)},
-            "index": self.status(store.db, top),
-            "locks": {"serve": probe_server_lock(store.db), "index": {"locked": store.is_locked()}},
+            "install": {"version": __version__, "module": str(Path(__file__).resolve().parent), "python_version": platform.python_version(), "languages": sorted(self.installed or schema.LANGUAGES), "packages": {name: installed_package(name) for name in PACKAGES}},
+            "index": (index := self.status(store.db, top)),
+            "locks": {"serve": probe_server_lock(store.db), "index": {"readable": index["exists"] and not index["error"], "locked": store.is_locked(), "error": index["error"]}},
             "harness": {"mcp_configs": read_configs(top)},
         }
 

@@ -50,15 +50,28 @@ def merge_server(root: Path, db: Path, harness: str | None = None) -> bool:
     return _save(path, {**old, "mcpServers": servers}, old)
 
 
+def _package(root: Path, name: str) -> bool:
+    """Whether the agent has a package, its own or the workspace's."""
+    home = Path(os.environ.get("PI_CODING_AGENT_DIR") or Path.home() / ".pi" / "agent")
+    return any((p / "npm" / "node_modules" / name).exists() for p in (home, root / ".pi"))
+
+
+# What a harness needs (a program or a package, its name, and how to get it), and what is said of it.
+REQUIREMENTS = {"pi": {"pi": ("program", "pi", "npm install -g @earendil-works/pi-coding-agent"), "pi_mcp_adapter": ("package", "pi-mcp-adapter", "pi install npm:pi-mcp-adapter")}}
+NOTES = {"pi": "Pi speaks to servers by the package pi-mcp-adapter, which its preset calls for."}
+
+
 def harness_report(root: Path, harness: str | None) -> dict | None:
-    """What a harness needs besides, and whether it is there."""
+    """What a harness needs besides, whether it is there, and how to get what is not."""
     if not harness:
         return None
-    home = Path(os.environ.get("PI_CODING_AGENT_DIR") or Path.home() / ".pi" / "agent")
-    adapter = any((p / "npm" / "node_modules" / "pi-mcp-adapter").exists() for p in (home, root / ".pi"))
-    program = shutil.which(harness)
-    missing = [what for what, there in ((harness, program), ("pi-mcp-adapter", adapter)) if not there]
-    return {"name": harness, "config_path": ".mcp.json", "requirements": {harness: {"installed": program is not None, "executable": program}, "adapter": {"installed": adapter}}, "guidance": [f"install {m}" for m in missing]}
+    needs, guidance = {}, [NOTES[harness]]
+    for key, (kind, name, hint) in REQUIREMENTS[harness].items():
+        there = shutil.which(name) if kind == "program" else _package(root, name)
+        needs[key] = {"installed": bool(there), "install_hint": hint} | ({"executable": there} if kind == "program" else {})
+        if not there:
+            guidance.append(f"{name} is missing: {hint}")
+    return {"name": harness, "config_path": ".mcp.json", "requirements": needs, "guidance": guidance}
 
 
 def merge_gitignore(root: Path) -> bool:

@@ -14,6 +14,7 @@ from codelode import __version__, bootstrap, schema
 from codelode.api import Engine, IndexError_, LockedError, UnsafeRootError
 from codelode.functions.embed import named_model
 from codelode.operators.search import CANDIDATES, DENSE_WEIGHT, LEXICAL_WEIGHT, TOP, FilterError
+from codelode.sources.store import Store
 
 #: Texts that a model embeds at a time, unless told otherwise.
 BATCH = 128
@@ -31,6 +32,7 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("--candidates", type=int, default=CANDIDATES)
     q.add_argument("--w-dense", type=float, default=DENSE_WEIGHT)
     q.add_argument("--w-lexical", type=float, default=LEXICAL_WEIGHT)
+    add("optimize", "--db", "--root")
     add("status", "--db", "--root")
     add("doctor", "--db", "--root")
     add("init", "path", "--db", "--model", "--harness", "!--skip-index", "!--auto-index", "!--force")
@@ -61,6 +63,8 @@ def run(a: argparse.Namespace, engine: Engine) -> tuple[dict, int]:
         return engine.index(a.path, a.db, reset=a.reset, definitions=a.definitions, force=a.force, log=lambda s: print(s, file=sys.stderr)), 0
     if a.command == "query":
         return engine.query(a.text, a.db, root=root, tokens=a.tokens, top=a.top, candidates=a.candidates, filter=a.filter, kind=a.kind, lang=a.lang, w_dense=a.w_dense, w_lexical=a.w_lexical), 0
+    if a.command == "optimize":
+        return engine.optimize(a.db, root=root), 0
     if a.command == "status":
         status = engine.status(a.db, root)
         return status, 1 if status["error"] else 0
@@ -91,7 +95,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if a.command == "serve":
             from codelode.server import serve
 
-            with bootstrap.ServerLock(a.db or Path.cwd() / schema.INDEX_DIR):
+            where = Path(a.db or Path.cwd() / schema.INDEX_DIR)
+            if Store(engine.spark, where).is_locked():
+                raise LockedError(f"{where} is already open for writing; serve it when that is done")
+            with bootstrap.ServerLock(where):
                 serve(engine, a.db)
             return 0
         payload, code = run(a, engine)

@@ -75,3 +75,18 @@ def summary(symbols: DataFrame) -> DataFrame:
 
 def with_ids(symbols: DataFrame) -> DataFrame:
     return symbols.select(X.doc_id().alias("id"), *schema.SYMBOL_COLUMNS, *(["seq"] if "seq" in symbols.columns else []))
+
+
+def by_language(symbols: DataFrame) -> DataFrame:
+    """(language, documents, files, names) of an index: exact counts, and a sketch of the distinct names.
+
+    A file has one language, so files add up; names do not, but their sketches can be merged.
+    """
+    return symbols.groupBy("language").agg(F.count("*").alias("documents"), F.countDistinct("file_path").alias("files"), F.hll_sketch_agg("symbol_name", F.lit(14)).alias("names"))
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """One row of such parts: documents, files, sorted languages, and an estimate of the distinct names (within 3 %)."""
+    languages = F.array_join(F.sort_array(F.collect_set(F.when(F.col("language") != "", F.col("language")))), ",")
+    names = F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("names")), F.lit(0))
+    return parts.agg(F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.coalesce(F.sum("files"), F.lit(0)).alias("files"), languages.alias("languages"), names.alias("names"))

@@ -46,16 +46,22 @@ def similarity(score: np.ndarray, digits: int | None) -> np.ndarray:
     return score if digits is None else np.floor(score * 10**digits + 0.5) / 10**digits
 
 
+def keys(column: pa.Array) -> np.ndarray:
+    """Ids, longs or strings, in the order that Spark has for them."""
+    return column.to_numpy() if pa.types.is_integer(column.type) else np.array(column.to_pylist(), dtype=str)
+
+
 class _Best:
     """The k best (similarity, id) of each query so far: a bounded heap for each, kept as sorted rows."""
 
     def __init__(self, queries: np.ndarray, k: int, digits: int | None) -> None:
         self.queries, self.k, self.digits = queries, k, digits
         self.length = np.sqrt((queries * queries).sum(1))
-        self.query, self.score, self.id = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+        self.query, self.score, self.id = np.empty(0, np.int64), np.empty(0), None
         self.least = np.full(len(queries), -np.inf)  # what a row must reach, once k are known
 
     def add(self, x: np.ndarray, ids: np.ndarray) -> None:
+        self.id = ids[:0] if self.id is None else self.id
         fast = self.queries @ x.T
         margin = SLACK * self.length[:, None] * np.sqrt((x * x).sum(1)) + (0.0 if self.digits is None else 10.0**-self.digits)
         a, b = np.nonzero(np.maximum(fast, 0) + margin >= self.least[:, None])
@@ -98,12 +104,13 @@ def batched_topk(rows: DataFrame, queries: DataFrame, k: int, *, id: str, vector
             names, q = known.value
             found = _Best(q, k, digits)
             for batch in batches:
-                ids, x = batch.column(0).to_numpy(), matrix(batch.column(1)) if batch.num_rows else np.empty((0, q.shape[1]))
-                for at in range(0, len(ids), TILE):
-                    found.add(x[at : at + TILE], ids[at : at + TILE])
-            for at in range(0, len(found.id), 50_000):
+                if batch.num_rows:
+                    ids, x, type_ = keys(batch.column(0)), matrix(batch.column(1)), batch.column(0).type
+                    for at in range(0, len(ids), TILE):
+                        found.add(x[at : at + TILE], ids[at : at + TILE])
+            for at in range(0, len(found.query), 50_000):
                 part = slice(at, at + 50_000)
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(found.query[part])), pa.array(found.id[part]), pa.array(found.score[part])], names=[by, id, "dense_similarity"])
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(found.query[part])), pa.array(found.id[part].tolist(), type_), pa.array(found.score[part])], names=[by, id, "dense_similarity"])
 
         return rows.select(id, vector).mapInArrow(run, schema)
 
@@ -194,8 +201,10 @@ def _scored(spark: SparkSession, path: str, known: Lists, lists: list[int], quer
         found = _Best(query[None, :], k, digits)
         for batch in batches:
             if batch.num_rows:
-                found.add(matrix(batch.column(1)), batch.column(0).to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(found.id), pa.array(found.score)], names=[id, "dense_similarity"])
+                found.add(matrix(batch.column(1)), keys(batch.column(0)))
+                type_ = batch.column(0).type
+        if len(found.query):
+            yield pa.RecordBatch.from_arrays([pa.array(found.id.tolist(), type_), pa.array(found.score)], names=[id, "dense_similarity"])
 
     return rows.select(id, vector).mapInArrow(run, f"`{id}` {kind}, dense_similarity double")
 

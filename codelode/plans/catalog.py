@@ -396,6 +396,15 @@ def status_counts(spark, sf_dir):
     return reconcile.summary(symbols(spark, sf_dir))
 
 
+@_query(f"WITH {SYM} SELECT count(*) AS documents, count(DISTINCT file_path) AS files, string_agg(DISTINCT language, ',' ORDER BY language) AS languages, true AS names_close FROM sym")
+def status_sketches(spark, sf_dir):
+    """The status from a summary by language: exact counts that add up, and merged sketches of names, within 3 % of the count."""
+    rows = symbols(spark, sf_dir)
+    parts = reconcile.merged(reconcile.by_language(rows))
+    exact = rows.agg(F.countDistinct("symbol_name").alias("exact"))
+    return parts.crossJoin(exact).select("documents", "files", "languages", (F.abs(F.col("names") - F.col("exact")) <= 0.03 * F.col("exact")).alias("names_close"))
+
+
 @_query(f"WITH {SYM} SELECT (SELECT count(*) FROM documents) AS indexed_files, (SELECT count(*) FROM s1) AS indexed_symbols")
 def index_summary(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
+import stat
 import subprocess
 from collections.abc import Iterator
+from itertools import islice
 from pathlib import Path
 
 import pyarrow as pa
@@ -21,28 +24,67 @@ AGENT_FILES = (".cursorrules", "agents.md", "claude.md", "codex.md", "copilot-in
 GIT_TIMEOUT = 30
 
 
-def folders(root: str, ignore: tuple[str, ...] = ()) -> list[str]:
-    """A root and all folders below it that are looked into; those that are skipped are not entered."""
-    names, out = {*SKIPPED, *ignore}, []
-    for folder, below, _ in os.walk(root):
+#: Paths in a batch of a listing, and bytes of contents in a batch.
+LISTED, READ_BYTES = 10_000, 16 << 20
+
+
+def _walk(root: str, top: str, names: frozenset[str], extensions: frozenset[str] | None) -> Iterator[tuple[str, float, int]]:
+    """(rel, mtime, size) of the files below one folder of a root; names that are skipped are not entered."""
+    for folder, below, files in os.walk(os.path.join(root, top)):
         below[:] = sorted(d for d in below if d not in names)
-        out.append(folder)
-    return out
+        for name in sorted(files):
+            if extensions is None or os.path.splitext(name)[1].lower() in extensions:
+                path = os.path.join(folder, name)
+                with contextlib.suppress(OSError):
+                    found = os.stat(path)
+                    if stat.S_ISREG(found.st_mode):
+                        yield os.path.relpath(path, root).replace(os.sep, "/"), found.st_mtime, found.st_size
 
 
-def list_files(spark: SparkSession, root: str, content: bool = False, *, ignore: tuple[str, ...] = (), extensions: set[str] | None = None) -> DataFrame:
-    """(rel, mtime, size[, content]) of the files below a root, but for skipped folders; without content only the listing is read.
+def list_files(spark: SparkSession, root: str, *, ignore: tuple[str, ...] = (), extensions: set[str] | None = None) -> DataFrame:
+    """(rel, mtime, size) of the files below a root, but for skipped folders and other extensions (in any case of letters).
 
-    Other extensions are not opened, in any case of letters; a file that cannot be read is left out.
+    The driver looks at the root alone; tasks walk a folder of it each, so no listing is held anywhere.
     """
-    reader = spark.read.format("binaryFile").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
-    if extensions:
-        either = lambda e: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e)
-        reader = reader.option("pathGlobFilter", "*{" + ",".join(either(e) for e in sorted(extensions)) + "}")
-    top = str(root).rstrip("/") + "/"
-    files = reader.load([re.sub(r"([\[\]{}*?\\])", r"\\\1", f"file://{d}") for d in folders(str(root), ignore)])
-    path = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:/*(?=/)", "")
-    return files.select(F.substring(path, len(top) + 1, 1 << 20).alias("rel"), F.col("modificationTime").cast("double").alias("mtime"), F.col("length").alias("size"), *(["content"] if content else []))
+    names, root = frozenset({*SKIPPED, *ignore}), str(root)
+    wanted = frozenset(extensions) if extensions else None
+    with os.scandir(root) as found:
+        tops = [e.name for e in found if e.is_dir(follow_symlinks=False) and e.name not in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for top in batch.column(0).to_pylist():
+                rows = _walk(root, top, names, wanted) if top else _walk(root, "", names | set(os.listdir(root)), wanted)
+                while part := list(islice(rows, LISTED)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part, strict=True)], names=["rel", "mtime", "size"])
+
+    each = spark.createDataFrame([(t,) for t in ["", *sorted(tops)]], "top string").repartition(len(tops) + 1, "top")
+    return each.mapInArrow(run, "rel string, mtime double, size long")
+
+
+def with_content(files: DataFrame, root: str) -> DataFrame:
+    """The files with their bytes, read by tasks that share them evenly; what cannot be read is left out."""
+    root, names = str(root), [*files.columns, "content"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, contents, held = [], [], 0
+            for k, rel in enumerate(batch.column(0).to_pylist()):
+                try:
+                    contents.append(Path(root, rel).read_bytes())
+                except OSError:
+                    continue
+                rows.append(k)
+                held += len(contents[-1])
+                if held >= READ_BYTES:
+                    yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows)).columns, pa.array(contents, pa.binary())], names=names)
+                    rows, contents, held = [], [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows)).columns, pa.array(contents, pa.binary())], names=names)
+
+    tasks = 4 * files.sparkSession.sparkContext.defaultParallelism
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema)
+    return files.repartition(tasks, "rel").mapInArrow(run, f"{fields}, content binary")
 
 
 def not_skipped(rel: str | Column = "rel", ignore: tuple[str, ...] = ()) -> Column:
@@ -129,10 +171,10 @@ def read_ignore(root: str) -> IgnoreRules:
 def candidates(spark: SparkSession, root: str, extensions: set[str], *, ignore: tuple[str, ...] = (), content: bool = False) -> DataFrame:
     """Files to index: of the extensions, not skipped, no agent instructions, not ignored by git or the ignore file.
 
-    Folders that are skipped are never listed; git judges the paths batch by batch, where the files are read.
+    Folders that are skipped are never listed; git judges the paths batch by batch; contents are read of what is left.
     """
     root = str(Path(root).resolve())
-    files = list_files(spark, root, content, ignore=ignore, extensions=extensions)
+    files = list_files(spark, root, ignore=ignore, extensions=extensions)
     files = files.filter(not_skipped("rel", ignore) & not_agent_file("rel") & has_extension(extensions, "rel")).filter(~read_ignore(root).column("rel"))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +182,8 @@ def candidates(spark: SparkSession, root: str, extensions: set[str], *, ignore:
             dropped = git_ignored(root, batch.column(0).to_pylist())
             yield batch.filter(pa.array([r not in dropped for r in batch.column(0).to_pylist()], pa.bool_())) if dropped else batch
 
-    return files.mapInArrow(judged, files.schema)
+    kept = files.mapInArrow(judged, files.schema)
+    return with_content(kept, root) if content else kept
 
 
 def coverage(files: DataFrame, registry: DataFrame, installed: frozenset[str] | None = None) -> DataFrame:

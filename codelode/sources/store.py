@@ -21,9 +21,12 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from codelode import schema
+from codelode.operators import reconcile, vectors
 
 _POINTER, _METADATA, _LOCK = "CURRENT", "metadata.json", ".write.lock"
 METADATA_VERSION = 2
+#: Paths of a lookup that are named to Parquet; more are joined.
+NAMED = 1_000
 _SNAPSHOT = T.StructType([T.StructField("id", T.StringType()), *schema.SYMBOL.fields, T.StructField("embed_hash", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
 _threads: dict[str, threading.RLock] = defaultdict(threading.RLock)
 
@@ -63,6 +66,32 @@ class Store:
             raise IndexError_(f"no readable index at {self.db}")
         return self.spark.read.schema(_SNAPSHOT).parquet(self._path("symbols", version))
 
+    def summary(self) -> DataFrame:
+        """One row: documents, files, languages and about how many names, from the summary that was written with the snapshot."""
+        version = self.version()
+        if version is None or not (self.db / f"summary-v{version}").is_dir():
+            return reconcile.merged(reconcile.by_language(self.symbols()))
+        return reconcile.merged(self.spark.read.parquet(self._path("summary", version)))
+
+    def of_files(self, paths: DataFrame) -> DataFrame:
+        """The symbols of some files (file_path): a semi-join, for which few paths are named to Parquet's filters."""
+        few = [r[0] for r in paths.select("file_path").distinct().limit(NAMED + 1).collect()]
+        rows = self.symbols().select(*_SNAPSHOT.fieldNames())
+        return rows.filter(F.col("file_path").isin(few)) if len(few) <= NAMED else rows.join(paths.select("file_path"), rows["file_path"] == paths["file_path"], "left_semi")
+
+    def optimize(self) -> vectors.Lists:
+        """Lays the current snapshot's vectors out by centroids, beside it; a later snapshot needs its own."""
+        with self.writing():
+            rows = self.symbols().select("id", "embedding")
+            return vectors.write_lists(rows, self._path("vectors", self.version()), id="id", vector="embedding")
+
+    def nearest(self, query: list[float], k: int) -> DataFrame | None:
+        """(id, dense_similarity) of the k best symbols, from the layout; None if there is none."""
+        version = self.version()
+        if version is None or not (self.db / f"vectors-v{version}" / "lists" / "_SUCCESS").exists():
+            return None
+        return vectors.topk(self.spark, self._path("vectors", version), query, k, id="id", vector="embedding")
+
     def files(self) -> DataFrame:
         """rel and sha1 of the files that were walked."""
         version = self.version()
@@ -110,8 +139,12 @@ class Store:
         """Writes both tables as the next version and makes it current; older versions but the last one go."""
         known = [int(p.name.rpartition("-v")[2]) for p in self.db.glob("*-v*") if p.name.rpartition("-v")[2].isdigit()]
         version = max(known, default=0) + 1
-        symbols.repartitionByRange("language", "file_path").sortWithinPartitions("language", "file_path", "start_line").write.partitionBy("language").parquet(self._path("symbols", version))
+        ordered = symbols.repartitionByRange("language", "file_path").sortWithinPartitions("language", "file_path", "start_line")
+        skipping = {f"parquet.bloom.filter.enabled#{c}": "true" for c in ("id", "file_path")}
+        ordered.write.options(**skipping).partitionBy("language").parquet(self._path("symbols", version))
         files.write.parquet(self._path("files", version))
+        written = self.spark.read.schema(_SNAPSHOT).parquet(self._path("symbols", version))
+        reconcile.by_language(written).coalesce(1).write.parquet(self._path("summary", version))
         self._replace(_METADATA, json.dumps(metadata | {"version": METADATA_VERSION, "indexed_at": time.time()}, indent=2, sort_keys=True))
         self._replace(_POINTER, str(version))
         for p in self.db.glob("*-v*"):

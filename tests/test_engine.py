@@ -279,3 +279,134 @@ def test_scan_filters(spark, tmp_path):
     subprocess.run(["git", "-C", str(root), "add", "-f", "kept.py"], check=True)
     rels = {r[0] for r in scan.candidates(spark, str(root), {".py"}).select("rel").collect()}
     assert rels == {"a.py", "döc é.py", "x/knowledge/d.py", "kept.py", "a b%20c.py"}  # a tracked file is not ignored by git
+
+
+def test_layout_gives_the_same_hits(spark, engine, tree):
+    """With the layout the pool comes from lists; hits are the same, filters do without it, a new snapshot drops it."""
+    from codelode.operators import vectors
+
+    for k in range(60):
+        (tree / f"m{k}.py").write_text(f"def fetch_{k}(x):\n    return row_{k % 7}(x)\n\n\nclass Store{k}:\n    pass\n")
+    engine.index(tree)
+    store = Store(spark, tree / schema.INDEX_DIR)
+    ask = lambda **o: engine.query("fetch a row of the store", root=tree, top=5, **o)["results"]
+    before, filtered = ask(), ask(kind="class")
+    assert store.nearest([1.0] * 64, 3) is None
+    told = engine.optimize(root=tree)
+    assert told["rows"] == 128 and told["lists"] == 2
+    assert ask() == before and ask(kind="class") == filtered
+    assert store.nearest([1.0] * 64, 3).count() == 3 and vectors.read_lists(spark, store._path("vectors", store.version())).rows.sum() == 128
+    (tree / "m1.py").write_text("def other():\n    pass\n")
+    engine.index(tree)
+    assert store.nearest([1.0] * 64, 3) is None and "fetch_1" not in {h["symbol_name"] for h in ask(candidates=200)}
+
+
+def test_summary_is_kept_with_the_snapshot(spark, engine, tree, monkeypatch):
+    """Status reads no symbols; counts are exact, and names are estimated."""
+    for k in range(300):
+        (tree / f"n{k}.py").write_text("".join(f"def name_{k}_{j}():\n    pass\n" for j in range(5)))
+    engine.index(tree)
+    store = Store(spark, tree / schema.INDEX_DIR)
+    exact = store.symbols().selectExpr("count(*)", "count(DISTINCT file_path)", "count(DISTINCT symbol_name)").first()
+    monkeypatch.setattr(Store, "symbols", lambda self: pytest.fail("symbols are read"))
+    row = store.summary().first()
+    assert (row["documents"], row["files"], row["languages"]) == (exact[0], exact[1], "python") and abs(row["names"] - exact[2]) <= 0.03 * exact[2]
+    monkeypatch.setattr(Store, "dimension", lambda self: 64)
+    assert engine.status(root=tree)["indexed_symbols"] == exact[0]
+
+
+def test_lookup_of_files_skips_row_groups(spark, engine, tree):
+    """Few paths reach Parquet as filters, which statistics and Bloom filters answer; many are joined."""
+    from codelode.sources import store as store_module
+
+    engine.index(tree)
+    store = Store(spark, tree / schema.INDEX_DIR)
+    paths = spark.createDataFrame([("pkg/auth.py",), ("pkg/none.py",), ("pkg/auth.py",)], "file_path string")
+    found = store.of_files(paths)
+    assert "In(file_path" in found._jdf.queryExecution().executedPlan().toString() and found.count() == 5
+    store_module.NAMED, kept = 1, store_module.NAMED
+    try:
+        joined = store.of_files(paths)
+        assert "LeftSemi" in joined._jdf.queryExecution().executedPlan().toString() and sorted(joined.collect()) == sorted(found.collect())
+    finally:
+        store_module.NAMED = kept
+    import pyarrow.parquet as pq
+
+    part = next((tree / schema.INDEX_DIR).glob("symbols-v*/language=python/*.parquet"))
+    columns = pq.ParquetFile(part).metadata.row_group(0)
+    assert {columns.column(k).path_in_schema for k in range(columns.num_columns)} >= {"id", "file_path"}
+    raw = part.read_bytes()
+    assert len(raw) > 0 and pq.read_table(part).num_rows == store.symbols().count()
+
+
+def test_only_candidates_are_read(spark, tmp_path, monkeypatch):
+    """Tasks list a folder each; what git ignores is dropped before it is opened, as an unreadable file would show."""
+    from codelode.sources import scan
+
+    root = tmp_path / "tree"
+    for path in ("a/x.py", "a/deep/er/y.PY", "b/z.py", "b/no.txt", "node_modules/m.py", "top.py", "ignored/secret.py", "a/dist/gone.py"):
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text("x = 1\n")
+    (root / ".gitignore").write_text("ignored/\n")
+    subprocess.run(["git", "init", "-q", str(root)], check=True)
+    (root / "b/link.py").symlink_to(root / "top.py")
+    (root / "b/broken.py").symlink_to(root / "nowhere.py")
+    want = {"a/x.py", "a/deep/er/y.PY", "b/z.py", "b/link.py", "top.py"}
+    listed = scan.candidates(spark, str(root), {".py"})
+    assert {r["rel"] for r in listed.collect()} == want and all(r["size"] == 6 and r["mtime"] > 0 for r in listed.collect())
+    monkeypatch.setattr(scan, "READ_BYTES", 7)
+    read = scan.candidates(spark, str(root), {".py"}, content=True)
+    assert read._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 3  # listing, git, reading: contents come last
+    assert {r["rel"]: bytes(r["content"]) for r in read.collect()} == dict.fromkeys(want, b"x = 1\n")
+    assert {r["rel"] for r in scan.list_files(spark, str(root), ignore=("deep",)).collect()} >= {"b/no.txt", "top.py"} - {"a/deep/er/y.PY"}
+
+
+def test_serve_refuses_while_an_index_is_written(spark, tree, capsys):
+    from codelode import cli
+
+    held = Store(spark, tree / schema.INDEX_DIR)
+    held.db.mkdir()
+    code = "import fcntl,sys,time; f=open(sys.argv[1],'w'); fcntl.flock(f,fcntl.LOCK_EX); print('held',flush=True); time.sleep(60)"
+    other = subprocess.Popen(["python", "-c", code, str(held.db / ".write.lock")], stdout=subprocess.PIPE)
+    try:
+        other.stdout.readline()
+        assert cli.main(["serve", "--db", str(held.db)], spark) == 1
+    finally:
+        other.kill()
+        other.wait()
+    out = capsys.readouterr()
+    assert out.out == "" and "already open" in out.err
+
+
+def test_doctor_and_harness_tell_what_is_missing(engine, tree, tmp_path, monkeypatch):
+    from codelode import bootstrap
+
+    engine.index(tree)
+    report = engine.doctor(root=tree)
+    assert report["install"]["packages"]["pyspark"]["installed"] and report["install"]["packages"]["sentence-transformers"] == {"installed": False, "version": None}
+    assert report["install"]["python_version"].startswith("3.") and report["locks"]["index"] == {"readable": True, "locked": False, "error": None}
+    monkeypatch.setattr(bootstrap.shutil, "which", lambda _: None)
+    monkeypatch.setenv("PI_CODING_AGENT_DIR", str(tmp_path / "agent"))
+    lacking = bootstrap.harness_report(tree, "pi")
+    assert [lacking["requirements"][k]["installed"] for k in ("pi", "pi_mcp_adapter")] == [False, False]
+    assert lacking["requirements"]["pi_mcp_adapter"]["install_hint"] == "pi install npm:pi-mcp-adapter" and len(lacking["guidance"]) == 3
+    (tmp_path / "agent/npm/node_modules/pi-mcp-adapter").mkdir(parents=True)
+    monkeypatch.setattr(bootstrap.shutil, "which", lambda _: "/usr/bin/pi")
+    there = bootstrap.harness_report(tree, "pi")
+    assert there["requirements"]["pi"]["executable"] == "/usr/bin/pi" and len(there["guidance"]) == 1 and bootstrap.harness_report(tree, None) is None
+
+
+def test_named_models_are_loaded_by_workers(spark, tree, tmp_path, monkeypatch):
+    """A module in place of the library: it is asked for its dimension, and embeds in batches on the workers."""
+    from codelode.functions import embed
+
+    (tmp_path / "sentence_transformers.py").write_text(
+        "import numpy as np\nclass SentenceTransformer:\n    def __init__(self, name):\n        assert name == 'tiny'\n    def get_sentence_embedding_dimension(self):\n        return 3\n"
+        "    def encode(self, texts, batch_size, **options):\n        assert batch_size == 2 and options['normalize_embeddings']\n        return np.array([[len(t), t.count('a'), 1.0] for t in texts])\n"
+    )
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "sentence_transformers.py"))
+    own = Engine(spark, embed.named_model("tiny", 2))
+    assert own.index(tree)["dimension"] == 3 and len(own.query("login", root=tree)["results"]) == 3
+    with pytest.raises(ValueError, match="at least one"):
+        embed.named_model("tiny", 0)
