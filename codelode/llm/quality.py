@@ -37,7 +37,7 @@ BUCKETS = 1 << 16
 #: Word buckets of the ratio of good and toxic rows (a power of two), and the words of a document that its harm is taken from.
 HARM_BUCKETS, WORST = 1 << 20, 3
 #: Added to each bucket's count.
-SMOOTHING = 0.5
+SMOOTHING, HARM_SMOOTHING = 0.5, 2.0
 #: Log ratios are rounded to multiples of 1 / SCALE.
 SCALE = 1 << 20
 #: The most labelled rows that each sample takes, by the hash of their ids.
@@ -89,10 +89,19 @@ def _distinct_words(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.unique(K.doc_of(toffs) * HARM_BUCKETS + (h >> np.uint64(64 - (HARM_BUCKETS.bit_length() - 1))).astype(np.int64))
 
 
+def _ratios(harmful: np.ndarray, harmless: np.ndarray, n_harmful: int | np.ndarray, n_harmless: int | np.ndarray) -> np.ndarray:
+    """Log ratios of good and toxic documents, in multiples of 1 / SCALE; those above 0, and of buckets without a toxic document, are 0."""
+    share = lambda count, n: np.log((count + HARM_SMOOTHING) / (n + 2 * HARM_SMOOTHING))
+    return np.rint(np.where(harmful > 0, np.minimum(share(harmless, n_harmless) - share(harmful, n_harmful), 0), 0) * SCALE).astype(np.int32)
+
+
 def _harms(buf: np.ndarray, offs: np.ndarray, ratios: np.ndarray) -> np.ndarray:
-    """The mean of the WORST least ratios of each document's words; ratios above 0 and missing words count as 0."""
+    """The mean of the WORST least ratios of each document's words; missing words count as 0."""
     words = _distinct_words(buf, offs)
-    values, docs = ratios[words % HARM_BUCKETS], words // HARM_BUCKETS
+    return _worst(ratios[words % HARM_BUCKETS], words // HARM_BUCKETS, offs)
+
+
+def _worst(values: np.ndarray, docs: np.ndarray, offs: np.ndarray) -> np.ndarray:
     values, docs = values[values < 0], docs[values < 0]
     order = np.lexsort((values, docs))
     values, docs = values[order], docs[order]
@@ -135,15 +144,28 @@ def base_rules(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _count(batches: Iterator[pa.RecordBatch], good: frozenset, toxic: frozenset) -> Iterator[pa.RecordBatch]:
+def _left_out(batches: Iterator[pa.RecordBatch], harmful: np.ndarray, harmless: np.ndarray, n_harmful: int, n_harmless: int, toxic: frozenset) -> Iterator[pa.RecordBatch]:
+    """(doc_id, harm) of counted documents, each by the counts without its own."""
+    for batch in batches:
+        marked = np.fromiter((x in toxic for x in batch.column(0).to_pylist()), np.int64, batch.num_rows)
+        for at, to, buf, offs in K.chunks(batch.column(1)):
+            words = _distinct_words(buf, offs)
+            bucket, docs = words % HARM_BUCKETS, words // HARM_BUCKETS
+            own = marked[at:to][docs]
+            values = _ratios(harmful[bucket] - own, harmless[bucket] - (1 - own), n_harmful - own, n_harmless - (1 - own))
+            yield pa.RecordBatch.from_arrays([batch.column(0)[at:to], pa.array(_worst(values, docs, offs))], names=["doc_id", "harm"])
+
+
+def _count(batches: Iterator[pa.RecordBatch], good: frozenset, harmless: frozenset, toxic: frozenset) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, raw, target) of one partition, a row for each bucket that it has.
 
     From BUCKETS on, the buckets are those of harm, and the rows (bucket, toxic documents, good documents).
     """
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    harmful, harmless = np.zeros(HARM_BUCKETS, np.int32), np.zeros(HARM_BUCKETS, np.int32)
+    with_harm, without = np.zeros(HARM_BUCKETS, np.int32), np.zeros(HARM_BUCKETS, np.int32)
     for batch in batches:
         ids = batch.column(0).to_pylist()
+        fair = np.fromiter((x in harmless for x in ids), bool, batch.num_rows)
         trusted = np.fromiter((x in good for x in ids), bool, batch.num_rows)
         marked = np.fromiter((x in toxic for x in ids), bool, batch.num_rows)
         for at, to, buf, offs in K.chunks(batch.column(1)):
@@ -151,12 +173,12 @@ def _count(batches: Iterator[pa.RecordBatch], good: frozenset, toxic: frozenset)
             raw += np.bincount(buckets, minlength=BUCKETS)
             if trusted[at:to].any():
                 target += np.bincount(buckets[trusted[at:to][docs]], minlength=BUCKETS)
-            if toxic and (trusted[at:to] | marked[at:to]).any():
+            if toxic and (fair[at:to] | marked[at:to]).any():
                 words = _distinct_words(buf, offs)
-                for sums, own in ((harmful, marked), (harmless, trusted)):
+                for sums, own in ((with_harm, marked), (without, fair)):
                     found, n = np.unique(words[own[at:to][words // HARM_BUCKETS]] % HARM_BUCKETS, return_counts=True)
                     sums[found] += n.astype(np.int32)
-    for first, a, b in ((0, raw, target), (BUCKETS, harmful, harmless)):
+    for first, a, b in ((0, raw, target), (BUCKETS, with_harm, without)):
         at = np.flatnonzero(a + b)
         yield pa.RecordBatch.from_arrays([pa.array(at + first), pa.array(a[at].astype(np.int64)), pa.array(b[at].astype(np.int64))], names=["bucket", "raw", "target"])
 
@@ -176,17 +198,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, target_rows: int = TARGET_ROWS, t
     rows are bounded samples of labelled rows.  The threshold is the one that
     separates good from bad tuning rows best (the sum of both rates), lowered
     until at most ``good_loss`` of the good rows fall below it.  Harm is counted
-    over the same good rows and as many toxic ones, and its threshold is set in the
-    same way, from good and toxic tuning rows.
+    over the good sample and as many toxic rows, and its threshold is set in the same
+    way, from rows of both that are scored by the counts without their own.
     """
     docs = docs.select("doc_id", "text")
     good = _sample(labels, "good", target_rows + tuning_rows)
     held = min(tuning_rows, len(good) // 4)  # these set the threshold and so stay out of the target's counts
     known = frozenset(good[held:])
-    toxic = _sample(labels, "toxic", target_rows + tuning_rows)
-    held_toxic = min(tuning_rows, len(toxic) // 4)
-    known_toxic = frozenset(toxic[held_toxic:])
-    counted = docs.mapInArrow(K.frugal(lambda it: _count(it, known, known_toxic)), "bucket long, raw long, target long")
+    toxic_ids = _sample(labels, "toxic", target_rows)
+    toxic = frozenset(toxic_ids)
+    fair = frozenset(good[:target_rows])
+    counted = docs.mapInArrow(K.frugal(lambda it: _count(it, known, fair, toxic)), "bucket long, raw long, target long")
     # A bucket of harm without a toxic document has no ratio below 0.
     sums = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).filter(f"bucket < {BUCKETS} or raw > 0").toArrow()
     bucket, r, t = (sums.column(k).to_numpy() for k in range(3))
@@ -197,15 +219,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, target_rows: int = TARGET_ROWS, t
         return Model(np.zeros(BUCKETS, np.int64), None)
     ratio = np.log((target + SMOOTHING) / (target.sum() + SMOOTHING * BUCKETS)) - np.log((raw + SMOOTHING) / (raw.sum() + SMOOTHING * BUCKETS))
     ratios = np.rint(ratio * SCALE).astype(np.int64)
-    harm = np.log((harmless + SMOOTHING) / (len(known) + 2 * SMOOTHING)) - np.log((harmful + SMOOTHING) / (len(known_toxic) + 2 * SMOOTHING))
-    harm_ratios = np.rint(np.where(harmful > 0, np.minimum(harm, 0), 0) * SCALE).astype(np.int32) if known_toxic else None
+    harmful, harmless = harmful.astype(np.int32), harmless.astype(np.int32)
+    harm_ratios = _ratios(harmful, harmless, len(toxic), len(fair)) if toxic else None
     bad = _sample(labels, "bad", tuning_rows)
-    ids = docs.sparkSession.createDataFrame([(x,) for x in {*good[:held], *bad, *toxic[:held_toxic]}], "doc_id long")
-    tuned = docs.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(K.frugal(lambda it: _verdicts(it, Model(ratios, None, harm_ratios))), _SCHEMA)
-    rows = tuned.filter(~F.col("base_failed")).select("doc_id", "score", "harm").collect()
-    fair, marks, harmed = frozenset(good[:held]), frozenset(bad), frozenset(toxic[:held_toxic])
-    own = sorted((r["score"], r["doc_id"] in marks) for r in rows if r["doc_id"] in fair or r["doc_id"] in marks)
-    worst = sorted((r["harm"], r["doc_id"] in harmed) for r in rows if r["doc_id"] in fair or r["doc_id"] in harmed)
+    some = lambda ids: docs.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in ids], "doc_id long")), "doc_id", "left_semi")
+    rows = some({*good[:held], *bad}).mapInArrow(K.frugal(lambda it: _verdicts(it, Model(ratios, None))), _SCHEMA).filter(~F.col("base_failed")).select("doc_id", "score").collect()
+    marks = frozenset(bad)
+    own = sorted((r["score"], r["doc_id"] in marks) for r in rows)
+    if not toxic:
+        return Model(ratios, _threshold(own, good_loss))
+    tuned = {*good[:tuning_rows], *toxic_ids[:tuning_rows]}
+    rows = some(tuned).mapInArrow(K.frugal(lambda it: _left_out(it, harmful, harmless, len(toxic), len(fair), toxic)), "doc_id long, harm double").collect()
+    worst = sorted((r["harm"], r["doc_id"] in toxic) for r in rows)
     return Model(ratios, _threshold(own, good_loss), harm_ratios, _threshold(worst, good_loss))
 
 

@@ -245,7 +245,8 @@ def test_quality_recall_on_unseen_toxic_and_low_rows(spark):
     got = quality.judge(docs, model).join(labels.filter("doc_id % 3 = 1"), "doc_id").select("kept", "quality", "toxic").collect()
     kept = {kind: [r["kept"] for r in got if (r["quality"], r["toxic"]) == kind] for kind in ((1, 0), (1, 1), (0, 0), (0, 1))}
     low = kept[0, 0] + kept[0, 1]
-    assert sum(kept[1, 1]) <= 0.15 * len(kept[1, 1]) and sum(low) <= 0.05 * len(low) and sum(kept[1, 0]) >= 0.95 * len(kept[1, 0])
+    print({k: (sum(v), len(v)) for k, v in kept.items()})
+    assert sum(kept[1, 1]) <= 0.1 * len(kept[1, 1]) and sum(low) <= 0.05 * len(low) and sum(kept[1, 0]) >= 0.95 * len(kept[1, 0])
 
 
 # Secrets
