@@ -1,23 +1,20 @@
 """Re-indexing as a stream: a file source that names changed files, reconciled batch by batch.
 
 Reconciling is keyed and idempotent, so a batch that runs twice does no harm and no state store is needed.
+Paths may be remote: all is read and written by Spark.
 """
 
 from __future__ import annotations
 
-import json
-import os
-import shutil
-import uuid
 from collections.abc import Callable
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from codelode import schema
 from codelode.functions import text as X
 from codelode.operators.reconcile import last_wins
+from codelode.sources import parts
 
 
 def changed_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,59 +22,40 @@ def changed_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema("rel string, text string, seq long").json(folder)
 
 
-#: Parts of the table by hash of the path; a batch rewrites those that its files fall into.
+#: Parts of the table by hash of the path, unless told otherwise; a batch rewrites those that its files fall into.
 PARTS = 64
-_MANIFEST = "MANIFEST.json"
+_SCHEMA = "id string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.SYMBOL) + ", part int"
 
 
-def read(spark: SparkSession, target: str, columns: T.StructType, parts: set[int] | None = None) -> DataFrame:
-    """The table as the last batch left it, or some parts of it."""
-    known = _manifest(target)
-    paths = [f"file://{Path(target).resolve()}/{folder}/part={k}" for k, folder in sorted(known.items()) if parts is None or k in parts]
-    return spark.read.schema(columns).parquet(*paths) if paths else spark.createDataFrame([], columns)
+def read(spark: SparkSession, target: str) -> DataFrame:
+    """The table of symbols as the last batch left it."""
+    return parts.read(spark, target, _SCHEMA, "file_path").drop("part")
 
 
-def _manifest(target: str) -> dict[int, str]:
-    try:
-        return {int(k): v for k, v in json.loads((Path(target) / _MANIFEST).read_text(encoding="utf-8")).items()}
-    except FileNotFoundError:
-        return {}
+def upsert_into(target: str, extract: Callable[[DataFrame], DataFrame], n_parts: int = PARTS) -> Callable[[DataFrame, int], None]:
+    """A batch function: files of the batch replace their rows in a table of symbols (of equal files the last counts).
 
-
-def upsert_into(target: str, extract: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A batch function: files of the batch replace their rows in a table of symbols.
-
-    Only the parts that hold the batch's files are read and written anew, into a folder of the batch's own; a manifest then
-    names the folder of each part, swapped all at once, so a batch that fails or runs twice, or a fresh checkpoint, leaves no
-    wrong row.  Folders that no part names any more go.
+    Only the parts that hold the batch's files are read and written anew, in one dynamic overwrite.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
-        spark, top = batch.sparkSession, Path(target)
-        part = F.pmod(F.xxhash64("file_path"), F.lit(PARTS)).cast("int")
-        latest = last_wins(batch, key="rel", order="seq").withColumnRenamed("rel", "file_path").withColumn("part", part)
-        touched = {r[0] for r in latest.select("part").distinct().collect()}
+        spark = batch.sparkSession
+        part = F.pmod(F.xxhash64("file_path"), F.lit(n_parts)).cast("int")
+        latest = last_wins(batch.filter("rel is not null"), key="rel", order="seq").withColumnRenamed("rel", "file_path").withColumn("part", part)
+        touched = [r[0] for r in latest.select("part").distinct().collect()]  # n_parts at most
         if not touched:
             return
-        new = extract(latest.filter("text is not null").select("file_path", "text"))
-        kept = read(spark, target, new.schema, touched).join(latest.select("file_path"), "file_path", "left_anti")
-        folder = f"batch-{uuid.uuid4().hex}"
-        kept.unionByName(new).withColumn("part", part).repartition("part").write.partitionBy("part").parquet(f"file://{top.resolve()}/{folder}")
-        known = {k: v for k, v in _manifest(target).items() if k not in touched}
-        known |= {k: folder for k in touched if (top / folder / f"part={k}").is_dir()}
-        fresh = top / f"{_MANIFEST}.new"
-        fresh.write_text(json.dumps(known), encoding="utf-8")
-        os.replace(fresh, top / _MANIFEST)
-        for old in top.glob("batch-*"):
-            if old.name not in known.values():
-                shutil.rmtree(old, ignore_errors=True)
+        new = extract(latest.filter("text is not null").select("file_path", "text")).withColumn("part", part)
+        stored = parts.read(spark, target, _SCHEMA, "file_path").filter(F.col("part").isin(touched))
+        kept = stored.join(latest.select("file_path"), "file_path", "left_anti")
+        parts.replace(new.select(*kept.columns).unionByName(kept), target, _SCHEMA, "part", "file_path", emptied=touched)
 
     return run
 
 
-def start(spark: SparkSession, folder: str, target: str, checkpoint: str, extract: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+def start(spark: SparkSession, folder: str, target: str, checkpoint: str, extract: Callable[[DataFrame], DataFrame], n_parts: int = PARTS) -> StreamingQuery:
     """Works off all files that wait and stops."""
-    return changed_files(spark, folder).writeStream.foreachBatch(upsert_into(target, extract)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return changed_files(spark, folder).writeStream.foreachBatch(upsert_into(target, extract, n_parts)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def extract_with_ids(carve: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:

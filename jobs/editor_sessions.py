@@ -24,6 +24,7 @@ if __name__ == "__main__":
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from codelode.sources import parts
 from codelode.streaming.sessions import sessions
 from jobs import common
 
@@ -34,8 +35,7 @@ SESSIONS = "user_id long, started_us long, last_seen_us long, events long, day s
 
 def finished(spark: SparkSession, output: str) -> DataFrame:
     """The sessions that are over, as they stand."""
-    found = common.table_or_none(spark, output, SESSIONS)
-    return spark.createDataFrame([], SESSIONS) if found is None else found
+    return spark.read.schema(SESSIONS).parquet(output) if parts.exists(spark, output) else spark.createDataFrame([], SESSIONS)
 
 
 def _pattern(path: str) -> str:

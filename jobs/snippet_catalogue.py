@@ -11,8 +11,7 @@ Only new and edited documents are carved; of the other documents of those bucket
 taken over; buckets without a change are not touched.  Snippets are written before the mark, so a
 run that was cut short is made up by the next, and a run without changes writes nothing.
 
-A bucket whose documents are all gone gets one row with nulls, which ``snippets`` and ``files``
-leave out, as partitions that get no row are not overwritten.  Documents without a path (a null
+Documents without a path (a null
 source, id or language) take no part; of rows with one path all are carved, and of equal keys the
 last line wins.
 """
@@ -33,6 +32,7 @@ from codelode.operators.digests import bucket_of, differing
 from codelode.operators.reconcile import last_wins
 from codelode.plans.corpus_view import extracted
 from codelode.ship import ship
+from codelode.sources import parts
 from jobs import common
 
 log = logging.getLogger("jobs.snippet_catalogue")
@@ -41,30 +41,14 @@ SNIPPETS = "id string, file_path string, symbol_name string, kind string, langua
 FILES = "file_path string, sha1 string, bucket int"
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    found = common.table_or_none(spark, path, schema)
-    return (spark.createDataFrame([], schema) if found is None else found).filter("file_path is not null")
-
-
 def snippets(spark: SparkSession, output: str) -> DataFrame:
     """The catalogue as it stands."""
-    return _read(spark, f"{output}/snippets", SNIPPETS)
+    return parts.read(spark, f"{output}/snippets", SNIPPETS, "file_path")
 
 
 def files(spark: SparkSession, output: str) -> DataFrame:
     """The mark: what the catalogue holds."""
-    return _read(spark, f"{output}/files", FILES)
-
-
-def _write(rows: DataFrame, path: str, schema: str, emptied: list[int], row_group: int) -> int:
-    """Overwrites the buckets that rows and ``emptied`` have; the number of rows."""
-    spark, seen = rows.sparkSession, Observation()
-    gone = spark.createDataFrame([(b,) for b in emptied], "bucket int")
-    names = [f.split()[0] for f in schema.split(", ")]
-    marked = rows.observe(seen, F.count(F.lit(1)).alias("rows")).select(*names).unionByName(gone, allowMissingColumns=True)
-    dealt = marked.repartition("bucket").sortWithinPartitions("bucket", "file_path")
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("parquet.block.size", str(row_group)).partitionBy("bucket").parquet(path)
-    return seen.get["rows"]
+    return parts.read(spark, f"{output}/files", FILES, "file_path")
 
 
 def run(spark: SparkSession, documents: str, output: str, config: dict | None = None) -> dict[str, int]:
@@ -90,9 +74,9 @@ def run(spark: SparkSession, documents: str, output: str, config: dict | None =
     carved = docs.join(fresh, "file_path", "left_semi").observe(read, F.count(F.lit(1)).alias("rows"))
     carved = last_wins(extracted(carved)).drop("seq").withColumn("tokens", X.estimate_tokens("code_content")).withColumn("bucket", bucket_of("file_path", config["buckets"]))
     kept = snippets(spark, output).filter(F.col("bucket").isin(touched)).join(same, "file_path", "left_semi")
-    told["snippets_written"] = _write(carved.unionByName(kept), f"{output}/snippets", SNIPPETS, emptied, config["row_group_bytes"])
+    told["snippets_written"] = parts.replace(carved.unionByName(kept), f"{output}/snippets", SNIPPETS, "bucket", "file_path", emptied, config["row_group_bytes"])
     told["files_read"] = read.get["rows"]
-    told["files_written"] = _write(now, f"{output}/files", FILES, emptied, config["row_group_bytes"])
+    told["files_written"] = parts.replace(now, f"{output}/files", FILES, "bucket", "file_path", emptied, config["row_group_bytes"])
     log.info("%(files_read)d documents carved, %(snippets_written)d snippets and %(files_written)d files written to %(output)s", told | {"output": output})
     return told
 

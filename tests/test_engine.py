@@ -256,14 +256,21 @@ def test_stream_of_changed_files(spark, tmp_path):
         reindex.start(spark, str(folder), target, str(tmp_path / "cp"), extract).awaitTermination()
 
     def names_of():
-        return {r["symbol_name"] for r in reindex.read(spark, target, extract(spark.createDataFrame([], "file_path string, text string")).schema).collect()}
+        return {r["symbol_name"] for r in reindex.read(spark, target).collect()}
 
     drop("1.json", [{"rel": "a.md", "text": "# A\n", "seq": 1}, {"rel": "b.md", "text": "# B\n", "seq": 1}, {"rel": "b.md", "text": "# B2\n", "seq": 2}])
     assert names_of() == {"A", "B2"}
     drop("2.json", [{"rel": "a.md", "text": None, "seq": 3}, {"rel": "c.md", "text": "# C\n", "seq": 3}])
     assert names_of() == {"B2", "C"}
     reindex.start(spark, str(folder), target, str(tmp_path / "another checkpoint"), extract).awaitTermination()
-    assert names_of() == {"B2", "C"} and len(list((tmp_path / "out").glob("batch-*"))) <= 3
+    assert names_of() == {"B2", "C"}
+    untouched = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "out").glob("part=*/*.parquet")}
+    drop("3.json", [{"rel": "c.md", "text": "# C2\n## D\n", "seq": 4}, {"rel": None, "text": "# no\n", "seq": 4}])
+    assert names_of() == {"B2", "C2", "C2.D"}
+    after = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "out").glob("part=*/*.parquet")}
+    assert len(after.keys() - untouched.keys()) == 1 and all(after[k] == v for k, v in untouched.items() if k in after)  # one part is new
+    drop("4.json", [{"rel": r, "text": None, "seq": 5} for r in ("b.md", "c.md")])
+    assert names_of() == set()
 
 
 def test_scan_filters(spark, tmp_path):

@@ -9,8 +9,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from codelode.plans.corpus_view import extracted
 from codelode.operators.reconcile import last_wins
+from codelode.plans.corpus_view import extracted
+from codelode.sources import parts as parts_module
 from jobs import common, editor_sessions, queries, snippet_catalogue
 
 ROOT, DATA = Path(__file__).resolve().parents[1], "/root/testdata/sf0.001"
@@ -63,14 +64,14 @@ def test_catalogue_is_made_up_after_a_cut(spark, tmp_path, monkeypatch):
     path, output = documents(spark, str(tmp_path / "docs"), [(k, f"name{k} x\ny", "en", "s") for k in range(9)]), str(tmp_path / "out")
     snippet_catalogue.run(spark, path, output, SMALL)
     documents(spark, path, [(k, f"other{k} x\ny", "en", "s") for k in range(3, 12)])
-    write = snippet_catalogue._write
+    write = parts_module.replace
 
     def cut(rows, to, *rest):
         if to.endswith("/files"):
             raise RuntimeError("lost")
         return write(rows, to, *rest)
 
-    monkeypatch.setattr(snippet_catalogue, "_write", cut)
+    monkeypatch.setattr(parts_module, "replace", cut)
     with pytest.raises(RuntimeError):
         snippet_catalogue.run(spark, path, output, SMALL)
     monkeypatch.undo()
