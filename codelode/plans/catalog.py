@@ -18,6 +18,7 @@ from codelode.plans.corpus_view import SYM, extracted, symbols, table
 from codelode.ship import ship
 from codelode.sources import scan
 from codelode.sources.shared import own_folder
+from codelode.streaming import reindex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -563,6 +564,18 @@ def suffixes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.expr(_cased(_NAMED_PATHS)).alias("rel")).withColumn("ext", X.suffix("rel"))
 
 
+@_query(f"SELECT * FROM ({derived.sql(derived.FORMS['yaml_sections'], False)}) WHERE CAST(regexp_extract(file_path, 'doc_([0-9]+)', 1) AS BIGINT) % 5 <> 0")
+def reindex_stream(spark, sf_dir):
+    """Two runs of the stream of changed files: all files that are derived from documents, then a fifth of them as gone."""
+    files = derived.formed(table(spark, sf_dir, "documents"), derived.FORMS["yaml_sections"]).withColumnRenamed("file_path", "rel")
+    gone = files.filter(F.regexp_extract("rel", r"doc_(\d+)", 1).cast("long") % 5 == 0).select("rel", F.lit(None).cast("string").alias("text"))
+    folder = own_folder(spark, "changed-files")
+    for k, rows in enumerate((files, gone)):
+        rows.withColumn("seq", F.lit(k).cast("long")).write.mode("append").option("ignoreNullFields", "false").json(f"{folder}/in")
+        reindex.start(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", reindex.extract_with_ids(sections.yaml_sections)).awaitTermination()
+    return _placed(reindex.read(spark, f"{folder}/out"))
+
+
 @_query("SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS last_line FROM documents")
 def line_numbers(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

@@ -27,9 +27,33 @@ def extracted(docs: DataFrame) -> DataFrame:
     return symbols.select(X.doc_id().alias("id"), *schema.SYMBOL_COLUMNS, "seq")
 
 
+def _last_of_each(docs: DataFrame) -> DataFrame:
+    """``last_wins(extracted(docs))`` for documents with paths of their own: equal keys stand in one row, and never move.
+
+    A row's lines are ordered by name, kind and place; those that the next does not share name and kind with are the last.
+    """
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct((i + 1).alias("n"), x.alias("line")))
+    path = F.concat(F.col("source"), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit("."), F.col("lang"))
+    rows = docs.select(path.alias("file_path"), F.col("lang").alias("language"), F.filter(lines, lambda x: x["line"] != "").alias("kept"))
+    rows = rows.select("*", F.size("kept").alias("n_kept"))
+    kind = lambda i: F.when(i == 0, "class").when(i == F.col("n_kept") - 1, "section").otherwise("function")
+    named = F.transform("kept", lambda k, i: F.struct(F.regexp_extract(k["line"], X.EMBED_TOKEN, 0).alias("symbol_name"), kind(i).alias("kind"), k["n"].alias("n"), k["line"].alias("line")))
+    rows = rows.select("file_path", "language", F.array_sort(named).alias("s"))
+    both = F.zip_with("s", F.slice("s", F.lit(2), F.size("s")), lambda a, b: F.when(b.isNull() | (a["symbol_name"] != b["symbol_name"]) | (a["kind"] != b["kind"]), a))
+    rows = rows.select("file_path", "language", F.explode(both).alias("x")).filter("x is not null")
+    found = rows.select("file_path", "x.symbol_name", "x.kind", "language", F.col("x.n").alias("start_line"), F.col("x.n").alias("end_line"), F.col("x.line").alias("code_content"))
+    return found.select(X.doc_id().alias("id"), *schema.SYMBOL_COLUMNS)
+
+
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The symbols of all documents, of equal keys the last."""
-    return last_wins(extracted(table(spark, sf_dir, "documents"))).drop("seq")
+    """The symbols of all documents, of equal keys the last.
+
+    Keys hold the path.  If every document has a path of its own, which a look at three narrow columns tells, nothing
+    but those is shuffled; else texts are.
+    """
+    docs = table(spark, sf_dir, "documents")
+    repeated = docs.groupBy("source", "doc_id", "lang").count().filter("count > 1").limit(1).count()
+    return last_wins(extracted(docs)).drop("seq") if repeated else _last_of_each(docs)
 
 
 #: The same in DuckDB's dialect, as common table expressions; ``s1`` has equal keys still.

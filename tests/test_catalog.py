@@ -40,3 +40,18 @@ def test_query_matches_its_oracle(spark, duck, name):
     assert sorted(columns) == order
     want = sorted(tuple(plain(r[columns.index(c)]) for c in order) for r in said.fetchall())
     assert got == want
+
+
+def test_symbols_of_documents_that_share_a_path(spark, tmp_path):
+    """Both plans agree, and rows with one path are merged across documents."""
+    from codelode.operators.reconcile import last_wins
+    from codelode.plans import corpus_view
+
+    rows = [(1, "a b\n\nb x\na y\na z\nlast a", "en", "s"), (2, "", "en", "s"), (3, None, "en", "s"), (4, "one", "de", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    narrow, wide = corpus_view._last_of_each(docs), last_wins(corpus_view.extracted(docs)).drop("seq")
+    assert "Exchange" not in narrow._jdf.queryExecution().executedPlan().toString()
+    assert narrow.columns == wide.columns and sorted(narrow.collect()) == sorted(wide.collect())
+    docs.unionByName(spark.createDataFrame([(1, "a b\nother", "en", "s")], docs.schema)).write.parquet(str(tmp_path / "documents.parquet"))
+    found = corpus_view.symbols(spark, str(tmp_path)).collect()
+    assert len({r["id"] for r in found}) == len(found)
