@@ -1,6 +1,7 @@
 """Operators that judge each document by itself: PII, licenses, quality, secrets, language."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -8,6 +9,7 @@ import zlib
 from pathlib import Path
 
 import pytest
+import regex
 
 from codelode.llm import langid, licenses, pii, quality, secrets
 from codelode.llm._store import prepare
@@ -178,6 +180,62 @@ def test_template_regions():
             licenses.compile_template("t", bad)
 
 
+def as_pattern(template):
+    """A template as a regular expression over words that a space ends each; the longest match counts."""
+    out = ""
+    for piece in re.findall(r"<<.*?>>|[^\s<]+", template):
+        if piece == "<<beginOptional>>":
+            out += "(?:"
+        elif piece == "<<endOptional>>":
+            out += ")?"
+        elif piece.startswith("<<var"):
+            least, most = piece[2:-2].split(";")[1:3]
+            out += "(?:[^ ]+ ){%s,%s}" % (least, most)
+        else:
+            out += re.escape(piece) + " "
+    return regex.compile(out, regex.POSIX)
+
+
+def random_template(rng, vocabulary):
+    """Nested optional wording, replaceable regions, and at least one mandatory word."""
+    def part(depth):
+        kind = rng.random()
+        if kind < 0.25 and depth < 2:
+            return "<<beginOptional>>" + " ".join(part(depth + 1) for _ in range(rng.randint(1, 2))) + "<<endOptional>>"
+        if kind < 0.4:
+            least = rng.randint(0, 2)
+            return f"<<var;{least};{least + rng.randint(0, 2)}>>"
+        return rng.choice(vocabulary)
+
+    parts = [part(0) for _ in range(rng.randint(1, 5))]
+    return " ".join([*parts[:2], rng.choice(vocabulary), *parts[2:]])
+
+
+def test_templates_against_regular_expressions(frame):
+    """Labels, and the share of words in matches, of random templates over random texts and of the shipped ones over their own wording."""
+    rng = random.Random(21)
+    vocabulary = ["a", "b", "c", "dd", "été"]
+    templates = tuple((f"t{k}", random_template(rng, vocabulary)) for k in range(60))
+    texts = [(k, " ".join(rng.choices([*vocabulary, "x", "A"], k=rng.randint(0, 14)))) for k in range(250)]
+    shipped = [(1000 + k, f"see {re.sub(r'<<(begin|end)Optional>>', '', re.sub(r'<<var;([0-9]+);([0-9]+)>>', lambda m: 'w ' * rng.randint(int(m[1]), int(m[2])), t))} end") for k, (_, t) in enumerate(licenses.TEMPLATES)]
+    for own, rows in ((templates, texts), (licenses.TEMPLATES, shipped)):
+        known = [(label, as_pattern(t)) for label, t in [(label, phrase) for phrase, label in licenses.BASE] + list(own)]
+        got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(frame(rows), own).collect()}
+        for i, text in rows:
+            words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(text))
+            joined, starts = "".join(w + " " for w in words), [0]
+            for w in words:
+                starts.append(starts[-1] + len(w) + 1)
+            labels, covered = set(), set()
+            for label, pattern in known:
+                for at, begin in enumerate(starts[:-1]):
+                    if m := pattern.match(joined, begin):
+                        labels.add(label)
+                        covered.update(range(at, starts.index(m.end())))
+            assert got[i] == (",".join(sorted(labels)), len(covered) / max(1, len(words))), (text, own[:0])
+        assert any(labels for labels, _ in got.values())
+
+
 def test_license_labels_of_the_method(frame):
     docs = frame([(1, "This work is licensed under the GNU General Public License, version 3."), (2, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"), (3, "nothing here"), (4, "Released under the terms of the MIT License")])
     got = {r["doc_id"]: (r["base_labels"], r["labels"], r["score"]) for r in licenses.scan(docs).collect()}
@@ -338,6 +396,67 @@ def test_language_und_and_edge_rows(frame):
     assert langid.fit(frame([])) is None and langid.predict(frame([]), None).count() == 0
 
 
+def plain_vector(text):
+    """Hashed 1- to 3-grams of bytes, one by one."""
+    fold = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode())
+    counts, mask = [0] * langid.WIDTH, (1 << 32) - 1
+    for size, factors in enumerate(langid._FACTORS, 1):
+        for at in range(len(fold) - size + 1):
+            h = 0
+            for k in range(size):
+                h ^= fold[at + k] * factors[k] & mask
+            counts[((h * 0x9E3779B1 + size * 0x1234567) * 0x85EBCA6B & mask) >> 20] += 1
+    total = sum(counts) or 1
+    return [math.sqrt(c / total) for c in counts]
+
+
+def plain_decision(model, vector):
+    """Family by the widest margin, language by votes and then by sums of odds; the first name wins ties."""
+    def margin(weights):
+        fixed = lambda v: float(round(v * 65536))
+        return sum(int(fixed(a)) * int(fixed(float(b))) for a, b in zip(vector, weights[:-1], strict=True)) / 65536**2 + float(weights[-1])
+
+    odds = lambda m: 1 / (1 + math.exp(-2 * m))
+    names = model.families.names
+    margins = [margin(w) for w in model.families.weights] if len(names) > 1 else [0.0]
+    family = max(range(len(names)), key=lambda k: (margins[k], -k))
+    score = odds(margins[family]) / sum(map(odds, margins)) if len(names) > 1 else 1.0
+    votes = model.within[names[family]]
+    won, sure = [0.0] * len(votes.names), [0.0] * len(votes.names)
+    for (a, b), w in zip(votes.pairs, votes.weights, strict=True):
+        p = odds(margin(w))
+        won[a if p >= 0.5 else b] += 1
+        sure[a] += p
+        sure[b] += 1 - p
+    n = len(votes.names)
+    best = max(range(n), key=lambda k: (won[k] + sure[k] / (2 * n), -k))
+    return votes.names[best], score * (sure[best] / (n - 1) if n > 1 else 1.0)
+
+
+def test_language_against_brute_force(frame):
+    """Vectors, machines and decisions in plain Python; the machines are held against the optimum's conditions."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    stems = {"en": "the of and that", "de": "der die und das", "nl": "het een van dat", "fr": "le la des que", "es": "el los que una", "xx": "zz qq ww"}
+    rows = [(k, lang, " ".join(rng.choices(stems[lang].split() + ["über", "A-1", "…"], k=rng.randint(3, 30)))) for k, lang in enumerate(list(stems) * 12)]
+    x = np.concatenate([v for _, _, v in langid.features(pa.array([t for _, _, t in rows]))])
+    want = np.array([plain_vector(t) for _, _, t in rows])
+    assert np.abs(x - want).max() < 1e-12
+    y = np.where(np.array([lang for _, lang, _ in rows]) == "en", 1.0, -1.0)
+    w = langid.svm(x, y)
+    wide = np.hstack([x, np.ones((len(x), 1))])
+    value = lambda v: 0.5 * v @ v + 4.0 * np.maximum(0, 1 - y * (wide @ v)).sum()
+    assert all(value(w) <= value(w + step) * 1.001 for step in np.random.default_rng(1).normal(0, 0.05, (200, len(w)))) and value(w) < value(np.zeros_like(w))
+    model = langid.train(x, [lang for _, lang, _ in rows])
+    unseen = [(500 + k, " ".join(rng.choices(rng.choice(list(stems.values())).split() + ["mix"], k=8))) for k in range(40)] + [(900, None), (901, "12 ½"), (902, "é")]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(frame(unseen), model).collect()}
+    for i, text in unseen:
+        lang, score = plain_decision(model, plain_vector(text or "")) if any(c.isalpha() for c in text or "") else ("und", 0.0)
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-9
+
+
 def test_language_against_training_anew(frame):
     """A model trained without Spark on the same rows says the same; every language is learned; ties go to the first name."""
     rng = random.Random(31)
