@@ -90,7 +90,7 @@ def slug(text: str | Column) -> Column:
 
 def compact_name(text: str | Column, strip_extension: bool = True) -> Column:
     """The last segment of a path, without its extension if asked, other characters than ``A-Za-z0-9_-`` as spaces."""
-    base = F.regexp_extract(F.rtrim(slug(F.translate(col(text), "\\", "/")), F.lit("/")), r"([^/]*)$", 1)
+    base = F.substring_index(F.rtrim(slug(F.translate(col(text), "\\", "/")), F.lit("/")), "/", -1)
     if strip_extension:
         base = F.regexp_replace(base, r"\.[^.]*$", "")
     return slug(F.trim(F.regexp_replace(base, r"[^A-Za-z0-9_-]+", " ")))
