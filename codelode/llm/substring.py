@@ -11,7 +11,10 @@ A first pass counts the ``KEY`` bytes from each trigger; those seen once cannot
 repeat, the others are marked in a bitmap, which grows with the input up to ``MOST_BITS``
 (a mark too many costs time, not correctness).  A second pass sends the marked pieces to the
 part of their trigger.  A task sends equal pieces once, and tells that they are repeated;
-places of such pieces are merged and go straight to their documents.
+places of such pieces are merged and go straight to their documents.  A trigger of more pieces
+than a task can hold (a passage in many documents, each with words of its own around it) is
+hot: of its pieces each start goes alone, without bytes, to the part of its own string's
+fingerprint, so only equal strings meet.
 
 Order.  The pieces of a part are a small corpus, whose suffix order is built by prefix-free
 parsing:
@@ -56,6 +59,8 @@ KEY = LENGTH - REACH + 1
 LEAST_BITS, MOST_BITS = 1 << 23, 1 << 30
 #: Bytes of text for each slice of the count and each task of the order, of pieces for each part, and of a segment of a long text.
 SLICE_BYTES, TASK_BYTES, PART_BYTES, SEGMENT = 64 << 20, 8 << 20, 1 << 20, 1 << 21
+#: Triggers that can be hot at most (8 bytes each, sent to all tasks); a hot one has more pieces than that allows, and than a task's bytes hold.
+HOT_KEYS, HOT_BYTES = 10_000_000, TASK_BYTES
 #: Bytes of the local triggers of the parse, and the share of hashes that trigger.
 LOCAL, SPARSE = 8, 64
 #: Pieces that a task remembers as sent; beyond it the memory starts anew, and some are sent once more.
@@ -105,7 +110,7 @@ def _parse(column: pa.Array) -> Iterator[tuple]:
 
 
 def _count(batches: Iterator[pa.RecordBatch], slices: int) -> Iterator[pa.RecordBatch]:
-    """Keys of a batch by slice: all of them, and those that the batch has twice."""
+    """Keys of a batch by slice: all of them, and those that the batch has twice, with how often."""
     shift = np.uint64(64 - (slices.bit_length() - 1))
     for batch in batches:
         keys = [p[6] for p in _parse(batch.column(0))]
@@ -113,40 +118,46 @@ def _count(batches: Iterator[pa.RecordBatch], slices: int) -> Iterator[pa.Record
             continue
         keys, count = np.unique(np.concatenate(keys), return_counts=True)
         at = np.searchsorted(keys >> shift if slices > 1 else np.zeros(len(keys), np.uint64), np.arange(slices + 1))
-        rows = [(k, keys[a:b].tobytes(), keys[a:b][count[a:b] > 1].tobytes()) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
+        rows = [(k, keys[a:b].tobytes(), keys[a:b][count[a:b] > 1].tobytes(), (count[a:b][count[a:b] > 1] - 1).astype(np.uint32).tobytes()) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["slice", "keys", "twice"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["slice", "keys", "twice", "more"])
 
 
-def _mark(batches: Iterator[pa.RecordBatch], slices: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """The bitmap of each slice's keys that occur twice."""
-    by_slice: dict[int, list[np.ndarray]] = {}
+def _mark(batches: Iterator[pa.RecordBatch], slices: int, bits: int, hot: int) -> Iterator[pa.RecordBatch]:
+    """The bitmap of each slice's keys that occur twice, and the keys that occur ``hot`` times or more."""
+    by_slice: dict[int, list[tuple[np.ndarray, ...]]] = {}
     for batch in batches:
-        for k, keys, twice in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            by_slice.setdefault(k, []).extend((np.frombuffer(keys, np.uint64), np.frombuffer(twice, np.uint64)))
+        for k, keys, twice, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            by_slice.setdefault(k, []).append((np.frombuffer(keys, np.uint64), np.frombuffer(twice, np.uint64), np.frombuffer(more, np.uint32)))
     width = max(8, bits // slices)
     for k, parts in by_slice.items():
-        keys = np.sort(np.concatenate(parts))
+        keys = np.sort(np.concatenate([p[0] for p in parts]))
+        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        keys, count = keys[at], np.diff(np.append(at, len(keys)))
+        for _, twice, more in parts:
+            count[np.searchsorted(keys, twice)] += more
         marks = np.zeros(width, bool)
-        at = (keys[1:][keys[1:] == keys[:-1]] >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.int64)
+        at = (keys[count > 1] >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.int64)
         first = k * bits // slices // 8 * 8
         marks[at - first] = True
-        yield pa.RecordBatch.from_arrays([pa.array([first // 8], pa.int32()), pa.array([zlib.compress(np.packbits(marks, bitorder="little").tobytes(), 1)], pa.binary())], names=["first", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array([first // 8], pa.int32()), pa.array([zlib.compress(np.packbits(marks, bitorder="little").tobytes(), 1)], pa.binary()), pa.array([keys[count >= hot].tobytes()], pa.binary())], names=["first", "bits", "hot"])
 
 
-def repeated_triggers(docs: DataFrame, total: int) -> np.ndarray:
-    """The bitmap of keys that occur twice in the corpus, as bytes."""
+def repeated_triggers(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bitmap of keys that occur twice in the corpus, as bytes, and the hot keys in order."""
     slices, bits = 1, LEAST_BITS
     while slices * SLICE_BYTES < total:
         slices *= 2
     while bits < min(total, MOST_BITS):
         bits *= 2
-    counted = docs.select("text").mapInArrow(K.frugal(lambda it: _count(it, slices)), "slice int, keys binary, twice binary")
-    out = np.zeros(bits // 8, np.uint8)
-    for r in counted.repartition(slices, "slice").mapInArrow(K.frugal(lambda it: _mark(it, slices, bits)), "first int, bits binary").toLocalIterator():
+    hot = max(2, HOT_BYTES // (LENGTH + REACH), total // REACH // HOT_KEYS)
+    counted = docs.select("text").mapInArrow(K.frugal(lambda it: _count(it, slices)), "slice int, keys binary, twice binary, more binary")
+    out, keys = np.zeros(bits // 8, np.uint8), [np.empty(0, np.uint64)]
+    for r in counted.repartition(slices, "slice").mapInArrow(K.frugal(lambda it: _mark(it, slices, bits, hot)), "first int, bits binary, hot binary").toLocalIterator():
         own = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
         out[r["first"] : r["first"] + len(own)] |= own
-    return out
+        keys.append(np.frombuffer(r["hot"], np.uint64))
+    return out, np.sort(np.concatenate(keys))
 
 
 _GATHERED = "key long, content long, piece binary, twice boolean, doc_id long, text_hash long, first long, last long"
@@ -163,8 +174,8 @@ def _merged(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.nd
 
 
 def _gather(batches: Iterator[pa.RecordBatch], marks) -> Iterator[pa.RecordBatch]:
-    """Marked pieces: a new one with its bytes and place; if it is repeated in the task, its bytes once, and all places without."""
-    marks = marks.value
+    """Marked pieces (of hot triggers: each start): a new one with its bytes and place; if it is repeated in the task, its bytes once, and all places without."""
+    marks, hot = marks.value
     shift = np.uint64(64 - ((len(marks) * 8).bit_length() - 1))
     names = [x.split()[0] for x in _GATHERED.split(", ")]
     sent, told = np.empty(0, np.uint64), np.empty(0, bool)
@@ -176,9 +187,16 @@ def _gather(batches: Iterator[pa.RecordBatch], marks) -> Iterator[pa.RecordBatch
             if not len(ok):
                 continue
             first, last, key = first[ok], last[ok], key[ok]
+            end = last + LENGTH
+            if len(hot):
+                apart = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+                n = last[apart] - first[apart] + 1
+                starts = np.repeat(first[apart] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                first, last, key = (np.concatenate([c[~apart], x]) for c, x in ((first, starts), (last, starts), (key, K.span_hash(sums, starts, starts + LENGTH))))
+                end = np.concatenate([end[~apart], starts])  # these are sent without bytes
             row = np.searchsorted(offs, first, "right") - 1
             found.append((key, K.span_hash(sums, first, last + LENGTH), at + row, base + first - offs[row], base + last - offs[row]))
-            spans.append((np.full(len(ok), len(buffers)), first, last + LENGTH))
+            spans.append((np.full(len(first), len(buffers)), first, end))
             buffers.append(buf)
         if not found:
             continue
@@ -326,10 +344,12 @@ def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     distinct, back = np.unique(content, return_inverse=True)
     known = np.bincount(back, shipped, len(distinct)) > 1
     np.logical_or.at(known, back, twice)
-    sizes = sum(len(t) for _, t in texts.values())
-    part = (K.mix(np.array([texts[int(c)][0] for c in distinct], np.int64).view(np.uint64)) % np.uint64(-(-sizes // PART_BYTES))).astype(np.int64)
-    found = []
+    size = np.array([len(texts[int(c)][1]) for c in distinct])
+    part = (K.mix(np.array([texts[int(c)][0] for c in distinct], np.int64).view(np.uint64)) % np.uint64(max(1, -(-int(size.sum()) // PART_BYTES)))).astype(np.int64)
+    alone = np.flatnonzero(known & (size == 0))  # starts of hot triggers: equal ones have met here
+    found = [(alone, np.zeros(len(alone), np.int64), np.zeros(len(alone), np.int64))]
     for own in np.split(np.argsort(part, kind="stable"), np.cumsum(np.bincount(part))[:-1]):
+        own = own[size[own] > 0]
         if len(own):
             piece, first, last = _runs_of(pa.array([texts.pop(int(distinct[k]))[1] for k in own], pa.binary()), known[own])
             found.append((own[piece], first, last))

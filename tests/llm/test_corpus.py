@@ -400,11 +400,44 @@ def test_substrings_of_filler_and_repeated_rows(spark, frame, monkeypatch):
     assert got == sorted(map(repr, brute_substrings(rows)))
 
 
+@pytest.mark.parametrize("seed", [1, 33])
+def test_substrings_where_triggers_are_hot(frame, monkeypatch, seed):
+    """Every repeated trigger is hot: its starts meet by their own strings, with the same result."""
+    monkeypatch.setattr(substring, "HOT_BYTES", 0)
+    rng = random.Random(seed)
+    own = lambda n: "".join(rng.choices("abcdefghijklmnop ", k=n))
+    passage = own(330)
+    rows = some_texts(seed, 40) + [(k, own(150) + passage + own(150)) for k in range(4000, 4040)] + [(5000, "=" * 9_000), (5001, "ab" * 400), (5002, passage)]
+    assert sorted(map(repr, map(tuple, substring.digest(frame(rows)).collect()))) == sorted(map(repr, brute_substrings(rows)))
+
+
+def test_a_passage_in_many_documents_is_spread(spark, frame):
+    """One passage between own words: its triggers are hot, and no part gets more than a few times its share of what is sent."""
+    rng = random.Random(4)
+    own = lambda n: "".join(rng.choices("abcdefghijklmnop ", k=n))
+    passage = own(330)
+    rows = [(k, own(150) + passage + own(150)) for k in range(800)]
+    total = sum(len(t) for _, t in rows)
+    docs = frame(rows).selectExpr("doc_id", "xxhash64(text) AS text_hash", "text")
+    for least, most in ((1 << 40, None), (0, 0.02)):
+        substring.HOT_BYTES, kept = least, substring.HOT_BYTES
+        try:
+            marks = spark.sparkContext.broadcast(substring.repeated_triggers(docs, total))
+        finally:
+            substring.HOT_BYTES = kept
+        sent = docs.mapInArrow(lambda it, marks=marks: substring._gather(it, marks), substring._GATHERED).filter("content is not null")
+        sizes = [r["b"] for r in sent.groupBy("key").agg(F.sum(F.length("piece") + 40).alias("b")).collect()]
+        if most is None:
+            assert max(sizes) > 0.3 * sum(sizes)
+        else:
+            assert max(sizes) < most * sum(sizes)
+
+
 def test_a_long_filler_text_stays_small(frame):
     """Five megabytes of one character, and of a period, travel as a few rows."""
     import pyarrow as pa
 
-    marks = type("Marks", (), {"value": np.full(1 << 10, 255, np.uint8)})
+    marks = type("Marks", (), {"value": (np.full(1 << 10, 255, np.uint8), np.empty(0, np.uint64))})
     for text in ("=" * 5_000_000, "ab" * 2_500_000):
         batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([text])], names=["doc_id", "text_hash", "text"])
         out = list(substring._gather(iter([batch]), marks))
