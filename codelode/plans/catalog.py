@@ -143,6 +143,14 @@ def ignore_globs(spark, sf_dir):
     return files.withColumn("dropped", scan.IgnoreRules(_IGNORE).column("rel"))
 
 
+@_query(f"WITH p AS (SELECT doc_id, {_cased(_IGNORE_PATHS)} AS rel FROM documents) SELECT rel FROM p WHERE doc_id % {len(_IGNORE_PATHS)} IN {_DROPPED} UNION SELECT rel FROM p JOIN labels USING (doc_id) WHERE quality = 0")
+def ignored_union(spark, sf_dir):
+    """The paths that one of two rules ignores: those of the ignore file, and those that stand in a list."""
+    files = table(spark, sf_dir, "documents").select("doc_id", F.expr(_cased(_IGNORE_PATHS)).alias("rel"))
+    listed = files.join(table(spark, sf_dir, "labels").filter("quality = 0"), "doc_id", "left_semi")
+    return files.filter(scan.IgnoreRules(_IGNORE).column("rel")).select("rel").union(listed.select("rel")).distinct()
+
+
 @_query(f"WITH {_FILES_SQL} SELECT lower(regexp_extract(rel, '\\.[^.]+$')) AS ext, count(*) AS files FROM files WHERE lower(regexp_extract(rel, '\\.[^.]+$')) IN ('.py', '.pyi', '.sh', '.bash', '.md', '.markdown', '.yaml', '.yml', '.csproj', '.props', '.targets') GROUP BY 1")
 def ext_union(spark, sf_dir):
     """Files of the extensions of some languages and of all definition formats, by extension."""
@@ -462,6 +470,20 @@ def stale_changes(spark, sf_dir):
     return digests.changes(indexed, disk.select("rel", "sha1"), "rel", ["sha1"])
 
 
+@_query(f"WITH {_STALE_SQL} SELECT count(*) AS files, max(mtime) AS newest FROM disk")
+def newest_mtime(spark, sf_dir):
+    """When the last of the files changed, which tells an index apart from a tree at a glance."""
+    return _disk_and_index(spark, sf_dir)[0].agg(F.count("*").alias("files"), F.max("mtime").alias("newest"))
+
+
+@_query(f"WITH {SYM} SELECT id, file_path, symbol_name, kind FROM sym WHERE file_path IN (SELECT source || '/doc_' || doc_id || '.' || lang FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)")
+def lookup_by_files(spark, sf_dir):
+    """The symbols of some files at once: a semi-join, not a look-up for each."""
+    wanted = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    paths = wanted.select(F.concat("source", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit("."), "lang").alias("file_path"))
+    return symbols(spark, sf_dir).join(paths, "file_path", "left_semi").select("id", "file_path", "symbol_name", "kind")
+
+
 # Sections and code: files that are derived from all documents ------------------
 
 
