@@ -53,9 +53,10 @@ def changes(old: DataFrame, new: DataFrame, path: str, compared: list[str]) -> D
     for level in levels:
         group = group + level
         apart = differing(*tagged, group, [path, *compared]).select(*group)
-        # Compared at every level anew: what is left is read once more, but only counted.
-        n = apart.count()
-        tagged = [side.join(F.broadcast(apart) if n <= SENT else apart, group, "left_semi") for side in tagged]
+        few = apart.limit(SENT + 1).collect()
+        if len(few) <= SENT:
+            apart = F.broadcast(apart.sparkSession.createDataFrame(few, apart.schema))
+        tagged = [side.join(apart, group, "left_semi") for side in tagged]
     a, b = (side.select(path, F.xxhash64(*compared).alias(name)) for side, name in zip(tagged, ("_old", "_new"), strict=True))
     both = a.join(b, path, "full").filter(~F.col("_old").eqNullSafe(F.col("_new")))
     return both.select(path, F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "deleted").otherwise("changed").alias("change"))

@@ -1,39 +1,66 @@
 """Which rows contain which tokens, by an inverted index of three-character pieces.
 
-The index is a Parquet table of (gram, id) in the order of both, so that a gram's rows stand in few
-row groups however many there are, and a small one of how many rows each gram has.
+A piece is a long of three code points, 21 bits each.  The index is a Parquet table of (gram, id) in the order of
+both, so that a gram's rows stand in few row groups however many there are, and a small one of how many rows each has.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from collections.abc import Iterator
 
-#: Characters of a piece, how many of a token's pieces are intersected (the rarest), and what ends a text.
-GRAM, RAREST, END = 3, 3, "\0"
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+#: Characters of a piece, how many of a token's pieces are intersected (the rarest), and what ends a text (no code point).
+GRAM, RAREST, END = 3, 3, (1 << 21) - 1
 #: Pieces up to which a lookup's are sent to all tasks (under 100 bytes each), and are named in the filter that Parquet sees.
 SENT, NAMED = 10_000, 500
+#: Code points that are cut into pieces at a time.
+AT_ONCE = 1 << 18
+
+
+def pieces(texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, piece) of the distinct pieces of each text, which ``end`` ENDs follow; in order."""
+    size = np.array([len(t) for t in texts], np.int64)
+    at = np.concatenate([[0], np.cumsum(size + end)])
+    points = np.full(at[-1] + GRAM - 1, END, np.uint64)
+    points[np.arange(size.sum()) + np.repeat(at[:-1] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    room = np.maximum(size + end - GRAM + 1, 0)
+    row = np.repeat(np.arange(len(texts)), room)
+    start = np.arange(room.sum()) + np.repeat(at[:-1] - np.concatenate([[0], np.cumsum(room)[:-1]]), room)
+    code = points[start] << np.uint64(42) | points[start + 1] << np.uint64(21) | points[start + 2]
+    order = np.lexsort((code, row))
+    row, code = row[order], code[order]
+    new = np.append(True, (row[1:] != row[:-1]) | (code[1:] != code[:-1])) if len(row) else np.zeros(0, bool)
+    return row[new], code[new].view(np.int64)
+
 
+def _cut(rows: DataFrame, name: str, text: str, end: int) -> DataFrame:
+    """(gram, name): the distinct pieces of each text."""
+    kind = rows.schema[name].dataType.simpleString()
 
-def grams(rows: DataFrame, id: str, text: str) -> DataFrame:
-    """(gram, id): the distinct pieces of each text.  Texts end in a character of their own, so any two begin a piece."""
-    chars = rows.select(id, F.filter(F.split(F.concat(F.col(text), F.lit(END)), ""), lambda c: c != "").alias("c"))
-    join = lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))
-    after = lambda k: F.slice("c", F.lit(k), F.greatest(F.size("c") - k + 1, F.lit(0)))
-    return chars.select(id, F.explode(F.array_distinct(F.zip_with(F.zip_with("c", after(2), join), after(3), join))).alias("gram")).select("gram", id)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, first = batch.column(1).to_pylist(), 0
+            while first < len(texts):
+                last, held = first, 0
+                while last < len(texts) and (last == first or held + len(texts[last]) <= AT_ONCE):
+                    held, last = held + len(texts[last]), last + 1
+                row, code = pieces(texts[first:last], end)
+                yield pa.RecordBatch.from_arrays([pa.array(code), batch.column(0).slice(first).take(pa.array(row))], names=["gram", name])
+                first = last
+
+    return rows.select(name, text).filter(F.col(text).isNotNull()).mapInArrow(run, f"gram long, {name} {kind}")
 
 
 def write(rows: DataFrame, path: str, *, id: str, text: str) -> None:
-    """Writes the index of a table of texts; null texts have no piece."""
-    found = grams(rows.filter(F.col(text).isNotNull()), id, text)
-    found.repartitionByRange("gram", id).sortWithinPartitions("gram", id).write.mode("overwrite").parquet(f"{path}/postings")
+    """Writes the index of a table of texts; null texts have no piece.  An END follows each text, so any two characters begin a piece."""
+    _cut(rows, id, text, 1).repartitionByRange("gram", id).sortWithinPartitions("gram", id).write.mode("overwrite").parquet(f"{path}/postings")
     stored = rows.sparkSession.read.parquet(f"{path}/postings")
     stored.groupBy("gram").agg(F.count("*").alias("n")).sort("gram").write.mode("overwrite").parquet(f"{path}/grams")
 
 
-def _pieces(token: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(token) - GRAM + 1), lambda k: F.substring(token, k, F.lit(GRAM))))
-
-
 def containing(spark: SparkSession, path: str, rows: DataFrame, tokens: DataFrame, *, id: str, text: str) -> DataFrame:
     """(token, id): every row whose text contains a token; tokens: distinct, of two characters or more.
 
@@ -42,7 +69,7 @@ def containing(spark: SparkSession, path: str, rows: DataFrame, tokens: DataFram
     """
     postings = spark.read.parquet(f"{path}/postings")
     known = spark.read.parquet(f"{path}/grams")
-    long = tokens.filter(F.length("token") >= GRAM).select("token", F.explode(_pieces(F.col("token"))).alias("gram"))
+    long = _cut(tokens.filter(F.length("token") >= GRAM).withColumn("text", F.col("token")), "token", "text", 0)
     counted = long.join(known, "gram", "left").withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy("n", "gram")))  # a piece that no row has comes first, as null, and finds none
     chosen = counted.filter(F.col("rank") <= RAREST).withColumn("need", F.count("*").over(Window.partitionBy("token"))).select("token", "gram", "need")
     n = chosen.count()
@@ -53,6 +80,6 @@ def containing(spark: SparkSession, path: str, rows: DataFrame, tokens: DataFram
     sent = F.broadcast(chosen) if n <= SENT else chosen
     met = postings_of_long.join(sent, "gram").groupBy("token", id).agg(F.count("*").alias("met"), F.first("need").alias("need")).filter("met = need").select("token", id)
     sure = met.join(rows.select(id, text), id).filter(F.contains(F.col(text), F.col("token"))).select("token", id)
-    short = tokens.filter(F.length("token") == GRAM - 1)
-    begun = postings.withColumn("begin", F.substring("gram", 1, GRAM - 1)).join(F.broadcast(short) if short.count() <= SENT else short, F.col("begin") == F.col("token")).select("token", id).distinct()
+    short = _cut(tokens.filter(F.length("token") == GRAM - 1).withColumn("text", F.col("token")), "token", "text", 1).select("token", F.shiftright("gram", 21).alias("begin"))
+    begun = postings.withColumn("begin", F.shiftright("gram", 21)).join(F.broadcast(short) if short.count() <= SENT else short, "begin").select("token", id).distinct()
     return sure.unionByName(begun)
