@@ -517,7 +517,7 @@ def md_fences(spark, sf_dir):
     """Every fourth line is a fence, which hides the headings up to the next."""
     each = lambda n, i: F.array(F.when((i + 1) % 4 == 0, "```").otherwise(F.concat(F.lit("## "), n, F.lit(" ##"))))
     heads = sections.markdown_headings(derived.files(table(spark, sf_dir, "documents"), ".md", (), each, ()))
-    return heads.select("file_path", F.explode("heads").alias("h")).select("file_path", "h.line", "h.level", "h.title")
+    return heads.select("file_path", F.explode_outer("heads").alias("h")).filter("h is not null").select("file_path", "h.line", "h.level", "h.title")
 
 
 @_query(derived.sql(derived.FORMS["yaml_sections"], False))

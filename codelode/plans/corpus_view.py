@@ -21,7 +21,7 @@ def extracted(docs: DataFrame) -> DataFrame:
     """
     numbered = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct((i + 1).alias("n"), x.alias("line"))), lambda x: x["line"] != "")
     path = F.concat(F.col("source"), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit("."), F.col("lang"))
-    rows = docs.select(path.alias("file_path"), F.col("lang").alias("language"), numbered.alias("kept")).select("file_path", "language", F.size("kept").alias("n_kept"), F.posexplode("kept").alias("seq", "k"))
+    rows = docs.select(path.alias("file_path"), F.col("lang").alias("language"), numbered.alias("kept")).select("file_path", "language", F.size("kept").alias("n_kept"), F.posexplode_outer("kept").alias("seq", "k")).filter("k is not null")
     kind = F.when(F.col("seq") == 0, "class").when(F.col("seq") == F.col("n_kept") - 1, "section").otherwise("function")
     symbols = rows.select("file_path", F.regexp_extract("k.line", X.EMBED_TOKEN, 0).alias("symbol_name"), kind.alias("kind"), "language", F.col("k.n").alias("start_line"), F.col("k.n").alias("end_line"), F.col("k.line").alias("code_content"), "seq")
     return symbols.select(X.doc_id().alias("id"), *schema.SYMBOL_COLUMNS, "seq")
