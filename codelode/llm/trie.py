@@ -21,8 +21,10 @@ Edge cases: turns are ordered by turn (null first), equal ones by role, the text
 characters and its digest; repeated rows are turns like others; a null role or text is empty;
 rows with a null conv_id belong to no conversation and take no part; a negative id's base is
 the multiple of FAMILY next to it towards 0; a conversation without turns after rebuilding is a
-member of the root; an empty table has no nodes.  A family is put in order in one task by
-Spark's sort and windows, which spill.  Further columns are not read.
+member of the root; an empty table has no nodes.  Further columns are not read.  A family is
+put in order in one task by Spark's sort and windows, which spill, unless one of its conversations has
+``LONG`` turns or more (and one in ``SHARE`` of all): those are cut into slices, each in a task, whose
+totals, a row for each, carry places, keys and sums from slice to slice.
 """
 
 from __future__ import annotations
@@ -42,41 +44,119 @@ FAMILY, SHARED = 5, 9
 #: Ids in a piece of a shared node's ends, and rows of them that a task puts in order.
 CHUNK, CHUNK_ROWS = 1 << 15, 1_000_000
 
+#: Turns from which a conversation is sliced, and the share of all turns that it must have; so no more than SHARE conversations are; slices of one.
+LONG, SHARE, MOST_SLICES = 100_000, 100_000, 10_000
+
 _KEY = ["k1", "k2", "depth"]
 _NONE = hashlib.sha256(b"").hexdigest()
 
 
 def _turns(conversations: DataFrame) -> DataFrame:
-    """Turns without their texts, dealt by family."""
+    """Turns without their texts."""
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
     turns = conversations.filter("conv_id is not null").select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn"), role.alias("role"), F.substring(text, 1, 40).alias("head"),
         F.unhex(F.md5(F.concat(F.length(role).cast("string"), F.lit(":"), role, text).cast("binary"))).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
-    return turns.withColumn("base", F.col("conv_id") - F.col("conv_id") % FAMILY).repartition("base")
+    return turns.withColumn("base", F.col("conv_id") - F.col("conv_id") % FAMILY)
 
 
-def paths(conversations: DataFrame) -> DataFrame:
-    """(base, conv_id, depth, n_bytes, n_turns, k1, k2): every node of every rebuilt conversation, the root first."""
-    one, family = Window.partitionBy("base", "conv_id"), Window.partitionBy("base")
-    placed = _turns(conversations).withColumn("pos", F.row_number().over(one.orderBy(F.col("turn").asc_nulls_first(), "role", "head", "digest")).cast("long")).withColumn("n", F.count("*").over(one))
-    first = F.when((F.col("conv_id") == F.col("base")) & (F.col("pos") < SHARED), F.struct("pos", "digest", "n_bytes"))
+def long_ones(conversations: DataFrame) -> tuple[DataFrame | None, int]:
+    """(base, conv_id, bounds) of conversations to slice, None if there are none, and the turns from which one is long.
+
+    bounds: turns that cut a conversation into slices of about that length; equal turns stay together.
+    """
+    sizes = settle(conversations.filter("conv_id is not null").groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.count("*").alias("n")))
+    least = max(LONG, (sizes.agg(F.sum("n")).first()[0] or 0) // SHARE)
+    long = sizes.filter(F.col("n") >= least).withColumn("slices", F.least(F.ceil(F.col("n") / least), F.lit(MOST_SLICES)).cast("int"))
+    cuts = long.agg(F.max("slices")).first()[0]
+    if cuts is None:
+        return None, least
+    found = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn").join(F.broadcast(long), "conv_id").groupBy("conv_id", "slices").agg(F.percentile_approx("turn", [k / cuts for k in range(1, cuts + 1)], 10 * cuts).alias("b"))
+    own = F.when(F.col("slices") > 1, F.transform(F.sequence(F.lit(1), F.col("slices") - 1), lambda k: F.element_at("b", F.floor(k * cuts / F.col("slices")).cast("int")))).otherwise(F.slice("b", 1, 0))
+    bounds = found.select("conv_id", F.array_distinct(own).alias("bounds"))  # as many in all as SHARE, twice at most
+    return settle(bounds.withColumn("base", F.col("conv_id") - F.col("conv_id") % FAMILY)), least
+
+
+def _keys() -> list[tuple]:
+    """The two running hashes' terms; the root's are 0."""
+    first, second = F.xxhash64("depth", "digest"), F.xxhash64(F.lit("second"), "digest", "depth")
+    return [(F.when(F.col("depth") > 0, h).otherwise(F.lit(0).cast("long")), k) for h, k in ((first, "k1"), (second, "k2"))]
+
+
+def _rebuilt(placed: DataFrame) -> DataFrame:
+    """(base, conv_id, slice, n_turns, depth, digest, n_bytes) of placed turns: pos, n (turns of the conversation) and prefix (the base's first)."""
     shared = F.crc32(F.col("conv_id").cast("string").cast("binary")) % SHARED
-    placed = placed.withColumn("prefix", F.sort_array(F.collect_list(first).over(family))).withColumn("h", shared).withColumn("m", F.least(F.size("prefix").cast("long"), "h"))
+    placed = placed.withColumn("h", shared).withColumn("m", F.least(F.size("prefix").cast("long"), "h"))
     node = lambda depth, digest, n_bytes: F.struct(depth.alias("depth"), digest.alias("digest"), n_bytes.alias("n_bytes"))
     root = F.array(node(F.lit(0).cast("long"), F.lit(b""), F.lit(0).cast("long")))
     begin = F.concat(root, F.transform(F.slice("prefix", F.lit(1), F.col("m").cast("int")), lambda x: node(x["pos"], x["digest"], x["n_bytes"])))
     own = F.array(node(F.col("m") + F.col("pos") - F.col("h"), F.col("digest"), F.col("n_bytes")))
     nodes = F.concat(F.when(F.col("pos") == 1, begin).otherwise(F.slice(root, 1, 0)), F.when(F.col("pos") > F.col("h"), own).otherwise(F.slice(root, 1, 0)))
-    rows = placed.select("base", "conv_id", (F.col("m") + F.greatest(F.col("n") - F.col("h"), F.lit(0))).alias("n_turns"), F.explode(nodes).alias("x")).select("base", "conv_id", "n_turns", "x.*")
+    return placed.select("base", "conv_id", "slice", (F.col("m") + F.greatest(F.col("n") - F.col("h"), F.lit(0))).alias("n_turns"), F.explode(nodes).alias("x")).select("base", "conv_id", "slice", "n_turns", "x.*")
+
+
+def paths(conversations: DataFrame) -> DataFrame:
+    """(base, conv_id, depth, n_bytes, n_turns, k1, k2): every node of every rebuilt conversation, the root first, where its family is."""
+    one, family = Window.partitionBy("base", "conv_id"), Window.partitionBy("base")
+    turns = _turns(conversations).repartition("base").withColumn("slice", F.lit(0))
+    placed = turns.withColumn("pos", F.row_number().over(one.orderBy(F.col("turn").asc_nulls_first(), "role", "head", "digest")).cast("long")).withColumn("n", F.count("*").over(one))
+    first = F.when((F.col("conv_id") == F.col("base")) & (F.col("pos") < SHARED), F.struct("pos", "digest", "n_bytes"))
+    rows = _rebuilt(placed.withColumn("prefix", F.sort_array(F.collect_list(first).over(family))))
     so_far = one.orderBy("depth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    keys = ((F.xxhash64("depth", "digest"), "k1"), (F.xxhash64(F.lit("second"), "digest", "depth"), "k2"))
-    return rows.select("base", "conv_id", "depth", "n_bytes", "n_turns", *(F.bit_xor(F.when(F.col("depth") > 0, h).otherwise(F.lit(0).cast("long"))).over(so_far).alias(k) for h, k in keys))
+    return rows.select("base", "conv_id", "depth", "n_bytes", "n_turns", *(F.bit_xor(h).over(so_far).alias(k) for h, k in _keys()))
 
 
-def families(conversations: DataFrame) -> DataFrame:
-    """One row for each node of each family's trie: bytes, members in order, and whether any goes on."""
+_SLICE = ["base", "conv_id", "slice"]
+
+
+def sliced_paths(conversations: DataFrame, long: DataFrame) -> DataFrame:
+    """The same for families with a long conversation: a task has one slice, and totals of slices carry on."""
+    part, whole = Window.partitionBy(*_SLICE), Window.partitionBy("base", "conv_id")
+    before = whole.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slice_ = F.when(F.col("bounds").isNull() | F.col("turn").isNull(), 0).otherwise(1 + F.size(F.filter("bounds", lambda b: b < F.col("turn"))))
+    turns = _turns(conversations).join(F.broadcast(long.select("conv_id", "bounds")), "conv_id", "left").withColumn("slice", slice_).drop("bounds")
+    local = settle(turns.repartition(*_SLICE).withColumn("own", F.row_number().over(part.orderBy(F.col("turn").asc_nulls_first(), "role", "head", "digest")).cast("long")))
+    sizes = settle(local.groupBy(*_SLICE).agg(F.count("*").alias("n"))).select(*_SLICE, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(whole).alias("n"))
+    placed = local.join(sizes, _SLICE).withColumn("pos", F.col("own") + F.col("before"))
+    first = placed.filter(F.col("conv_id") == F.col("base")).filter(F.col("pos") < SHARED).groupBy("base").agg(F.sort_array(F.collect_list(F.struct("pos", "digest", "n_bytes"))).alias("prefix"))
+    none = F.array().cast("array<struct<pos:bigint,digest:binary,n_bytes:bigint>>")
+    rows = settle(_rebuilt(placed.join(F.broadcast(settle(first)), "base", "left").withColumn("prefix", F.coalesce("prefix", none))))  # a few turns of at most SHARE families
+    totals = settle(rows.groupBy(*_SLICE).agg(*(F.bit_xor(h).alias(k) for h, k in _keys()))).select(*_SLICE, *(F.coalesce(F.bit_xor(k).over(before), F.lit(0)).alias(f"{k}_before") for k in ("k1", "k2")))
+    so_far = part.orderBy("depth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    keyed = rows.repartition(*_SLICE).select("*", *(F.bit_xor(h).over(so_far).alias(k) for h, k in _keys())).join(totals, _SLICE)
+    return keyed.select("base", "conv_id", "depth", "n_bytes", "n_turns", *(F.col(k).bitwiseXOR(F.col(f"{k}_before")).alias(k) for k in ("k1", "k2")))
+
+
+def families(rows: DataFrame) -> DataFrame:
+    """One row for each node of each family's trie: bytes, members in order, and whether any goes on; rows: paths."""
     member = F.struct("conv_id", (F.col("n_turns") == F.col("depth")).alias("ends"))
-    return paths(conversations).groupBy("base", *_KEY).agg(F.first("n_bytes").alias("n_bytes"), F.sort_array(F.collect_list(member)).alias("members"), F.max(F.col("n_turns") > F.col("depth")).alias("inner"))
+    return rows.groupBy("base", *_KEY).agg(F.first("n_bytes").alias("n_bytes"), F.sort_array(F.collect_list(member)).alias("members"), F.max(F.col("n_turns") > F.col("depth")).alias("inner"))
+
+
+def _below(rows: DataFrame) -> DataFrame:
+    """What the subtrees of each conversation's nodes hold of it, and whether it owns the next node and who owns the last."""
+    up = Window.partitionBy("base", "conv_id").orderBy(F.col("depth").desc())
+    below = up.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumns({
+        "held": F.sum("n_bytes").over(below), "kept": F.sum("own_bytes").over(below), "leaves": F.sum("own_leaf").over(below),
+        "child": F.coalesce(F.lag("owned").over(up), F.lit(0)), "parent": F.lead("owner").over(up)})
+
+
+def _sliced_below(rows: DataFrame, length: int) -> DataFrame:
+    """The same in slices of ``length`` depths."""
+    rows = rows.withColumn("slice", F.floor(F.col("depth") / length)).repartition(*_SLICE)
+    up = Window.partitionBy(*_SLICE).orderBy(F.col("depth").desc())
+    below = up.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = rows.withColumns({
+        "held": F.sum("n_bytes").over(below), "kept": F.sum("own_bytes").over(below), "leaves": F.sum("own_leaf").over(below),
+        "child": F.lag("owned").over(up), "parent": F.lead("owner").over(up)})
+    totals = rows.groupBy(*_SLICE).agg(F.sum("n_bytes").alias("b"), F.sum("own_bytes").alias("o"), F.sum("own_leaf").alias("l"), F.min_by("owned", "depth").alias("top"), F.max_by("owner", "depth").alias("end"))
+    deeper = Window.partitionBy("base", "conv_id").orderBy(F.col("slice").desc())
+    past = deeper.rowsBetween(Window.unboundedPreceding, -1)
+    edges = settle(totals).select(*_SLICE, *(F.coalesce(F.sum(c).over(past), F.lit(0)).alias(f"{c}_below") for c in "bol"), F.lag("top").over(deeper).alias("next"), F.lead("end").over(deeper).alias("above"))
+    return local.join(edges, _SLICE).withColumns({
+        "held": F.col("held") + F.col("b_below"), "kept": F.col("kept") + F.col("o_below"), "leaves": F.col("leaves") + F.col("l_below"),
+        "child": F.coalesce("child", "next", F.lit(0)), "parent": F.coalesce("parent", "above")}).select(*rows.drop("slice").columns, "held", "kept", "leaves", "child", "parent")
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,17 +206,29 @@ def _shared_digests(ends: DataFrame) -> DataFrame:
 
 def nodes(conversations: DataFrame) -> DataFrame:
     """One row for each node of the trie of all rebuilt conversations."""
-    family = settle(families(conversations))
+    long, length = long_ones(conversations)
+    if long is None:
+        family = settle(families(paths(conversations)))
+    else:
+        bases = F.broadcast(long.select("base").distinct())  # at most SHARE
+        of = conversations.withColumn("base", F.col("conv_id").cast("long") - F.col("conv_id").cast("long") % FAMILY)
+        some, rest = (of.join(bases, "base", how).drop("base") for how in ("left_semi", "left_anti"))
+        family = settle(families(paths(rest)).unionByName(families(sliced_paths(some, long))))
     merged = family.groupBy(*_KEY).agg(F.count("*").alias("rows"), F.sum(F.size("members")).alias("n"), F.min(F.col("members")[0]["conv_id"]).alias("owner"), F.max("inner").alias("goes_on")).filter("rows > 1")
     known = meet(family, settle(merged), _KEY, "left").withColumns({
         "shared": F.col("n").isNotNull(), "n_convs": F.coalesce("n", F.size("members").cast("long")), "owner": F.coalesce("owner", F.col("members")[0]["conv_id"]), "inner": F.coalesce("goes_on", "inner")})
-    rows = known.repartition("base").select("base", *_KEY, "n_bytes", "shared", "n_convs", "owner", "inner", F.explode("members").alias("member")).select("*", F.col("member.conv_id").alias("conv_id"), F.col("member.ends").alias("ends")).drop("member")
-    up = Window.partitionBy("base", "conv_id").orderBy(F.col("depth").desc())
-    below = up.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    owned = F.col("owner") == F.col("conv_id")
-    rows = rows.withColumns({
-        "held": F.sum("n_bytes").over(below), "kept": F.sum(F.when(owned, F.col("n_bytes")).otherwise(0)).over(below), "leaves": F.sum((owned & ~F.col("inner")).cast("long")).over(below),
-        "child": F.coalesce(F.lag(owned.cast("long")).over(up), F.lit(0)), "parent": F.lead("owner").over(up)})
+
+    def members(known: DataFrame) -> DataFrame:
+        rows = known.select("base", *_KEY, "n_bytes", "shared", "n_convs", "owner", "inner", F.explode("members").alias("member")).select("*", F.col("member.conv_id").alias("conv_id"), F.col("member.ends").alias("ends")).drop("member")
+        owned = (F.col("owner") == F.col("conv_id")).cast("long")
+        return rows.withColumn("owned", owned).withColumn("own_bytes", F.col("owned") * F.col("n_bytes")).withColumn("own_leaf", F.col("owned") * (~F.col("inner")).cast("long"))
+
+    if long is None:
+        rows = _below(members(known.repartition("base")))
+    else:
+        known = settle(known)
+        some, rest = (known.join(bases, "base", how) for how in ("left_semi", "left_anti"))
+        rows = _below(members(rest.repartition("base"))).unionByName(_sliced_below(members(some), length))
     sums = {"saved_tokens": F.sum(F.col("held") - F.col("kept")), "n_leaves": F.sum("leaves"), "n_children": F.sum("child")}
     told = [F.first(c).alias(c) for c in ("shared", "n_convs", "owner")]
     ends = F.sort_array(F.collect_list(F.when(F.col("ends"), F.col("conv_id"))))  # of one family

@@ -69,15 +69,17 @@ def frame(spark):
     return lambda rows: spark.createDataFrame([(*r, *extra) for r in rows], "conv_id long, turn long, role string, text string, " + ", ".join(f"{c} string" for c in extra))
 
 
-@pytest.mark.parametrize("sent", [10_000, 0])
-def test_against_recursion(frame, monkeypatch, sent):
-    """Also where merged nodes are shuffled and hot ones sent alone, and where shared ends come in many pieces."""
+@pytest.mark.parametrize(("sent", "long"), [(10_000, 100_000), (0, 100_000), (10_000, 9), (0, 40)])
+def test_against_recursion(frame, monkeypatch, sent, long):
+    """Also where merged nodes are shuffled and hot ones sent alone, where shared ends come in many pieces, and where conversations are sliced."""
+    monkeypatch.setattr(trie, "LONG", long)
     monkeypatch.setattr(_join, "SENT_ROWS", sent)
     monkeypatch.setattr(_join, "HOT_ROWS", 3)
     monkeypatch.setattr(_join, "HOT_KEYS", 10)
     monkeypatch.setattr(trie, "CHUNK", 3)
     monkeypatch.setattr(trie, "CHUNK_ROWS", 20)
-    rows = conversations(sent)
+    rows = conversations(sent + long)
+    assert (trie.long_ones(frame(rows))[0] is None) == (long > 1_000)
     got = trie.nodes(frame(rows))
     assert got.columns == COLUMNS and {t for c, t in got.dtypes if c != "ends_sha256"} == {"bigint"}
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
