@@ -124,7 +124,7 @@ def batched_topk(rows: DataFrame, queries: DataFrame, k: int, *, id: str, vector
 # A layout by centroids ----------------------------------------------------------
 
 #: Rows that the centroids are fitted to, rounds of that, the most lists, and rows that a list has at the least on average.
-SAMPLE, ROUNDS, MOST_LISTS, LIST_ROWS = 20_000, 10, 1_024, 50
+SAMPLE, ROUNDS, MOST_LISTS, LIST_ROWS = 20_000, 10, 1_024, 1_000
 
 
 @dataclass(frozen=True)
@@ -162,7 +162,7 @@ def write_lists(rows: DataFrame, path: str, *, id: str, vector: str, lists: int
     """
     n = rows.count()
     sample = matrix(rows.orderBy(F.xxhash64(id), id).limit(SAMPLE).select(vector).toArrow().column(0)) if n else np.zeros((0, 1))
-    lists = max(1, min(lists or MOST_LISTS, MOST_LISTS, n // LIST_ROWS, len(sample)))
+    lists = max(1, min(lists or n // LIST_ROWS, MOST_LISTS, len(sample)))
     centroids = _fit(sample, lists) if n else np.zeros((1, 1))
     known, at = rows.sparkSession.sparkContext.broadcast(centroids), rows.columns.index(vector)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
@@ -192,9 +192,8 @@ def _scored(spark: SparkSession, path: str, known: Lists, lists: list[int], quer
     """(id, dense_similarity): the k best rows of each task of some lists; least: the distances from which their rows can count."""
     rows = spark.read.schema(known.schema).parquet(f"{path}/rows").filter(F.col("list").isin(lists))
     if least:
-        near = [x for x in lists if least.get(x, 0.0) <= 0]
-        far = [(F.col("list") == x) & (F.col("distance") >= d) for x, d in least.items() if d > 0 and x in lists]
-        rows = rows.filter(reduce(lambda a, b: a | b, far, F.col("list").isin(near)))
+        from_ = [max(0.0, least.get(x, 0.0)) for x in range(len(known.rows))]
+        rows = rows.filter(F.col("distance") >= min(from_[x] for x in lists)).filter(F.col("distance") >= F.get(F.lit(from_), F.col("list")))  # Parquet sees the first
     kind = rows.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

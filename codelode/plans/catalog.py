@@ -213,7 +213,7 @@ def lexical_token_counts(spark, sf_dir):
     path = own_folder(spark, "trigrams")
     lexical.write(rows, path, id="id", text="code")
     tokens = table(spark, sf_dir, "benchmark").select(F.explode(X.query_tokens_column("text")).alias("token")).distinct()
-    return lexical.containing(spark, path, rows, tokens, id="id", text="code").groupBy("token").agg(F.count("*").alias("n_symbols"), F.min("id").alias("first_id"))
+    return lexical.counts(spark, path, tokens, id="id").select("token", F.col("n").alias("n_symbols"), F.col("first").alias("first_id"))
 
 
 _TEXT_SQL = "kind || ' ' || symbol_name || chr(10) || left(code_content, 2000)"

@@ -300,7 +300,7 @@ def test_layout_gives_the_same_hits(spark, engine, tree):
     before, filtered = ask(), ask(kind="class")
     assert store.nearest([1.0] * 64, 3) is None
     told = engine.optimize(root=tree)
-    assert told["rows"] == 128 and told["lists"] == 2
+    assert told["rows"] == 128 and told["lists"] == 1
     assert ask() == before and ask(kind="class") == filtered
     assert store.nearest([1.0] * 64, 3).count() == 3 and vectors.read_lists(spark, store._path("vectors", store.version())).rows.sum() == 128
     (tree / "m1.py").write_text("def other():\n    pass\n")

@@ -72,7 +72,7 @@ def test_layout_is_exact_and_pruned(spark, tmp_path):
     """Groups apart: other partitions are not read; the result is that of all rows for any query."""
     x = groups(1500, 12, 15, 0.05)
     path = str(tmp_path / "lists")
-    known = vectors.write_lists(table(spark, x), path, id="vec_id", vector="embedding")
+    known = vectors.write_lists(table(spark, x), path, id="vec_id", vector="embedding", lists=30)
     assert known.rows.sum() == 1500 and len(known.rows) == 30
     for q in (x[3], x[700], -x[3], np.zeros(12), x[3] * 1e6):
         got = [(r["vec_id"], r["dense_similarity"]) for r in vectors.topk(spark, path, q.tolist(), 10, id="vec_id", vector="embedding").collect()]
@@ -99,7 +99,7 @@ def test_probes_recall(spark, tmp_path):
     """Without bounds: the share of the true neighbours grows with the lists that are read, past 0.9."""
     x = groups(2000, 16, 20, 0.25, 5)
     path = str(tmp_path / "lists")
-    vectors.write_lists(table(spark, x), path, id="vec_id", vector="embedding")
+    vectors.write_lists(table(spark, x), path, id="vec_id", vector="embedding", lists=40)
 
     def recall(probes):
         hit = 0
@@ -128,22 +128,28 @@ def test_lexical_index_against_contains(spark, tmp_path, monkeypatch):
     letters = "abcdé😀_ "
     texts = ["".join(rng.choices(letters, k=rng.choice([0, 1, 2, 3, 8, 40]))) for _ in range(300)] + [None, "ab", "xab", "the theory of the thing" * 50]
     tokens = {"".join(rng.choices(letters.strip(), k=rng.choice([2, 3, 4, 7]))) for _ in range(120)} | {"theory", "thing", "zzz", "zz", "ab"}
-    rows = spark.createDataFrame(list(enumerate(texts)), "id long, code string")
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, code string").repartition(3)
     asked = spark.createDataFrame([(t,) for t in sorted(tokens)], "token string")
     want = {(t, k) for t in tokens for k, text in enumerate(texts) if text and t in text}
     path = str(tmp_path / "index")
+    monkeypatch.setattr(lexical, "BLOCK_ROWS", 7)
     lexical.write(rows, path, id="id", text="code")
-    for named, sent in ((500, 10_000), (0, 0)):
+    for named, sent in ((500, 200_000), (0, 0)):
         monkeypatch.setattr(lexical, "NAMED", named)
         monkeypatch.setattr(lexical, "SENT", sent)
-        got = [tuple(r) for r in lexical.containing(spark, path, rows, asked, id="id", text="code").collect()]
+        got = [tuple(r) for r in lexical.containing(spark, path, asked, id="id").collect()]
         assert len(got) == len(set(got)) and set(got) == want
+        counts = {r["token"]: (r["n"], r["first"]) for r in lexical.counts(spark, path, asked, id="id").collect()}
+        assert counts == {t: (len(k := [i for u, i in want if u == t]), min(k)) for t in {t for t, _ in want}}
     monkeypatch.setattr(lexical, "NAMED", 500)
-    one = lexical.containing(spark, path, rows, spark.createDataFrame([("theory",)], "token string"), id="id", text="code")
-    assert re.search(r"PushedFilters: \[[^\]]*In\(gram", plan(one))  # only the gram's row groups are read
-    none = rows.limit(0)
-    lexical.write(none, str(tmp_path / "none"), id="id", text="code")
-    assert lexical.containing(spark, str(tmp_path / "none"), none, asked, id="id", text="code").collect() == []
+    monkeypatch.setattr(lexical, "SENT", 200_000)
+    one = spark.createDataFrame([("theory",)], "token string")
+    blocks = lexical.candidates(spark, path, one)
+    assert re.search(r"PushedFilters: \[[^\]]*In\(gram", plan(blocks)) and blocks.count() == 1  # only the piece's row groups are read, and one block of 44 is left
+    found = lexical.containing(spark, path, one, id="id")
+    assert re.search(r"PushedFilters: \[[^\]]*(In|EqualTo)\(block", plan(found)) and found.count() == 1
+    lexical.write(rows.limit(0), str(tmp_path / "none"), id="id", text="code")
+    assert lexical.containing(spark, str(tmp_path / "none"), asked, id="id").collect() == []
 
 
 # Reconciling ------------------------------------------------------------------------
