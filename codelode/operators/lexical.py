@@ -4,7 +4,7 @@ Rows are dealt to blocks by a hash of their id and stored in the order of blocks
 blocks that hold it, so the index is a fraction of the texts however often a piece occurs.  A piece is a long of three
 code points, 21 bits each; postings are ordered by piece, so that a piece's stand in few row groups.  A look-up
 intersects the blocks of a token's rarest pieces, reads the blocks that are left, and runs one automaton (Aho and
-Corasick's) over each text there for all tokens that its block can hold.
+Corasick's) over each text there for all tokens.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: Characters of a piece, how many of a token's pieces are intersected (the rarest), and what ends a text (no code point).
 GRAM, RAREST, END = 3, 3, (1 << 21) - 1
-#: Rows of a block on average; pairs of token and block up to which a lookup's are sent to all tasks (under 100 bytes each),
+#: Rows of a block on average; tokens, pieces or blocks up to which a lookup's are sent to all tasks (under 100 bytes each),
 #: and pieces or blocks up to which they are named in the filter that Parquet sees.
 BLOCK_ROWS, SENT, NAMED = 10_000, 200_000, 500
 #: Code points that are cut into pieces at a time.
@@ -110,26 +110,25 @@ def _automaton(tokens: list[str]) -> ahocorasick.Automaton:
 def _scanned(spark: SparkSession, path: str, tokens: DataFrame, id: str) -> tuple[DataFrame, Callable]:
     """Rows of the candidate blocks, and what makes (id, tokens found) of their batches.
 
-    The pairs of token and block are sent to all tasks if they are few.  Else they are dealt by block with the rows,
-    and come before these.
+    Tokens are sent to all tasks if they are few; one automaton serves all blocks then, as a block that is no candidate
+    of a token holds none.  Else pairs of token and block are dealt by block with the rows, and come before these.
     """
     rows, found = spark.read.parquet(f"{path}/rows").select(id, "text", "block"), candidates(spark, path, tokens)
-    few = found.limit(SENT + 1).collect()
+    few = [r[0] for r in tokens.select("token").limit(SENT + 1).collect()]
     if len(few) <= SENT:
-        own: dict[int, list[str]] = {}
-        for r in few:
-            own.setdefault(r["block"], []).append(r["token"])
-        known = spark.sparkContext.broadcast({b: tuple(sorted(t)) for b, t in own.items()})
-        rows = rows.filter(F.col("block").isin(sorted(own))) if len(own) <= NAMED else rows
+        known = spark.sparkContext.broadcast(sorted(few))
+        blocks = found.select("block").distinct()
+        own = [r[0] for r in blocks.limit(SENT + 1).collect()]
+        if len(own) <= NAMED:
+            rows = rows.filter(F.col("block").isin(sorted(own)))
+        else:
+            rows = rows.join(F.broadcast(spark.createDataFrame([(b,) for b in own], "block int")) if len(own) <= SENT else blocks, "block", "left_semi").select(id, "text", "block")
 
         def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-            last, made = (), None
+            made = _automaton(known.value) if known.value else None
             for batch in batches:
-                for i, text, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    wanted = known.value.get(block, ())
-                    if wanted and wanted != last:
-                        last, made = wanted, _automaton(wanted)
-                    if wanted:
+                for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if made:
                         yield i, {t for _, t in made.iter(text)}
 
         return rows, hits
