@@ -333,7 +333,8 @@ _WHOLE_SQL = "whole AS (SELECT source || '/doc_' || doc_id || '.' || lang AS fil
 
 def _hits_and_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     path = F.concat(F.col("source"), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit("."), F.col("lang"))
-    return _hybrid(spark, sf_dir, _QUESTION, None, top=12), table(spark, sf_dir, "documents").select(path.alias("file_path"), "text")
+    hits = _hybrid(spark, sf_dir, _QUESTION, None, top=12)
+    return spark.createDataFrame(hits.collect(), hits.schema), table(spark, sf_dir, "documents").select(path.alias("file_path"), "text")  # a dozen rows, which the report reads three times
 
 
 @_query(f"""

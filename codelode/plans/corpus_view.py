@@ -48,12 +48,12 @@ def _last_of_each(docs: DataFrame) -> DataFrame:
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The symbols of all documents, of equal keys the last.
 
-    Keys hold the path.  If every document has a path of its own, which a look at three narrow columns tells, nothing
-    but those is shuffled; else texts are.
+    Keys hold the path.  If every document has a path of its own, which a look at three narrow columns tells, documents
+    are dealt evenly (a file of one row group is one task's otherwise) and symbols stay where they are made; else these are shuffled by key.
     """
     docs = table(spark, sf_dir, "documents")
     repeated = docs.groupBy("source", "doc_id", "lang").count().filter("count > 1").limit(1).count()
-    return last_wins(extracted(docs)).drop("seq") if repeated else _last_of_each(docs)
+    return last_wins(extracted(docs)).drop("seq") if repeated else _last_of_each(docs.repartition("doc_id"))
 
 
 #: The same in DuckDB's dialect, as common table expressions; ``s1`` has equal keys still.
