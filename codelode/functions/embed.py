@@ -6,9 +6,12 @@ import hashlib
 import math
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from codelode.functions import text as X
@@ -24,27 +27,82 @@ class Embedder(Protocol):
     def query(self, text: str) -> list[float]: ...
 
 
+#: How many tokens a worker remembers the buckets of.
+_REMEMBERED = 1 << 17
+#: Rows that are counted at a time.
+_ROWS = 1_000
+_find = re.compile(X.EMBED_TOKEN.encode()).findall
+
+
+class _Buckets(dict):
+    """A token's bucket: the last byte of its MD5, modulo the number of buckets."""
+
+    def __missing__(self, token: bytes) -> int:
+        if len(self) >= _REMEMBERED:
+            self.clear()
+        bucket = self[token] = hashlib.md5(token).digest()[-1] % HashEmbedder.dimension
+        return bucket
+
+
+_bucket = _Buckets()
+
+
+def _counted(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Counts of each bucket in texts in lower case, a row for each text and some rows at a time; none for a null."""
+    for at in range(0, len(texts), _ROWS):
+        part = texts[at : at + _ROWS].to_pylist()
+        lengths: list[int] = []
+
+        def found(part: list[bytes | None] = part, lengths: list[int] = lengths) -> Iterator[list[bytes]]:
+            for text in part:
+                tokens = _find(text) if text else []
+                lengths.append(len(tokens))
+                yield tokens
+
+        buckets = np.fromiter(map(_bucket.__getitem__, chain.from_iterable(found())), np.int64)
+        rows = np.repeat(np.arange(len(part)), lengths)
+        yield np.bincount(rows * HashEmbedder.dimension + buckets, minlength=len(part) * HashEmbedder.dimension).reshape(len(part), -1)
+
+
 class HashEmbedder:
-    """Tokens counted in 64 buckets by the last byte of their MD5, scaled to length 1 (no token: zero)."""
+    """Tokens counted in 64 buckets by the last byte of their MD5, scaled to length 1 (no token: zero).
+
+    Tokens are counted in Arrow batches: the same few words make most of a text, so a worker's memory of them spares nearly all digests.
+    """
 
     dimension = 64
 
-    def buckets(self, text: Column) -> Column:
-        tokens = F.regexp_extract_all(F.lower(text), F.lit(X.EMBED_TOKEN), F.lit(0))
-        # 64 divides 256: the last byte's upper half counts modulo 4.
-        nibble = lambda digest, k: F.instr(F.lit("0123456789abcdef"), F.substring(digest, k, 1)) - 1
-        digests = F.transform(tokens, lambda t: F.md5(t.cast("binary")))
-        return F.transform(digests, lambda d: (nibble(d, 31) % 4 * 16 + nibble(d, 32)).cast("int"))
+    @staticmethod
+    def _lowered(text: Column) -> Column:
+        return F.lower(text).cast("binary")
 
     def counts(self, text: Column) -> Column:
-        """An array of the buckets' counts."""
-        b = self.buckets(text)
-        return F.transform(F.sequence(F.lit(0), F.lit(self.dimension - 1)), lambda k: F.size(F.filter(b, lambda x: x == k)))
+        """An array of (bucket, n) of the buckets that a text has tokens in."""
+
+        @F.arrow_udf("array<struct<bucket:int,n:bigint>>")
+        def run(texts: pa.Array) -> pa.Array:
+            sizes, buckets, n = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for counts in _counted(texts):
+                row, bucket = counts.nonzero()
+                sizes.append(np.bincount(row, minlength=len(counts)))
+                buckets.append(bucket)
+                n.append(counts[row, bucket])
+            pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(buckets), pa.int32()), pa.array(np.concatenate(n), pa.int64())], ["bucket", "n"])
+            return pa.ListArray.from_arrays(pa.array(np.concatenate(sizes).cumsum(), pa.int32()), pairs)
+
+        return run(self._lowered(text))
 
     def column(self, text: Column) -> Column:
-        counts = self.counts(text)
-        norm = F.sqrt(F.aggregate(counts, F.lit(0).cast("double"), lambda a, x: a + x * x))
-        return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+        @F.arrow_udf("array<float>")
+        def run(texts: pa.Array) -> pa.Array:
+            out = [np.zeros((0, HashEmbedder.dimension))]
+            for counts in _counted(texts):
+                norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True).astype(float))
+                out.append(counts / np.where(norm > 0, norm, 1.0))
+            flat = np.concatenate(out).astype(np.float32).ravel()
+            return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, HashEmbedder.dimension), pa.int32()), pa.array(flat))
+
+        return run(self._lowered(text))
 
     def query_counts(self, text: str) -> list[int]:
         out = [0] * self.dimension
@@ -57,23 +115,19 @@ class HashEmbedder:
         norm = math.sqrt(sum(c * c for c in counts)) or 1.0
         return [c / norm for c in counts]
 
-    def similarity(self, buckets: Column, text: str) -> Column:
-        """Cosine of a column of buckets and a query, from integers, so that any engine rounds it alike.
-
-        A bucket's k-th appearance adds 2k - 1 to the sum of squares, which one pass over the sorted buckets finds.
-        """
-        own = self.query_counts(text)
-        weights = F.array(*(F.lit(c) for c in own))
-        dot = F.aggregate(buckets, F.lit(0), lambda a, b: a + F.get(weights, b))
-        start = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("squares"))
+    def similarity(self, text: Column, query: str) -> Column:
+        """Cosine of a column of texts and a query, from integers, so that any engine rounds it alike."""
+        own = self.query_counts(query)
 
-        def step(a: Column, b: Column) -> Column:
-            run = F.when(a["last"] == b, a["run"] + 1).otherwise(1)
-            return F.struct(b.alias("last"), run.alias("run"), (a["squares"] + 2 * run - 1).alias("squares"))
+        @F.arrow_udf("double")
+        def run(texts: pa.Array) -> pa.Array:
+            out, asked = [np.zeros(0)], np.array(own)
+            for counts in _counted(texts):
+                norm = np.sqrt((counts * counts).sum(axis=1).astype(float)) * math.sqrt(float(asked @ asked))
+                out.append(counts @ asked / np.where(norm > 0, norm, 1.0))
+            return pa.array(np.concatenate(out))
 
-        squares = F.aggregate(F.array_sort(buckets), start, step)["squares"]
-        norm = F.sqrt(squares.cast("double")) * F.sqrt(F.lit(float(sum(c * c for c in own))))
-        return F.when(norm > 0, dot / norm).otherwise(F.lit(0.0))
+        return run(self._lowered(text))
 
 
 class ModelEmbedder:
