@@ -80,7 +80,9 @@ def hybrid_query(symbols: DataFrame, similarity: Column, query_text: str, *, top
     if top < 0 or candidates < 0:
         raise ValueError("top and candidates are not negative")
     pool = dense_topk(filtered(symbols, sql_filter), similarity, max(candidates, top), digits=digits)
-    scored = pool.withColumn("lex", X.lexical_score(X.query_tokens(query_text))).withColumn("final", F.lit(w_dense) * F.col("dense_similarity") + F.lit(w_lexical) * F.col("lex"))
+    # One projection: Spark moves projections below the pool's limit, and with two there it sorts all rows instead of keeping a few in each task.
+    lex = X.lexical_score(X.query_tokens(query_text))
+    scored = pool.select("*", lex.alias("lex"), (F.lit(w_dense) * F.col("dense_similarity") + F.lit(w_lexical) * lex).alias("final"))
     order = [F.desc("final"), F.desc("dense_similarity"), F.asc("id")]
     hits = scored.orderBy(*order).limit(top).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
     return hits.select("rank", F.round("final", 4).alias("score"), F.round("dense_similarity", 4).alias("dense_similarity"), F.round("lex", 4).alias("lexical_score"), *schema.SYMBOL_COLUMNS)

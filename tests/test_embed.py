@@ -45,6 +45,14 @@ def test_counts_vectors_and_similarity(spark, monkeypatch, remembered):
     assert all(embed._bucket[f"t{k}".encode()] == hashlib.md5(f"t{k}".encode()).digest()[-1] % 64 for k in range(9)) and len(embed._bucket) <= remembered
 
 
+@pytest.mark.skipif(not Path(SF).exists(), reason="the driver's tables are not here")
+@pytest.mark.parametrize("name", ["hybrid_query", "hybrid_query_filtered", "hybrid_query_weights", "ranked_hits"])
+def test_a_task_keeps_its_part_of_the_pool(spark, name):
+    """No sort of all symbols, which computes each similarity twice and shuffles every symbol."""
+    found = plan(catalog.QUERIES[name](spark, SF))
+    assert "TakeOrderedAndProject" in found and "rangepartitioning" not in found
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="the driver's tables are not here")
 def test_buckets_are_counted_where_symbols_are(spark):
     found = plan(catalog.QUERIES["embed_hash_buckets"](spark, SF))
