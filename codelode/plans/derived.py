@@ -1,22 +1,24 @@
 """Source and definition files that Spark derives from documents, and what their parsers must find, as DuckDB SQL.
 
 A document's names are the first tokens of its lines, each with its number, so that all are different.
-A file is a head, a few lines for each name, and a foot.
+A file is a head, a few lines for each name, and a foot; some have code written by hand behind that, with every form of definition.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codelode.functions import text as X
+from codelode.plans.samples import SAMPLES
 
 
 @dataclass(frozen=True)
 class Form:
     """Lines of a file; {n} is a name, {i} its number and {d} the document's id.  found: what the parser must find for a
-    name (name, kind, first and last line of the lines for it); above: the same for the file, where m counts its names."""
+    name (name, kind, first and last line of the lines for it); above: the same for the file, where m counts its names.
+    tail: texts behind the foot, and what the parser must find in each, by its own lines."""
 
     extension: str
     head: tuple[str, ...]
@@ -24,6 +26,7 @@ class Form:
     foot: tuple[str, ...]
     found: tuple[str, str, int, int]
     above: tuple[tuple[str, str, str, str], ...] = ()
+    tail: tuple[tuple[str, tuple[tuple[str, str, int, int], ...]], ...] = ()
 
 
 FORMS = {
@@ -40,6 +43,9 @@ FORMS = {
 }
 
 
+FORMS |= {name: replace(FORMS[name], tail=tail) for name, tail in SAMPLES.items()}
+
+
 def names(docs: DataFrame) -> DataFrame:
     """(doc_id, names) of documents that have a name."""
     found = F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.regexp_extract(x, X.EMBED_TOKEN, 0)), lambda x: x != "")
@@ -57,17 +63,17 @@ def _filled(line: str, n: Column | None, i: Column | None) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
-def files(docs: DataFrame, extension: str, head: tuple[str, ...], each, foot: tuple[str, ...]) -> DataFrame:
-    """(file_path, text) of files in a form; each: lines, or a function of name and number to an array of lines."""
+def files(docs: DataFrame, extension: str, head: tuple[str, ...], each, foot: tuple[str, ...], tail: str = "") -> DataFrame:
+    """(file_path, text) of files in a form; each: lines, or a function of name and number to an array of lines; tail: a text behind the foot."""
     lines = each if callable(each) else lambda n, i: F.array(*(_filled(x, n, i) for x in each))
     whole = F.flatten(F.transform("names", lines))
     before, after = (F.array(*(_filled(x, None, None) for x in part)) if part else F.array().cast("array<string>") for part in (head, foot))
     path = F.concat(F.lit("src/doc_"), F.col("doc_id").cast("string"), F.lit(extension))
-    return names(docs).select(path.alias("file_path"), F.array_join(F.concat(before, whole, after), "\n").alias("text"))
+    return names(docs).select(path.alias("file_path"), F.concat(F.array_join(F.concat(before, whole, after), "\n"), F.lit("\n" * bool(tail) + tail)).alias("text"))
 
 
 def formed(docs: DataFrame, form: Form) -> DataFrame:
-    return files(docs, form.extension, form.head, form.each, form.foot)
+    return files(docs, form.extension, form.head, form.each, form.foot, "".join(text for text, _ in form.tail))
 
 
 #: The names in DuckDB's dialect: a row for each, with its number and how many its document has.
@@ -88,4 +94,9 @@ def sql(form: Form, kind: bool) -> str:
     columns = lambda n, k, a, b: f"{path} AS file_path, {_text(n)} AS symbol_name, " + f"'{k}' AS kind, " * kind + f"{a} AS start_line, {b} AS end_line"
     parts = [f"SELECT {columns(name, own, f'{place} + {first}', f'{place} + {last}')} FROM named"]
     parts += [f"SELECT {columns(*above)} FROM named WHERE i = 1" for above in form.above]
+    begin = len(form.head) + len(form.foot)
+    for text, rows in form.tail:
+        values = ", ".join(f"('{n}', '{k}', {begin + a}, {begin + b})" for n, k, a, b in rows)
+        parts.append(f"SELECT {path} AS file_path, s.symbol_name, {'s.kind, ' * kind}{len(form.each)} * m + s.first AS start_line, {len(form.each)} * m + s.last AS end_line FROM named, (VALUES {values}) AS s(symbol_name, kind, first, last) WHERE i = 1")
+        begin += text.count("\n")
     return f"WITH {NAMED} {' UNION ALL '.join(parts)}"
