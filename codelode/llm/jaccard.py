@@ -33,6 +33,7 @@ an empty table gives no rows.  Only the id and the text are read, so further col
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,8 +46,9 @@ from codelode.llm._join import meet
 from codelode.llm._store import settle
 
 WORDS, PERCENT = 5, 80
-#: Cells of the corpus-wide frequencies (a power of two); the most of a document's histogram, and its shingles for each cell.
-SKETCH, CELLS, PER_CELL = 1 << 18, 4096, 8
+#: Cells of the corpus-wide frequencies (a power of two; many enough that a shingle of LISTED documents stands out of what else falls
+#: into its cell, else common shingles come first and tie unlike documents to groups that are multiplied in full); the most of a document's histogram, and its shingles for each cell.
+SKETCH, CELLS, PER_CELL = 1 << 22, 4096, 8
 #: Entries of the incidence matrix for each column block, about.
 BLOCK_ENTRIES = 1_200_000
 #: Classes of one shingle up to which its pairs are listed.
@@ -110,9 +112,18 @@ _FIRST = "kind int, doc_id long, text_hash long, n long, sig long, cells binary,
 _SLICES = 64
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts of 32 bits, their bytes apart by weight: in a task's part of the sketch most are 0 or 1."""
+    return zlib.compress(np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in _FIRST.split(", ")]
-    counts = np.zeros(SKETCH, np.int64)
+    counts = np.zeros(SKETCH, np.uint32)
     to_cell = np.uint64(64 - (SKETCH.bit_length() - 1))
     for batch in batches:
         sizes, sigs, cells = [], [], []
@@ -121,12 +132,12 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sizes.append(len(x))
                 sigs.append(signature(x))
                 cells.append(histogram(x))
-            counts += np.bincount((np.concatenate(sets) >> to_cell).astype(np.int64), minlength=SKETCH)
+            np.add.at(counts, (np.concatenate(sets) >> to_cell).astype(np.int64), np.uint32(1))
         n = batch.num_rows
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.array(cells, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
     if counts.any():
-        parts = [p.astype("<i8").tobytes() for p in counts.reshape(_SLICES, -1)]
+        parts = [_packed(p) for p in counts.reshape(_SLICES, -1)]
         none = [pa.nulls(_SLICES, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(_SLICES, np.int32)), *none, pa.array(range(_SLICES), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
@@ -135,21 +146,26 @@ def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            sums[k] = sums.get(k, 0) + np.frombuffer(c, "<i8")
+            sums[k] = sums.get(k, 0) + _unpacked(c).astype(np.int64)
     if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.astype("<i8").tobytes() for s in sums.values()], pa.binary())], names=["slice", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_packed(np.minimum(s, (1 << 32) - 1)) for s in sums.values()], pa.binary())], names=["slice", "counts"])
 
 
-def _ranks(first: DataFrame) -> np.ndarray:
-    """The order of the SKETCH cells by frequency, as bytes (finer than halves of an octave)."""
-    counts = np.zeros((_SLICES, SKETCH // _SLICES), np.int64)
-    for r in first.filter("kind = 1").select("slice", "counts").repartition(_SLICES, "slice").mapInArrow(K.frugal(_add_slices), "slice int, counts binary").collect():
-        counts[r["slice"]] = np.frombuffer(r["counts"], "<i8")
-    logs = np.log2(np.maximum(counts.ravel(), 1))
+def _order(counts: np.ndarray) -> np.ndarray:
+    """The order of the cells by frequency, as bytes (finer than halves of an octave)."""
+    logs = np.log2(np.maximum(counts, 1))
     base = np.median(logs)  # the ordinary cell; what stands out from it is told apart finely
     return np.clip(128 + np.rint(16 * (logs - base)), 0, 255).astype(np.uint8)
 
 
+def _ranks(first: DataFrame) -> np.ndarray:
+    """The order of the SKETCH cells, by the counts of all documents."""
+    counts = np.zeros((_SLICES, SKETCH // _SLICES), np.uint32)
+    for r in first.filter("kind = 1").select("slice", "counts").repartition(_SLICES, "slice").mapInArrow(K.frugal(_add_slices), "slice int, counts binary").collect():
+        counts[r["slice"]] = _unpacked(r["counts"])
+    return _order(counts.ravel())
+
+
 def _keys(x: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """The first shingles of a set, in the common order."""
     cell = (x >> np.uint64(64 - (SKETCH.bit_length() - 1))).astype(np.int64)

@@ -314,6 +314,25 @@ def test_join_of_nothing(frame):
     assert [tuple(r) for r in jaccard.join(frame([(3, None)])).collect()] == [(3, 0, 3)]
 
 
+def test_common_shingles_come_late_in_six_gigabytes():
+    """A passage in 120 documents, among the 1.5 billion shingles of 6 GB, ties few of them together."""
+    rng = np.random.default_rng(5)
+    counts = rng.poisson(1.5e9 / jaccard.SKETCH, jaccard.SKETCH)
+    passage = rng.integers(0, 1 << 64, 100, np.uint64)
+    np.add.at(counts, (passage >> np.uint64(65 - jaccard.SKETCH.bit_length())).astype(np.int64), 120)
+    ranks = jaccard._order(counts)
+    first = Counter()
+    for _ in range(120):
+        keys = jaccard._keys(np.unique(np.concatenate([passage, rng.integers(0, 1 << 64, 400, np.uint64)])), ranks)
+        first.update((keys & np.uint64((1 << 56) - 1)).tolist())
+    assert max(first.values()) <= jaccard.LISTED
+
+
+def test_counts_of_the_sketch_are_packed_whole():
+    counts = np.array([0, 1, 255, 256, 70_000, (1 << 32) - 1] * 3, np.uint32)
+    assert (jaccard._unpacked(jaccard._packed(counts)) == counts).all()
+
+
 def test_components_of_chains_and_stars(spark):
     prepare(spark)
     edges = [(k, k + 1) for k in range(100, 400)] + [(7, k) for k in range(500, 600)] + [(9, 8), (8, 9), (3, 3)]
