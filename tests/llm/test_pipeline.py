@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from codelode.llm import _kernel as K, quality
+from codelode.llm import _kernel as K, jaccard, quality
 from codelode.llm._store import written
 from tests.llm.test_corpus import brute_leaks, check_pieces, shingles
 from tests.llm.test_maps import base_of
@@ -173,3 +173,16 @@ def test_no_stage_needs_more_than_its_columns(spark, tables):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     model = quality.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
     assert quality.keep(docs, model).columns == ["doc_id", "text"] and re.match("doc_id", quality.judge(docs, model).columns[0])
+
+
+def test_near_duplicates_ties_no_unlike_documents_of_six_gigabytes():
+    """What lines leave of 6 GB has about a billion shingles; passages of 60 documents are not among the first of each of these."""
+    rng = np.random.default_rng(6)
+    counts = rng.poisson(1.05e9 / jaccard.SKETCH, jaccard.SKETCH)
+    passages = rng.integers(0, 1 << 64, (20, 40), np.uint64)
+    np.add.at(counts, (passages.ravel() >> np.uint64(65 - jaccard.SKETCH.bit_length())).astype(np.int64), 60)
+    ranks = jaccard._order(counts)
+    for passage in passages:
+        keys = [jaccard._keys(np.unique(np.concatenate([passage, rng.integers(0, 1 << 64, 400, np.uint64)])), ranks) for _ in range(60)]
+        first = Counter(np.concatenate(keys).tolist())
+        assert max(first.values()) <= jaccard.LISTED
